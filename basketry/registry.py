@@ -30,3 +30,43 @@ _on_tables("orders_by_hour", dashboard.orders_by_hour)
 _on_tables("orders_by_dow", dashboard.orders_by_dow)
 _on_tables("top_departments", dashboard.top_departments)
 _on_tables("reorder_rate_by_department", dashboard.reorder_rate_by_department)
+
+# ---- search and catalogue reads ----------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from basketry.plans import catalog_views, search  # noqa: E402
+
+
+def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet")
+
+
+_on_tables("product_search", search.product_search, text="GEAR")
+_on_tables("product_search_all", search.product_search, text="")
+_on_tables("product_search_department", search.product_search, text="o", department="Brand#3")
+_on_tables("product_search_band", search.product_search, text="", hours=(6, 17))
+_on_tables("product_search_hourly", search.product_search_hourly, text="", hours=(6, 17))
+_on_tables("aisles_of_department", search.aisles_of_department)
+_on_tables("products_filtered", search.products_filtered)
+_on_tables("products_filtered_department_aisle", search.products_filtered,
+           department_id=3, aisle_id=2)
+_on_tables("list_aisles", catalog_views.list_aisles)
+_on_tables("list_departments", catalog_views.list_departments)
+_on_tables("refcount_aisles", catalog_views.refcount_aisles)
+_on_tables("refcount_departments", catalog_views.refcount_departments)
+
+
+def _lookup_aisles(spark, sf_dir):
+    part = _part(spark, sf_dir)
+    names = part.select(F.col("p_type").alias("n")).unionByName(part.select(F.col("p_name").alias("n")))
+    return catalog_views.lookup_aisles(fixture_tables(spark, sf_dir), names, "n")
+
+
+def _lookup_departments(spark, sf_dir):
+    part = _part(spark, sf_dir)
+    names = part.select(F.col("p_brand").alias("n")).unionByName(part.select(F.col("p_name").alias("n")))
+    return catalog_views.lookup_departments(fixture_tables(spark, sf_dir), names, "n")
+
+
+QUERIES["lookup_aisles"] = _lookup_aisles
+QUERIES["lookup_departments"] = _lookup_departments
