@@ -101,3 +101,13 @@ def products_filtered(t: Tables, department_id: int | None = None,
     return (p.select("product_id", "product_name", "aisle_id", "department_id")
             .orderBy(F.col("product_name").asc_nulls_last(), F.col("product_id").asc_nulls_last())
             .limit(limit))
+
+
+def product_search_sql(t: Tables, text: str = "", department: str | None = None,
+                       hours: tuple[int, int] = (0, 23)) -> DataFrame:
+    """R6 as parameterised SQL text (S9 + S10): the shipped SQL file with
+    named parameters bound by Spark."""
+    from basketry.sources.sql import run_sql_file
+    return run_sql_file(t, "product_search.sql", {
+        "pattern": contains_pattern(text), "department": department,
+        "hour_from": hours[0], "hour_to": hours[1]})

@@ -70,3 +70,37 @@ def _lookup_departments(spark, sf_dir):
 
 QUERIES["lookup_aisles"] = _lookup_aisles
 QUERIES["lookup_departments"] = _lookup_departments
+
+# ---- load path: clean, normalise, audit; SQL text ------------------------------
+from basketry.operators import audit as audit_ops  # noqa: E402
+from basketry.operators import load  # noqa: E402
+from basketry.sources.fixture import fixture_wide  # noqa: E402
+from basketry.sources.sql import run_sql_file  # noqa: E402
+
+
+def _normalised(table: str) -> Query:
+    return lambda spark, sf_dir: getattr(load.normalise(fixture_wide(spark, sf_dir)), table)
+
+
+QUERIES["clean_wide"] = lambda spark, sf_dir: load.clean_wide(fixture_wide(spark, sf_dir))
+for _t in ["users", "departments", "aisles", "products", "orders", "order_details"]:
+    QUERIES[f"normalised_{_t}"] = _normalised(_t)
+QUERIES["audit_fixture"] = lambda spark, sf_dir: audit_ops.audit(fixture_tables(spark, sf_dir))
+
+
+def _audit_raw_lines(spark, sf_dir):
+    """Audit with order lines taken straight from lineitem: repeated
+    (order, part) pairs break the key, lines of first orders the FK."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    raw = li.select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
+                    F.col("l_linenumber").cast("bigint").alias("add_to_cart_order"),
+                    F.when(F.col("l_returnflag") == "R", 1).otherwise(0).cast("bigint")
+                    .alias("reordered"))
+    return audit_ops.audit(fixture_tables(spark, sf_dir).with_(order_details=raw))
+
+
+QUERIES["audit_raw_lines"] = _audit_raw_lines
+_on_tables("department_peak_hour_sql", run_sql_file, path="department_peak_hour.sql")
+_on_tables("product_search_sql", search.product_search_sql, text="GEAR")
+_on_tables("product_search_sql_department", search.product_search_sql, text="o",
+           department="Brand#3")
