@@ -104,3 +104,129 @@ _on_tables("department_peak_hour_sql", run_sql_file, path="department_peak_hour.
 _on_tables("product_search_sql", search.product_search_sql, text="GEAR")
 _on_tables("product_search_sql_department", search.product_search_sql, text="o",
            department="Brand#3")
+
+# ---- catalogue change sets -------------------------------------------------------
+from basketry.operators import catalog  # noqa: E402
+
+
+def _part_ids(spark, sf_dir):
+    """part rows with the mapped aisle / department ids (the change-set source)."""
+    t = fixture_tables(spark, sf_dir)
+    part = _part(spark, sf_dir).select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return t, (part.join(t.aisles, part.p_type == t.aisles.aisle)
+               .join(t.departments, part.p_brand == t.departments.department))
+
+
+def _aisle_inserts(spark, sf_dir):
+    part = _part(spark, sf_dir)
+    size = F.col("p_size")
+    names = part.select((F.col("p_partkey") * 2).alias("seq"),
+                        F.when(size <= 2, F.lit(" "))
+                        .when(size <= 5, F.concat(F.lit("  "), "p_name", F.lit(" ")))
+                        .otherwise(F.col("p_name")).alias("name"))
+    types = part.select((F.col("p_partkey") * 2 + 1).alias("seq"), F.col("p_type").alias("name"))
+    return catalog.insert_names(fixture_tables(spark, sf_dir).aisles, "aisle_id", "aisle",
+                                names.unionByName(types))
+
+
+def _department_inserts(spark, sf_dir):
+    part = _part(spark, sf_dir)
+    names = part.select((F.col("p_partkey") * 2).alias("seq"), F.upper("p_name").alias("name"))
+    brands = part.select((F.col("p_partkey") * 2 + 1).alias("seq"), F.col("p_brand").alias("name"))
+    return catalog.insert_names(fixture_tables(spark, sf_dir).departments, "department_id",
+                                "department", names.unionByName(brands))
+
+
+def _aisle_renames(spark, sf_dir):
+    t, p = _part_ids(spark, sf_dir)
+    size = F.col("p_size")
+    req = p.select(F.col("p_partkey").alias("seq"),
+                   F.when(size > 47, F.col("aisle_id") + 100).otherwise(F.col("aisle_id")).alias("id"),
+                   F.when(size <= 2, F.lit("")).when(size == 3, F.lit("SMALL"))
+                   .otherwise(F.upper("p_name")).alias("name"))
+    return catalog.rename_names(t.aisles, "aisle_id", "aisle", req)
+
+
+def _department_renames(spark, sf_dir):
+    t, p = _part_ids(spark, sf_dir)
+    req = p.select(F.col("p_partkey").alias("seq"), F.col("department_id").alias("id"),
+                   F.concat(F.col("p_brand"), F.lit(" / "), F.col("p_type")).alias("name"))
+    return catalog.rename_names(t.departments, "department_id", "department", req)
+
+
+def _aisle_deletes(spark, sf_dir):
+    t, p = _part_ids(spark, sf_dir)
+    req = p.select(F.col("p_partkey").alias("seq"),
+                   F.when(F.col("p_size") > 47, F.col("aisle_id") + 100)
+                   .otherwise(F.col("aisle_id")).alias("id"))
+    return catalog.guarded_delete(t.aisles, "aisle_id", t.products, req)
+
+
+def _department_deletes_after_insert(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir)
+    grown = _department_inserts(spark, sf_dir).table
+    req = grown.select(F.col("department_id").alias("seq"), F.col("department_id").alias("id"))
+    return catalog.guarded_delete(grown, "department_id", t.products, req)
+
+
+def _product_inserts(spark, sf_dir):
+    t, p = _part_ids(spark, sf_dir)
+    size = F.col("p_size")
+    req = p.select(F.col("p_partkey").alias("seq"),
+                   F.when(size <= 1, F.lit(" ")).otherwise(F.concat("p_name", F.lit(" bio")))
+                   .alias("product_name"),
+                   F.when(size == 50, F.lit(999)).otherwise(F.col("aisle_id")).alias("aisle_id"),
+                   F.when(size == 49, F.lit(999)).otherwise(F.col("department_id"))
+                   .alias("department_id"))
+    return catalog.insert_products(t, req)
+
+
+def _product_updates(spark, sf_dir):
+    t, p = _part_ids(spark, sf_dir)
+    size = F.col("p_size")
+    pid = F.when(size == 48, F.col("p_partkey") + 1000000).otherwise(F.col("p_partkey"))
+    dept = F.when(size == 50, F.lit(999)).otherwise(F.col("department_id"))
+    first = p.select((F.col("p_partkey") * 2).alias("seq"), pid.alias("product_id"),
+                     F.upper("p_name").alias("product_name"), "aisle_id", dept.alias("department_id"))
+    second = p.select((F.col("p_partkey") * 2 + 1).alias("seq"), pid.alias("product_id"),
+                      F.when(size <= 1, F.lit("")).otherwise(F.concat("p_name", F.lit(" v2")))
+                      .alias("product_name"), "aisle_id", dept.alias("department_id"))
+    return catalog.update_products(t, first.unionByName(second))
+
+
+def _small_parts(spark, sf_dir):
+    return _part(spark, sf_dir).filter(F.col("p_size") <= 5).select(
+        F.col("p_partkey").alias("product_id"))
+
+
+def _building_users(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return c.filter(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("user_id"))
+
+
+QUERIES["high_water_mark_products"] = lambda spark, d: catalog.high_water_mark(
+    fixture_tables(spark, d).products, "product_id")
+QUERIES["insert_aisles"] = lambda spark, d: _aisle_inserts(spark, d).outcomes
+QUERIES["insert_aisles_table"] = lambda spark, d: _aisle_inserts(spark, d).table
+QUERIES["insert_departments"] = lambda spark, d: _department_inserts(spark, d).outcomes
+QUERIES["rename_aisles"] = lambda spark, d: _aisle_renames(spark, d).outcomes
+QUERIES["rename_aisles_table"] = lambda spark, d: _aisle_renames(spark, d).table
+QUERIES["rename_departments_table"] = lambda spark, d: _department_renames(spark, d).table
+QUERIES["delete_aisles"] = lambda spark, d: _aisle_deletes(spark, d).outcomes
+QUERIES["delete_departments"] = lambda spark, d: _department_deletes_after_insert(spark, d).outcomes
+QUERIES["insert_products"] = lambda spark, d: _product_inserts(spark, d).outcomes
+QUERIES["insert_products_table"] = lambda spark, d: _product_inserts(spark, d).table
+QUERIES["update_products"] = lambda spark, d: _product_updates(spark, d).outcomes
+QUERIES["update_products_table"] = lambda spark, d: _product_updates(spark, d).table
+QUERIES["delete_product_lines"] = lambda spark, d: catalog.delete_product_lines(
+    fixture_tables(spark, d).order_details, _small_parts(spark, d))
+QUERIES["delete_products"] = lambda spark, d: catalog.delete_products(
+    fixture_tables(spark, d), _small_parts(spark, d)).products
+QUERIES["cascade_delete_users_orders"] = lambda spark, d: catalog.cascade_delete(
+    fixture_tables(spark, d), "users", _building_users(spark, d)).orders
+QUERIES["cascade_delete_users_lines"] = lambda spark, d: catalog.cascade_delete(
+    fixture_tables(spark, d), "users", _building_users(spark, d)).order_details
+QUERIES["cascade_delete_aisles_lines"] = lambda spark, d: catalog.cascade_delete(
+    fixture_tables(spark, d), "aisles",
+    fixture_tables(spark, d).aisles.filter(F.col("aisle").isin("SMALL", "PROMO"))
+    .select("aisle_id")).order_details
