@@ -146,7 +146,8 @@ def guarded_delete(dim: DataFrame, id_col: str, products: DataFrame,
     judged = known.join(refs, "_id", "left")
     in_use = judged.filter(F.col("_n") > 0)
     free = judged.filter(F.col("_n").isNull())
-    table = dim.join(free.select(F.col("_id").alias(id_col)), id_col, "left_anti")
+    table = (dim.join(free.select(F.col("_id").alias(id_col)), id_col, "left_anti")
+             .select(*dim.columns))
     outcomes = _union([
         _outcome(free, "deleted", "_id"),
         _outcome(in_use, "in use", "_id", F.col("_n").cast("string")),
@@ -219,17 +220,23 @@ def update_products(t: Tables, changes: DataFrame) -> ChangeResult:
     return ChangeResult(table, outcomes)
 
 
+def _ids(frame: DataFrame, id_col: str, name: str) -> DataFrame:
+    col = id_col if id_col in frame.columns or len(frame.columns) != 1 else frame.columns[0]
+    return frame.select(F.col(col).alias(name))
+
+
 def delete_product_lines(order_details: DataFrame, product_ids: DataFrame,
                          id_col: str = "product_id") -> DataFrame:
     """Order lines minus those of the given products."""
-    ids = product_ids.select(F.col(id_col).alias("product_id"))
-    return order_details.join(ids, "product_id", "left_anti")
+    ids = _ids(product_ids, id_col, "product_id")
+    return order_details.join(ids, "product_id", "left_anti").select(*order_details.columns)
 
 
 def delete_products(t: Tables, product_ids: DataFrame, id_col: str = "product_id") -> Tables:
     """D10 + D11 as one step: the products and their order lines go together."""
-    ids = product_ids.select(F.col(id_col).alias("product_id"))
-    return t.with_(products=t.products.join(ids, "product_id", "left_anti"),
+    ids = _ids(product_ids, id_col, "product_id")
+    return t.with_(products=t.products.join(ids, "product_id", "left_anti")
+                   .select(*t.products.columns),
                    order_details=delete_product_lines(t.order_details, ids))
 
 
@@ -255,7 +262,7 @@ def cascade_delete(t: Tables, table: str, keys: DataFrame) -> Tables:
         kept = before
         for cols, k in conditions[name]:
             kept = kept.join(k, cols, "left_anti")
-        current[name] = kept
+        current[name] = kept.select(*before.columns)
         children = children_of(name)
         if children:
             removed = _union([before.join(k, cols, "left_semi")

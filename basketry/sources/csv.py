@@ -37,7 +37,8 @@ def _parse(raw: Column, dtype: T.DataType) -> tuple[Column, Column]:
         # pandas turns an integer column with gaps into floats ("2.0"): accept
         # integral decimals, reject fractions and non-numbers.
         dec = raw.try_cast("decimal(38,10)")
-        ok = dec.isNotNull() & (dec == F.floor(dec)) & (F.abs(dec) < F.lit(2 ** 63))
+        ok = (dec.isNotNull() & (dec == F.floor(dec))
+              & (F.abs(dec) < F.lit(str(2 ** 63)).cast("decimal(38,0)")))
         return F.when(ok, dec.cast("bigint")), raw.isNotNull() & ~ok
     if isinstance(dtype, T.DoubleType):
         val = raw.try_cast("double")
