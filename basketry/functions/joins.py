@@ -1,0 +1,19 @@
+"""Size-checked broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """``F.broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
+
+    The check runs ``df.limit(max_rows + 1).count()``, so it reads at most
+    ``max_rows + 1`` rows; use it on materialised (checkpointed or written)
+    frames, where the count is a cheap scan.  Beyond the bound Spark plans a
+    shuffle join.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -3,10 +3,11 @@
 Spark does not enforce keys or checks, so a snapshot is audited before it is
 published.  Every rule is a set-oriented job over the whole table:
 
-* per table, ONE aggregation pass counts NULLs in NOT NULL / key columns,
-  failed CHECKs (a NULL result passes, as in SQL) and over-long strings;
-* primary keys and UNIQUE columns: keys occurring more than once
-  (``groupBy(key).count() > 1``, partially aggregated, so hot keys are cheap);
+* per table, ONE scan grouped by the primary key counts keys occurring more
+  than once together with NULLs in NOT NULL / key columns, failed CHECKs (a
+  NULL result passes, as in SQL) and over-long strings;
+* UNIQUE columns: names occurring more than once (``groupBy(name).count()``,
+  partially aggregated, so a hot name is cheap);
 * foreign keys: non-NULL child keys without a parent (``left_anti`` join).
 
 The result has columns (table, rule, violations) and is empty for a clean
@@ -58,11 +59,27 @@ def _row_rules(table: str) -> list[tuple[str, object]]:
     return rules
 
 
-def _row_pass(table: str, df: DataFrame) -> DataFrame:
+def _table_pass(table: str, df: DataFrame) -> DataFrame:
+    """Row rules and primary-key duplicates of one table in one scan.
+
+    Rows are grouped by the key (one shuffle, needed for the duplicate test
+    anyway) carrying per-row rule flags; the second level sums the flags and
+    counts keys seen more than once.  NULL keys are grouped too but never
+    count as duplicates (NOT NULL reports them).
+    """
     rules = _row_rules(table)
-    counts = df.agg(*[col.alias(f"r{i}") for i, (_, col) in enumerate(rules)])
-    pairs = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"r{i}").alias("violations"))
-                      for i, (name, _) in enumerate(rules)])
+    pk = PRIMARY_KEYS[table]
+    per_key = df.groupBy(*pk).agg(F.count(F.lit(1)).alias("_rows"),
+                                  *[col.alias(f"r{i}") for i, (_, col) in enumerate(rules)])
+    key_ok = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in pk])
+    counts = per_key.agg(F.count_if(key_ok & (F.col("_rows") > 1)).alias("pk"),
+                         *[F.sum(f"r{i}").alias(f"r{i}") for i in range(len(rules))])
+    pairs = F.array(
+        F.struct(F.lit(rule_key("primary key", pk)).alias("rule"),
+                 F.col("pk").alias("violations")),
+        *[F.struct(F.lit(name).alias("rule"),
+                   F.coalesce(F.col(f"r{i}"), F.lit(0)).alias("violations"))
+          for i, (name, _) in enumerate(rules)])
     return counts.select(F.lit(table).alias("table"), F.inline(pairs))
 
 
@@ -87,9 +104,7 @@ def audit(tables: Tables, include_clean: bool = False) -> DataFrame:
     """(table, rule, violations) for every declared rule that is broken."""
     parts = []
     for name, df in tables.items():
-        if _row_rules(name):
-            parts.append(_row_pass(name, df))
-        parts.append(_duplicates(name, df, "primary key", PRIMARY_KEYS[name]))
+        parts.append(_table_pass(name, df))
         if name in UNIQUE:
             parts.append(_duplicates(name, df, "unique", UNIQUE[name]))
     parts.extend(_orphans(tables, fk) for fk in FOREIGN_KEYS)

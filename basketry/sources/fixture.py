@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.ids import dense_ids
+from basketry.functions.joins import broadcast_if_small
 from basketry.tables import Tables
 
 _ID_MAPS: dict = {}
@@ -47,7 +48,8 @@ def _id_maps(spark: SparkSession, sf_dir: str):
                        .select("department_id", F.col("p_brand").alias("department")))
         aisles = (dense_ids(part, "p_type", "aisle_id")
                   .select("aisle_id", F.col("p_type").alias("aisle")))
-        _ID_MAPS[key] = (departments, aisles)
+        # checkpointed, so the size check is a cheap scan of the numbered rows
+        _ID_MAPS[key] = (broadcast_if_small(departments), broadcast_if_small(aisles))
     return _ID_MAPS[key]
 
 
@@ -111,22 +113,53 @@ def _lines(spark, sf_dir) -> DataFrame:
                  .alias("reordered")))
 
 
+def _kept_orders(spark, sf_dir) -> DataFrame:
+    return _all_orders(spark, sf_dir).filter(F.col("days_since_prior_order").isNotNull())
+
+
+def _dependants(spark, sf_dir, orders: DataFrame) -> dict:
+    return {"users": orders.select("user_id").distinct(),
+            "order_details": _lines(spark, sf_dir).join(orders.select("order_id"), "order_id",
+                                                        "left_semi")}
+
+
 def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The six basket tables mapped from ``sf_dir`` (lazy, except the id maps)."""
     departments, aisles = _id_maps(spark, sf_dir)
-    orders = _all_orders(spark, sf_dir).filter(F.col("days_since_prior_order").isNotNull())
-    order_details = _lines(spark, sf_dir).join(orders.select("order_id"), "order_id",
-                                               "left_semi")
+    orders = _kept_orders(spark, sf_dir)
     return Tables(
-        users=orders.select("user_id").distinct(),
         departments=departments,
         aisles=aisles,
         products=_products(spark, sf_dir, departments, aisles),
         orders=orders,
-        order_details=order_details,
+        **_dependants(spark, sf_dir, orders),
     ).conform()
 
 
+def publish_fixture(spark: SparkSession, sf_dir: str, root: str) -> str:
+    """Map ``sf_dir`` to the six tables and publish them as an audited snapshot.
+
+    The per-customer order sequence is derived and written once; ``users``
+    and ``order_details`` are then derived from the written orders instead of
+    recomputing the sequence for each of them.
+    """
+    from basketry.sources import snapshot
+    from basketry.tables import Tables as _T
+
+    departments, aisles = _id_maps(spark, sf_dir)
+    version = snapshot.new_version(root)
+    tables = fixture_tables(spark, sf_dir)
+    first = {"departments": tables.departments, "aisles": tables.aisles,
+             "products": tables.products, "orders": tables.orders}
+    snapshot.write_frames(first, version)
+    written_orders = spark.read.parquet(f"{version}/orders")
+    rest = _T(**{**first, "orders": written_orders,
+                 **_dependants(spark, sf_dir, written_orders)}).conform()
+    snapshot.write_frames({"users": rest.users, "order_details": rest.order_details}, version)
+    snapshot.publish(spark, version)
+    return version
+
+
 def fixture_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The denormalised one-row-per-line frame a CSV export would hold.
 

@@ -55,10 +55,14 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def write_tables(tables: Tables, version: str, partitions: dict[str, int] | None = None) -> None:
-    for name, df in tables.conform().items():
-        n = (partitions or {}).get(name)
-        (df.repartition(n) if n else df).write.mode("errorifexists").parquet(f"{version}/{name}")
+def write_frames(frames: dict, version: str) -> None:
+    """Write each named table of ``frames`` under ``version`` (never overwriting)."""
+    for name, df in frames.items():
+        df.write.mode("errorifexists").parquet(f"{version}/{name}")
+
+
+def write_tables(tables: Tables, version: str) -> None:
+    write_frames(dict(tables.conform().items()), version)
 
 
 def read_tables(spark: SparkSession, version: str) -> Tables:
