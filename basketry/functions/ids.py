@@ -35,11 +35,12 @@ def consecutive_ids(df: DataFrame, order_by, id_col: str, start=1,
     deterministic.  ``start`` may be an int or a one-row DataFrame with a
     single column (e.g. a high-water mark + 1); it is joined, never collected.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(df.sparkSession)
     cols = _order_cols(order_by)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(max(1, n), *cols).sortWithinPartitions(*cols)
+    # Without an explicit count AQE may coalesce neighbouring ranges, which
+    # keeps them contiguous and in order; the checkpoint then fixes the layout.
+    ranged = (df.repartitionByRange(partitions, *cols) if partitions
+              else df.repartitionByRange(*cols)).sortWithinPartitions(*cols)
     fixed = ranged.checkpoint(eager=True)
 
     mid = F.monotonically_increasing_id()

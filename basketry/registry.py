@@ -230,3 +230,27 @@ QUERIES["cascade_delete_aisles_lines"] = lambda spark, d: catalog.cascade_delete
     fixture_tables(spark, d), "aisles",
     fixture_tables(spark, d).aisles.filter(F.col("aisle").isin("SMALL", "PROMO"))
     .select("aisle_id")).order_details
+
+# ---- the CSV source end to end -------------------------------------------------
+from basketry.session import scratch_path  # noqa: E402
+from basketry.sources.csv import read_wide_csv  # noqa: E402
+
+_CSV_COPIES: dict = {}
+
+
+def _wide_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapped wide frame written once as RFC-4180 CSV (under the
+    checkpoint folder, shared on a cluster) and read back by the CSV source."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CSV_COPIES:
+        path = scratch_path(spark, "wide-csv")
+        (fixture_wide(spark, sf_dir).write.option("header", True).option("quote", '"')
+         .option("escape", '"').csv(path))
+        _CSV_COPIES[key] = path
+    return read_wide_csv(spark, _CSV_COPIES[key])
+
+
+QUERIES["csv_clean_wide"] = lambda spark, d: load.clean_wide(_wide_from_csv(spark, d))
+for _t in ["departments", "products", "orders", "order_details"]:
+    QUERIES[f"csv_normalised_{_t}"] = (
+        lambda t: lambda spark, d: getattr(load.normalise(_wide_from_csv(spark, d)), t))(_t)
