@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.functions.joins import small_enough
 from basketry.functions.text import contains_pattern
 from basketry.tables import Tables
 
@@ -36,10 +37,24 @@ def _ranked(cands: DataFrame, reorders: DataFrame, limit: int) -> DataFrame:
             .limit(limit))
 
 
+PREFILTER_MAX_PRODUCTS = 1_000_000
+
+
 def _lines_of(t: Tables, cands: DataFrame, selective: bool) -> DataFrame:
+    """The order lines to aggregate.
+
+    A selective search whose candidate set passes a size check is broadcast
+    into the line scan (map-side semi join), so only the candidates' lines
+    reach the partial aggregate.  Otherwise all lines are aggregated per
+    product first (map-side partial sums, one shuffle of at most #products
+    rows per task) and the candidates are joined to that small result;
+    shuffling raw lines for a semi join would cost more than it saves.
+    """
     od = t.order_details.select("order_id", "product_id", "reordered")
-    if selective:  # only the candidates' lines reach the aggregation shuffle
-        od = od.join(cands.select("product_id"), "product_id", "left_semi")
+    if selective:
+        ids = cands.select("product_id")
+        if small_enough(ids, PREFILTER_MAX_PRODUCTS):
+            od = od.join(F.broadcast(ids), "product_id", "left_semi")
     return od
 
 

@@ -109,8 +109,13 @@ def latest_version(spark: SparkSession, root: str) -> str:
 
 
 def read_snapshot(spark: SparkSession, root: str) -> Tables:
-    """The six tables of the newest published version under ``root``."""
-    return read_tables(spark, latest_version(spark, root))
+    """The six tables of the newest published version under ``root``.
+
+    Only published versions are read, and publication requires a clean
+    audit, so the result is marked ``audited``.
+    """
+    t = read_tables(spark, latest_version(spark, root))
+    return Tables(**dict(t.items()), audited=True)
 
 
 def load_wide(wide: DataFrame, root: str, staging_partitions: int | None = None) -> str:

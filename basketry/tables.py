@@ -17,12 +17,17 @@ class Tables:
     products: DataFrame
     orders: DataFrame
     order_details: DataFrame
+    # True only for tables read back from a published (audited) snapshot:
+    # declared keys are then known to be unique and non-NULL, and operators
+    # may skip work that only matters when they are not.
+    audited: bool = False
 
     def items(self):
         return [(name, getattr(self, name)) for name in TABLE_ORDER]
 
     def with_(self, **changes) -> "Tables":
-        return replace(self, **changes)
+        """A copy with some tables replaced; replaced data is no longer audited."""
+        return replace(self, audited=False, **changes)
 
     def conform(self) -> "Tables":
         """Project and cast every table to its declared schema (column order too)."""
@@ -30,7 +35,7 @@ class Tables:
         for name, df in self.items():
             out[name] = df.select([df[f.name].cast(f.dataType).alias(f.name)
                                    for f in SCHEMAS[name].fields])
-        return Tables(**out)
+        return Tables(**out, audited=self.audited)
 
     def register_views(self, prefix: str = "") -> None:
         """Expose the tables to ``spark.sql`` under their own names."""
@@ -42,4 +47,4 @@ class Tables:
         return self.users.sparkSession
 
 
-TABLE_NAMES = [f.name for f in fields(Tables)]
+TABLE_NAMES = [f.name for f in fields(Tables) if f.name != "audited"]

@@ -120,3 +120,12 @@ def test_empty_snapshot_metrics(spark, scratch):
     assert snapshot.latest_version(spark, root) == v
     assert rows(dashboard.kpis(t)) == [(0, 0, None, None)]
     assert dashboard.orders_by_hour(t).count() == 0
+
+
+def test_audited_snapshot_kpis_match_exact_path(spark, scratch):
+    root = os.path.join(scratch, "aud")
+    wide = read_wide_csv(spark, _csv(scratch, GOOD))
+    snapshot.load_wide(wide, root)
+    t = snapshot.read_snapshot(spark, root)
+    assert t.audited and not t.with_(users=t.users).audited
+    assert rows(dashboard.kpis(t)) == rows(dashboard.kpis(t.with_(users=t.users)))
