@@ -14,6 +14,19 @@ from pyspark.sql import functions as F
 
 from basketry.tables import Tables
 
+# Products at or below this many rows (a proven count, from the snapshot's
+# publication record) are broadcast into the line scan: two longs per row,
+# a few tens of MB at most.
+BROADCAST_MAX_PRODUCTS = 2_000_000
+
+
+def _product_map(t: Tables) -> DataFrame | None:
+    """(product_id, department_id) as a broadcast side, if its size is proven."""
+    n = t.known_rows("products")
+    if n is not None and n <= BROADCAST_MAX_PRODUCTS:
+        return F.broadcast(t.products.select("product_id", "department_id"))
+    return None
+
 
 def product_line_totals(t: Tables) -> DataFrame:
     """(product_id, items, lines, reorders) over all order lines.
@@ -27,7 +40,19 @@ def product_line_totals(t: Tables) -> DataFrame:
 
 
 def department_line_totals(t: Tables) -> DataFrame:
-    """(department_id, items, lines, reorders): lines joined to their product."""
+    """(department_id, items, lines, reorders): lines joined to their product.
+
+    With a proven-small product table the map is broadcast into the line
+    scan and lines aggregate straight to departments; otherwise lines are
+    aggregated per product first and the (large) product table is joined to
+    that much smaller result.
+    """
+    small = _product_map(t)
+    if small is not None:
+        return (t.order_details.select("product_id", "reordered").join(small, "product_id")
+                .groupBy("department_id")
+                .agg(F.count("product_id").alias("items"), F.count(F.lit(1)).alias("lines"),
+                     F.sum("reordered").alias("reorders")))
     return (product_line_totals(t)
             .join(t.products.select("product_id", "department_id"), "product_id")
             .groupBy("department_id")
@@ -48,6 +73,12 @@ def department_hour_totals(t: Tables) -> DataFrame:
     od = t.order_details.select("order_id", "product_id", "reordered")
     orders = t.orders.select("order_id", F.col("order_hour_of_day").alias("hour"),
                              F.lit(1).alias("_matched"))
+    small = _product_map(t)
+    if small is not None:  # proven-small products: one map-side join, no per-product stage
+        return (od.join(orders, "order_id", "left").join(small, "product_id")
+                .groupBy("department_id", "hour")
+                .agg(F.count("product_id").alias("items"), F.sum("reordered").alias("reorders"),
+                     F.count("_matched").alias("lines")))
     per_product_hour = (od.join(orders, "order_id", "left")
                         .groupBy("product_id", "hour")
                         .agg(F.count("product_id").alias("items"),

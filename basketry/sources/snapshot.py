@@ -48,6 +48,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _read_text(spark: SparkSession, path: str) -> str:
+    fs, p, jvm = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        lines = []
+        line = reader.readLine()
+        while line is not None:
+            lines.append(line)
+            line = reader.readLine()
+        return "\n".join(lines)
+    finally:
+        stream.close()
+
+
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
     fs, p, _ = _fs(spark, path)
     out = fs.create(p, False)
@@ -80,9 +95,12 @@ def publish(spark: SparkSession, version: str) -> Tables:
     violations = [tuple(r) for r in found.collect()]  # bounded by the rule count
     if violations:
         raise SnapshotRejected(version, violations)
+    # Parquet counts come from footers; recorded so readers know exact sizes.
+    counts = {name: df.count() for name, df in written.items()}
     _write_text(spark, f"{version}/{MARKER}",
-                json.dumps({"tables": TABLE_ORDER, "published_ms": int(time.time() * 1000)}))
-    return written
+                json.dumps({"tables": TABLE_ORDER, "row_counts": counts,
+                            "published_ms": int(time.time() * 1000)}))
+    return Tables(**dict(written.items()), audited=True, row_counts=counts)
 
 
 def write_snapshot(tables: Tables, root: str) -> str:
@@ -114,8 +132,10 @@ def read_snapshot(spark: SparkSession, root: str) -> Tables:
     Only published versions are read, and publication requires a clean
     audit, so the result is marked ``audited``.
     """
-    t = read_tables(spark, latest_version(spark, root))
-    return Tables(**dict(t.items()), audited=True)
+    version = latest_version(spark, root)
+    marker = json.loads(_read_text(spark, f"{version}/{MARKER}") or "{}")
+    t = read_tables(spark, version)
+    return Tables(**dict(t.items()), audited=True, row_counts=marker.get("row_counts"))
 
 
 def load_wide(wide: DataFrame, root: str, staging_partitions: int | None = None) -> str:

@@ -1,7 +1,7 @@
 """Benchmark: load once, then time the headline queries.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_REPEATS (default 3).  Prints ONE JSON line.
+BENCH_REPEATS (default 5).  Prints ONE JSON line.
 
 Phase 1 ("load") maps the generated inputs to the six basket tables and
 publishes them as an audited Parquet snapshot (the reference's bulk load).
@@ -46,7 +46,7 @@ def _timed(make, repeats: int) -> float:
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "5"))
     spark = local_session(cores=cpus, shuffle_partitions=cpus, driver_memory="16g")
 
     t0 = time.perf_counter()
