@@ -142,15 +142,17 @@ def load_wide(wide: DataFrame, root: str, staging_partitions: int | None = None)
     """E1 end to end: typed wide rows -> staged Parquet -> six tables -> audit -> publish.
 
     The wide input (CSV parsing is the expensive part) is materialised once
-    as Parquet inside the new version folder; the six projections then read
-    only the columns they need from it.
+    as Parquet in the session's checkpoint folder; the six projections then
+    read only the columns they need from it.
     """
     from basketry.operators.audit import parse_failures
     from basketry.operators.load import normalise
 
+    from basketry.session import scratch_path
+
     spark = wide.sparkSession
     version = new_version(root)
-    staged_path = f"{version}/_staging/wide"
+    staged_path = scratch_path(spark, "staged-wide")  # shared checkpoint folder
     (wide.repartition(staging_partitions) if staging_partitions else wide) \
         .write.mode("errorifexists").parquet(staged_path)
     staged = spark.read.parquet(staged_path)
@@ -160,3 +162,25 @@ def load_wide(wide: DataFrame, root: str, staging_partitions: int | None = None)
     write_tables(normalise(staged.drop("_bad")), version)
     publish(spark, version)
     return version
+
+
+def has_snapshot(spark: SparkSession, root: str) -> bool:
+    try:
+        latest_version(spark, root)
+        return True
+    except FileNotFoundError:
+        return False
+
+
+def create_if_absent(spark: SparkSession, root: str) -> str:
+    """The schema exists after this call, like CREATE TABLE IF NOT EXISTS.
+
+    If ``root`` has no published version, an empty one (six tables with their
+    declared schemas) is published; otherwise the newest one is returned.
+    """
+    from basketry.schema import SCHEMAS
+
+    if has_snapshot(spark, root):
+        return latest_version(spark, root)
+    empty = Tables(**{name: spark.createDataFrame([], SCHEMAS[name]) for name in TABLE_ORDER})
+    return write_snapshot(empty, root)

@@ -129,3 +129,27 @@ def test_audited_snapshot_kpis_match_exact_path(spark, scratch):
     t = snapshot.read_snapshot(spark, root)
     assert t.audited and not t.with_(users=t.users).audited
     assert rows(dashboard.kpis(t)) == rows(dashboard.kpis(t.with_(users=t.users)))
+
+
+def test_create_if_absent_is_idempotent(spark, scratch):
+    root = os.path.join(scratch, "fresh")
+    v1 = snapshot.create_if_absent(spark, root)
+    assert snapshot.create_if_absent(spark, root) == v1
+    t = snapshot.read_snapshot(spark, root)
+    assert t.row_counts == {name: 0 for name, _ in t.items()}
+
+
+def test_multiline_csv_field(spark, scratch):
+    line = '109,14,1,0,2,train,3,1,10,5.0,"Two\nLines",1,1,fresh fruits,produce\n'
+    wide = read_wide_csv(spark, _csv(scratch, GOOD + [line], name="ml.csv"), multiline=True)
+    names = {r.product_name for r in load.normalise(wide).products.collect()}
+    assert "Two\nLines" in names
+
+
+def test_cli_load_and_show(spark, scratch, capsys):
+    from basketry.__main__ import main
+    root = os.path.join(scratch, "cli")
+    assert main(["load", _csv(scratch, GOOD, name="cli.csv"), root]) == 0
+    assert main(["show", "kpis", root]) == 0
+    out = capsys.readouterr().out
+    assert "total_orders" in out
