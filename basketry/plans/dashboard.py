@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.labels import dow_label
 from basketry.functions.numeric import pct_half_up, round_half_up
-from basketry.plans.facts import department_line_totals
+from basketry.plans.facts import department_name_line_totals
 from basketry.tables import Tables
 
 
@@ -62,10 +62,7 @@ def orders_by_dow(t: Tables) -> DataFrame:
 
 
 def _by_department_name(t: Tables) -> DataFrame:
-    return (department_line_totals(t).join(t.departments, "department_id")
-            .groupBy("department")
-            .agg(F.sum("items").alias("items"), F.sum("lines").alias("lines"),
-                 F.sum("reorders").alias("reorders")))
+    return department_name_line_totals(t)
 
 
 def top_departments(t: Tables, n: int = 10) -> DataFrame:

@@ -28,6 +28,32 @@ def _product_map(t: Tables) -> DataFrame | None:
     return None
 
 
+def department_name_line_totals(t: Tables) -> DataFrame:
+    """(department, items, lines, reorders) grouped by department NAME.
+
+    When both dimensions have proven sizes the product -> department-name map
+    is built once (small x small) and broadcast into the line scan, so the
+    lines aggregate straight to names in one map-side pass.  Otherwise the
+    department totals are computed first and names attached afterwards.
+    """
+    small = _product_map(t)
+    nd = t.known_rows("departments")
+    if small is not None and nd is not None and nd <= BROADCAST_MAX_PRODUCTS:
+        names = F.broadcast(small.join(t.departments, "department_id")
+                            .select("product_id", "department"))
+        lines = t.order_details.select("product_id", "reordered").join(names, "product_id")
+    else:
+        lines = (department_line_totals(t).join(t.departments, "department_id")
+                 .select("department", F.col("items").alias("_i"), F.col("lines").alias("_l"),
+                         F.col("reorders").alias("_r")))
+        return (lines.groupBy("department")
+                .agg(F.sum("_i").alias("items"), F.sum("_l").alias("lines"),
+                     F.sum("_r").alias("reorders")))
+    return (lines.groupBy("department")
+            .agg(F.count("product_id").alias("items"), F.count(F.lit(1)).alias("lines"),
+                 F.sum("reordered").alias("reorders")))
+
+
 def product_line_totals(t: Tables) -> DataFrame:
     """(product_id, items, lines, reorders) over all order lines.
 
