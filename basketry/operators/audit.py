@@ -25,6 +25,9 @@ from basketry.schema import CHECKS, FOREIGN_KEYS, MAX_LENGTH, NOT_NULL, PRIMARY_
 from basketry.tables import Tables
 
 
+ROW_COUNT = "row count"  # not a rule: the table's size, reported by audit_with_counts
+
+
 def rule_not_null(column: str) -> str:
     return f"not null {column}"
 
@@ -73,8 +76,10 @@ def _table_pass(table: str, df: DataFrame) -> DataFrame:
                                   *[col.alias(f"r{i}") for i, (_, col) in enumerate(rules)])
     key_ok = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in pk])
     counts = per_key.agg(F.count_if(key_ok & (F.col("_rows") > 1)).alias("pk"),
+                         F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
                          *[F.sum(f"r{i}").alias(f"r{i}") for i in range(len(rules))])
     pairs = F.array(
+        F.struct(F.lit(ROW_COUNT).alias("rule"), F.col("rows").alias("violations")),
         F.struct(F.lit(rule_key("primary key", pk)).alias("rule"),
                  F.col("pk").alias("violations")),
         *[F.struct(F.lit(name).alias("rule"),
@@ -102,15 +107,21 @@ def _orphans(tables: Tables, fk) -> DataFrame:
 
 def audit(tables: Tables, include_clean: bool = False) -> DataFrame:
     """(table, rule, violations) for every declared rule that is broken."""
+    out = audit_with_counts(tables).filter(F.col("rule") != ROW_COUNT)
+    return out if include_clean else out.filter(F.col("violations") > 0)
+
+
+def audit_with_counts(tables: Tables) -> DataFrame:
+    """Every rule's count (broken or not) plus one ``row count`` row per table,
+    all from the same scans."""
     parts = []
     for name, df in tables.items():
         parts.append(_table_pass(name, df))
         if name in UNIQUE:
             parts.append(_duplicates(name, df, "unique", UNIQUE[name]))
     parts.extend(_orphans(tables, fk) for fk in FOREIGN_KEYS)
-    out = reduce(DataFrame.unionByName, parts).select(
+    return reduce(DataFrame.unionByName, parts).select(
         "table", "rule", F.col("violations").cast("bigint").alias("violations"))
-    return out if include_clean else out.filter(F.col("violations") > 0)
 
 
 def parse_failures(wide: DataFrame) -> DataFrame:
