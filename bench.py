@@ -44,18 +44,27 @@ def _timed(make, repeats: int) -> float:
 
 
 def _load_clean_counts(spark, sf_dir):
-    """Counts along the load path from the raw inputs: wide rows, distinct
-    rows, complete distinct rows and the six normalised tables (one row)."""
+    """The load path up to the table counts, as `snapshot.load_wide` runs it:
+    the wide rows are derived and staged once as Parquet (cutting lineage),
+    then wide / distinct / complete-distinct rows and the six normalised
+    tables are counted over the staged file in one job graph (one row).
+    Equal to ``load.clean_wide(wide).count()`` for the clean rows (tested)."""
     from functools import reduce
 
     from basketry.operators import load
+    from basketry.session import scratch_path
     from basketry.sources.fixture import fixture_wide
 
-    wide = fixture_wide(spark, sf_dir)
+    path = scratch_path(spark, "bench-wide")
+    fixture_wide(spark, sf_dir).write.parquet(path)
+    wide = spark.read.parquet(path)
     t = load.normalise(wide)
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in wide.columns])
+    # one full-width dedup serves both counts: dropping incomplete rows commutes
+    # with distinct, so clean = distinct rows without NULLs
     parts = [wide.agg(F.count(F.lit(1)).alias("wide")),
-             wide.dropDuplicates().agg(F.count(F.lit(1)).alias("deduped")),
-             load.clean_wide(wide).agg(F.count(F.lit(1)).alias("clean"))]
+             wide.dropDuplicates().agg(F.count(F.lit(1)).alias("deduped"),
+                                       F.count_if(complete).alias("clean"))]
     parts += [df.agg(F.count(F.lit(1)).alias(name)) for name, df in t.items()]
     one = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return one.agg(*[F.max(c).alias(c) for c in one.columns])

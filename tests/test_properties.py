@@ -84,3 +84,13 @@ def test_cascade_leaves_no_orphans(spark, table, modulus, rest):
     after = catalog.cascade_delete(t, table, doomed)
     assert rows(audit(after)) == []
     assert getattr(after, table).join(doomed, key, "left_semi").count() == 0
+
+
+def test_bench_load_counts_match_operators(spark):
+    import bench
+    r = bench._load_clean_counts(spark, SF_SMALL).collect()[0]
+    wide = fixture_wide(spark, SF_SMALL)
+    t = load.normalise(wide)
+    assert r.wide == wide.count() and r.deduped == wide.dropDuplicates().count()
+    assert r.clean == load.clean_wide(wide).count()
+    assert all(r[name] == df.count() for name, df in t.items())
