@@ -144,17 +144,15 @@ def publish_fixture(spark: SparkSession, sf_dir: str, root: str) -> str:
     recomputing the sequence for each of them.
     """
     from basketry.sources import snapshot
-    from basketry.tables import Tables as _T
 
-    departments, aisles = _id_maps(spark, sf_dir)
     version = snapshot.new_version(root)
     tables = fixture_tables(spark, sf_dir)
     first = {"departments": tables.departments, "aisles": tables.aisles,
              "products": tables.products, "orders": tables.orders}
     snapshot.write_frames(first, version)
     written_orders = spark.read.parquet(f"{version}/orders")
-    rest = _T(**{**first, "orders": written_orders,
-                 **_dependants(spark, sf_dir, written_orders)}).conform()
+    rest = Tables(**{**first, "orders": written_orders,
+                     **_dependants(spark, sf_dir, written_orders)}).conform()
     snapshot.write_frames({"users": rest.users, "order_details": rest.order_details}, version)
     snapshot.publish(spark, version)
     return version
