@@ -77,26 +77,30 @@ def _name_checks(changes: DataFrame, name_col: str, limit: int = NAME_LIMIT):
 
 def insert_names(dim: DataFrame, id_col: str, name_col: str, changes: DataFrame,
                  changes_name_col: str = "name") -> ChangeResult:
-    """Insert unique names (aisles, departments) and allocate their ids."""
-    blank, long_, valid = _name_checks(changes.select("seq", changes_name_col), changes_name_col)
-    current = dim.select(F.col(name_col).alias("_name"), F.col(id_col).alias("_id"))
-    exists = valid.join(current, "_name")
-    new = valid.join(current, "_name", "left_anti").select("seq", "_name")
-    # lowest seq per name wins: a partial aggregate, then a join on (name, seq)
-    firsts = new.groupBy("_name").agg(F.min("seq").alias("seq"))
+    """Insert unique names (aisles, departments) and allocate their ids.
+
+    Two passes over the change set: one finds the first request of every new
+    name (a partial aggregate) and numbers those; the other classifies every
+    request with two LEFT joins (existing names, numbered new names).
+    """
+    c = changes.select("seq", strip(F.col(changes_name_col)).alias("_name"))
+    n = F.length("_name")
+    current = dim.select(F.col(name_col).alias("_name"), F.col(id_col).alias("_old"))
+    firsts = (c.filter(n.between(1, NAME_LIMIT)).join(current, "_name", "left_anti")
+              .groupBy("_name").agg(F.min("seq").alias("_first")))
     start = high_water_mark(dim, id_col).select((F.col("high_water_mark") + 1).alias("s"))
-    winners = consecutive_ids(firsts, "seq", "_id", start=start)
-    later = (new.join(winners.select("_name", F.col("seq").alias("_first"), "_id"), "_name")
-             .filter(F.col("seq") != F.col("_first")))
-    outcomes = _union([
-        _outcome(winners, "inserted", "_id"),
-        _outcome(exists, "exists", "_id"),
-        _outcome(later, "duplicate", "_id"),
-        _outcome(blank, "blank"),
-        _outcome(long_, "too long"),
-    ])
+    winners = consecutive_ids(firsts, "_first", "_new", start=start)
+    judged = c.join(current, "_name", "left").join(winners, "_name", "left")
+    blank = F.col("_name").isNull() | (n == 0)
+    status = (F.when(blank, "blank").when(n > NAME_LIMIT, "too long")
+              .when(F.col("_old").isNotNull(), "exists")
+              .when(F.col("seq") == F.col("_first"), "inserted").otherwise("duplicate"))
+    ids = F.when(~blank & (n <= NAME_LIMIT), F.coalesce("_old", "_new"))
+    outcomes = judged.select(F.col("seq").cast("bigint").alias("seq"), status.alias("status"),
+                             ids.cast("bigint").alias("id"),
+                             F.lit(None).cast("string").alias("detail"))
     table = dim.select(id_col, name_col).unionByName(
-        winners.select(F.col("_id").alias(id_col), F.col("_name").alias(name_col)))
+        winners.select(F.col("_new").alias(id_col), F.col("_name").alias(name_col)))
     return ChangeResult(table, outcomes)
 
 

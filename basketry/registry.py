@@ -232,7 +232,7 @@ QUERIES["cascade_delete_aisles_lines"] = lambda spark, d: catalog.cascade_delete
     .select("aisle_id")).order_details
 
 # ---- the CSV source end to end -------------------------------------------------
-from basketry.session import scratch_path  # noqa: E402
+from basketry.session import scratch_path, session_key  # noqa: E402
 from basketry.sources.csv import read_wide_csv  # noqa: E402
 
 _CSV_COPIES: dict = {}
@@ -241,7 +241,7 @@ _CSV_COPIES: dict = {}
 def _wide_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mapped wide frame written once as RFC-4180 CSV (under the
     checkpoint folder, shared on a cluster) and read back by the CSV source."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (session_key(spark), sf_dir)
     if key not in _CSV_COPIES:
         path = scratch_path(spark, "wide-csv")
         (fixture_wide(spark, sf_dir).write.option("header", True).option("quote", '"')

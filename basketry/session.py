@@ -91,3 +91,11 @@ def _count():
 
 
 _counter = _count()
+
+
+def session_key(spark: SparkSession):
+    """A key that identifies the running application (for per-session memos)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # sessions without a reachable SparkContext
+        return id(spark)

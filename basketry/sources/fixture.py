@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.ids import dense_ids
 from basketry.functions.joins import broadcast_if_small
+from basketry.session import session_key
 from basketry.tables import Tables
 
 _ID_MAPS: dict = {}
@@ -41,7 +42,7 @@ def _id_maps(spark: SparkSession, sf_dir: str):
         stamp = os.stat(path).st_mtime_ns
     except OSError:  # remote file system: no local stat
         stamp = None
-    key = (spark.sparkContext.applicationId, sf_dir, stamp)
+    key = (session_key(spark), sf_dir, stamp)
     if key not in _ID_MAPS:
         part = _read(spark, sf_dir, "part")
         departments = (dense_ids(part, "p_brand", "department_id")
