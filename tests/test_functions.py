@@ -55,3 +55,21 @@ def test_dense_ids_distributed_path(spark):
     got = cid(df.distinct(), "v", "id", start=1, small_rows=0)
     ref = df.distinct().select("v", F.dense_rank().over(Window.orderBy("v")).alias("expected"))
     assert got.join(ref, "v").filter(F.col("id") != F.col("expected")).count() == 0
+
+
+def test_order_sequence_with_a_hot_customer(spark):
+    from basketry.sources.fixture import order_sequence
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    # one customer owns every third order (about a third of all rows)
+    hot = o.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(1))
+                       .otherwise(F.col("o_custkey")))
+    got = order_sequence(hot)
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    ref = hot.select("o_orderkey", F.row_number().over(w).alias("n"),
+                     F.lag("o_orderdate").over(w).alias("p"))
+    diff = got.join(ref, "o_orderkey").filter(
+        (F.col("order_number") != F.col("n")) | ~F.col("prev_orderdate").eqNullSafe(F.col("p")))
+    assert got.count() == hot.count() and diff.count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # the row-level window is per (customer, date), never per customer alone
+    assert "hashpartitioning(o_custkey#" in plan and "o_orderdate" in plan
