@@ -137,7 +137,8 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     ).conform()
 
 
-def publish_fixture(spark: SparkSession, sf_dir: str, root: str) -> str:
+def publish_fixture(spark: SparkSession, sf_dir: str, root: str,
+                    order_buckets_n: int | None = None) -> str:
     """Map ``sf_dir`` to the six tables and publish them as an audited snapshot.
 
     The per-customer order sequence is derived and written once; ``users``
@@ -147,15 +148,17 @@ def publish_fixture(spark: SparkSession, sf_dir: str, root: str) -> str:
     from basketry.sources import snapshot
 
     version = snapshot.new_version(root)
+    buckets = snapshot.order_buckets(order_buckets_n)
     tables = fixture_tables(spark, sf_dir)
     first = {"departments": tables.departments, "aisles": tables.aisles,
              "products": tables.products, "orders": tables.orders}
-    snapshot.write_frames(first, version)
+    snapshot.write_frames(first, version, buckets)
     written_orders = spark.read.parquet(f"{version}/orders")
     rest = Tables(**{**first, "orders": written_orders,
                      **_dependants(spark, sf_dir, written_orders)}).conform()
-    snapshot.write_frames({"users": rest.users, "order_details": rest.order_details}, version)
-    snapshot.publish(spark, version)
+    snapshot.write_frames({"users": rest.users, "order_details": rest.order_details}, version,
+                          buckets)
+    snapshot.publish(spark, version, buckets)
     return version
 
 

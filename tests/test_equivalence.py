@@ -52,3 +52,23 @@ def test_literal_sql_forms_agree(both):
     assert rows(run_sql_file(snap, "department_peak_hour.sql")) == rows(
         departments.department_peak_hour(snap))
     assert rows(search.product_search_sql(snap, "gear")) == rows(search.product_search(snap, "gear"))
+
+
+def test_bucketed_snapshot_joins_lines_to_orders_without_exchange(spark, both):
+    import tempfile
+    _, lazy = both
+    root = tempfile.mkdtemp(prefix="basketry-bk-")
+    publish_fixture(spark, SF_SMALL, root, order_buckets_n=4)
+    bk = snapshot.read_snapshot(spark, root)
+    assert sorted(rows(departments.department_peak_hour(bk))) == sorted(
+        rows(departments.department_peak_hour(lazy)))
+    assert sorted(rows(search.product_search_hourly(bk, "", hours=(6, 17)))) == sorted(
+        rows(search.product_search_hourly(lazy, "", hours=(6, 17))))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = bk.order_details.join(bk.orders, "order_id", "left")._jdf.queryExecution() \
+            .executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
