@@ -42,7 +42,9 @@ def builder(master: str | None = None, app_name: str = "basketry",
 def local_session(cores: int = 8, shuffle_partitions: int | None = None,
                   driver_memory: str = "8g", conf: dict | None = None) -> SparkSession:
     """A local session for tests and the bench (UI off, checkpoint dir set)."""
-    extra = {"spark.driver.memory": driver_memory}
+    extra = {"spark.driver.memory": driver_memory,
+             # catalog entries (bucketed snapshots) must not land in the working folder
+             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="basketry-warehouse-")}
     extra.update(conf or {})
     spark = builder(f"local[{cores}]", shuffle_partitions=shuffle_partitions or cores,
                     conf=extra).getOrCreate()
