@@ -24,9 +24,12 @@ hour_rank AS (
     JOIN orders o ON od.order_id = o.order_id
     GROUP BY d.department_id, o.order_hour_of_day
 )
+-- reorder_pct = ROUND(100 * reorders / items_sold, 2), half-up, computed in
+-- integers: a decimal division keeps only 6 places in Spark and would round twice.
 SELECT s.department,
        s.items_sold,
-       CAST(ROUND(CAST(s.reorders AS DECIMAL(38, 0)) / s.items_sold * 100, 2) AS DOUBLE) AS reorder_pct,
+       CAST((2 * 10000 * s.reorders + s.items_sold) DIV (2 * s.items_sold) AS DOUBLE) / 100
+         AS reorder_pct,
        h.hour AS peak_hour
 FROM dept_stats s
 JOIN hour_rank h ON s.department_id = h.department_id

@@ -72,3 +72,20 @@ def test_bucketed_snapshot_joins_lines_to_orders_without_exchange(spark, both):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_sql_file_percentage_does_not_round_twice(spark):
+    """100 * 6622999 / 20000000 = 33.114995 must round to 33.11 (a 6-place
+    decimal division would give 33.115 -> 33.12)."""
+    from pyspark.sql import functions as F
+    from conftest import make_tables
+    n, s = 20_000_000, 6_622_999
+    lines = spark.range(n).select(
+        F.lit(1).cast("long").alias("order_id"), F.lit(10).cast("long").alias("product_id"),
+        F.lit(1).cast("long").alias("add_to_cart_order"),
+        F.when(F.col("id") < s, 1).otherwise(0).cast("long").alias("reordered"))
+    t = make_tables(spark, departments=[(1, "d")], aisles=[(1, "a")], users=[(1,)],
+                    products=[(10, "p", 1, 1)], orders=[(1, 1, "train", 2, 0, 9, 7.0)]
+                    ).with_(order_details=lines)
+    assert rows(run_sql_file(t, "department_peak_hour.sql")) == [("d", n, 33.11, 9)]
+    assert rows(departments.department_peak_hour(t)) == [("d", n, 33.11, 9)]
