@@ -114,29 +114,38 @@ def _last_valid(valid: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 
 def rename_names(dim: DataFrame, id_col: str, name_col: str, changes: DataFrame,
                  changes_id_col: str = "id", changes_name_col: str = "name") -> ChangeResult:
-    """Rename aisles / departments, keeping names UNIQUE."""
-    req = changes.select("seq", F.col(changes_id_col).alias("_id"), changes_name_col)
-    blank, long_, valid = _name_checks(req, changes_name_col)
-    win, lost = _last_valid(valid.select("seq", "_id", "_name"), "_id")
+    """Rename aisles / departments, keeping names UNIQUE.
+
+    The last valid request per id is the candidate; it is refused if its name
+    is held by another id before or after the batch (counted over the union of
+    current names and candidate names).  Every request is then classified in
+    one pass with LEFT joins on small per-id / per-request results.
+    """
+    c = changes.select("seq", F.col(changes_id_col).alias("_id"),
+                       strip(F.col(changes_name_col)).alias("_name"))
+    n = F.length("_name")
+    valid = c.filter(n.between(1, NAME_LIMIT))
+    last = valid.groupBy("_id").agg(F.max("seq").alias("_last"))
     current = dim.select(F.col(id_col).alias("_id"), F.col(name_col).alias("_old"))
-    unknown = win.join(current, "_id", "left_anti")
-    known = win.join(current, "_id", "left_semi")
+    known = (valid.join(last.withColumnRenamed("_last", "seq"), ["_id", "seq"], "left_semi")
+             .join(current.select("_id"), "_id", "left_semi"))
     holders = (current.select("_id", F.col("_old").alias("_name"))
                .unionByName(known.select("_id", "_name")).distinct()
                .groupBy("_name").agg(F.count(F.lit(1)).alias("_holders")))
     judged = known.join(holders, "_name")
+    verdicts = judged.select("seq", "_holders")
+    classified = (c.join(last, "_id", "left").join(current, "_id", "left")
+                  .join(verdicts, "seq", "left"))
+    status = (F.when(F.col("_name").isNull() | (n == 0), "blank").when(n > NAME_LIMIT, "too long")
+              .when(F.col("seq") != F.col("_last"), "superseded")
+              .when(F.col("_old").isNull(), "unknown")
+              .when(F.col("_holders") > 1, "conflict").otherwise("renamed"))
+    outcomes = classified.select(F.col("seq").cast("bigint").alias("seq"), status.alias("status"),
+                                 F.col("_id").cast("bigint").alias("id"),
+                                 F.lit(None).cast("string").alias("detail"))
     accepted = judged.filter(F.col("_holders") == 1)
-    conflict = judged.filter(F.col("_holders") > 1)
     table = (dim.join(accepted.select(F.col("_id").alias(id_col), "_name"), id_col, "left")
              .select(id_col, F.coalesce(F.col("_name"), F.col(name_col)).alias(name_col)))
-    outcomes = _union([
-        _outcome(accepted, "renamed", "_id"),
-        _outcome(conflict, "conflict", "_id"),
-        _outcome(unknown, "unknown", "_id"),
-        _outcome(lost, "superseded", "_id"),
-        _outcome(blank, "blank", "_id"),
-        _outcome(long_, "too long", "_id"),
-    ])
     return ChangeResult(table, outcomes)
 
 
