@@ -40,7 +40,6 @@ from basketry.schema import MAX_LENGTH, PRIMARY_KEYS, TABLE_ORDER, children_of
 from basketry.tables import Tables
 
 NAME_LIMIT = 255
-OUTCOME_SCHEMA = "seq bigint, status string, id bigint, detail string"
 
 
 @dataclass(frozen=True)
@@ -66,15 +65,6 @@ def high_water_mark(df: DataFrame, id_col: str) -> DataFrame:
     return df.agg(F.coalesce(F.max(id_col), F.lit(1)).cast("bigint").alias("high_water_mark"))
 
 
-def _name_checks(changes: DataFrame, name_col: str, limit: int = NAME_LIMIT):
-    """Split requests into (blank, too long, valid) after stripping the name."""
-    c = changes.withColumn("_name", strip(F.col(name_col)))
-    blank = c.filter(F.col("_name").isNull() | (F.length("_name") == 0))
-    long_ = c.filter(F.length("_name") > limit)
-    valid = c.filter(F.length("_name").between(1, limit))
-    return blank, long_, valid
-
-
 def insert_names(dim: DataFrame, id_col: str, name_col: str, changes: DataFrame,
                  changes_name_col: str = "name") -> ChangeResult:
     """Insert unique names (aisles, departments) and allocate their ids.
@@ -104,14 +94,6 @@ def insert_names(dim: DataFrame, id_col: str, name_col: str, changes: DataFrame,
     return ChangeResult(table, outcomes)
 
 
-def _last_valid(valid: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(winning request per key = highest seq, superseded requests)."""
-    last = valid.groupBy(key).agg(F.max("seq").alias("seq"))
-    win = valid.join(last, [key, "seq"], "left_semi")
-    lost = valid.join(last, [key, "seq"], "left_anti")
-    return win, lost
-
-
 def rename_names(dim: DataFrame, id_col: str, name_col: str, changes: DataFrame,
                  changes_id_col: str = "id", changes_name_col: str = "name") -> ChangeResult:
     """Rename aisles / departments, keeping names UNIQUE.
@@ -169,51 +151,66 @@ def guarded_delete(dim: DataFrame, id_col: str, products: DataFrame,
     return ChangeResult(table, outcomes)
 
 
-def _fk_checks(valid: DataFrame, aisles: DataFrame, departments: DataFrame):
-    a = aisles.select(F.col("aisle_id").alias("_aisle"))
-    d = departments.select(F.col("department_id").alias("_dept"))
-    no_aisle = valid.join(a, "_aisle", "left_anti")
-    ok_aisle = valid.join(a, "_aisle", "left_semi")
-    no_dept = ok_aisle.join(d, "_dept", "left_anti")
-    ok = ok_aisle.join(d, "_dept", "left_semi")
-    return no_aisle, no_dept, ok
+def _id_marker(df: DataFrame, col: str, alias: str, marker: str, unique: bool) -> DataFrame:
+    """(alias, marker=1) for every id of ``df``; de-duplicated unless the ids
+    are a proven key (audited tables)."""
+    ids = df.select(F.col(col).alias(alias), F.lit(1).alias(marker))
+    return ids if unique else ids.dropDuplicates([alias])
 
 
 def _product_request(changes: DataFrame, with_id: bool) -> DataFrame:
-    cols = ["seq"] + (["product_id"] if with_id else []) + ["product_name"]
-    return changes.select(*cols, F.col("aisle_id").alias("_aisle"),
-                          F.col("department_id").alias("_dept"))
+    cols = ["seq"] + (["product_id"] if with_id else [])
+    return changes.select(*cols, strip(F.col("product_name")).alias("_name"),
+                          F.col("aisle_id").alias("_aisle"), F.col("department_id").alias("_dept"))
+
+
+def _with_fk_markers(t: Tables, req: DataFrame) -> DataFrame:
+    return (req.join(_id_marker(t.aisles, "aisle_id", "_aisle", "_a", t.audited), "_aisle", "left")
+            .join(_id_marker(t.departments, "department_id", "_dept", "_d", t.audited), "_dept",
+                  "left"))
+
+
+def _product_status(n, rest):
+    """blank / too long / unknown aisle / unknown department, then ``rest``."""
+    limit = MAX_LENGTH["products"]["product_name"]
+    return (F.when(F.col("_name").isNull() | (n == 0), "blank").when(n > limit, "too long")
+            .when(F.col("_a").isNull(), "unknown aisle")
+            .when(F.col("_d").isNull(), "unknown department").otherwise(rest))
+
+
+def _valid_product(n):
+    limit = MAX_LENGTH["products"]["product_name"]
+    return n.between(1, limit) & F.col("_a").isNotNull() & F.col("_d").isNotNull()
 
 
 def insert_products(t: Tables, changes: DataFrame) -> ChangeResult:
     """Insert products (names may repeat) with ids after the high-water mark."""
-    limit = MAX_LENGTH["products"]["product_name"]
-    blank, long_, valid = _name_checks(_product_request(changes, False), "product_name", limit)
-    no_aisle, no_dept, ok = _fk_checks(valid, t.aisles, t.departments)
+    req = _with_fk_markers(t, _product_request(changes, False))
+    n = F.length("_name")
     start = high_water_mark(t.products, "product_id").select(
         (F.col("high_water_mark") + 1).alias("s"))
-    new = consecutive_ids(ok, "seq", "product_id", start=start)
+    new = consecutive_ids(req.filter(_valid_product(n)), "seq", "product_id", start=start)
     table = t.products.select("product_id", "product_name", "aisle_id", "department_id") \
         .unionByName(new.select("product_id", F.col("_name").alias("product_name"),
                                 F.col("_aisle").alias("aisle_id"),
                                 F.col("_dept").alias("department_id")))
-    outcomes = _union([
-        _outcome(new, "inserted", "product_id"),
-        _outcome(blank, "blank"), _outcome(long_, "too long"),
-        _outcome(no_aisle, "unknown aisle"), _outcome(no_dept, "unknown department"),
-    ])
+    judged = req.join(new.select("seq", "product_id"), "seq", "left")
+    outcomes = judged.select(F.col("seq").cast("bigint").alias("seq"),
+                             _product_status(n, F.lit("inserted")).alias("status"),
+                             F.col("product_id").cast("bigint").alias("id"),
+                             F.lit(None).cast("string").alias("detail"))
     return ChangeResult(table, outcomes)
 
 
 def update_products(t: Tables, changes: DataFrame) -> ChangeResult:
-    """Replace name, aisle and department of existing products."""
-    limit = MAX_LENGTH["products"]["product_name"]
-    blank, long_, valid = _name_checks(_product_request(changes, True), "product_name", limit)
-    no_aisle, no_dept, ok = _fk_checks(valid, t.aisles, t.departments)
-    win, lost = _last_valid(ok, "product_id")
-    ids = t.products.select("product_id")
-    unknown = win.join(ids, "product_id", "left_anti")
-    applied = win.join(ids, "product_id", "left_semi")
+    """Replace name, aisle and department of existing products; the last
+    valid request per product wins."""
+    req = _with_fk_markers(t, _product_request(changes, True))
+    n = F.length("_name")
+    ok = req.filter(_valid_product(n))
+    last = ok.groupBy("product_id").agg(F.max("seq").alias("_last"))
+    win = ok.join(last.withColumnRenamed("_last", "seq"), ["product_id", "seq"], "left_semi")
+    applied = win.join(t.products.select("product_id"), "product_id", "left_semi")
     upd = applied.select("product_id", F.col("_name").alias("_n"), "_aisle", "_dept")
     table = (t.products.join(upd, "product_id", "left")
              .select("product_id",
@@ -222,14 +219,14 @@ def update_products(t: Tables, changes: DataFrame) -> ChangeResult:
                      .otherwise(F.col("aisle_id")).alias("aisle_id"),
                      F.when(F.col("_n").isNotNull(), F.col("_dept"))
                      .otherwise(F.col("department_id")).alias("department_id")))
-    outcomes = _union([
-        _outcome(applied, "updated", "product_id"),
-        _outcome(unknown, "unknown", "product_id"),
-        _outcome(lost, "superseded", "product_id"),
-        _outcome(blank, "blank", "product_id"), _outcome(long_, "too long", "product_id"),
-        _outcome(no_aisle, "unknown aisle", "product_id"),
-        _outcome(no_dept, "unknown department", "product_id"),
-    ])
+    known = _id_marker(t.products, "product_id", "product_id", "_p", t.audited)
+    judged = req.join(last, "product_id", "left").join(known, "product_id", "left")
+    rest = (F.when(F.col("seq") != F.col("_last"), "superseded")
+            .when(F.col("_p").isNull(), "unknown").otherwise("updated"))
+    outcomes = judged.select(F.col("seq").cast("bigint").alias("seq"),
+                             _product_status(n, rest).alias("status"),
+                             F.col("product_id").cast("bigint").alias("id"),
+                             F.lit(None).cast("string").alias("detail"))
     return ChangeResult(table, outcomes)
 
 
