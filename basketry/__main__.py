@@ -1,7 +1,8 @@
 """Command line: create, load and query basket snapshots.
 
   python -m basketry create ROOT              publish an empty snapshot if none exists
-  python -m basketry load CSV ROOT            load a wide order-line CSV as a new snapshot
+  python -m basketry load CSV ROOT [N]        load a wide order-line CSV as a new snapshot
+                                              (N: bucket orders and lines on order_id into N buckets)
   python -m basketry show NAME ROOT [N]       run a read operator on the newest snapshot
   python -m basketry sql FILE ROOT            run a SQL file over the newest snapshot
 
@@ -62,7 +63,8 @@ def main(argv: list[str]) -> int:
     if cmd == "create":
         print(snapshot.create_if_absent(spark, args[0]))
     elif cmd == "load":
-        print(snapshot.load_wide(read_wide_csv(spark, args[0]), args[1]))
+        buckets = int(args[2]) if len(args) > 2 else None
+        print(snapshot.load_wide(read_wide_csv(spark, args[0]), args[1], order_buckets_n=buckets))
     elif cmd == "show":
         t = snapshot.read_snapshot(spark, args[1])
         n = int(args[2]) if len(args) > 2 else 50

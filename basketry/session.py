@@ -25,6 +25,25 @@ _DEFAULTS = {
 }
 
 
+def recommended_conf(total_executor_cores: int, input_bytes: int,
+                     partition_bytes: int = 256 << 20) -> dict:
+    """Settings sized for a cluster run (the values the README suggests).
+
+    Scan splits and post-shuffle partitions target ``partition_bytes`` each so
+    a task's working set fits executor memory; the shuffle partition count is
+    the larger of 3x the cores and input / partition size (AQE coalesces the
+    small ones and splits skewed ones at run time).
+    """
+    shuffle = max(3 * total_executor_cores, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(min(shuffle, 200_000)),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+    }
+
+
 def builder(master: str | None = None, app_name: str = "basketry",
             shuffle_partitions: int | None = None, conf: dict | None = None):
     b = SparkSession.builder.appName(app_name)

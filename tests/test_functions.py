@@ -73,3 +73,10 @@ def test_order_sequence_with_a_hot_customer(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     # the row-level window is per (customer, date), never per customer alone
     assert "hashpartitioning(o_custkey#" in plan and "o_orderdate" in plan
+
+
+def test_recommended_conf_scales_with_input():
+    from basketry.session import recommended_conf
+    assert recommended_conf(4000, 100 * 10 ** 12)["spark.sql.shuffle.partitions"] == "200000"
+    assert recommended_conf(4000, 10 ** 12)["spark.sql.shuffle.partitions"] == "12000"
+    assert recommended_conf(8, 10 ** 6)["spark.sql.shuffle.partitions"] == "24"
