@@ -10,9 +10,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basketry.plans import dashboard, departments
-from basketry.sources.fixture import fixture_tables
+from basketry.operators import audit as audit_ops
+from basketry.operators import catalog, load
+from basketry.plans import catalog_views, dashboard, departments, search
+from basketry.session import scratch_path, session_key
+from basketry.sources.csv import read_wide_csv
+from basketry.sources.fixture import fixture_tables, fixture_wide
+from basketry.sources.sql import run_sql_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,11 +38,6 @@ _on_tables("top_departments", dashboard.top_departments)
 _on_tables("reorder_rate_by_department", dashboard.reorder_rate_by_department)
 
 # ---- search and catalogue reads ----------------------------------------------
-from pyspark.sql import functions as F  # noqa: E402
-
-from basketry.plans import catalog_views, search  # noqa: E402
-
-
 def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet")
 
@@ -72,12 +73,6 @@ QUERIES["lookup_aisles"] = _lookup_aisles
 QUERIES["lookup_departments"] = _lookup_departments
 
 # ---- load path: clean, normalise, audit; SQL text ------------------------------
-from basketry.operators import audit as audit_ops  # noqa: E402
-from basketry.operators import load  # noqa: E402
-from basketry.sources.fixture import fixture_wide  # noqa: E402
-from basketry.sources.sql import run_sql_file  # noqa: E402
-
-
 def _normalised(table: str) -> Query:
     return lambda spark, sf_dir: getattr(load.normalise(fixture_wide(spark, sf_dir)), table)
 
@@ -106,9 +101,6 @@ _on_tables("product_search_sql_department", search.product_search_sql, text="o",
            department="Brand#3")
 
 # ---- catalogue change sets -------------------------------------------------------
-from basketry.operators import catalog  # noqa: E402
-
-
 def _part_ids(spark, sf_dir):
     """part rows with the mapped aisle / department ids (the change-set source)."""
     t = fixture_tables(spark, sf_dir)
@@ -232,9 +224,6 @@ QUERIES["cascade_delete_aisles_lines"] = lambda spark, d: catalog.cascade_delete
     .select("aisle_id")).order_details
 
 # ---- the CSV source end to end -------------------------------------------------
-from basketry.session import scratch_path, session_key  # noqa: E402
-from basketry.sources.csv import read_wide_csv  # noqa: E402
-
 _CSV_COPIES: dict = {}
 
 
