@@ -80,3 +80,38 @@ def test_recommended_conf_scales_with_input():
     assert recommended_conf(4000, 100 * 10 ** 12)["spark.sql.shuffle.partitions"] == "200000"
     assert recommended_conf(4000, 10 ** 12)["spark.sql.shuffle.partitions"] == "12000"
     assert recommended_conf(8, 10 ** 6)["spark.sql.shuffle.partitions"] == "24"
+
+
+def test_checkpoint_dir_is_never_invented_on_a_cluster():
+    import pytest as _pytest
+    from basketry.session import ensure_checkpoint_dir
+
+    class _Conf:
+        def __init__(self, values):
+            self.values = values
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+    class _Ctx:
+        def __init__(self, master, configured):
+            self.master, self._dir, self._conf = master, None, _Conf(configured)
+
+        def getCheckpointDir(self):
+            return self._dir
+
+        def getConf(self):
+            return self._conf
+
+        def setCheckpointDir(self, path):
+            self._dir = path
+
+    class _Spark:
+        def __init__(self, master, configured=None):
+            self.sparkContext = _Ctx(master, configured or {})
+            self.conf = _Conf(configured or {})
+
+    with _pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(_Spark("yarn"))
+    shared = "hdfs://nn/shared/ckpt"
+    assert ensure_checkpoint_dir(_Spark("yarn", {"spark.checkpoint.dir": shared})) == shared
