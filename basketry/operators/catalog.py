@@ -48,14 +48,6 @@ class ChangeResult:
     outcomes: DataFrame  # (seq, status, id, detail)
 
 
-def _outcome(df: DataFrame, status, id_col=None, detail=None) -> DataFrame:
-    st = F.lit(status) if isinstance(status, str) else status
-    return df.select(F.col("seq").cast("bigint").alias("seq"), st.alias("status"),
-                     (F.col(id_col) if id_col else F.lit(None)).cast("bigint").alias("id"),
-                     (detail if detail is not None else F.lit(None)).cast("string")
-                     .alias("detail"))
-
-
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -133,21 +125,24 @@ def rename_names(dim: DataFrame, id_col: str, name_col: str, changes: DataFrame,
 
 def guarded_delete(dim: DataFrame, id_col: str, products: DataFrame,
                    requests: DataFrame, requests_id_col: str = "id") -> ChangeResult:
-    """Delete aisles / departments no product refers to."""
+    """Delete aisles / departments no product refers to.
+
+    Reference counts are a partial aggregate of products per id; each request
+    is classified with two LEFT joins (id exists, reference count).
+    """
     req = requests.select("seq", F.col(requests_id_col).alias("_id"))
     refs = products.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
-    known = req.join(dim.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi")
-    unknown = req.join(dim.select(F.col(id_col).alias("_id")), "_id", "left_anti")
-    judged = known.join(refs, "_id", "left")
-    in_use = judged.filter(F.col("_n") > 0)
-    free = judged.filter(F.col("_n").isNull())
-    table = (dim.join(free.select(F.col("_id").alias(id_col)), id_col, "left_anti")
-             .select(*dim.columns))
-    outcomes = _union([
-        _outcome(free, "deleted", "_id"),
-        _outcome(in_use, "in use", "_id", F.col("_n").cast("string")),
-        _outcome(unknown, "unknown", "_id"),
-    ])
+    known = dim.select(F.col(id_col).alias("_id"), F.lit(1).alias("_k")).dropDuplicates(["_id"])
+    judged = req.join(known, "_id", "left").join(refs, "_id", "left")
+    status = (F.when(F.col("_k").isNull(), "unknown").when(F.col("_n") > 0, "in use")
+              .otherwise("deleted"))
+    outcomes = judged.select(F.col("seq").cast("bigint").alias("seq"), status.alias("status"),
+                             F.col("_id").cast("bigint").alias("id"),
+                             F.when(F.col("_k").isNotNull(), F.col("_n").cast("string"))
+                             .alias("detail"))
+    free = judged.filter(F.col("_k").isNotNull() & F.col("_n").isNull()).select(
+        F.col("_id").alias(id_col))
+    table = dim.join(free, id_col, "left_anti").select(*dim.columns)
     return ChangeResult(table, outcomes)
 
 
