@@ -52,3 +52,17 @@ def replace_columns(df: DataFrame, **columns: Column) -> DataFrame:
     taken = {c.lower() for c in columns}
     keep = [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
     return df.select(*keep, *[v.alias(k) for k, v in columns.items()])
+
+
+def slices(batch, column: int, chars: int):
+    """(slice of an Arrow batch, its texts) with about `chars` characters each;
+    null texts come as empty ones."""
+    texts = [t or "" for t in batch.column(column).to_pylist()]
+    start = held = 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= chars or i - start >= 4096:
+            yield batch.slice(start, i + 1 - start), texts[start:i + 1]
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield batch.slice(start), texts[start:]

@@ -58,13 +58,10 @@ def rates(sizes: DataFrame, weights: dict[str, float] | None = None,
         raise ValueError("weights is empty")
     s = sizes.select("source", F.col("chars").cast("double").alias("chars"), w.alias("w"))
     s = s.withColumn("w", F.when(F.col("chars") > 0, F.col("w")).otherwise(0.0))
-    sums = s.agg(F.sum("w").alias("all_w"), F.sum("chars").alias("all_chars"))
-    # one row of sums; the constant key keeps the join an equi-join
-    s = s.withColumn("one", F.lit(1)).join(F.broadcast(sums.withColumn("one", F.lit(1))), "one")
-    want = F.lit(float(total)) if total is not None else F.col("all_chars")
+    all_w, all_chars = s.agg(F.sum("w"), F.sum("chars")).first()
+    want = float(total) if total is not None else (all_chars or 0.0)
     rate = (F.when(F.col("chars") == 0, F.lit(1.0))
-            .when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * want / F.col("chars"))
-            .otherwise(F.lit(0.0)))
+            .otherwise(F.col("w") / F.lit(all_w or 1.0) * F.lit(want) / F.col("chars")))
     s = s.select("source", rate.alias("rate"))
     s = s.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
     s = s.withColumn("mean", F.col("rate") / F.col("parts"))
@@ -86,7 +83,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     empty table gives an empty result; input columns named like the added ones
     are replaced.
     """
-    r = common.cut(rates(sizes(docs), weights, temperature, total), "rates")
+    r = rates(common.cut(sizes(docs), "mix-sizes"), weights, temperature, total)
+    r = common.cut(r, "mix-rates")
     r = r.select(F.col("source").alias("_mix_source"), F.col("parts").alias("_mix_parts"),
                  F.col("cdf").alias("_mix_cdf"))
     if r.count() <= BROADCAST_SOURCES:

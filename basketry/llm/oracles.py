@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-WORD = r"[^\x20\x09-\x0D]+"
-
 SQL = {}
 
 SQL["op5_mix_sources"] = """
@@ -176,3 +174,36 @@ SELECT d.page_id, d.host, d.path, j.rule,
                              THEN 'block' ELSE 'allow' END) AS verdict
 FROM d JOIN j USING (host, path) JOIN marks USING (k)
 """
+
+SQL["op1_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3),
+                       lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM w
+), sets AS (
+  SELECT dense_rank() OVER (ORDER BY list_sort(s)) AS c, * FROM s
+), one AS (
+  SELECT c, any_value(s) AS s, any_value(len(s)) AS n FROM sets GROUP BY c
+), grams AS (
+  SELECT c, n, unnest(s) AS g FROM one
+), links AS (
+  SELECT a.c AS a, b.c AS b FROM grams a JOIN grams b USING (g)
+  WHERE a.c <> b.c GROUP BY a.c, b.c, a.n, b.n
+  HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT c AS a, c AS b FROM one
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), comp AS (
+  SELECT reach.a AS c, min(doc_id) AS component_id
+  FROM reach JOIN sets ON sets.c = reach.b GROUP BY 1
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles,
+       CASE WHEN len(s) = 0 THEN doc_id ELSE component_id END AS component_id
+FROM sets JOIN comp USING (c)
+"""

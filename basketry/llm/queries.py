@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import mixing, quality, urls
+from basketry.llm import bpe, html, jaccard, langid, lm, mixing, quality, toxicity, urls
 from basketry.llm.oracles import SQL  # noqa: F401
 
 
@@ -13,16 +13,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The vocabulary of the BPE query; every worker must be able to open it.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target: documents labelled of good quality."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    return lm.difference(table(spark, sf_dir, "documents"), good)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op5_mix_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (
+    op1_ngram_jaccard_join, op3_url_filter, op4_toxicity, op5_mix_sources, op6_bpe_round_trip,
+    op7_html_extraction, op8_language_id, op9_lm_scoring, op10_quality_rules)}

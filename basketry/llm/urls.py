@@ -88,17 +88,17 @@ def model(urls: DataFrame) -> DataFrame:
     return lower.select(F.col("suffix").alias("w"), (F.log("qa") - F.log("qr")).alias("d"))
 
 
-def cutoff(scored: DataFrame) -> DataFrame:
-    """One row, cut: where two normal curves fitted to the held-out marks of
-    allowed and blocked urls are equally many deviations away; null when a
-    class has no held-out url."""
+def cutoff(scored: DataFrame) -> float | None:
+    """Where two normal curves fitted to the held-out marks of allowed and
+    blocked urls are equally many deviations away; None when a class has no
+    held-out url."""
     h = scored.filter("held AND verdict IS NOT NULL")
     at = lambda f, v: f(F.when(F.col("verdict") == v, F.col("mark")))
     s = h.agg(at(F.avg, "allow").alias("ma"), at(F.avg, "block").alias("mr"),
               F.coalesce(at(F.stddev_pop, "allow"), F.lit(0.0)).alias("sa"),
               F.coalesce(at(F.stddev_pop, "block"), F.lit(0.0)).alias("sr"))
     sa, sr = F.col("sa") + 1e-6, F.col("sr") + 1e-6
-    return s.select(((F.col("ma") * sr + F.col("mr") * sa) / (sa + sr)).alias("cut"))
+    return s.select((F.col("ma") * sr + F.col("mr") * sa) / (sa + sr)).first()[0]
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -123,10 +123,8 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
              .groupBy("url_key").agg((F.sum("d") / F.count(F.lit(1))).alias("mark")))
     scored = common.cut(u.join(marks, "url_key").select("host", "path", "verdict", "held", "mark"),
                         "url-marks")
-    one = cutoff(scored).withColumn("one", F.lit(1))
-    low = scored.withColumn("one", F.lit(1)).join(F.broadcast(one), "one")  # a single row
-    low = low.select("host", "path", (F.coalesce(F.col("mark") < F.col("cut"), F.lit(False)))
-                     .alias("rejected"))
+    low = scored.select("host", "path", F.coalesce(
+        F.col("mark") < F.lit(cutoff(scored)).cast("double"), F.lit(False)).alias("rejected"))
     return (d.join(low, ["host", "path"], "left")
             .withColumn("rule", rule)
             .withColumn("verdict", F.coalesce(verdict, F.when(F.col("rejected"), "block")
