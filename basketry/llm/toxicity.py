@@ -30,7 +30,7 @@ from basketry.llm import common
 
 #: Labelled texts per class, terms kept, and how far beyond chance (standard
 #: deviations) a term's share must differ between the classes.
-PER_CLASS, VOCABULARY, BEYOND, LEAST = 3_000, 2_000, 5.0, 4
+PER_CLASS, VOCABULARY, BEYOND, LEAST = 3_000, 2_000, 5.0, 5
 K, BLOCK = 25, 64
 WORD = re.compile(r"\w+")
 
