@@ -1,6 +1,6 @@
 """Toxicity by votes of the nearest labelled texts.
 
-Terms are words and their leading four and five characters.  A bounded sample
+Terms are words and their beginnings of three to eight characters.  A bounded sample
 of labelled texts (at most about PER_CLASS of each class, by a hash of the id)
 gives the vocabulary (terms that go with a class far beyond chance), inverse
 document frequencies, and the examples.  A text's TF-IDF vector is compared by
@@ -37,7 +37,7 @@ WORD = re.compile(r"\w+")
 
 def terms_of(word: str) -> tuple[str, ...]:
     """A lower-case word's terms: itself, and its start with a mark."""
-    return tuple([word, *(word[:n] + "*" for n in (4, 5) if len(word) > n)])
+    return tuple([word, *(word[:n] + "*" for n in range(3, 9) if len(word) > n)])
 
 
 class Terms(dict):
