@@ -12,13 +12,14 @@ over their bits of a hash per bit) are shuffled and joined on.
 
 Equal sets are one node, so exact copies cost one row.  Fingerprints shared
 by more than RUN nodes are hot (copies of one text, passages that many texts
-share).  A pair shares c fingerprints or more, so a node with fewer than c hot
-ones needs none of them; only nodes with more are compared over hot
-fingerprints, in rounds: a few hubs against all, then only nodes that are in
-different components by then, with eight times the hubs, until every pair has
-been compared or is connected.  Every candidate pair is verified on the exact
-shingle sets.  No link between components is lost, and no round emits all
-pairs of a group.
+share).  Since a pair shares c fingerprints or more, two nodes are candidates
+only if they share c in all, hot ones included, and a node with fewer than c
+hot ones needs none of them for that; only nodes with more are compared over
+hot fingerprints, in rounds: a few hubs against all, then only nodes that are
+in different components by then, with eight times the hubs, until every pair
+has been compared or is connected.  Every candidate pair is verified on the
+exact shingle sets.  No link between components is lost, and no round emits
+all pairs of a group.
 
 Hot fingerprints are split at the map side: a task's own hot runs go to any
 partition, and only a mark goes to the fingerprint's.  Everything between
@@ -41,7 +42,7 @@ N = 5
 BASE, SMALL = 4, 64
 #: Parts per shingle of the band's largest set.
 PARTS = 0.5
-#: Fingerprints beyond D: a fifth of the band's smallest set, MORE at most.
+#: Fingerprints beyond D: a share of the band's smallest set, MORE at most.
 MORE = 24
 #: Nodes that may share a fingerprint before it counts as hot.
 RUN = 16
@@ -97,7 +98,8 @@ def band(n: int) -> int:
 
 
 def surplus(scheme: int) -> int:
-    return max(1, min(MORE, BASE**scheme // 5))
+    low = BASE**scheme
+    return max(1, min(MORE, low * 3 // 5 if low < SMALL else low * 3 // 10))
 
 
 def schemes(n: int):
@@ -123,7 +125,7 @@ def fingerprints(grams: np.ndarray, scheme: int, d: int, single: bool) -> tuple[
         stop = start[want] if len(start) > want else len(grams)
         start = start[:want]
         part, z = at[start], np.bitwise_xor.reduceat(mix(grams[:stop]), start)
-    keys = mix(z ^ mix(part + U(scheme + 1) * U(0xD6E8FEB86659FD93)))
+    keys = mix(z ^ mix(part + U((scheme + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)))
     return keys, len(keys) - d
 
 
@@ -218,7 +220,7 @@ JOINED = ("kind byte, doc_id long, node long, n int, scheme int, spare int, spar
 JOINED_ARROW = pa.schema([("kind", pa.int8()), *[(f, pa.int64() if f in ("doc_id", "node") else pa.int32())
                           for f in ("doc_id", "node", "n", "scheme", "spare", "spare_up")],
                           ("key", pa.int64()), ("other", pa.int64())])
-HUB, REST, SHARED = 1, 2, 3
+PAIR, SHARED = 1, 2
 
 
 def joined(size: int, **columns) -> pa.RecordBatch:
@@ -235,19 +237,21 @@ def in_pieces(kind: int, size: int = 100_000, **columns):
         yield joined(m, kind=np.full(m, kind, np.int8), **cols)
 
 
-def distinct_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    a = np.concatenate([np.empty(0, np.int64), *a])
-    b = np.concatenate([np.empty(0, np.int64), *b])
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    keep = runs(a, b)[:-1]
-    return a[keep], b[keep]
+def counted(*columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The distinct rows of some columns (lists of arrays), and how often each
+    occurs."""
+    cols = [np.concatenate([np.empty(0, np.int64), *c]) for c in columns]
+    order = np.lexsort(cols)
+    cols = [c[order] for c in cols]
+    at = runs(*cols)
+    return *[c[at[:-1]] for c in cols], np.diff(at)
 
 
 def matcher(buckets: int):
-    """Reduce side: DOC rows as they are; per fingerprint the pairs with its
-    first node (HUB) and the other pairs (REST), or its members if it is hot
-    (SHARED).  A partition holds whole parts."""
+    """Reduce side: DOC rows as they are; per fingerprint its pairs of nodes
+    (PAIR, summed over the partition: n times in a scheme, of them `spare`
+    with the fingerprint's first node), or its members if it is hot (SHARED).
+    A partition holds whole parts."""
     def run(batches):
         full, nodes = [], []
         for batch in batches:
@@ -279,19 +283,18 @@ def matcher(buckets: int):
         key = full[members].astype(np.int64)
         yield from in_pieces(SHARED, key=key, node=nodes[members],
                              scheme=((key >> 32) // buckets).astype(np.int32))
-        hub, rest = ([], []), ([], [])
+        left, right, scheme, first = [], [], [], []
+        of = ((full[start] >> U(32)) // U(buckets)).astype(np.int64)
         for m in range(2, RUN + 1):
-            rows = nodes[start[~hot & (size == m)][:, None] + np.arange(m)]
-            if len(rows):
-                hub[0].append(np.repeat(rows[:, 0], m - 1))
-                hub[1].append(rows[:, 1:].ravel())
-                if m > 2:
-                    i, j = np.triu_indices(m - 1, 1)
-                    rest[0].append(rows[:, i + 1].ravel())
-                    rest[1].append(rows[:, j + 1].ravel())
-        for kind, pairs in ((HUB, hub), (REST, rest)):
-            a, b = distinct_pairs(*pairs)
-            yield from in_pieces(kind, node=a, other=b)
+            at = np.flatnonzero(~hot & (size == m))
+            i, j = np.triu_indices(m, 1)
+            rows = nodes[start[at][:, None] + np.arange(m)]
+            left.append(rows[:, i].ravel())
+            right.append(rows[:, j].ravel())
+            scheme.append(np.repeat(of[at], len(i)))
+            first.append(np.tile((i == 0).astype(np.int64), len(at)))
+        a, b, scheme, first, times = counted(left, right, scheme, first)
+        yield from in_pieces(PAIR, node=a, other=b, scheme=scheme, n=times, spare=times * first)
 
     return run
 
@@ -316,8 +319,8 @@ def hub_pairs(low: int, high: int):
                     a.append(np.full(len(other), node[h]))
                     b.append(other)
             if sum(map(len, a)) > 2_000_000:
-                a, b = ([x] for x in distinct_pairs(a, b))
-        a, b = distinct_pairs(a, b)
+                a, b = ([x] for x in counted(a, b)[:2])
+        a, b, _ = counted(a, b)
         for i in range(0, len(a), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(a[i:i + 100_000]), pa.array(b[i:i + 100_000])],
                                              names=["a", "b"])
@@ -347,13 +350,13 @@ class Verifier:
                         [pa.array([node_of(g) for g in sets], pa.int64()),
                          pa.array([g.tobytes() for g in sets], pa.binary())], names=["node", "grams"])
 
-        found = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "node long, grams binary")
-        return found.dropDuplicates(["node"])
+        # several rows of one id or one set give equal rows; links() is distinct
+        return self.docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "node long, grams binary")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """(a, b) -> the distinct pairs with 4 * intersection >= 3 * union."""
         size = self.info.select("node", "n")
-        p = (pairs.distinct()
+        p = (pairs.select("a", "b").distinct()
              .join(size.withColumnsRenamed({"node": "a", "n": "na"}), "a")
              .join(size.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
              .filter("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b"))
@@ -372,7 +375,7 @@ class Verifier:
 
         p = p.join(g.withColumnsRenamed({"node": "a", "grams": "x"}), "a").select("a", "b", "x")
         p = p.join(g.withColumnsRenamed({"node": "b", "grams": "y"}), "b").select("a", "b", "x", "y")
-        return common.cut(p.mapInArrow(run, "a long, b long"), "jaccard-links")
+        return common.cut(p.mapInArrow(run, "a long, b long").distinct(), "jaccard-links")
 
 
 def classes(info: DataFrame, links: DataFrame) -> DataFrame:
@@ -414,26 +417,37 @@ def near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
     info = common.cut(doc.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "jaccard-nodes")
     verify = Verifier(d, info, n)
-    pairs = lambda kind: m.filter(F.col("kind") == kind).select(
-        F.col("node").alias("a"), F.col("other").alias("b"))
-    links = verify.links(pairs(HUB))
+    # per scheme, how many fingerprints any pair shares at least (a row a scheme)
+    promised = doc.select(F.explode(F.array(
+        F.struct("scheme", "spare"),
+        F.struct((F.col("scheme") + 1).alias("scheme"), F.col("spare_up").alias("spare")))).alias("s"))
+    promised = promised.select("s.*").filter("spare IS NOT NULL").groupBy("scheme").agg(
+        F.min("spare").alias("least"))
+    promised = F.broadcast(common.cut(promised, "jaccard-schemes"))
+    member = m.filter(F.col("kind") == SHARED).select("key", "node", "scheme").distinct()
+    member = common.cut(member, "jaccard-members")
+    held = member.groupBy("node", "scheme").agg(F.count(F.lit(1)).alias("held"))
+    held = common.cut(held.join(promised, "scheme"), "jaccard-held")
+    pairs = m.filter(F.col("kind") == PAIR).groupBy(
+        F.col("node").alias("a"), F.col("other").alias("b"), "scheme").agg(
+        F.sum("n").alias("shared"), F.sum("spare").alias("first"))
+    few = held.select("node", "scheme", "held")
+    pairs = (pairs.join(promised, "scheme")
+             .join(few.withColumnsRenamed({"node": "a", "held": "ha"}), ["a", "scheme"], "left")
+             .join(few.withColumnsRenamed({"node": "b", "held": "hb"}), ["b", "scheme"], "left")
+             .filter("shared + least(coalesce(ha, 0), coalesce(hb, 0)) >= least")
+             .groupBy("a", "b").agg(F.max("first").alias("first")))
+    pairs = common.cut(pairs, "jaccard-candidates")
+    # pairs with a fingerprint's first node connect most groups by themselves
+    links = verify.links(pairs.filter("first > 0"))
     comp = common.cut(classes(info, links), "jaccard-classes")
-    more = verify.links(across(pairs(REST).distinct(), comp))
+    more = verify.links(across(pairs.filter("first = 0"), comp))
     if more.limit(1).count():
         links = links.union(more)
         comp = common.cut(classes(info, links), "jaccard-classes")
     # hot fingerprints, for nodes that hold as many as a pair may share at least
-    member = m.filter(F.col("kind") == SHARED).select("key", "node", "scheme").distinct()
-    promised = doc.select(F.explode(F.array(
-        F.struct("scheme", "spare"),
-        F.struct((F.col("scheme") + 1).alias("scheme"), F.col("spare_up").alias("spare")))).alias("s"))
-    promised = promised.select("s.*").filter("spare IS NOT NULL").groupBy(
-        F.col("scheme").alias("of")).agg(F.min("spare").alias("least"))
-    held = member.groupBy(F.col("node").alias("holder"), F.col("scheme").alias("held_in")).agg(
-        F.count(F.lit(1)).alias("held"))
-    held = held.join(F.broadcast(promised), F.col("held_in") == F.col("of")).filter("held >= least")
-    hot = common.cut(member.join(held, (F.col("node") == F.col("holder"))
-                                 & (F.col("scheme") == F.col("held_in"))).select("key", "node"),
+    hot = common.cut(member.join(held.filter("held >= least").select("node", "scheme"),
+                                 ["node", "scheme"], "left_semi").select("key", "node"),
                      "jaccard-hot")
     largest = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     low, high = 0, 1
