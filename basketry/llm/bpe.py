@@ -26,9 +26,10 @@ from basketry.llm import common
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Known words and known pairs kept by one Python worker.
-WORDS, PAIRS = 400_000, 2_000_000
-#: Words at least this long are not remembered.
+WORDS, PAIRS = 1_000_000, 2_000_000
+#: Words at least this long are not remembered, and merged with a heap.
 LONG = 64
+NEVER = 1 << 40
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -59,10 +60,12 @@ class Vocabulary:
         for rank, m in enumerate(data["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        self.ranks = {pair: rank for pair, (rank, _) in self.merges.items()}
+        self.made = {rank: new for rank, new in self.merges.values()}
         self.single = [self.ids[bytes([b])] for b in range(256)]
         self.longest: dict[bytes, int] = {}
         for b in self.ids:
-            self.longest[b[:2]] = max(self.longest.get(b[:2], 1), len(b))
+            self.longest[b[:3]] = max(self.longest.get(b[:3], 1), len(b))
         self.split = regex.compile(PATTERN)
         self.at_special = regex.compile(
             "(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")"
@@ -75,8 +78,8 @@ class Vocabulary:
         """The exact encoding: the merge of lowest rank first, leftmost first."""
         ids = [self.single[b] for b in word]
         n = len(ids)
-        if n < 2:
-            return ids
+        if n < LONG:
+            return self.merge_short(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         get = self.merges.get
         heap = []
@@ -104,11 +107,27 @@ class Vocabulary:
                     heapq.heappush(heap, (m[0], h, m[1], ids[h], new))
         return [t for t in ids if t >= 0]
 
+    def merge_short(self, ids: list[int]) -> list[int]:
+        rank = self.ranks.get
+        r = [rank(pair, NEVER) for pair in zip(ids, ids[1:])]
+        while r:
+            low = min(r)
+            if low == NEVER:
+                break
+            i = r.index(low)  # the leftmost of the lowest rank
+            ids[i] = self.made[low]
+            del ids[i + 1], r[i]
+            if i < len(r):
+                r[i] = rank((ids[i], ids[i + 1]), NEVER)
+            if i:
+                r[i - 1] = rank((ids[i - 1], ids[i]), NEVER)
+        return ids
+
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
         get, longest, out, i, n = self.ids.get, self.longest.get, [], 0, len(word)
         while i < n:
-            j = i + longest(word[i:i + 2], 1)
+            j = i + longest(word[i:i + 3], 2)
             t = get(word[i:j])
             while t is None:
                 j -= 1
@@ -199,20 +218,19 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def round_trip(docs: DataFrame, path: str, rows: int = 128) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, chars: int = 2_000_000) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids (little-endian unsigned
     32-bit integers) and decoded, the text that the ids decode to.
 
     Null text counts as empty: no tokens, empty text.  Repeated rows and null
     ids are encoded like any other; extra columns are ignored; an empty table
-    gives an empty result.  Texts are handled `rows` at a time.
+    gives an empty result.  About `chars` characters are handled at a time.
     """
     def run(batches):
         v = vocabulary(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, rows):
-                part = batch.slice(i, rows)
-                ids = v.encode_batch([t or "" for t in part.column(1).to_pylist()])
+            for part, texts in common.slices(batch, 1, chars):
+                ids = v.encode_batch(texts)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(b) // 4 for b in ids], pa.int64()),
                      pa.array(ids, pa.binary()),
