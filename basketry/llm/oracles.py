@@ -207,3 +207,27 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles,
        CASE WHEN len(s) = 0 THEN doc_id ELSE component_id END AS component_id
 FROM sets JOIN comp USING (c)
 """
+
+SQL["op2_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_dot_product(e, e) > 0
+), links AS (
+  SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e))
+        >= 0.98
+), reach AS (
+  SELECT r AS a, r AS b FROM v
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), comp AS (
+  SELECT reach.a AS r, min(vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY 1
+), n AS (
+  SELECT a AS r, count(*) AS n FROM links GROUP BY 1
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id,
+       vec_id = component_id AS kept
+FROM v JOIN comp USING (r) LEFT JOIN n USING (r)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, html, jaccard, langid, lm, mixing, quality, toxicity, urls
+from basketry.llm import bpe, embeddings, html, jaccard, langid, lm, mixing, quality, toxicity, urls
 from basketry.llm.oracles import SQL  # noqa: F401
 
 
@@ -21,6 +21,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -56,5 +60,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard_join, op3_url_filter, op4_toxicity, op5_mix_sources, op6_bpe_round_trip,
+    op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_url_filter, op4_toxicity, op5_mix_sources, op6_bpe_round_trip,
     op7_html_extraction, op8_language_id, op9_lm_scoring, op10_quality_rules)}
