@@ -471,3 +471,26 @@ def near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
         named, (F.col("node") == F.col("of_node")) & F.col("doc_id").isNotNull(), "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = N) -> DataFrame:
+    """The rows of `docs`, all columns as they are, but of each component only
+    the document of its smallest id.
+
+    Rows with a null id and documents without a word all stay; rows that
+    repeat an id and its text are one document.
+    """
+    found = common.cut(near_duplicates(docs, n), "jaccard-result")
+    drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
+    again = common.cut(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again")),
+        "jaccard-again")
+    drop = common.cut(drop, "jaccard-dropped")
+    if drop.count() <= BROADCAST_IDS:
+        drop = F.broadcast(drop)
+    kept = docs.join(drop, F.col("`doc_id`") == F.col("_dropped"), "left_anti")
+    if not again.limit(1).count():
+        return kept
+    on = F.col("`doc_id`") == F.col("_again")
+    return kept.join(again, on, "left_anti").union(
+        kept.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -240,10 +240,29 @@ def predict(docs: DataFrame, model: Model, size: int = 2_000_000) -> DataFrame:
         run, "doc_id long, lang_pred string, score double")
 
 
+def keep(docs: DataFrame, model: Model, least: float = 0.4, size: int = 2_000_000) -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose language the model
+    names with a score of `least` or more."""
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches):
+        for batch in batches:
+            for part, texts in common.slices(batch, at, size):
+                yield part.filter(pa.array([lang != UND and score >= least for lang, score
+                                            in model.predict(texts)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def usable_fold(doc_id: Column, folds: int = 4, held: int = 2) -> Column:
+    """Whether a row may be learned from."""
+    return F.coalesce(common.fold(doc_id, folds) != held, F.lit(False))
+
+
 def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score, learned only from documents outside
     the held-out fold; a row with a null id is neither learned nor held out."""
     f = common.fold(F.col("doc_id"), folds)
-    out = predict(docs, fit(docs, F.coalesce(f != held, F.lit(False))))
+    out = predict(docs, fit(docs, usable_fold(F.col("doc_id"), folds, held)))
     return out.select("doc_id", F.coalesce(f == held, F.lit(False)).alias("held_out"),
                       "lang_pred", "score")

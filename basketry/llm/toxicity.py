@@ -275,6 +275,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         run, "doc_id long, score double, evidence array<bigint>, similarity array<double>")
 
 
+def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of `docs`, all columns as they are, that score below `least`."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches):
+        m = shipped.value
+        terms = Terms(m.number)
+        for batch in batches:
+            for piece, texts in common.slices(batch, at, 2_000_000):
+                yield piece.filter(pa.array(
+                    [m.score(c)[0] < least for c in (count(terms, x) for x in texts)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence, similarity; labels of the
     held-out fold are never learned from."""
