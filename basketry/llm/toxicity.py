@@ -7,7 +7,7 @@ document frequencies, and the examples.  A text's TF-IDF vector is compared by
 exact cosine with every example through a block-max inverted index: examples
 stand in blocks, each term stores the largest weight it has in a block, blocks
 are visited by falling upper bound, and the visit ends when no bound can reach
-the K-th best cosine.  The K nearest vote, weighted by cosine and class size;
+the K-th best cosine.  The K nearest vote, weighted by cosine and class size, against the class shares;
 a logistic curve fitted to the examples' leave-one-out votes calibrates the
 score, and the nearest examples are returned as evidence.
 
@@ -27,11 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm import common
+from basketry.llm.jaccard import Words, shingles
 
 #: Labelled texts per class, terms kept, and how far beyond chance (standard
 #: deviations) a term's share must differ between the classes.
-PER_CLASS, VOCABULARY, BEYOND, LEAST = 3_000, 2_000, 5.0, 5
+PER_CLASS, VOCABULARY, BEYOND, LEAST = 3_000, 400, 5.0, 5
 K, BLOCK = 25, 64
+#: A neighbour counts by its cosine to this power; the class shares count like
+#: a neighbour of cosine one half.
+POWER = 4
+PRIOR = 0.5**POWER
 WORD = re.compile(r"\w+")
 
 
@@ -58,11 +63,12 @@ class Terms(dict):
 
 
 class Index:
-    """Examples (unit vectors as {term: weight}) in blocks, by term."""
+    """Examples (distinct unit vectors as {term: weight}) in blocks, by term;
+    `times` says how many labelled texts share a vector."""
 
-    def __init__(self, vectors: list[dict[int, float]]):
-        self.size = len(vectors)
-        self.blocks = -(-self.size // BLOCK)
+    def __init__(self, vectors: list[dict[int, float]], times: np.ndarray):
+        self.times = times
+        self.blocks = -(-len(vectors) // BLOCK)
         self.postings: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
         gathered: dict[tuple[int, int], list[tuple[int, float]]] = {}
         for i, v in enumerate(vectors):
@@ -77,50 +83,75 @@ class Index:
             for b, (_, weights) in by_block.items():
                 self.top[t][b] = weights.max()
 
-    def nearest(self, query: dict[int, float], k: int, leave_out: int = -1):
-        """The k examples of largest positive cosine, ties by place: (places, cosines)."""
+    def nearest(self, query: dict[int, float], k: int, times: np.ndarray | None = None):
+        """The examples (places, cosines) of the k labelled texts of largest
+        positive cosine, with all that tie with the k-th."""
+        times = self.times if times is None else times
         live = [(t, w) for t, w in query.items() if t in self.postings]
+        places, cosines, least = np.empty(0, int), np.empty(0), 0.0
         if not live:
-            return np.empty(0, int), np.empty(0)
+            return places, cosines
         bound = sum(w * self.top[t] for t, w in live)
-        places, cosines = np.empty(0, int), np.empty(0)
         for b in np.argsort(-bound, kind="stable").tolist():
-            # just below the bound's last digits, so that ties are never lost
-            if bound[b] <= 0 or (len(places) >= k and bound[b] < cosines[-1] - 1e-9):
+            if bound[b] <= 0 or bound[b] < least - 1e-9:
                 break
             score = np.zeros(BLOCK)
             for t, w in live:
                 if b in self.postings[t]:
                     rows, weights = self.postings[t][b]
                     score[rows] += w * weights
-            if leave_out // BLOCK == b:
-                score[leave_out % BLOCK] = 0
-            got = np.flatnonzero(score > 0)
+            got = np.flatnonzero(score > max(0.0, least - 1e-9))
+            got = got[times[got + b * BLOCK] > 0]
+            if not len(got):
+                continue
             places = np.concatenate((places, got + b * BLOCK))
             cosines = np.concatenate((cosines, score[got]))
-            order = np.lexsort((places, -np.round(cosines, 9)))[:k]
+            order = np.lexsort((places, -cosines))
             places, cosines = places[order], cosines[order]
+            upto = np.cumsum(times[places])
+            if upto[-1] >= k:
+                least = cosines[np.searchsorted(upto, k)]
+                keep = cosines >= least - 1e-9
+                places, cosines = places[keep], cosines[keep]
         return places, cosines
 
 
 class Model:
     def __init__(self, number: dict[str, int], idf: np.ndarray, ids: list[int],
-                 toxic: np.ndarray, counts: list[dict[int, int]], share: float):
-        """share: of toxic rows among all labelled rows, of which the examples
-        are a sample balanced otherwise."""
-        self.number, self.idf, self.ids, self.toxic = number, idf, ids, toxic
-        self.share = share
-        n1 = max(1, int(toxic.sum()))
-        n0 = max(1, len(toxic) - n1)
-        self.weight = np.where(toxic == 1, share / n1, (1 - share) / n0) * len(toxic)
-        vectors = [self.vector(c) for c in counts]
-        self.index = Index(vectors)
-        votes = [self.vote(*self.index.nearest(v, K, i)) for i, v in enumerate(vectors)]
-        lone = np.array([v is None for v in votes], bool)
-        mass, hit = self.weight[lone].sum(), self.weight[lone] @ toxic[lone]
-        self.otherwise = float((hit + share) / (mass + 1))  # texts without a neighbour
-        self.a, self.b = self.calibrate(np.array([v for v in votes if v is not None]),
-                                        toxic[~lone], self.weight[~lone])
+                 toxic: list[int], counts: list[dict[int, int]], share: float):
+        """share: of toxic rows among all labelled rows; the examples are a
+        sample with another balance, which their weights undo."""
+        self.number, self.idf, self.share = number, idf, share
+        examples: dict[frozenset, list] = {}
+        for i, y, c in zip(ids, toxic, counts):
+            e = examples.setdefault(frozenset(c.items()), [[0, 0], []])
+            e[0][y] += 1
+            e[1].append(i)
+        kinds = sorted(examples, key=lambda k: sorted(k))
+        self.texts = np.array([examples[k][0] for k in kinds], int).reshape(-1, 2)
+        self.ids = [sorted(examples[k][1])[:3] for k in kinds]
+        vectors = [self.vector(dict(k)) for k in kinds]
+        total = np.maximum(1, self.texts.sum(axis=0))
+        self.weight = np.array([1 - share, share]) / total * total.sum()
+        self.index = Index(vectors, self.texts.sum(axis=1))
+        votes, toxics, weights = [], [], []
+        lone = np.zeros(2)
+        for i, v in enumerate(vectors):
+            for y in (0, 1):  # an example is not its own neighbour
+                if not self.texts[i, y]:
+                    continue
+                self.texts[i, y] -= 1
+                vote = self.vote(*self.index.nearest(v, K, self.texts.sum(axis=1)))
+                self.texts[i, y] += 1
+                w = self.weight[y] * self.texts[i, y]
+                if vote is None:
+                    lone[y] += w
+                else:
+                    votes.append(vote)
+                    toxics.append(y)
+                    weights.append(w)
+        self.otherwise = float((lone[1] + share) / (lone.sum() + 1))  # without a neighbour
+        self.a, self.b = calibrate(np.array(votes), np.array(toxics), np.array(weights))
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
         v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
@@ -130,38 +161,47 @@ class Model:
     def vote(self, places, cosines) -> float | None:
         if not len(places):
             return None
-        w = cosines * self.weight[places]
-        return float(w @ self.toxic[places] / w.sum())
-
-    @staticmethod
-    def logit(vote):
-        v = np.clip(vote, 0.001, 0.999)
-        return np.log(v / (1 - v))
-
-    def calibrate(self, votes, toxic, weight) -> tuple[float, float]:
-        """Logistic curve of the vote's log-odds by a few Newton steps with a
-        weak pull to the identity; never falling."""
-        a, b = 1.0, 0.0
-        if len(votes) and 0 < toxic.sum() < len(toxic):
-            x = self.logit(votes)
-            for _ in range(30):
-                p = 1 / (1 + np.exp(-(a * x + b)))
-                s = weight * p * (1 - p)
-                g = np.array([weight * (toxic - p) @ x - (a - 1), (weight * (toxic - p)).sum() - b])
-                h = np.array([[s @ (x * x) + 1, s @ x], [s @ x, s.sum() + 1]])
-                step = np.linalg.solve(h, g)
-                a, b = a + step[0], b + step[1]
-                if abs(step).max() < 1e-9:
-                    break
-        return max(float(a), 1e-3), float(b)
+        clean, toxic = cosines**POWER @ (self.texts[places] * self.weight)
+        return float((toxic + PRIOR * self.share) / (clean + toxic + PRIOR))
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[int], list[float]]:
         places, cosines = self.index.nearest(self.vector(counts), K) if counts else ([], [])
         v = self.vote(places, cosines) if len(places) else None
         if v is None:
             return self.otherwise, [], []
-        p = 1 / (1 + math.exp(-(self.a * float(self.logit(v)) + self.b)))
-        return p, [self.ids[i] for i in places[:3]], [float(c) for c in cosines[:3]]
+        p = 1 / (1 + math.exp(-(self.a * float(log_odds(v)) + self.b)))
+        near = [(i, float(c)) for p_, c in zip(places[:3].tolist(), cosines) for i in self.ids[p_]][:3]
+        return p, [i for i, _ in near], [c for _, c in near]
+
+
+def log_odds(vote):
+    v = np.clip(vote, 0.001, 0.999)
+    return np.log(v / (1 - v))
+
+
+def calibrate(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic curve over the votes' log-odds: damped
+    Newton steps from the identity, with a pull to it; the slope stays positive."""
+    if not len(votes) or toxic.min() == toxic.max():
+        return 1.0, 0.0
+    x = np.stack((log_odds(votes), np.ones(len(votes))))
+    start = np.array([1.0, 0.0])
+
+    def loss(ab):
+        z = ab @ x
+        return weight @ (np.logaddexp(0, z) - toxic * z) + ((ab - start) ** 2).sum() / 2
+
+    ab = start
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(ab @ x, -30, 30)))
+        gradient = x @ (weight * (p - toxic)) + (ab - start)
+        step = np.linalg.solve((x * (weight * p * (1 - p))) @ x.T + np.eye(2), gradient)
+        while loss(ab - step) > loss(ab) and abs(step).max() > 1e-9:
+            step = step / 2
+        if abs(step).max() <= 1e-9:
+            break
+        ab = ab - step
+    return max(float(ab[0]), 0.05), float(ab[1])
 
 
 def labels_of(labels: DataFrame) -> DataFrame:
@@ -181,14 +221,29 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(n.values())
     if not total:
-        return Model({}, np.empty(0), [], np.empty(0, int), [], 0.0)
+        return Model({}, np.empty(0), [], [], [], 0.0)
     part = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000))
     limit = F.create_map(*[F.lit(x) for c, k in n.items()
                            for x in (c, int(1e6 * min(1.0, per_class / k)) + 1)])
     chosen = known.filter(part < limit[F.col("toxic")])
-    # bounded by the sample: about two times per_class rows of two numbers
-    sample = common.cut(common.only(docs, doc_id="long", text="string")
-                        .join(F.broadcast(chosen), "doc_id"), "toxic-sample")
+    def sketched(batches):
+        words = Words()
+        for batch in batches:
+            for piece, texts in common.slices(batch, 1, 2_000_000):
+                sets = [shingles(x, words) for x in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [*piece.columns, pa.array([int(g[0]) - 2**63 if len(g) else None for g in sets],
+                                              pa.int64())],
+                    names=["doc_id", "text", "toxic", "sketch"])
+
+    # bounded by the sample: about two times per_class rows of two numbers;
+    # texts of one class with the same least shingle, copies mostly, count once
+    sample = (common.only(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id")
+              .select("doc_id", "text", "toxic")
+              .mapInArrow(sketched, "doc_id long, text string, toxic int, sketch long")
+              .groupBy("toxic", "sketch").agg(F.min(F.struct("doc_id", "text")).alias("x"))
+              .select("x.doc_id", "x.text", "toxic"))
+    sample = common.cut(sample, "toxic-sample")
 
     def sets(batches):
         for batch in batches:
@@ -231,8 +286,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER
         vectors, "doc_id long, toxic int, terms array<int>, times array<int>").collect()
     got.sort(key=lambda r: (r["doc_id"], r["terms"], r["times"]))
     return Model(number, idf, [r["doc_id"] for r in got],
-                 np.array([r["toxic"] for r in got], int),
-                 [dict(zip(r["terms"], r["times"])) for r in got], n.get(1, 0) / total)
+                 [r["toxic"] for r in got], [dict(zip(r["terms"], r["times"])) for r in got],
+                 n.get(1, 0) / total)
 
 
 def count(terms: Terms, text: str) -> Counter:
