@@ -71,6 +71,7 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None,
                     conf=extra).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
