@@ -29,6 +29,8 @@ ALPHA = 4.0
 #: Where the counts of each length start: 1, 2 (exact), 3, 4 (hashed).
 STARTS = (0, 256, 256 + 65536, 256 + 65536 + SLOTS)
 SIZE = STARTS[3] + SLOTS
+#: Target ids that are broadcast (8 bytes each); beyond it they are joined.
+BROADCAST_IDS = 1_000_000
 #: Bytes that are counted or scored together.
 CHUNK = 1 << 20
 
@@ -166,6 +168,9 @@ def difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     `target`.  Rows with a null id are background."""
     t = (common.only(target, doc_id="long").filter("doc_id IS NOT NULL").distinct()
          .withColumnRenamed("doc_id", "target_id"))
+    t = common.cut(t, "lm-target")
+    if t.count() <= BROADCAST_IDS:
+        t = F.broadcast(t)
     d = common.only(docs, doc_id="long", text="string")
     marked = d.join(t, F.col("doc_id") == F.col("target_id"), "left").select(
         F.col("target_id").isNotNull().alias("is_target"), "text")
