@@ -42,6 +42,7 @@ NAMES = frozenset(
     "sharing social related recommended newsletter subscribe signup login popup modal "
     "overlay widget pagination pager toolbar disqus".split())
 WORDS = re.compile(r"[a-z]+")
+UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 #: Gaussian of the smoothing over neighbouring lines, and the threshold's
 #: share of the standard deviation.
 SIGMA, RADIUS, SHARE = 1.0, 2, 0.8
@@ -122,6 +123,8 @@ class Lines(HTMLParser):
 def lines_of(html: str) -> list[tuple[str, int, int]]:
     parser = Lines()
     parser.feed(html)
+    if UNFINISHED.match(parser.rawdata):
+        parser.rawdata = ""  # a tag or comment that the page's end cuts off
     parser.close()
     parser.end_line()
     return parser.lines
@@ -135,8 +138,10 @@ def main_text(html: str) -> str:
         weight = np.convolve(np.ones(len(lines)), KERNEL)[RADIUS:-RADIUS]
         smooth = np.convolve(ratio, KERNEL)[RADIUS:-RADIUS] / weight
         cut = min(SHARE * smooth.std(), smooth.max())
-        content = {s for (_, _, s), v in zip(lines, smooth.tolist()) if v >= cut}
-        lines = [x for x in lines if x[2] in content]
+        # above the threshold, and not by its neighbours' text alone
+        above = (smooth >= cut) & (ratio >= cut / 4)
+        content = {x[2] for x, up in zip(lines, above.tolist()) if up}
+        lines = [x for x in lines if x[2] in content or not content]
     return "\n".join(t for t, _, _ in lines)
 
 

@@ -74,15 +74,10 @@ def rates(sizes: DataFrame, weights: dict[str, float] | None = None,
         "a -> a.cdf)").alias("cdf"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 2.0,
-        total: float | None = None, seed: int = 17) -> DataFrame:
-    """The input's columns, then n_copies, copy (1..n_copies) and shuffle_key.
-
-    Rows with a null id share the hash of the word null, repeated rows of one
-    id share that id's count.  Null sources are a source of their own.  An
-    empty table gives an empty result; input columns named like the added ones
-    are replaced.
-    """
+def drawn(docs: DataFrame, weights: dict[str, float] | None, temperature: float,
+          total: float | None, seed: int) -> DataFrame:
+    """The copies in their global random order: the input's columns, _mix_n,
+    _mix_copy and _mix_key."""
     r = rates(common.cut(sizes(docs), "mix-sizes"), weights, temperature, total)
     r = common.cut(r, "mix-rates")
     r = r.select(F.col("source").alias("_mix_source"), F.col("parts").alias("_mix_parts"),
@@ -103,7 +98,27 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     j = j.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))))
     key = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(
         id_.cast("string"), F.lit("null")), F.col("_mix_copy")).cast("binary")), 1, 16)
-    out = common.replace_columns(j, n_copies=F.col("_mix_n"), copy=F.col("_mix_copy"),
-                                 shuffle_key=key)
-    out = out.select([c for c in out.columns if not c.startswith("_mix_")])
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    j = j.withColumn("_mix_key", key).select(
+        *[F.col(f"`{c}`") for c in docs.columns], "_mix_n", "_mix_copy", "_mix_key")
+    return j.repartition("_mix_key").sortWithinPartitions("_mix_key")
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 2.0,
+        total: float | None = None, seed: int = 17) -> DataFrame:
+    """The input's columns, then n_copies, copy (1..n_copies) and shuffle_key.
+
+    Rows with a null id share the hash of the word null, repeated rows of one
+    id share that id's count.  Null sources are a source of their own.  An
+    empty table gives an empty result; input columns named like the added ones
+    are replaced.
+    """
+    out = common.replace_columns(drawn(docs, weights, temperature, total, seed),
+                                 n_copies=F.col("_mix_n"), copy=F.col("_mix_copy"),
+                                 shuffle_key=F.col("_mix_key"))
+    return out.drop("_mix_n", "_mix_copy", "_mix_key")
+
+
+def repeated(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 2.0,
+             total: float | None = None, seed: int = 17) -> DataFrame:
+    """As `mix`, with the input's columns only, all as they are."""
+    return drawn(docs, weights, temperature, total, seed).drop("_mix_n", "_mix_copy", "_mix_key")
