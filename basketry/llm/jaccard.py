@@ -12,14 +12,18 @@ over their bits of a hash per bit) are shuffled and joined on.
 
 Equal sets are one node, so exact copies cost one row.  Fingerprints shared
 by more than RUN nodes are hot (copies of one text, passages that many texts
-share).  Since a pair shares c fingerprints or more, two nodes are candidates
-only if they share c in all, hot ones included, and a node with fewer than c
-hot ones needs none of them for that; only nodes with more are compared over
-hot fingerprints, in rounds: a few hubs against all, then only nodes that are
-in different components by then, with eight times the hubs, until every pair
-has been compared or is connected.  Every candidate pair is verified on the
-exact shingle sets.  No link between components is lost, and no round emits
-all pairs of a group.
+share).  A pair must share as many fingerprints as its sets' sizes promise,
+hot ones included; most pairs are dropped by that count alone.  A node with
+fewer than c hot fingerprints needs none of them.  The other nodes, few, are
+compared among each other once more, on all their parts in a new global order,
+rare parts first, so that shared passages come last and are not reached.  What
+is hot even then (near copies) is compared in rounds: one hub per fingerprint
+against all, then, only between nodes in different components by then, eight
+times as many, until every pair has been compared or is connected.
+
+Every candidate pair is verified on the exact shingle sets, first each node's
+best partner, then only pairs between components.  No link between components
+is lost, and no stage emits all pairs of a group.
 
 Hot fingerprints are split at the map side: a task's own hot runs go to any
 partition, and only a mark goes to the fingerprint's.  Everything between
@@ -31,7 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm import common
@@ -47,7 +51,7 @@ MORE = 24
 #: Nodes that may share a fingerprint before it counts as hot.
 RUN = 16
 #: Fingerprints that a task sorts and sends together.
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 #: Ids of candidate documents that are broadcast (8 bytes each); beyond it
 #: their texts are found by a shuffled join.
 BROADCAST_IDS = 1_000_000
@@ -64,7 +68,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words(dict):
     """word -> 64-bit hash; remembers up to LIMIT words."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -112,10 +116,11 @@ def schemes(n: int):
         yield b + 1, (n + most) // 7
 
 
-def fingerprints(grams: np.ndarray, scheme: int, d: int, single: bool) -> tuple[np.ndarray, int]:
-    """The fingerprints of the first D + c non-empty parts, and how many of
-    them every partner shares at least."""
-    want = d + surplus(scheme)
+def fingerprints(grams: np.ndarray, scheme: int, d: int, single: bool,
+                 want: int | None = None) -> tuple[np.ndarray, int]:
+    """The fingerprints of the first D + c (or `want`) non-empty parts, and how
+    many of them every partner shares at least."""
+    want = d + surplus(scheme) if want is None else want
     if single or BASE**(scheme + 1) <= SMALL:
         part, z = grams[:want], mix(grams[:want])
     else:
@@ -249,9 +254,8 @@ def counted(*columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
 
 def matcher(buckets: int):
     """Reduce side: DOC rows as they are; per fingerprint its pairs of nodes
-    (PAIR, summed over the partition: n times in a scheme, of them `spare`
-    with the fingerprint's first node), or its members if it is hot (SHARED).
-    A partition holds whole parts."""
+    (PAIR, n times in a scheme, summed over the partition), or its members if
+    it is hot (SHARED).  A partition holds whole parts."""
     def run(batches):
         full, nodes = [], []
         for batch in batches:
@@ -283,7 +287,7 @@ def matcher(buckets: int):
         key = full[members].astype(np.int64)
         yield from in_pieces(SHARED, key=key, node=nodes[members],
                              scheme=((key >> 32) // buckets).astype(np.int32))
-        left, right, scheme, first = [], [], [], []
+        left, right, scheme = [], [], []
         of = ((full[start] >> U(32)) // U(buckets)).astype(np.int64)
         for m in range(2, RUN + 1):
             at = np.flatnonzero(~hot & (size == m))
@@ -292,38 +296,38 @@ def matcher(buckets: int):
             left.append(rows[:, i].ravel())
             right.append(rows[:, j].ravel())
             scheme.append(np.repeat(of[at], len(i)))
-            first.append(np.tile((i == 0).astype(np.int64), len(at)))
-        a, b, scheme, first, times = counted(left, right, scheme, first)
-        yield from in_pieces(PAIR, node=a, other=b, scheme=scheme, n=times, spare=times * first)
+        a, b, scheme, times = counted(left, right, scheme)
+        yield from in_pieces(PAIR, node=a, other=b, scheme=scheme, n=times)
 
     return run
 
 
 def hub_pairs(low: int, high: int):
-    """(key, node, component): per hot fingerprint, pairs of its low-th to
-    high-th nodes with every later node of another component."""
+    """(key, node, n, component): per fingerprint, pairs of its low-th to
+    high-th nodes with every later node of another component and a size that
+    can be similar; with the number of fingerprints, summed over the partition."""
     def run(batches):
         table = pa.Table.from_batches(list(batches))
         if not table.num_rows:
             return
-        key, node, comp = (table.column(c).to_numpy() for c in ("key", "node", "component"))
+        key, node, n, comp = (table.column(c).to_numpy() for c in ("key", "node", "n", "component"))
         order = np.lexsort((node, key))
-        key, node, comp = key[order], node[order], comp[order]
+        key, node, n, comp = key[order], node[order], n[order], comp[order]
         at = runs(key)
         a, b = [], []
         for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
             c = comp[s:e]
             if e - s > low + 1 and (c != c[0]).any():
                 for h in range(s + low, min(s + high, e)):
-                    other = node[h + 1:e][comp[h + 1:e] != comp[h]]
-                    a.append(np.full(len(other), node[h]))
-                    b.append(other)
-            if sum(map(len, a)) > 2_000_000:
-                a, b = ([x] for x in counted(a, b)[:2])
-        a, b, _ = counted(a, b)
+                    later = slice(h + 1, e)
+                    fits = (comp[later] != comp[h]) & (4 * np.minimum(n[later], n[h])
+                                                       >= 3 * np.maximum(n[later], n[h]))
+                    b.append(node[later][fits])
+                    a.append(np.full(len(b[-1]), node[h]))
+        a, b, shared = counted(a, b)
         for i in range(0, len(a), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[i:i + 100_000]), pa.array(b[i:i + 100_000])],
-                                             names=["a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[i:i + 100_000]) for x in (a, b, shared)], names=["a", "b", "shared"])
 
     return run
 
@@ -355,12 +359,7 @@ class Verifier:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """(a, b) -> the distinct pairs with 4 * intersection >= 3 * union."""
-        size = self.info.select("node", "n")
-        p = (pairs.select("a", "b").distinct()
-             .join(size.withColumnsRenamed({"node": "a", "n": "na"}), "a")
-             .join(size.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
-             .filter("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b"))
-        p = common.cut(p, "jaccard-pairs")
+        p = common.cut(pairs.select("a", "b").distinct(), "jaccard-pairs")
         g = common.cut(self.grams(p.select(F.explode(F.array("a", "b")).alias("node")).distinct()),
                        "jaccard-sets")
 
@@ -377,6 +376,56 @@ class Verifier:
         p = p.join(g.withColumnsRenamed({"node": "b", "grams": "y"}), "b").select("a", "b", "x", "y")
         return common.cut(p.mapInArrow(run, "a long, b long").distinct(), "jaccard-links")
 
+    def parts(self, nodes: DataFrame, single: bool) -> DataFrame:
+        """(node) -> key, node, scheme, d: all non-empty parts in all schemes."""
+        ids = common.cut(nodes.join(self.info, "node").select("doc_id"), "jaccard-ids")
+        n = self.n
+        if ids.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+
+        def run(batches):
+            words = Words()
+            for batch in batches:
+                for _, texts in common.slices(batch, 1, 2_000_000):
+                    for g in (shingles(t, words, n) for t in texts):
+                        for scheme, d in schemes(len(g)) if len(g) else ():
+                            keys, _ = fingerprints(g, scheme, d, single, len(g))
+                            m = len(keys)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(keys.astype(np.int64)), pa.array(np.full(m, node_of(g))),
+                                 pa.array(np.full(m, scheme, np.int32)), pa.array(np.full(m, d, np.int32))],
+                                names=["key", "node", "scheme", "d"])
+
+        return self.docs.join(ids, "doc_id", "left_semi").mapInArrow(
+            run, "key long, node long, scheme int, d int").distinct()
+
+
+class Linked:
+    """The links found so far, and the components they make."""
+
+    def __init__(self, verify: Verifier):
+        self.verify, self.links = verify, None
+        self.comp = verify.info.select("node", F.col("node").alias("component"))
+
+    def add(self, links: DataFrame) -> None:
+        if links.limit(1).count():
+            self.links = links if self.links is None else self.links.union(links)
+            self.comp = common.cut(classes(self.verify.info, self.links), "jaccard-classes")
+
+    def connect(self, pairs: DataFrame) -> None:
+        """(a, b, shared): verify each node's best partner, then what is left
+        between components."""
+        pairs = common.cut(pairs, "jaccard-candidates")
+        best = None
+        for one, other in (("a", "b"), ("b", "a")):
+            top = pairs.groupBy(one).agg(F.max(F.struct("shared", other)).alias("x")).select(
+                one, F.col(f"x.{other}").alias(other)).select("a", "b")
+            best = top if best is None else best.union(top)
+        self.add(self.verify.links(best))
+        left = common.cut(across(pairs, self.comp), "jaccard-across")
+        if left.limit(1).count():
+            self.add(self.verify.links(left))
+
 
 def classes(info: DataFrame, links: DataFrame) -> DataFrame:
     """node -> component, for every node."""
@@ -392,6 +441,32 @@ def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter("ca <> cb").select("a", "b")
 
 
+def compare_hot(verify: Verifier, linked: Linked, hot: DataFrame, single: bool) -> None:
+    """Compare the hot nodes with each other, rare parts first."""
+    parts = common.cut(verify.parts(hot, single), "jaccard-parts")
+    often = parts.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("often"))
+    # a window holds one node's parts in one scheme
+    order = Window.partitionBy("node", "scheme").orderBy("often", "key")
+    first = (parts.join(often.filter("often > 1"), F.col("key") == F.col("of"), "left")
+             .withColumn("often", F.coalesce("often", F.lit(1)))
+             .withColumn("at", F.row_number().over(order))
+             .filter("at <= d + 1 AND often > 1").select("key", "node"))
+    first = common.cut(first.join(verify.info.select("node", "n"), "node"), "jaccard-first")
+    largest = first.groupBy("key").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0
+    low, high = 0, 1
+    while low < largest - 1:
+        c = first.join(linked.comp, "node")
+        open_ = c.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter(
+            "x <> y").select("key")
+        c = common.cut(c.join(open_, "key", "left_semi"), "jaccard-open")
+        if not c.limit(1).count():
+            break
+        pairs = c.select("key", "node", "n", "component").repartition("key").mapInArrow(
+            hub_pairs(low, high), "a long, b long, shared long")
+        linked.connect(pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared")))
+        low, high = high, high * 8
+
+
 def near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
@@ -407,64 +482,51 @@ def near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
         sent = d.mapInArrow(emitter(buckets, single, n), EMITTED).repartition("part")
         return common.cut(sent.mapInArrow(matcher(buckets), JOINED), "jaccard")
 
-    m = matched(False)
+    single = False
+    m = matched(single)
     spares = F.least("spare", F.coalesce("spare_up", "spare"))
     if m.filter(F.col("kind") == DOC).filter(spares < 1).limit(1).count():
         # a sketch with too few non-empty parts to promise a match (practically
         # never): all sets again, with every shingle a part of its own
-        m = matched(True)
+        single = True
+        m = matched(single)
     doc = m.filter(F.col("kind") == DOC)
     info = common.cut(doc.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "jaccard-nodes")
     verify = Verifier(d, info, n)
-    # per scheme, how many fingerprints any pair shares at least (a row a scheme)
-    promised = doc.select(F.explode(F.array(
+    linked = Linked(verify)
+    # what is sent of a node in a scheme: its size, how many fingerprints, and
+    # how many of them any partner shares at least
+    sent = doc.filter("node IS NOT NULL AND doc_id IS NOT NULL").select("node", "n", F.explode(F.array(
         F.struct("scheme", "spare"),
         F.struct((F.col("scheme") + 1).alias("scheme"), F.col("spare_up").alias("spare")))).alias("s"))
-    promised = promised.select("s.*").filter("spare IS NOT NULL").groupBy("scheme").agg(
-        F.min("spare").alias("least"))
-    promised = F.broadcast(common.cut(promised, "jaccard-schemes"))
+    most = F.least(F.floor(F.col("n") * 4 / 3), F.pow(F.lit(BASE), F.col("s.scheme") + 1) - 1)
+    sent = (sent.filter("s.spare IS NOT NULL").select(
+        "node", "n", "s.scheme", "s.spare",
+        (F.col("s.spare") + F.floor((F.col("n") + most) / 7)).alias("e"))
+        .dropDuplicates(["node", "scheme"]))
     member = m.filter(F.col("kind") == SHARED).select("key", "node", "scheme").distinct()
     member = common.cut(member, "jaccard-members")
     held = member.groupBy("node", "scheme").agg(F.count(F.lit(1)).alias("held"))
-    held = common.cut(held.join(promised, "scheme"), "jaccard-held")
+    sent = common.cut(sent.join(held, ["node", "scheme"], "left").fillna(0, ["held"]), "jaccard-sent")
+    side = lambda x: sent.select(
+        F.col("node").alias(x), "scheme", *[F.col(c).alias(c + x) for c in ("n", "e", "held")])
     pairs = m.filter(F.col("kind") == PAIR).groupBy(
-        F.col("node").alias("a"), F.col("other").alias("b"), "scheme").agg(
-        F.sum("n").alias("shared"), F.sum("spare").alias("first"))
-    few = held.select("node", "scheme", "held")
-    pairs = (pairs.join(promised, "scheme")
-             .join(few.withColumnsRenamed({"node": "a", "held": "ha"}), ["a", "scheme"], "left")
-             .join(few.withColumnsRenamed({"node": "b", "held": "hb"}), ["b", "scheme"], "left")
-             .filter("shared + least(coalesce(ha, 0), coalesce(hb, 0)) >= least")
-             .groupBy("a", "b").agg(F.max("first").alias("first")))
-    pairs = common.cut(pairs, "jaccard-candidates")
-    # pairs with a fingerprint's first node connect most groups by themselves
-    links = verify.links(pairs.filter("first > 0"))
-    comp = common.cut(classes(info, links), "jaccard-classes")
-    more = verify.links(across(pairs.filter("first = 0"), comp))
-    if more.limit(1).count():
-        links = links.union(more)
-        comp = common.cut(classes(info, links), "jaccard-classes")
-    # hot fingerprints, for nodes that hold as many as a pair may share at least
-    hot = common.cut(member.join(held.filter("held >= least").select("node", "scheme"),
-                                 ["node", "scheme"], "left_semi").select("key", "node"),
-                     "jaccard-hot")
-    largest = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    low, high = 0, 1
-    while low < largest - 1:
-        c = hot.join(comp, "node")
-        open_ = c.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter(
-            "x <> y").select("key")
-        c = common.cut(c.join(open_, "key", "left_semi"), "jaccard-open")
-        if not c.limit(1).count():
-            break
-        more = verify.links(c.select("key", "node", "component").repartition("key").mapInArrow(
-            hub_pairs(low, high), "a long, b long"))
-        if more.limit(1).count():
-            links = links.union(more)
-            comp = common.cut(classes(info, links), "jaccard-classes")
-        low, high = high, high * 8
+        F.col("node").alias("a"), F.col("other").alias("b"), "scheme").agg(F.sum("n").alias("shared"))
+    # sets that differ in d shingles share all but d of the shorter list
+    linked.connect(
+        pairs.join(side("a"), ["a", "scheme"]).join(side("b"), ["b", "scheme"])
+        .filter("4 * least(na, nb) >= 3 * greatest(na, nb) AND "
+                "shared + least(helda, heldb) >= least(ea, eb) - floor((na + nb) / 7)")
+        .groupBy("a", "b").agg(F.max("shared").alias("shared")))
+    # nodes with as many hot fingerprints as some pair may share at least
+    promised = sent.groupBy("scheme").agg(F.min("spare").alias("least"))  # a row a scheme
+    hot = common.cut(sent.join(F.broadcast(promised), "scheme").filter("held >= least")
+                     .select("node").distinct(), "jaccard-hot")
+    if hot.limit(1).count():
+        compare_hot(verify, linked, hot, single)
     # from nodes to documents: a component is named by its smallest id
+    comp = linked.comp
     named = (info.join(comp, "node").groupBy("component").agg(F.min("doc_id").alias("component_id")))
     named = comp.join(named, "component").select(F.col("node").alias("of_node"), "component_id")
     return doc.select("doc_id", "n", "node").join(
