@@ -2,7 +2,7 @@
 
 Terms are words and their beginnings of three to eight characters.  A bounded sample
 of labelled texts (at most about PER_CLASS of each class, by a hash of the id)
-gives the vocabulary (terms that go with a class far beyond chance), inverse
+gives the vocabulary (terms that go with toxic texts far beyond chance), inverse
 document frequencies, and the examples.  A text's TF-IDF vector is compared by
 exact cosine with every example through a block-max inverted index: examples
 stand in blocks, each term stores the largest weight it has in a block, blocks
@@ -30,9 +30,9 @@ from basketry.llm import common
 from basketry.llm.jaccard import Words, shingles
 
 #: Labelled texts per class, terms kept, and how far beyond chance (standard
-#: deviations) a term's share must differ between the classes.
+#: deviations) a term's share must be larger among toxic texts.
 PER_CLASS, VOCABULARY, BEYOND, LEAST = 3_000, 400, 5.0, 5
-K, BLOCK = 25, 64
+K, BLOCK = 25, 256
 #: A neighbour counts by its cosine to this power; the class shares count like
 #: a neighbour of cosine one half.
 POWER = 4
@@ -64,42 +64,48 @@ class Terms(dict):
 
 class Index:
     """Examples (distinct unit vectors as {term: weight}) in blocks, by term;
-    `times` says how many labelled texts share a vector."""
+    `times` says how many labelled texts share a vector.
+
+    A block keeps its terms' weights as rows over its examples; `top` holds a
+    term's largest weight in each block, `row` its row there (-1: none)."""
 
     def __init__(self, vectors: list[dict[int, float]], times: np.ndarray):
         self.times = times
-        self.blocks = -(-len(vectors) // BLOCK)
-        self.postings: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
-        gathered: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                gathered.setdefault((t, i // BLOCK), []).append((i % BLOCK, w))
-        for (t, b), pairs in gathered.items():
-            rows, weights = zip(*pairs)
-            self.postings.setdefault(t, {})[b] = (np.array(rows), np.array(weights))
-        self.top = {}  # term -> largest weight in every block
-        for t, by_block in self.postings.items():
-            self.top[t] = np.zeros(self.blocks)
-            for b, (_, weights) in by_block.items():
-                self.top[t][b] = weights.max()
+        self.number = {t: i for i, t in enumerate(sorted({t for v in vectors for t in v}))}
+        blocks = range(0, len(vectors), BLOCK)
+        self.top = np.zeros((len(self.number), len(blocks)))
+        self.row = np.full((len(self.number), len(blocks)), -1)
+        self.weights = []
+        for b, start in enumerate(blocks):
+            part = vectors[start:start + BLOCK]
+            terms = sorted({t for v in part for t in v})
+            at = {t: r for r, t in enumerate(terms)}
+            weights = np.zeros((len(terms), len(part)))
+            for i, v in enumerate(part):
+                for t, w in v.items():
+                    weights[at[t], i] = w
+            self.weights.append(weights)
+            if terms:
+                rows = [self.number[t] for t in terms]
+                self.row[rows, b] = np.arange(len(terms))
+                self.top[rows, b] = weights.max(axis=1)
 
     def nearest(self, query: dict[int, float], k: int, times: np.ndarray | None = None):
         """The examples (places, cosines) of the k labelled texts of largest
         positive cosine, with all that tie with the k-th."""
         times = self.times if times is None else times
-        live = [(t, w) for t, w in query.items() if t in self.postings]
+        live = [(self.number[t], w) for t, w in query.items() if t in self.number]
         places, cosines, least = np.empty(0, int), np.empty(0), 0.0
         if not live:
             return places, cosines
-        bound = sum(w * self.top[t] for t, w in live)
+        terms, weight = np.array([t for t, _ in live]), np.array([w for _, w in live])
+        bound = weight @ self.top[terms]
+        rows = self.row[terms]
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or bound[b] < least - 1e-9:
                 break
-            score = np.zeros(BLOCK)
-            for t, w in live:
-                if b in self.postings[t]:
-                    rows, weights = self.postings[t][b]
-                    score[rows] += w * weights
+            held = rows[:, b] >= 0
+            score = weight[held] @ self.weights[b][rows[held, b]]
             got = np.flatnonzero(score > max(0.0, least - 1e-9))
             got = got[times[got + b * BLOCK] > 0]
             if not len(got):
@@ -127,10 +133,13 @@ class Model:
             e = examples.setdefault(frozenset(c.items()), [[0, 0], []])
             e[0][y] += 1
             e[1].append(i)
-        kinds = sorted(examples, key=lambda k: sorted(k))
+        # alike examples side by side, by their heaviest terms, for tight blocks
+        weights = {k: self.vector(dict(k)) for k in examples}
+        kinds = sorted(examples, key=lambda k: [t for _, t in sorted(
+            (-w, t) for t, w in weights[k].items())])
         self.texts = np.array([examples[k][0] for k in kinds], int).reshape(-1, 2)
         self.ids = [sorted(examples[k][1])[:3] for k in kinds]
-        vectors = [self.vector(dict(k)) for k in kinds]
+        vectors = [weights[k] for k in kinds]
         total = np.maximum(1, self.texts.sum(axis=0))
         self.weight = np.array([1 - share, share]) / total * total.sum()
         self.index = Index(vectors, self.texts.sum(axis=1))
@@ -264,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER
     p = (F.col("x1") + F.col("x0")) / rows
     z = (F.col("x1") / max(1, n1) - F.col("x0") / max(1, n0)) / F.sqrt(
         p * (1 - p) * (1 / max(1, n1) + 1 / max(1, n0)) + 1e-12)
-    best = (df.filter(F.col("x1") + F.col("x0") >= LEAST).withColumn("z", F.abs(z))
+    best = (df.filter(F.col("x1") + F.col("x0") >= LEAST).withColumn("z", z)
             .filter(F.col("z") >= BEYOND).orderBy(F.desc("z"), "term").limit(VOCABULARY).collect())
     number = {r["term"]: i for i, r in enumerate(sorted(best, key=lambda r: r["term"]))}
     idf = np.zeros(len(number))
