@@ -1,14 +1,13 @@
-"""Consecutive id allocation without a single-partition window over big data.
+"""Consecutive id allocation without a single-partition window over data.
 
-``row_number()`` over an un-partitioned window moves every row into one task;
-that is only done for frames proven small by a bounded count.  Larger frames
-are range-partitioned on the ordering key, sorted inside each
-partition and written once to the reliable checkpoint directory, which fixes
-the partition layout (a lost executor re-reads the files instead of
-re-sampling range bounds).  A per-partition count (one row per partition, so
-its size is bounded by the partition count) gives each partition its offset;
+Rows are range-partitioned on the ordering key, sorted inside each partition
+and written once to the reliable checkpoint directory, which fixes the
+partition layout (a lost executor re-reads the files instead of re-sampling
+range bounds).  A per-partition count (one row per partition, so its size is
+bounded by the partition count) gives each partition its offset;
 ``monotonically_increasing_id`` then encodes (partition, position) and the
-final id is ``start + offset[partition] + position``.
+final id is ``start + offset[partition] + position``.  The checkpoint is the
+only job that building such a plan runs, whatever the size.
 """
 
 from __future__ import annotations
@@ -28,31 +27,15 @@ def _order_cols(order_by) -> list[Column]:
     return cols
 
 
-SMALL_ROWS = 100_000
-
-
 def consecutive_ids(df: DataFrame, order_by, id_col: str, start=1,
-                    partitions: int | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
+                    partitions: int | None = None) -> DataFrame:
     """Number the rows of ``df`` as ``start, start+1, ...`` in ``order_by`` order.
 
     ``order_by`` must be a total order over the rows for the ids to be
     deterministic.  ``start`` may be an int or a one-row DataFrame with a
     single column (e.g. a high-water mark + 1); it is never collected.
-
-    A frame proven to hold at most ``small_rows`` rows (``limit(n+1).count()``)
-    is numbered by one window in one task, with the start value as a scalar
-    subquery; anything larger takes the distributed path below.
     """
     cols = _order_cols(order_by)
-    if small_rows and df.limit(small_rows + 1).count() <= small_rows:
-        first = (start.select(start.columns[0]).scalar() if isinstance(start, DataFrame)
-                 else F.lit(int(start)))
-        return df.withColumn(id_col, (F.row_number().over(Window.orderBy(*cols)) - 1 + first)
-                             .cast("bigint"))
-    return _distributed_ids(df, cols, id_col, start, partitions)
-
-
-def _distributed_ids(df: DataFrame, cols: list, id_col: str, start, partitions) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     # Without an explicit count AQE may coalesce neighbouring ranges, which
     # keeps them contiguous and in order; the checkpoint then fixes the layout.

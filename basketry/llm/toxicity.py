@@ -33,6 +33,8 @@ from basketry.llm.jaccard import Words, shingles
 #: deviations) a term's share must be larger among toxic texts.
 PER_CLASS, VOCABULARY, BEYOND, LEAST = 3_000, 400, 5.0, 5
 K, BLOCK = 25, 256
+#: And how many times larger that share must be than among the others.
+LIFT = 3
 #: A neighbour counts by its cosine to this power; the class shares count like
 #: a neighbour of cosine one half.
 POWER = 4
@@ -274,7 +276,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER
     z = (F.col("x1") / max(1, n1) - F.col("x0") / max(1, n0)) / F.sqrt(
         p * (1 - p) * (1 / max(1, n1) + 1 / max(1, n0)) + 1e-12)
     best = (df.filter(F.col("x1") + F.col("x0") >= LEAST).withColumn("z", z)
-            .filter(F.col("z") >= BEYOND).orderBy(F.desc("z"), "term").limit(VOCABULARY).collect())
+            .filter((F.col("z") >= BEYOND)
+                    & (F.col("x1") / max(1, n1) >= LIFT * (F.col("x0") + 0.5) / max(1, n0)))
+            .orderBy(F.desc("z"), "term").limit(VOCABULARY).collect())
     number = {r["term"]: i for i, r in enumerate(sorted(best, key=lambda r: r["term"]))}
     idf = np.zeros(len(number))
     for r in best:

@@ -8,7 +8,8 @@ published.  Every rule is a set-oriented job over the whole table:
   NULL result passes, as in SQL) and over-long strings;
 * UNIQUE columns: names occurring more than once (``groupBy(name).count()``,
   partially aggregated, so a hot name is cheap);
-* foreign keys: non-NULL child keys without a parent (``left_anti`` join).
+* foreign keys: rows counted per non-NULL child key, then keys without a parent
+  (``left_anti`` join).
 
 The result has columns (table, rule, violations) and is empty for a clean
 snapshot.  Its size is bounded by the number of declared rules.
@@ -96,11 +97,14 @@ def _duplicates(table: str, df: DataFrame, kind: str, cols: list[str]) -> DataFr
 
 
 def _orphans(tables: Tables, fk) -> DataFrame:
-    child = getattr(tables, fk.table).select(F.col(fk.column).alias("_k")).filter(
-        F.col("_k").isNotNull())
+    """Child rows without a parent: rows are counted per key first (combined
+    before the shuffle, so a hot key is one row per task), then the keys are
+    matched."""
+    child = (getattr(tables, fk.table).select(F.col(fk.column).alias("_k"))
+             .filter(F.col("_k").isNotNull()).groupBy("_k").agg(F.count(F.lit(1)).alias("_n")))
     parent = getattr(tables, fk.parent).select(F.col(fk.parent_column).alias("_k"))
     missing = child.join(parent, "_k", "left_anti")
-    return missing.agg(F.count(F.lit(1)).alias("violations")).select(
+    return missing.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("violations")).select(
         F.lit(fk.table).alias("table"),
         F.lit(rule_fk(fk.column, fk.parent, fk.parent_column)).alias("rule"), "violations")
 

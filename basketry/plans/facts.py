@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from basketry.tables import Tables
 
 # Products at or below this many rows (a proven count, from the snapshot's
-# publication record) are broadcast into the line scan: two longs per row,
-# a few tens of MB at most.
+# publication record) are broadcast into the line scan as two longs per row,
+# names never: 32 MB of values at most.
 BROADCAST_MAX_PRODUCTS = 2_000_000
 
 
@@ -29,29 +29,14 @@ def _product_map(t: Tables) -> DataFrame | None:
 
 
 def department_name_line_totals(t: Tables) -> DataFrame:
-    """(department, items, lines, reorders) grouped by department NAME.
-
-    When both dimensions have proven sizes the product -> department-name map
-    is built once (small x small) and broadcast into the line scan, so the
-    lines aggregate straight to names in one map-side pass.  Otherwise the
-    department totals are computed first and names attached afterwards.
-    """
-    small = _product_map(t)
-    nd = t.known_rows("departments")
-    if small is not None and nd is not None and nd <= BROADCAST_MAX_PRODUCTS:
-        names = F.broadcast(small.join(t.departments, "department_id")
-                            .select("product_id", "department"))
-        lines = t.order_details.select("product_id", "reordered").join(names, "product_id")
-    else:
-        lines = (department_line_totals(t).join(t.departments, "department_id")
-                 .select("department", F.col("items").alias("_i"), F.col("lines").alias("_l"),
-                         F.col("reorders").alias("_r")))
-        return (lines.groupBy("department")
-                .agg(F.sum("_i").alias("items"), F.sum("_l").alias("lines"),
-                     F.sum("_r").alias("reorders")))
-    return (lines.groupBy("department")
-            .agg(F.count("product_id").alias("items"), F.count(F.lit(1)).alias("lines"),
-                 F.sum("reordered").alias("reorders")))
+    """(department, items, lines, reorders) grouped by department NAME: the
+    totals per id first, then the names of those few rows."""
+    named = (department_line_totals(t).join(t.departments, "department_id")
+             .select("department", F.col("items").alias("_i"), F.col("lines").alias("_l"),
+                     F.col("reorders").alias("_r")))
+    return (named.groupBy("department")
+            .agg(F.sum("_i").alias("items"), F.sum("_l").alias("lines"),
+                 F.sum("_r").alias("reorders")))
 
 
 def product_line_totals(t: Tables) -> DataFrame:
@@ -89,28 +74,30 @@ def department_line_totals(t: Tables) -> DataFrame:
 def department_hour_totals(t: Tables) -> DataFrame:
     """(department_id, hour, items, reorders, lines) in one pass over the lines.
 
-    Lines are LEFT-joined to their order so that ``items``/``reorders`` cover
-    every line (the department statistics) while ``lines`` counts only lines
-    whose order exists (the hour ranking joins orders with an inner join).
-    The big fact-to-fact join is followed at once by a partial aggregate on
-    (product, hour), so the next shuffle carries at most #products x 24 rows
-    per task.
+    Lines shrink before they meet the orders: with a proven-small product
+    table they are mapped to departments and partially aggregated to one row
+    per (order, department) and task, otherwise to one per (order, product).
+    The order join is a LEFT join so that ``items``/``reorders`` cover every
+    line (the department statistics) while ``lines`` counts only lines whose
+    order exists (the hour ranking joins orders with an inner join).
     """
-    od = t.order_details.select("order_id", "product_id", "reordered")
+    small = _product_map(t)
+    if small is not None:
+        per_order = t.order_details.join(small, "product_id").groupBy("order_id", "department_id")
+    else:
+        per_order = t.order_details.groupBy("order_id", "product_id")
+    per_order = per_order.agg(F.count("product_id").alias("_i"), F.count(F.lit(1)).alias("_l"),
+                              F.sum("reordered").alias("_r"))
     orders = t.orders.select("order_id", F.col("order_hour_of_day").alias("hour"),
                              F.lit(1).alias("_matched"))
-    small = _product_map(t)
-    if small is not None:  # proven-small products: one map-side join, no per-product stage
-        return (od.join(orders, "order_id", "left").join(small, "product_id")
-                .groupBy("department_id", "hour")
-                .agg(F.count("product_id").alias("items"), F.sum("reordered").alias("reorders"),
-                     F.count("_matched").alias("lines")))
-    per_product_hour = (od.join(orders, "order_id", "left")
-                        .groupBy("product_id", "hour")
-                        .agg(F.count("product_id").alias("items"),
-                             F.sum("reordered").alias("reorders"),
-                             F.count("_matched").alias("lines")))
-    return (per_product_hour
+    joined = per_order.join(orders, "order_id", "left")
+    sums = [F.sum("_i").alias("items"), F.sum("_r").alias("reorders"),
+            F.coalesce(F.sum(F.when(F.col("_matched").isNotNull(), F.col("_l"))), F.lit(0))
+            .alias("lines")]
+    if small is not None:
+        return joined.groupBy("department_id", "hour").agg(*sums)
+    per_product = joined.groupBy("product_id", "hour").agg(*sums)
+    return (per_product
             .join(t.products.select("product_id", "department_id"), "product_id")
             .groupBy("department_id", "hour")
             .agg(F.sum("items").alias("items"), F.sum("reorders").alias("reorders"),

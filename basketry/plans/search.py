@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.functions.joins import small_enough
 from basketry.functions.text import contains_pattern
 from basketry.tables import Tables
 
 SEARCH_LIMIT = 500  # the reference caps search and edit lists at 500 rows
 
 
-def _candidates(t: Tables, text: str, department: str | None) -> tuple[DataFrame, bool]:
+def _winners(t: Tables, text: str, department: str | None, limit: int) -> DataFrame:
+    """The first ``limit`` matching products by (name, id): the answer's rows.
+
+    The order does not involve the sums, so the winners are picked before any
+    order line is read.
+    """
     products = t.products
-    selective = bool(text) or department is not None
     if text:
         products = products.filter(F.col("product_name").ilike(contains_pattern(text)))
     else:  # '%%' matches every non-NULL name
@@ -22,40 +25,28 @@ def _candidates(t: Tables, text: str, department: str | None) -> tuple[DataFrame
     departments = t.departments
     if department is not None:
         departments = departments.filter(F.col("department") == F.lit(department))
-    cands = (products.join(t.aisles, "aisle_id").join(departments, "department_id")
-             .select("product_id", "product_name", "aisle", "department"))
-    return cands, selective
+    return (products.join(t.aisles, "aisle_id").join(departments, "department_id")
+            .select("product_id", "product_name", "aisle", "department")
+            .orderBy(F.col("product_name").asc_nulls_last(), F.col("product_id").asc_nulls_last())
+            .limit(limit))
 
 
-def _ranked(cands: DataFrame, reorders: DataFrame, limit: int) -> DataFrame:
-    # Unsold products are kept (LEFT join) with 0 reorders.
-    return (cands.join(reorders, "product_id", "left")
+def _with_reorders(winners: DataFrame, lines: DataFrame) -> DataFrame:
+    """Winners with the reorders of their lines; unsold products (LEFT join) have 0."""
+    reorders = lines.groupBy("product_id").agg(F.sum("reordered").alias("_reorders"))
+    return (winners.join(reorders, "product_id", "left")
             .select("product_id", "product_name", "aisle", "department",
                     F.coalesce(F.col("_reorders"), F.lit(0)).cast("bigint")
                     .alias("total_reorders"))
-            .orderBy(F.col("product_name").asc_nulls_last(), F.col("product_id").asc_nulls_last())
-            .limit(limit))
+            .orderBy(F.col("product_name").asc_nulls_last(), F.col("product_id").asc_nulls_last()))
 
 
-PREFILTER_MAX_PRODUCTS = 1_000_000
-
-
-def _lines_of(t: Tables, cands: DataFrame, selective: bool) -> DataFrame:
-    """The order lines to aggregate.
-
-    A selective search whose candidate set passes a size check is broadcast
-    into the line scan (map-side semi join), so only the candidates' lines
-    reach the partial aggregate.  Otherwise all lines are aggregated per
-    product first (map-side partial sums, one shuffle of at most #products
-    rows per task) and the candidates are joined to that small result;
-    shuffling raw lines for a semi join would cost more than it saves.
-    """
-    od = t.order_details.select("order_id", "product_id", "reordered")
-    if selective:
-        ids = cands.select("product_id")
-        if small_enough(ids, PREFILTER_MAX_PRODUCTS):
-            od = od.join(F.broadcast(ids), "product_id", "left_semi")
-    return od
+def _lines_of(t: Tables, winners: DataFrame) -> DataFrame:
+    """The order lines of the winners: a map-side semi join, as the winners are
+    at most ``limit`` ids."""
+    ids = F.broadcast(winners.select("product_id"))
+    return t.order_details.select("order_id", "product_id", "reordered").join(
+        ids, "product_id", "left_semi")
 
 
 def product_search(t: Tables, text: str = "", department: str | None = None,
@@ -68,10 +59,8 @@ def product_search(t: Tables, text: str = "", department: str | None = None,
     sum is over order lines (SURVEY Q1).  `product_search_hourly` applies it.
     """
     del hours
-    cands, selective = _candidates(t, text, department)
-    reorders = (_lines_of(t, cands, selective).groupBy("product_id")
-                .agg(F.sum("reordered").alias("_reorders")))
-    return _ranked(cands, reorders, limit)
+    winners = _winners(t, text, department, limit)
+    return _with_reorders(winners, _lines_of(t, winners))
 
 
 def product_search_hourly(t: Tables, text: str = "", department: str | None = None,
@@ -79,12 +68,10 @@ def product_search_hourly(t: Tables, text: str = "", department: str | None = No
                           limit: int = SEARCH_LIMIT) -> DataFrame:
     """As `product_search`, counting only reorders placed in ``hours``."""
     lo, hi = hours
-    cands, selective = _candidates(t, text, department)
+    winners = _winners(t, text, department, limit)
     in_band = (t.orders.filter(F.col("order_hour_of_day").between(lo, hi))
                .select("order_id"))
-    reorders = (_lines_of(t, cands, selective).join(in_band, "order_id", "left_semi")
-                .groupBy("product_id").agg(F.sum("reordered").alias("_reorders")))
-    return _ranked(cands, reorders, limit)
+    return _with_reorders(winners, _lines_of(t, winners).join(in_band, "order_id", "left_semi"))
 
 
 def aisles_of_department(t: Tables, department_id: int | None = None) -> DataFrame:
@@ -121,8 +108,8 @@ def products_filtered(t: Tables, department_id: int | None = None,
 def product_search_sql(t: Tables, text: str = "", department: str | None = None,
                        hours: tuple[int, int] = (0, 23)) -> DataFrame:
     """R6 as parameterised SQL text (S9 + S10): the shipped SQL file with
-    named parameters bound by Spark."""
+    named parameters bound by Spark; ``hours`` as in `product_search`."""
+    del hours
     from basketry.sources.sql import run_sql_file
     return run_sql_file(t, "product_search.sql", {
-        "pattern": contains_pattern(text), "department": department,
-        "hour_from": hours[0], "hour_to": hours[1]})
+        "pattern": contains_pattern(text), "department": department})

@@ -40,7 +40,7 @@ def recommended_conf(total_executor_cores: int, input_bytes: int,
     return {
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
-        "spark.sql.shuffle.partitions": str(min(shuffle, 200_000)),
+        "spark.sql.shuffle.partitions": str(shuffle),
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
     }

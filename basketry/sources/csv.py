@@ -1,11 +1,14 @@
-"""Wide CSV source (S1): one header CSV (or a folder of them) of order lines.
+"""Wide CSV source (S1): one header CSV, or a folder or glob of them, of order lines.
 
-Every field is read as text, the missing-value tokens pandas recognises by
-default become NULL (in text columns too), and the known columns are then
-cast to their declared types.  A field that is present but does not parse
-(``abc`` in an integer column, ``2.5`` for an id) is not silently dropped:
-its column name is listed in ``_bad`` so the audit can refuse the load, as
-the reference's database would refuse the insert.
+Every file's own header names its columns, so files may order them
+differently; files that name other columns are refused.  Every field is read
+as text, the missing-value tokens pandas recognises by default become NULL (in
+text columns too), and the known columns are then cast to their declared
+types.  What cannot be taken as it stands is not dropped or cut silently but
+listed in ``_bad``: the name of a column whose field is present and does not
+parse (``abc`` in an integer column, or ``2.5`` for an id: our rule, ids are
+integers), and SURPLUS for a line with more fields than its header.  A short
+line's missing fields are missing values, as for pandas.
 
 ``_file``, ``_block`` and ``_row`` record the position of each line
 (file, split start, increasing id within the split) for keep-first rules.
@@ -15,6 +18,9 @@ fields with embedded newlines and reads each file in one task.
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +35,7 @@ PANDAS_NA_TOKENS = [
 # ---- end of fixed values ----------------------------------------------------------
 
 POSITION_COLUMNS = ["_file", "_block", "_row"]
+SURPLUS = "surplus fields"
 
 
 def _parse(raw: Column, dtype: T.DataType) -> tuple[Column, Column]:
@@ -50,7 +57,7 @@ def typed_wide(text: DataFrame, na_tokens=PANDAS_NA_TOKENS) -> DataFrame:
     """Map NA tokens to NULL and cast the known wide columns; extra columns stay text."""
     tokens = list(na_tokens)
     known = dict(WIDE_COLUMNS)
-    data_cols = [c for c in text.columns if c not in POSITION_COLUMNS]
+    data_cols = [c for c in text.columns if c not in [*POSITION_COLUMNS, "_surplus"]]
     missing = [c for c in known if c not in data_cols
                and c not in DEFAULTS.get("orders", {}) and c not in DEFAULTS.get("order_details", {})]
     if missing:
@@ -64,6 +71,8 @@ def typed_wide(text: DataFrame, na_tokens=PANDAS_NA_TOKENS) -> DataFrame:
             bad.append(F.when(failed, F.lit(c)))
         else:
             out.append(raw.alias(c))
+    if "_surplus" in text.columns:
+        bad.append(F.when(F.col("_surplus"), F.lit(SURPLUS)))
     # Declared defaults for columns the file does not have.
     for table in ("orders", "order_details"):
         for c, v in DEFAULTS[table].items():
@@ -74,17 +83,52 @@ def typed_wide(text: DataFrame, na_tokens=PANDAS_NA_TOKENS) -> DataFrame:
     return text.select(*out, *pos, bad_col.cast("array<string>").alias("_bad"))
 
 
-def read_wide_csv(spark: SparkSession, path: str, na_tokens=PANDAS_NA_TOKENS,
-                  multiline: bool = False, encoding: str = "UTF-8") -> DataFrame:
-    """Read the wide order-line CSV as typed columns plus position and ``_bad``."""
-    text = (spark.read
+def _headers(spark: SparkSession, path: str, encoding: str) -> dict[tuple[str, ...], list[str]]:
+    """The files under ``path`` by the column names of their first line."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found: dict[tuple[str, ...], list[str]] = {}
+    for name in sorted(spark.read.text(path).inputFiles()):
+        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        stream = p.getFileSystem(conf).open(p)
+        try:
+            line = jvm.java.io.BufferedReader(
+                jvm.java.io.InputStreamReader(stream, encoding)).readLine()
+        finally:
+            stream.close()
+        if line:  # an empty file has no rows
+            header = tuple(next(csv.reader([line.lstrip("\ufeff")])))
+            found.setdefault(header, []).append(name)
+    return found
+
+
+def _text(spark: SparkSession, header: tuple[str, ...], files: list[str], multiline: bool,
+          encoding: str) -> DataFrame:
+    if len(set(header)) < len(header):
+        raise ValueError(f"repeated column names in the header of {files[0]}: {list(header)}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, "_line")])
+    text = (spark.read.schema(schema)
             .option("header", True).option("quote", '"').option("escape", '"')
             .option("multiLine", multiline).option("encoding", encoding)
-            .option("inferSchema", False).option("mode", "PERMISSIVE")
-            .option("nullValue", None).option("emptyValue", "")
-            .csv(path))
-    text = text.select(*[F.col(f"`{c}`").alias(c) for c in text.columns],
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line")
+            .option("columnPruning", False).option("emptyValue", "")
+            .csv(files))
+    # only lines of another length than the header reach _line
+    fields = F.size(F.split(F.regexp_replace("_line", '"([^"]|"")*"', ""), ",", -1))
+    return text.select(*[F.col(f"`{c}`").alias(c) for c in header],
+                       F.coalesce(fields > len(header), F.lit(False)).alias("_surplus"),
                        F.col("_metadata.file_path").alias("_file"),
                        F.col("_metadata.file_block_start").alias("_block"),
                        F.monotonically_increasing_id().alias("_row"))
-    return typed_wide(text, na_tokens)
+
+
+def read_wide_csv(spark: SparkSession, path: str, na_tokens=PANDAS_NA_TOKENS,
+                  multiline: bool = False, encoding: str = "UTF-8") -> DataFrame:
+    """Read wide order-line CSV files as typed columns plus position and ``_bad``."""
+    headers = _headers(spark, path, encoding)
+    if not headers:
+        raise ValueError(f"no CSV file with a header under {path}")
+    if len({frozenset(h) for h in headers}) > 1:
+        raise ValueError(f"the files under {path} name different columns: {sorted(map(sorted, headers))}")
+    parts = [_text(spark, h, files, multiline, encoding) for h, files in headers.items()]
+    return typed_wide(reduce(DataFrame.unionByName, parts), na_tokens)

@@ -65,10 +65,28 @@ def _read_text(spark: SparkSession, path: str) -> str:
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, p, _ = _fs(spark, path)
-    out = fs.create(p, False)
+    """Write a small file so that it appears under ``path`` whole or not at
+    all: under another name first, then renamed."""
+    fs, p, jvm = _fs(spark, path)
+    part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(part, False)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
+    if not fs.rename(part, p):
+        raise OSError(f"could not rename {part} to {path}")
+
+
+def _marker(spark: SparkSession, version: str) -> dict | None:
+    """The publication record of a version; None if it has none, or one that
+    is empty or cut off."""
+    path = f"{version}/{MARKER}"
+    if not _exists(spark, path):
+        return None
+    try:
+        found = json.loads(_read_text(spark, path))
+    except ValueError:
+        return None
+    return found if isinstance(found, dict) and found.get("tables") == TABLE_ORDER else None
 
 
 BUCKET_KEY = "order_id"  # orders and order_details are joined on it
@@ -167,7 +185,7 @@ def write_snapshot(tables: Tables, root: str, order_buckets_n: int | None = None
 
 
 def latest_version(spark: SparkSession, root: str) -> str:
-    if _exists(spark, f"{root.rstrip('/')}/{MARKER}"):
+    if _marker(spark, root.rstrip("/")):
         return root.rstrip("/")
     fs, p, jvm = _fs(spark, root)
     if not fs.exists(p):
@@ -175,7 +193,7 @@ def latest_version(spark: SparkSession, root: str) -> str:
     names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
     for name in reversed(names):
         v = f"{root.rstrip('/')}/{name}"
-        if name.startswith("v") and _exists(spark, f"{v}/{MARKER}"):
+        if name.startswith("v") and _marker(spark, v):
             return v
     raise FileNotFoundError(f"no published snapshot under {root}")
 
@@ -187,7 +205,7 @@ def read_snapshot(spark: SparkSession, root: str) -> Tables:
     audit, so the result is marked ``audited``.
     """
     version = latest_version(spark, root)
-    marker = json.loads(_read_text(spark, f"{version}/{MARKER}") or "{}")
+    marker = _marker(spark, version)
     t = read_tables(spark, version, marker.get("buckets") or None)
     return Tables(**dict(t.items()), audited=True, row_counts=marker.get("row_counts"))
 
@@ -196,26 +214,32 @@ def load_wide(wide: DataFrame, root: str, staging_partitions: int | None = None,
               order_buckets_n: int | None = None) -> str:
     """E1 end to end: typed wide rows -> staged Parquet -> six tables -> audit -> publish.
 
-    The wide input (CSV parsing is the expensive part) is materialised once
-    as Parquet in the session's checkpoint folder; the six projections then
-    read only the columns they need from it.
+    The complete rows are materialised once as Parquet in the session's
+    checkpoint folder (parsing the CSV, and reading every column to tell
+    complete rows, happens once); the six projections then read only the
+    columns they need.  Lines with unusable fields refuse the load; lines that
+    the missing-value rule removes anyway do not.  The staged copy is removed.
     """
-    from basketry.operators.audit import parse_failures
-    from basketry.operators.load import normalise
-
+    from basketry.operators import load
     from basketry.session import scratch_path
 
     spark = wide.sparkSession
     version = new_version(root)
-    staged_path = scratch_path(spark, "staged-wide")  # shared checkpoint folder
-    (wide.repartition(staging_partitions) if staging_partitions else wide) \
-        .write.mode("errorifexists").parquet(staged_path)
-    staged = spark.read.parquet(staged_path)
-    bad = [tuple(r) for r in parse_failures(staged).collect()]  # bounded: one row per column
-    if bad:
-        raise SnapshotRejected(version, bad)
-    buckets = order_buckets(order_buckets_n)
-    write_tables(normalise(staged.drop("_bad")), version, buckets)
+    path = scratch_path(spark, "staged-wide")  # shared checkpoint folder
+    staged = load.stage(wide.repartition(staging_partitions) if staging_partitions else wide, path)
+    try:
+        if "_bad" in staged.columns:
+            # bounded: one row per column
+            bad = [("wide", f"parse {r[0]}", r[1]) for r in
+                   staged.select(F.explode("_bad")).groupBy("col").count().orderBy("col").collect()]
+            if bad:
+                raise SnapshotRejected(version, bad)
+            staged = staged.drop("_bad")
+        buckets = order_buckets(order_buckets_n)
+        write_tables(load.normalise(staged, staged=True), version, buckets)
+    finally:
+        fs, p, _ = _fs(spark, path)
+        fs.delete(p, True)
     publish(spark, version, buckets)
     return version
 

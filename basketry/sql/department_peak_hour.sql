@@ -1,37 +1,33 @@
--- Department summary with its busiest hour, in the two-CTE form.
--- 1. dept_stats: order lines and reorder share per department.
--- 2. hour_rank: order lines per (department, hour), ranked; ties go to the
---    earliest hour so the answer is deterministic.
--- 3. keep each department's rank-1 hour, largest departments first.
-WITH dept_stats AS (
-    SELECT d.department_id,
-           d.department,
-           COUNT(od.product_id) AS items_sold,
-           SUM(od.reordered) AS reorders
-    FROM departments d
-    JOIN products p ON d.department_id = p.department_id
-    JOIN order_details od ON p.product_id = od.product_id
-    GROUP BY d.department_id, d.department
+-- Department summary with its busiest hour, in one pass over the order lines:
+-- sums per (department, hour) serve both the totals and the choice of the hour.
+-- Lines without an order count as sold but for no hour; of equally busy hours
+-- the earliest wins.  The percentage is rounded half up in integers, as a
+-- decimal division keeps only 6 places in Spark and would round twice.
+WITH by_hour AS (
+    SELECT department_id,
+           order_hour_of_day AS hour,
+           count(*) AS items,
+           sum(reordered) AS reorders,
+           count(placed.order_id) AS placed
+    FROM order_details
+    INNER JOIN products USING (product_id)
+    LEFT JOIN orders AS placed USING (order_id)
+    GROUP BY ALL
 ),
-hour_rank AS (
-    SELECT d.department_id,
-           o.order_hour_of_day AS hour,
-           ROW_NUMBER() OVER (PARTITION BY d.department_id
-                              ORDER BY COUNT(*) DESC, o.order_hour_of_day ASC NULLS LAST) AS rn
-    FROM departments d
-    JOIN products p ON d.department_id = p.department_id
-    JOIN order_details od ON p.product_id = od.product_id
-    JOIN orders o ON od.order_id = o.order_id
-    GROUP BY d.department_id, o.order_hour_of_day
+summary AS (
+    SELECT department_id,
+           sum(items) AS items_sold,
+           sum(reorders) AS reorders,
+           min_by(hour, struct(-placed, hour IS NULL, hour)) FILTER (WHERE placed > 0) AS peak_hour,
+           sum(placed) AS placed
+    FROM by_hour
+    GROUP BY department_id
 )
--- reorder_pct = ROUND(100 * reorders / items_sold, 2), half-up, computed in
--- integers: a decimal division keeps only 6 places in Spark and would round twice.
-SELECT s.department,
-       s.items_sold,
-       CAST((2 * 10000 * s.reorders + s.items_sold) DIV (2 * s.items_sold) AS DOUBLE) / 100
-         AS reorder_pct,
-       h.hour AS peak_hour
-FROM dept_stats s
-JOIN hour_rank h ON s.department_id = h.department_id
-WHERE h.rn = 1
-ORDER BY s.items_sold DESC, s.department;
+SELECT department,
+       items_sold,
+       CAST((20000 * reorders + items_sold) DIV (2 * items_sold) AS DOUBLE) / 100 AS reorder_pct,
+       peak_hour
+FROM summary
+INNER JOIN departments USING (department_id)
+WHERE placed > 0
+ORDER BY items_sold DESC, department;
