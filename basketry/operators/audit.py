@@ -127,12 +127,3 @@ def audit_with_counts(tables: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select(
         "table", "rule", F.col("violations").cast("bigint").alias("violations"))
 
-
-def parse_failures(wide: DataFrame) -> DataFrame:
-    """(table='wide', rule='parse <column>', violations) for unparsable fields."""
-    if "_bad" not in wide.columns:
-        return wide.sparkSession.createDataFrame([], "table string, rule string, violations bigint")
-    return (wide.select(F.explode("_bad").alias("c")).groupBy("c")
-            .agg(F.count(F.lit(1)).cast("bigint").alias("violations"))
-            .select(F.lit("wide").alias("table"), F.concat(F.lit("parse "), "c").alias("rule"),
-                    "violations"))

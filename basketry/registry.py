@@ -8,6 +8,7 @@ Each entry maps the inputs in ``sf_dir`` to the six basket tables
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,9 @@ from basketry.operators import audit as audit_ops
 from basketry.operators import catalog, load
 from basketry.plans import catalog_views, dashboard, departments, search
 from basketry.session import scratch_path, session_key
+from basketry.sources import snapshot
 from basketry.sources.csv import read_wide_csv
-from basketry.sources.fixture import fixture_tables, fixture_wide
+from basketry.sources.fixture import derived, fixture_tables, fixture_wide, publish_fixture
 from basketry.sources.sql import run_sql_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +53,8 @@ _on_tables("aisles_of_department", search.aisles_of_department)
 _on_tables("products_filtered", search.products_filtered)
 _on_tables("products_filtered_department_aisle", search.products_filtered,
            department_id=3, aisle_id=2)
+_on_tables("product_search_wildcards", search.product_search, text="_e%r")
+_on_tables("aisles_of_one_department", search.aisles_of_department, department_id=3)
 _on_tables("list_aisles", catalog_views.list_aisles)
 _on_tables("list_departments", catalog_views.list_departments)
 _on_tables("refcount_aisles", catalog_views.refcount_aisles)
@@ -223,23 +227,215 @@ QUERIES["cascade_delete_aisles_lines"] = lambda spark, d: catalog.cascade_delete
     fixture_tables(spark, d).aisles.filter(F.col("aisle").isin("SMALL", "PROMO"))
     .select("aisle_id")).order_details
 
+QUERIES["insert_departments_table"] = lambda spark, d: _department_inserts(spark, d).table
+QUERIES["delete_aisles_table"] = lambda spark, d: _aisle_deletes_after_insert(spark, d).table
+QUERIES["delete_departments_table"] = lambda spark, d: _department_deletes_after_insert(spark, d).table
+
+
+def _aisle_deletes_after_insert(spark, sf_dir):
+    """Every aisle after the inserts is asked to go; only the new ones may."""
+    grown = _aisle_inserts(spark, sf_dir).table
+    req = grown.select(F.col("aisle_id").alias("seq"), F.col("aisle_id").alias("id"))
+    return catalog.guarded_delete(grown, "aisle_id", fixture_tables(spark, sf_dir).products, req)
+
+
+def _cascade(table: str, keys, result: str) -> Query:
+    return lambda spark, d: getattr(
+        catalog.cascade_delete(t := fixture_tables(spark, d), table, keys(spark, d, t)), result)
+
+
+QUERIES["cascade_delete_departments_lines"] = _cascade(
+    "departments", lambda spark, d, t: t.departments.filter("department_id % 3 = 1")
+    .select("department_id"), "order_details")
+QUERIES["cascade_delete_orders_lines"] = _cascade(
+    "orders", lambda spark, d, t: t.orders.filter("order_dow = 0").select("order_id"), "order_details")
+QUERIES["cascade_delete_products_lines"] = _cascade(
+    "products", lambda spark, d, t: _small_parts(spark, d), "order_details")
+
+# ---- catalogue states that the plain mapping does not have ---------------------
+def _grown(spark: SparkSession, sf_dir: str):
+    """The tables after inserting aisles and departments no product uses, with
+    the lines of small parts gone, so their products are unsold."""
+    t = fixture_tables(spark, sf_dir)
+    return t.with_(aisles=_aisle_inserts(spark, sf_dir).table,
+                   departments=_department_inserts(spark, sf_dir).table,
+                   order_details=catalog.delete_product_lines(t.order_details,
+                                                              _small_parts(spark, sf_dir)))
+
+
+QUERIES["refcount_aisles_unused"] = lambda spark, d: catalog_views.refcount_aisles(_grown(spark, d))
+QUERIES["refcount_departments_unused"] = lambda spark, d: catalog_views.refcount_departments(
+    _grown(spark, d))
+QUERIES["product_search_unsold"] = lambda spark, d: search.product_search(_grown(spark, d), "")
+QUERIES["product_search_escaped"] = lambda spark, d: search.product_search(
+    (t := fixture_tables(spark, d)).with_(products=t.products.withColumn(
+        "product_name", F.concat("product_name", F.when(F.col("product_id") % 2 == 0, "_50%")
+                                 .otherwise(" 50x")))), "\\_50\\%")
+QUERIES["orders_by_dow_unknown"] = lambda spark, d: dashboard.orders_by_dow(
+    (t := fixture_tables(spark, d)).with_(orders=t.orders.withColumn(
+        "order_dow", F.when(F.col("order_id") % 10 == 0, F.col("order_dow") + 5)
+        .otherwise(F.col("order_dow")))))
+
+
+def _renamed_wide(spark, sf_dir):
+    """Wide rows where every third product calls its aisle and department by
+    another name: the same ids under two names.  Without file positions the
+    smallest name is kept."""
+    third = F.col("product_id") % 3 == 0
+    return fixture_wide(spark, sf_dir).withColumns({
+        c: F.when(third, F.concat(F.lit("~"), c)).otherwise(F.col(c)) for c in ("aisle", "department")})
+
+
+for _t in ["departments", "aisles"]:
+    QUERIES[f"normalised_{_t}_two_names"] = (
+        lambda t: lambda spark, d: getattr(load.normalise(_renamed_wide(spark, d)), t))(_t)
+QUERIES["normalised_orders_defaults"] = lambda spark, d: load.normalise(
+    fixture_wide(spark, d).drop("eval_set", "reordered")).orders
+QUERIES["normalised_order_details_defaults"] = lambda spark, d: load.normalise(
+    fixture_wide(spark, d).drop("eval_set", "reordered")).order_details
+
+
+def _dirty_tables(spark, sf_dir):
+    """Every constraint broken somewhere, by rules over whole tables."""
+    t = fixture_tables(spark, sf_dir)
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+
+    def broken(column, when, value):
+        return F.when(F.expr(when), F.expr(value)).otherwise(F.col(column)).alias(column)
+
+    def names(df, key, name):
+        more = [df.filter(f"{key} = 1"),  # the key and the name twice
+                df.filter(f"{key} = 2").select((F.col(key) + 1000).alias(key),
+                                               F.lit(None).cast("string").alias(name)),
+                df.filter(f"{key} = 3").select((F.col(key) + 2000).alias(key),
+                                               F.expr("repeat('x', 256)").alias(name)),
+                df.filter(f"{key} = 3").select(F.lit(None).cast("bigint").alias(key),
+                                               F.lit("no id").alias(name))]
+        for m in more:
+            df = df.unionByName(m)
+        return df
+
+    return t.with_(
+        users=t.users.unionByName(t.users.filter("user_id % 50 = 0"))
+        .unionByName(t.users.filter("user_id % 49 = 0").select(F.lit(None).cast("bigint").alias("user_id"))),
+        departments=names(t.departments, "department_id", "department"),
+        aisles=names(t.aisles, "aisle_id", "aisle"),
+        products=t.products.select(
+            broken("product_id", "product_id % 53 = 0", "product_id + 1"),
+            broken("product_name", "product_id % 47 = 0", "if(product_id % 2 = 0, NULL, repeat('y', 300))"),
+            broken("aisle_id", "product_id % 43 = 0", "if(product_id % 2 = 0, NULL, 999)"),
+            broken("department_id", "product_id % 41 = 0", "if(product_id % 2 = 0, NULL, 999)")),
+        orders=t.orders.select(
+            broken("order_id", "order_id % 101 = 0", "NULL"),
+            broken("user_id", "order_id % 71 = 5", "if(order_id % 2 = 0, NULL, user_id + 1000000000)"),
+            broken("eval_set", "order_id % 73 = 4", "repeat('e', 51)"),
+            broken("order_number", "order_id % 97 = 1", "0"),
+            broken("order_dow", "order_id % 89 = 1", "7"),
+            broken("order_hour_of_day", "order_id % 83 = 2", "-1"),
+            broken("days_since_prior_order", "order_id % 79 = 3", "-0.5D")),
+        order_details=li.select(
+            F.expr("if(l_orderkey % 61 = 0, NULL, l_orderkey)").alias("order_id"),
+            F.expr("if(l_partkey % 59 = 0, NULL, l_partkey + if(l_partkey % 37 = 0, 1000000000, 0))")
+            .alias("product_id"),
+            F.expr("CASE WHEN l_orderkey % 31 = 0 THEN NULL WHEN l_orderkey % 29 = 0 THEN 0L "
+                   "ELSE CAST(l_linenumber AS BIGINT) END").alias("add_to_cart_order"),
+            F.expr("CASE WHEN l_returnflag = 'R' THEN 1L WHEN l_orderkey % 23 = 0 THEN 2L ELSE 0L END")
+            .alias("reordered")))
+
+
+QUERIES["audit_dirty"] = lambda spark, d: audit_ops.audit(_dirty_tables(spark, d))
+
+# ---- snapshots: schema, publication, reading back --------------------------------
+_SNAPSHOTS: dict = {}
+
+
+def _snapshot(spark: SparkSession, sf_dir: str):
+    """The tables of ``sf_dir`` published as a snapshot, once per session and input."""
+    key = (session_key(spark), sf_dir, id(derived(spark, sf_dir)))
+    if key not in _SNAPSHOTS:
+        _SNAPSHOTS[key] = scratch_path(spark, "snapshots")
+        publish_fixture(spark, sf_dir, _SNAPSHOTS[key])
+    return snapshot.read_snapshot(spark, _SNAPSHOTS[key])
+
+
+for _t in ["users", "departments", "aisles", "products", "orders", "order_details"]:
+    QUERIES[f"snapshot_roundtrip_{_t}"] = (
+        lambda t: lambda spark, d: getattr(_snapshot(spark, d), t))(_t)
+
+
+def _schema_created(spark, sf_dir):
+    """The tables' columns after creating an empty snapshot and loading the
+    wide rows over it, with each table's rows."""
+    root = scratch_path(spark, "created")
+    snapshot.create_if_absent(spark, root)
+    snapshot.load_wide(fixture_wide(spark, sf_dir), root)
+    parts = [df.agg(F.count(F.lit(1)).cast("bigint").alias("rows")).select(
+        F.lit(name).alias("table"), F.lit(" ".join(df.columns)).alias("columns"), "rows")
+        for name, df in snapshot.read_snapshot(spark, root).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+QUERIES["schema_created"] = _schema_created
+
 # ---- the CSV source end to end -------------------------------------------------
 _CSV_COPIES: dict = {}
 
 
-def _wide_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mapped wide frame written once as RFC-4180 CSV (under the
-    checkpoint folder, shared on a cluster) and read back by the CSV source."""
-    key = (session_key(spark), sf_dir)
+def _csv_copy(spark: SparkSession, sf_dir: str, kind: str, write) -> str:
+    """A folder that ``write`` fills once per session and input (under the
+    checkpoint folder, shared on a cluster)."""
+    key = (session_key(spark), sf_dir, id(derived(spark, sf_dir)), kind)
     if key not in _CSV_COPIES:
-        path = scratch_path(spark, "wide-csv")
-        (fixture_wide(spark, sf_dir).write.option("header", True).option("quote", '"')
-         .option("escape", '"').csv(path))
+        path = scratch_path(spark, kind)
+        write(path)
         _CSV_COPIES[key] = path
-    return read_wide_csv(spark, _CSV_COPIES[key])
+    return _CSV_COPIES[key]
+
+
+def _write_csv(df: DataFrame, path: str) -> None:
+    df.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+def _wide_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapped wide frame as RFC-4180 CSV, read back by the CSV source."""
+    return read_wide_csv(spark, _csv_copy(
+        spark, sf_dir, "wide-csv", lambda path: _write_csv(fixture_wide(spark, sf_dir), path)))
+
+
+def _dirty_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide rows as three folders of CSV: `a`, `b` with the columns in
+    reverse order, `c` with lines that have a field too many.  Numbers that do
+    not parse and missing-value tokens stand in all of them."""
+    def write(path):
+        k = (F.col("order_id") * 7 + F.col("product_id")) % 100
+        wide = fixture_wide(spark, sf_dir).withColumn("k", k)
+        text = wide.select("k", *[F.col(c).cast("string").alias(c) for c in wide.columns if c != "k"])
+        text = text.withColumns({
+            "order_number": F.expr("CASE WHEN k IN (10, 35, 92) THEN 'x7' WHEN k = 60 THEN '2.5' ELSE order_number END"),
+            "reordered": F.expr("CASE WHEN k = 20 THEN '1.50' WHEN k = 21 THEN '1.0' ELSE reordered END"),
+            "product_name": F.expr("CASE WHEN k IN (30, 35) THEN 'NA' WHEN k = 70 THEN '' ELSE product_name END"),
+            "days_since_prior_order": F.expr("CASE WHEN k = 40 THEN 'soon' WHEN k = 75 THEN 'n/a' "
+                                             "ELSE days_since_prior_order END")})
+        cols = [c for c in text.columns if c != "k"]
+        _write_csv(text.filter("k < 50").select(cols), f"{path}/a")
+        _write_csv(text.filter("k BETWEEN 50 AND 89").select(cols[::-1]), f"{path}/b")
+        # whole lines under one column named by the header: the separator of
+        # this writer never occurs, so commas and quotes stay as they are
+        quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+                  for c in cols]
+        line = F.concat(F.concat_ws(",", *quoted), F.when(F.col("k") == 95, ",more").otherwise(""))
+        (text.filter("k >= 90").select(line.alias(",".join(cols))).write.option("header", True)
+         .option("sep", "\u0001").option("quote", "\u0002").option("escapeQuotes", False).csv(f"{path}/c"))
+
+    return read_wide_csv(spark, _csv_copy(spark, sf_dir, "dirty-csv", write) + "/*")
 
 
 QUERIES["csv_clean_wide"] = lambda spark, d: load.clean_wide(_wide_from_csv(spark, d))
 for _t in ["departments", "products", "orders", "order_details"]:
     QUERIES[f"csv_normalised_{_t}"] = (
         lambda t: lambda spark, d: getattr(load.normalise(_wide_from_csv(spark, d)), t))(_t)
+QUERIES["csv_dirty_clean_wide"] = lambda spark, d: load.clean_wide(_dirty_csv(spark, d), keep_out=True)
+QUERIES["csv_dirty_orders"] = lambda spark, d: load.normalise(_dirty_csv(spark, d), keep_out=True).orders
+QUERIES["csv_dirty_rejects"] = lambda spark, d: load.rejects(_dirty_csv(spark, d)).groupBy(
+    F.element_at(F.split("file", "/"), -2).alias("folder"), "rule").agg(
+    F.sum("violations").alias("violations"))

@@ -26,15 +26,14 @@ def test_pct_half_up_ties_and_empty(spark):
 
 def test_consecutive_ids_match_a_global_row_number(spark):
     df = spark.range(0, 20000).select(((F.col("id") * 7919) % 20011).alias("k"))
-    got = consecutive_ids(df, "k", "rid", start=5, partitions=7, small_rows=0)
+    got = consecutive_ids(df, "k", "rid", start=5, partitions=7)
     ref = df.select("k", (F.row_number().over(Window.orderBy("k")) + 4).alias("expected"))
     assert got.count() == 20000
     assert got.join(ref, "k").filter(F.col("rid") != F.col("expected")).count() == 0
     start = spark.createDataFrame([(100,)], "s long")
-    for small in (0, 100_000):
-        got = consecutive_ids(df, "k", "rid", start=start, small_rows=small)
-        assert rows(got.agg(F.min("rid"), F.max("rid"))) == [(100, 20099)]
-        assert got.join(ref, "k").filter(F.col("rid") != F.col("expected") + 95).count() == 0
+    got = consecutive_ids(df, "k", "rid", start=start)
+    assert rows(got.agg(F.min("rid"), F.max("rid"))) == [(100, 20099)]
+    assert got.join(ref, "k").filter(F.col("rid") != F.col("expected") + 95).count() == 0
 
 
 def test_dense_ids_nulls_last(spark):
@@ -46,13 +45,12 @@ def test_dense_ids_nulls_last(spark):
 def test_consecutive_ids_of_nothing(spark):
     empty = spark.createDataFrame([], "k long")
     assert consecutive_ids(empty, "k", "rid").count() == 0
-    assert consecutive_ids(empty, "k", "rid", small_rows=0).count() == 0
 
 
 def test_dense_ids_distributed_path(spark):
     df = spark.range(0, 3000).select((F.col("id") % 1000).cast("string").alias("v"))
     from basketry.functions.ids import consecutive_ids as cid
-    got = cid(df.distinct(), "v", "id", start=1, small_rows=0)
+    got = cid(df.distinct(), "v", "id", start=1)
     ref = df.distinct().select("v", F.dense_rank().over(Window.orderBy("v")).alias("expected"))
     assert got.join(ref, "v").filter(F.col("id") != F.col("expected")).count() == 0
 
@@ -77,7 +75,7 @@ def test_order_sequence_with_a_hot_customer(spark):
 
 def test_recommended_conf_scales_with_input():
     from basketry.session import recommended_conf
-    assert recommended_conf(4000, 100 * 10 ** 12)["spark.sql.shuffle.partitions"] == "200000"
+    assert recommended_conf(4000, 100 * 10 ** 12)["spark.sql.shuffle.partitions"] == str(-(-100 * 10 ** 12 // (256 << 20)))
     assert recommended_conf(4000, 10 ** 12)["spark.sql.shuffle.partitions"] == "12000"
     assert recommended_conf(8, 10 ** 6)["spark.sql.shuffle.partitions"] == "24"
 
