@@ -28,6 +28,9 @@ SHARD = 2_000
 #: Neighbours chosen on a level, edges kept with the reverse ones, the mean of
 #: the levels' shrinkage, the first beam, and queries per audit.
 M, EDGES, SHRINK, BEAM, AUDIT = 12, 32, 12, 16, 64
+#: A beam that holds a WHOLE-th of the shard is as good as all of it; beams
+#: widen by WIDEN.
+WHOLE, WIDEN = 8, 4
 
 
 class Graph:
@@ -103,8 +106,12 @@ class Graph:
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(queries, beam) nodes and their cosines, best first; -1 and -2 where
-        fewer were met."""
+        fewer were met.  A beam of a WHOLE-th of the shard or more gives every
+        node, unsorted."""
         n, m = len(self.unit), len(q)
+        if beam * WHOLE >= n:  # wide enough to visit (almost) every node: visit all at once
+            sims = q @ self.unit.T
+            return np.broadcast_to(np.arange(n, dtype=np.int32), (m, n)), sims
         ids, sims = np.full((m, beam), -1, np.int32), np.full((m, beam), -2, np.float32)
         ids[:, 0] = self.descend(q)
         sims[:, 0] = np.einsum("qd,qd->q", q, self.unit[ids[:, 0]])
@@ -137,7 +144,7 @@ class Graph:
 def hits(graph: Graph, q: np.ndarray, least: float, block: int = 512):
     """(query, node) of all cosines of `least` or more that the search finds,
     with beams widened until the audit of the queries passes."""
-    n, beam = len(graph.unit), min(BEAM, len(graph.unit))
+    n, beam = len(graph.unit), BEAM
     audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
     true = q[audit] @ graph.unit.T >= least
     while True:
@@ -149,18 +156,18 @@ def hits(graph: Graph, q: np.ndarray, least: float, block: int = 512):
                 part = todo[i:i + block]
                 ids, sims = graph.search(q[part], width)
                 good = sims >= least
-                more = good[:, -1] & (width < n)
+                more = good[:, -1] & (width * WHOLE < n)
                 full.append(part[more])
                 r, j = np.nonzero(good & ~more[:, None])
                 found.append((part[r], ids[r, j]))
-            todo, width = np.concatenate(full), min(n, width * 2)
+            todo, width = np.concatenate(full), width * WIDEN
         a, b = (np.concatenate(x) for x in zip(*found))
         got = np.zeros_like(true)
         inside = np.isin(a, audit)
         got[np.searchsorted(audit, a[inside]), b[inside]] = True
-        if beam >= n or not (true & ~got).any():
+        if beam * WHOLE >= n or not (true & ~got).any():
             return a, b
-        beam = min(n, beam * 2)
+        beam *= WIDEN
 
 
 def forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
