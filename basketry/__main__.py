@@ -1,10 +1,14 @@
 """Command line: create, load and query basket snapshots.
 
-  python -m basketry create ROOT              publish an empty snapshot if none exists
-  python -m basketry load CSV ROOT [N]        load a wide order-line CSV as a new snapshot
-                                              (N: bucket orders and lines on order_id into N buckets)
-  python -m basketry show NAME ROOT [N]       run a read operator on the newest snapshot
-  python -m basketry sql FILE ROOT            run a SQL file over the newest snapshot
+  python -m basketry create ROOT                    publish an empty snapshot if none exists
+  python -m basketry load CSV ROOT [--buckets N]    load wide order-line CSV files as a new snapshot
+                                                    (N: bucket orders and lines on order_id)
+  python -m basketry show NAME ROOT [options]       a read operator on the newest snapshot
+  python -m basketry sql FILE ROOT [options]        a SQL file over the newest snapshot
+
+Results are printed whole, one tab-separated line a row, or written as Parquet with
+--out FOLDER; --limit N asks for the first N rows.  Parameters are --param name=value,
+bound as :name markers of a SQL file or as arguments of a read operator (see `show --help`).
 
 Set the master and ``spark.checkpoint.dir`` through spark-submit / spark-defaults
 on a cluster; without a master a local session is used.
@@ -12,9 +16,11 @@ on a cluster; without a master a local session is used.
 
 from __future__ import annotations
 
+import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark import SparkConf
+from pyspark.sql import DataFrame, SparkSession
 
 from basketry.plans import catalog_views, dashboard, departments, search
 from basketry.session import ensure_checkpoint_dir, local_session
@@ -22,58 +28,104 @@ from basketry.sources import snapshot
 from basketry.sources.csv import read_wide_csv
 from basketry.sources.sql import run_sql_file
 
+_SEARCH = {"text": str, "department": str, "hour_from": int, "hour_to": int}
+
+
+def _searched(fn):
+    def run(t, hour_from: int = 0, hour_to: int = 23, **params):
+        return fn(t, hours=(hour_from, hour_to), **params)
+    return run
+
+
+def _lookup(fn, column: str):
+    def run(t, name: str):
+        return fn(t, t.spark.createDataFrame([(name,)], f"{column} string"), column)
+    return run
+
+
+#: name -> (operator, its parameters)
 READS = {
-    "kpis": dashboard.kpis,
-    "orders_by_hour": dashboard.orders_by_hour,
-    "orders_by_dow": dashboard.orders_by_dow,
-    "top_departments": dashboard.top_departments,
-    "reorder_rate_by_department": dashboard.reorder_rate_by_department,
-    "department_peak_hour": departments.department_peak_hour,
-    "department_stats": departments.department_stats,
-    "list_aisles": catalog_views.list_aisles,
-    "list_departments": catalog_views.list_departments,
-    "refcount_aisles": catalog_views.refcount_aisles,
-    "refcount_departments": catalog_views.refcount_departments,
-    "products": search.products_filtered,
+    "kpis": (dashboard.kpis, {}),
+    "orders_by_hour": (dashboard.orders_by_hour, {}),
+    "orders_by_dow": (dashboard.orders_by_dow, {}),
+    "top_departments": (dashboard.top_departments, {}),
+    "reorder_rate_by_department": (dashboard.reorder_rate_by_department, {}),
+    "department_peak_hour": (departments.department_peak_hour, {}),
+    "department_stats": (departments.department_stats, {}),
+    "department_hour_ranking": (departments.department_hour_ranking, {}),
+    "product_search": (_searched(search.product_search), _SEARCH),
+    "product_search_hourly": (_searched(search.product_search_hourly), _SEARCH),
+    "products": (search.products_filtered, {"department_id": int, "aisle_id": int}),
+    "aisles_of_department": (search.aisles_of_department, {"department_id": int}),
+    "list_aisles": (catalog_views.list_aisles, {}),
+    "list_departments": (catalog_views.list_departments, {}),
+    "lookup_aisles": (_lookup(catalog_views.lookup_aisles, "aisle"), {"name": str}),
+    "lookup_departments": (_lookup(catalog_views.lookup_departments, "department"), {"name": str}),
+    "refcount_aisles": (catalog_views.refcount_aisles, {}),
+    "refcount_departments": (catalog_views.refcount_departments, {}),
 }
 
 
 def _session() -> SparkSession:
-    active = SparkSession.getActiveSession()
-    if active is not None:
-        ensure_checkpoint_dir(active)
-        return active
-    try:
-        from pyspark import SparkConf
-        if SparkConf().contains("spark.master"):
-            spark = SparkSession.builder.appName("basketry").getOrCreate()
-            ensure_checkpoint_dir(spark)
-            return spark
-    except Exception:  # pragma: no cover - no configured master
-        pass
-    return local_session()
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        if not SparkConf().contains("spark.master"):
+            return local_session()
+        spark = SparkSession.builder.appName("basketry").getOrCreate()
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
+def _parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="basketry", description=__doc__,
+                                formatter_class=argparse.RawDescriptionHelpFormatter)
+    sub = p.add_subparsers(dest="command", required=True)
+    sub.add_parser("create").add_argument("root")
+    load = sub.add_parser("load")
+    load.add_argument("csv")
+    load.add_argument("root")
+    load.add_argument("--buckets", type=int)
+    named = "\n".join(f"  {n}: {', '.join(ps) or '-'}" for n, (_, ps) in READS.items())
+    for command, what in (("show", "name"), ("sql", "file")):
+        c = sub.add_parser(command, epilog=f"operators and parameters:\n{named}" * (command == "show"),
+                           formatter_class=argparse.RawDescriptionHelpFormatter)
+        c.add_argument(what, **({"choices": sorted(READS), "metavar": "name"} if what == "name" else {}))
+        c.add_argument("root")
+        c.add_argument("--param", action="append", default=[], metavar="NAME=VALUE")
+        c.add_argument("--limit", type=int)
+        c.add_argument("--out", metavar="FOLDER")
+    return p
+
+
+def _put(df: DataFrame, limit: int | None, out: str | None) -> None:
+    df = df if limit is None else df.limit(limit)
+    if out:
+        df.write.parquet(out)
+        return
+    print("\t".join(df.columns))
+    for row in df.toLocalIterator():  # a partition at a time
+        print("\t".join("NULL" if v is None else str(v) for v in row))
 
 
 def main(argv: list[str]) -> int:
-    if len(argv) < 2:
-        print(__doc__)
-        return 2
-    cmd, args = argv[0], argv[1:]
+    args = _parser().parse_args(argv)
     spark = _session()
-    if cmd == "create":
-        print(snapshot.create_if_absent(spark, args[0]))
-    elif cmd == "load":
-        buckets = int(args[2]) if len(args) > 2 else None
-        print(snapshot.load_wide(read_wide_csv(spark, args[0]), args[1], order_buckets_n=buckets))
-    elif cmd == "show":
-        t = snapshot.read_snapshot(spark, args[1])
-        n = int(args[2]) if len(args) > 2 else 50
-        READS[args[0]](t).show(n, truncate=False)
-    elif cmd == "sql":
-        run_sql_file(snapshot.read_snapshot(spark, args[1]), args[0]).show(50, truncate=False)
+    if args.command == "create":
+        print(snapshot.create_if_absent(spark, args.root))
+        return 0
+    if args.command == "load":
+        print(snapshot.load_wide(read_wide_csv(spark, args.csv), args.root,
+                                 order_buckets_n=args.buckets))
+        return 0
+    params = dict(x.split("=", 1) for x in args.param)
+    tables = snapshot.read_snapshot(spark, args.root)
+    if args.command == "sql":
+        _put(run_sql_file(tables, args.file, params), args.limit, args.out)
     else:
-        print(__doc__)
-        return 2
+        fn, types = READS[args.name]
+        if unknown := params.keys() - types.keys():
+            raise SystemExit(f"{args.name} takes {sorted(types) or 'no parameters'}, not {sorted(unknown)}")
+        _put(fn(tables, **{k: types[k](v) for k, v in params.items()}), args.limit, args.out)
     return 0
 
 

@@ -153,3 +153,109 @@ def test_cli_load_and_show(spark, scratch, capsys):
     assert main(["show", "kpis", root]) == 0
     out = capsys.readouterr().out
     assert "total_orders" in out
+
+
+def test_cli_parameters_and_whole_results(spark, scratch, capsys):
+    from basketry.__main__ import main
+    root = os.path.join(scratch, "cli2")
+    many = [f"{i},{i},1,1,1,train,2,0,9,7.0,P{i:03d},1,1,a,d\n" for i in range(1, 81)]
+    assert main(["load", _csv(scratch, many, name="many.csv"), root]) == 0
+    capsys.readouterr()
+    assert main(["show", "products", root]) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 81  # header and every row
+    assert main(["show", "product_search", root, "--param", "text=p07", "--param", "hour_from=3"]) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 11
+    assert main(["show", "lookup_aisles", root, "--param", "name=a", "--limit", "1"]) == 0
+    assert capsys.readouterr().out.splitlines() == ["aisle\taisle_id", "a\t1"]
+    sql = os.path.join(scratch, "q.sql")
+    with open(sql, "w", encoding="utf-8") as f:
+        f.write("SELECT product_id FROM products WHERE product_name = :n;")
+    assert main(["sql", sql, root, "--param", "n=P007"]) == 0
+    assert capsys.readouterr().out.splitlines() == ["product_id", "7"]
+    out = os.path.join(scratch, "out")
+    assert main(["show", "kpis", root, "--out", out]) == 0 and spark.read.parquet(out).count() == 1
+    with pytest.raises(SystemExit):
+        main(["show", "kpis", root, "--param", "text=x"])
+
+
+def _swapped(line):
+    f = line.rstrip("\n").split(",")
+    f[4], f[12] = f[12], f[4]  # user_id and department_id
+    return ",".join(f) + "\n"
+
+
+def test_every_file_has_its_own_header(spark, scratch):
+    folder = os.path.join(scratch, "two")
+    os.mkdir(folder)
+    names = HEADER.strip().split(",")
+    names[4], names[12] = names[12], names[4]
+    _csv(folder, GOOD[:2], name="a.csv")
+    _csv(folder, [_swapped(GOOD[2])], name="b.csv", header=",".join(names) + "\n")
+    wide = read_wide_csv(spark, folder)
+    assert sorted(rows(wide.select("order_id", "user_id", "department_id"))) == [
+        (100, 1, 1), (100, 1, 2), (101, 1, 1)]
+    _csv(folder, [], name="c.csv", header="other,names\n")
+    with pytest.raises(ValueError, match="different columns"):
+        read_wide_csv(spark, folder)
+    with pytest.raises(ValueError, match="repeated"):
+        read_wide_csv(spark, _csv(scratch, [], name="d.csv", header="a,b,a\n"))
+
+
+def test_ragged_and_unparsable_lines_are_not_lost(spark, scratch):
+    lines = GOOD + [
+        GOOD[0].rstrip("\n") + ",surplus\n",
+        '100,13,1,0,1,train,2,0,9,7.0,"a, b",1,1,fresh fruits,produce\n',  # a quoted comma is no field
+        '104,10,1,1,1,train,4,0,9\n',  # short: missing values
+        '105,x,1,1,1,train,4,0,9,3.0,Tea,1,1,fresh fruits,produce\n',
+        '106,x,1,1,1,train,4,0,9,,Tea,1,1,fresh fruits,produce\n']  # removed anyway: no day gap
+    wide = read_wide_csv(spark, _csv(scratch, lines, name="ragged.csv"))
+    got = load.rejects(wide).select("rule", "violations")
+    assert sorted(rows(got)) == [("product_id", 1), ("surplus fields", 1)]
+    for fails in (lambda: load.clean_wide(wide).count(), lambda: load.normalise(wide).orders.count()):
+        with pytest.raises(Exception, match="unusable fields"):
+            fails()
+    assert load.clean_wide(wide, keep_out=True).count() == 5
+    with pytest.raises(snapshot.SnapshotRejected) as err:
+        snapshot.load_wide(wide, os.path.join(scratch, "ragged"))
+    assert err.value.violations == [("wide", "parse product_id", 1), ("wide", "parse surplus fields", 1)]
+
+
+def test_staged_rows_are_read_by_column(spark, scratch):
+    wide = read_wide_csv(spark, _csv(scratch, GOOD, name="staged.csv"))
+    staged = load.stage(wide, os.path.join(scratch, "staged")).drop("_bad")
+    t = load.normalise(staged, staged=True)
+    for name, df in t.items():
+        read = df._jdf.queryExecution().executedPlan().toString().split("ReadSchema: struct<")[1].split(">")[0]
+        assert len(read.split(",")) <= len(df.columns) + 3, (name, read)  # and the position
+        assert sorted(rows(df)) == sorted(rows(getattr(load.normalise(wide), name)))
+
+
+def test_defaults_of_a_frame_without_the_columns(spark):
+    wide = spark.createDataFrame(
+        [(1, 1, "d", 1, "a", 10, "p", 100, 2, 0, 9, 1.0, 1)],
+        "user_id long, department_id long, department string, aisle_id long, aisle string, "
+        "product_id long, product_name string, order_id long, order_number long, order_dow long, "
+        "order_hour_of_day long, days_since_prior_order double, add_to_cart_order long")
+    t = load.normalise(wide)
+    assert rows(t.orders.select("eval_set")) == [("train",)]
+    assert rows(t.order_details.select("reordered")) == [(0,)]
+
+
+def test_a_cut_off_marker_is_no_publication(spark, scratch):
+    root = os.path.join(scratch, "cut")
+    v1 = snapshot.create_if_absent(spark, root)
+    for text in ("", "{", "{}"):
+        v = os.path.join(root, f"v9{len(text)}")
+        os.mkdir(v)
+        with open(os.path.join(v, snapshot.MARKER), "w") as f:
+            f.write(text)
+    assert snapshot.latest_version(spark, root) == v1
+
+
+def test_sql_leaves_the_callers_views_alone(spark, scratch):
+    from basketry.sources.sql import run_sql
+    spark.range(3).createOrReplaceTempView("orders")
+    got = run_sql(make_tables(spark, users=[(5,)]), "SELECT count(*) FROM users")
+    assert rows(got) == [(1,)] and spark.table("orders").count() == 3
+    assert not any(v.name == "users" for v in spark.catalog.listTables() if v.isTemporary)
+    spark.catalog.dropTempView("orders")

@@ -67,6 +67,18 @@ def test_query_matches_oracle(spark, duck, name):
     assert _canon(df.columns, got) == _canon(cols, cur.fetchall())
 
 
+def test_no_window_takes_a_whole_table(spark):
+    """A window without PARTITION BY only numbers the partitions of new ids."""
+    seen = 0
+    for name, query in QUERIES.items():
+        plan = query(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        for line in plan.splitlines():
+            if re.search(r"\bWindow \[", line) and not re.search(r"\], \[\w+#\d+.*\], \[", line):
+                assert "_n#" in line and "_part#" in line, f"{name}: {line}"
+                seen += 1
+    assert seen  # the ids of inserts
+
+
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["department", "items_sold", "reorder_pct", "peak_hour"]
