@@ -31,7 +31,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.ids import consecutive_ids
@@ -52,6 +52,16 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _requests(changes: DataFrame) -> DataFrame:
+    """The change set; a ``seq`` that occurs twice fails the job, as outcomes
+    are told apart by it."""
+    again = F.count(F.lit(1)).over(Window.partitionBy("seq")) > 1
+    refuse = F.raise_error(F.concat(F.lit("repeated seq in a change set: "),
+                                    F.col("seq").cast("string"))).cast("boolean")
+    return (changes.withColumn("_again", again)
+            .filter(F.when(F.col("_again"), refuse).otherwise(F.lit(True))).drop("_again"))
+
+
 def high_water_mark(df: DataFrame, id_col: str) -> DataFrame:
     """One row, ``COALESCE(MAX(id), 1)``."""
     return df.agg(F.coalesce(F.max(id_col), F.lit(1)).cast("bigint").alias("high_water_mark"))
@@ -62,25 +72,28 @@ def insert_names(dim: DataFrame, id_col: str, name_col: str, changes: DataFrame,
     """Insert unique names (aisles, departments) and allocate their ids.
 
     Two passes over the change set: one finds the first request of every new
-    name (a partial aggregate) and numbers those; the other classifies every
-    request with two LEFT joins (existing names, numbered new names).
+    name (a partial aggregate) and numbers those; the other classifies the
+    requests: blank and over-long names by themselves, the others with two
+    LEFT joins (existing names, numbered new names).
     """
-    c = changes.select("seq", strip(F.col(changes_name_col)).alias("_name"))
+    c = _requests(changes).select("seq", strip(F.col(changes_name_col)).alias("_name"))
     n = F.length("_name")
+    fits = F.coalesce(n.between(1, NAME_LIMIT), F.lit(False))
     current = dim.select(F.col(name_col).alias("_name"), F.col(id_col).alias("_old"))
-    firsts = (c.filter(n.between(1, NAME_LIMIT)).join(current, "_name", "left_anti")
+    firsts = (c.filter(fits).join(current, "_name", "left_anti")
               .groupBy("_name").agg(F.min("seq").alias("_first")))
     start = high_water_mark(dim, id_col).select((F.col("high_water_mark") + 1).alias("s"))
     winners = consecutive_ids(firsts, "_first", "_new", start=start)
-    judged = c.join(current, "_name", "left").join(winners, "_name", "left")
-    blank = F.col("_name").isNull() | (n == 0)
-    status = (F.when(blank, "blank").when(n > NAME_LIMIT, "too long")
-              .when(F.col("_old").isNotNull(), "exists")
+    judged = c.filter(fits).join(current, "_name", "left").join(winners, "_name", "left")
+    status = (F.when(F.col("_old").isNotNull(), "exists")
               .when(F.col("seq") == F.col("_first"), "inserted").otherwise("duplicate"))
-    ids = F.when(~blank & (n <= NAME_LIMIT), F.coalesce("_old", "_new"))
-    outcomes = judged.select(F.col("seq").cast("bigint").alias("seq"), status.alias("status"),
-                             ids.cast("bigint").alias("id"),
-                             F.lit(None).cast("string").alias("detail"))
+    unfit = c.filter(~fits).select(
+        "seq", F.when(n > NAME_LIMIT, "too long").otherwise("blank").alias("status"),
+        F.lit(None).cast("bigint").alias("id"))
+    outcomes = judged.select("seq", status.alias("status"), F.coalesce("_old", "_new").cast("bigint")
+                             .alias("id")).unionByName(unfit)
+    outcomes = outcomes.select(F.col("seq").cast("bigint").alias("seq"), "status", "id",
+                               F.lit(None).cast("string").alias("detail"))
     table = dim.select(id_col, name_col).unionByName(
         winners.select(F.col("_new").alias(id_col), F.col("_name").alias(name_col)))
     return ChangeResult(table, outcomes)
@@ -95,7 +108,7 @@ def rename_names(dim: DataFrame, id_col: str, name_col: str, changes: DataFrame,
     current names and candidate names).  Every request is then classified in
     one pass with LEFT joins on small per-id / per-request results.
     """
-    c = changes.select("seq", F.col(changes_id_col).alias("_id"),
+    c = _requests(changes).select("seq", F.col(changes_id_col).alias("_id"),
                        strip(F.col(changes_name_col)).alias("_name"))
     n = F.length("_name")
     valid = c.filter(n.between(1, NAME_LIMIT))
@@ -155,7 +168,7 @@ def _id_marker(df: DataFrame, col: str, alias: str, marker: str, unique: bool) -
 
 def _product_request(changes: DataFrame, with_id: bool) -> DataFrame:
     cols = ["seq"] + (["product_id"] if with_id else [])
-    return changes.select(*cols, strip(F.col("product_name")).alias("_name"),
+    return _requests(changes).select(*cols, strip(F.col("product_name")).alias("_name"),
                           F.col("aisle_id").alias("_aisle"), F.col("department_id").alias("_dept"))
 
 

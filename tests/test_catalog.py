@@ -1,5 +1,7 @@
 """Change-set operators on the `mini` frame (FIXTURES.md §3)."""
 
+import pytest
+
 from basketry.operators import catalog
 from conftest import make_tables, rows
 
@@ -97,3 +99,12 @@ def test_cascades(spark, mini):
     assert sorted(rows(after.order_details)) == [(100, 12, 2, 0), (102, 12, 2, 1)]
     both = catalog.delete_products(mini, ids)
     assert both.products.count() == 3 and both.order_details.count() == 3
+
+
+def test_a_repeated_seq_is_refused(spark, mini):
+    twice = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "seq long, id long, name string")
+    for result in (
+            lambda: catalog.insert_names(mini.aisles, "aisle_id", "aisle", twice.select("seq", "name")),
+            lambda: catalog.rename_names(mini.aisles, "aisle_id", "aisle", twice)):
+        with pytest.raises(Exception, match="repeated seq"):
+            result().outcomes.collect()
