@@ -17,9 +17,11 @@ hot ones included; most pairs are dropped by that count alone.  A node with
 fewer than c hot fingerprints needs none of them.  The other nodes, few, are
 compared among each other once more, on all their parts in a new global order,
 rare parts first, so that shared passages come last and are not reached.  What
-is hot even then (near copies) is compared in rounds: one hub per fingerprint
-against all, then, only between nodes in different components by then, eight
-times as many, until every pair has been compared or is connected.
+is hot even then (near copies) is compared in two rounds: one hub per
+fingerprint against all, then every pair of nodes in different components by
+then.  Both rounds compare whole sketches, of two bits per shingle, first: a
+pair whose sketches differ in more bits than D is no match, so a task compares
+the nodes of a fingerprint in blocks and emits next to nothing.
 
 Every candidate pair is verified on the exact shingle sets, first each node's
 best partner, then only pairs between components.  No link between components
@@ -48,6 +50,8 @@ BASE, SMALL = 4, 64
 PARTS = 0.5
 #: Fingerprints beyond D: a share of the band's smallest set, MORE at most.
 MORE = 24
+#: Bits of a whole sketch per shingle of the band's largest set.
+BITS = 2
 #: Nodes that may share a fingerprint before it counts as hot.
 RUN = 16
 #: Fingerprints that a task sorts and sends together.
@@ -134,6 +138,14 @@ def fingerprints(grams: np.ndarray, scheme: int, d: int, single: bool,
     return keys, len(keys) - d
 
 
+def sketch(grams: np.ndarray, scheme: int) -> np.ndarray:
+    """The parity sketch of a set, as 64-bit words: each shingle flips one bit,
+    so two sketches differ in at most as many bits as their sets in shingles."""
+    bits = max(64, BITS * BASE**(scheme + 1))
+    at = (mix(grams ^ U(0xA5A5A5A5A5A5A5A5)) % U(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool)).view(U)
+
+
 def runs(*sorted_by: np.ndarray) -> np.ndarray:
     """Starts of runs of equal values, and the end."""
     new = np.ones(len(sorted_by[0]) + 1, bool)
@@ -302,28 +314,31 @@ def matcher(buckets: int):
     return run
 
 
-def hub_pairs(low: int, high: int):
-    """(key, node, n, component): per fingerprint, pairs of its low-th to
-    high-th nodes with every later node of another component and a size that
-    can be similar; with the number of fingerprints, summed over the partition."""
+def near_pairs(hubs: int | None):
+    """(key, node, n, component, sketch): per fingerprint, the pairs of its
+    first `hubs` (or all) nodes with every later node of another component
+    whose size and sketch can be similar; with the number of fingerprints,
+    summed over the partition."""
     def run(batches):
         table = pa.Table.from_batches(list(batches))
         if not table.num_rows:
             return
         key, node, n, comp = (table.column(c).to_numpy() for c in ("key", "node", "n", "component"))
+        sketches = table.column("sketch").combine_chunks()
         order = np.lexsort((node, key))
         key, node, n, comp = key[order], node[order], n[order], comp[order]
         at = runs(key)
         a, b = [], []
         for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
-            c = comp[s:e]
-            if e - s > low + 1 and (c != c[0]).any():
-                for h in range(s + low, min(s + high, e)):
-                    later = slice(h + 1, e)
-                    fits = (comp[later] != comp[h]) & (4 * np.minimum(n[later], n[h])
-                                                       >= 3 * np.maximum(n[later], n[h]))
-                    b.append(node[later][fits])
-                    a.append(np.full(len(b[-1]), node[h]))
+            if e - s < 2 or (comp[s:e] == comp[s]).all():
+                continue
+            bits = np.stack([np.frombuffer(sketches[i].as_buffer(), U) for i in order[s:e].tolist()])
+            for h in range(s, e - 1 if hubs is None else min(s + hubs, e - 1)):
+                later = np.flatnonzero((comp[h + 1:e] != comp[h]) & (
+                    4 * np.minimum(n[h + 1:e], n[h]) >= 3 * np.maximum(n[h + 1:e], n[h]))) + h + 1
+                differ = np.bitwise_count(bits[later - s] ^ bits[h - s]).sum(axis=1, dtype=np.int64)
+                b.append(node[later[differ <= (n[later] + n[h]) // 7]])
+                a.append(np.full(len(b[-1]), node[h]))
         a, b, shared = counted(a, b)
         for i in range(0, len(a), 100_000):
             yield pa.RecordBatch.from_arrays(
@@ -377,7 +392,8 @@ class Verifier:
         return common.cut(p.mapInArrow(run, "a long, b long").distinct(), "jaccard-links")
 
     def parts(self, nodes: DataFrame, single: bool) -> DataFrame:
-        """(node) -> key, node, scheme, d: all non-empty parts in all schemes."""
+        """(node) -> key, node, scheme, d: all non-empty parts in all schemes; and
+        for each node and scheme one row without a key and with the sketch."""
         ids = common.cut(nodes.join(self.info, "node").select("doc_id"), "jaccard-ids")
         n = self.n
         if ids.count() <= BROADCAST_IDS:
@@ -390,14 +406,16 @@ class Verifier:
                     for g in (shingles(t, words, n) for t in texts):
                         for scheme, d in schemes(len(g)) if len(g) else ():
                             keys, _ = fingerprints(g, scheme, d, single, len(g))
-                            m = len(keys)
+                            m = len(keys) + 1
                             yield pa.RecordBatch.from_arrays(
-                                [pa.array(keys.astype(np.int64)), pa.array(np.full(m, node_of(g))),
-                                 pa.array(np.full(m, scheme, np.int32)), pa.array(np.full(m, d, np.int32))],
-                                names=["key", "node", "scheme", "d"])
+                                [pa.array([*keys.astype(np.int64).tolist(), None], pa.int64()),
+                                 pa.array(np.full(m, node_of(g))),
+                                 pa.array(np.full(m, scheme, np.int32)), pa.array(np.full(m, d, np.int32)),
+                                 pa.array([None] * (m - 1) + [sketch(g, scheme).tobytes()], pa.binary())],
+                                names=["key", "node", "scheme", "d", "sketch"])
 
         return self.docs.join(ids, "doc_id", "left_semi").mapInArrow(
-            run, "key long, node long, scheme int, d int").distinct()
+            run, "key long, node long, scheme int, d int, sketch binary")
 
 
 class Linked:
@@ -443,28 +461,29 @@ def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 def compare_hot(verify: Verifier, linked: Linked, hot: DataFrame, single: bool) -> None:
     """Compare the hot nodes with each other, rare parts first."""
-    parts = common.cut(verify.parts(hot, single), "jaccard-parts")
+    found = common.cut(verify.parts(hot, single), "jaccard-parts")
+    # rows that repeat an id bring their parts twice
+    parts = found.filter("key IS NOT NULL").select("key", "node", "scheme", "d").distinct()
+    sketches = found.filter("key IS NULL").dropDuplicates(["node", "scheme"]).select(
+        "node", "scheme", "sketch")
     often = parts.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("often"))
     # a window holds one node's parts in one scheme
     order = Window.partitionBy("node", "scheme").orderBy("often", "key")
     first = (parts.join(often.filter("often > 1"), F.col("key") == F.col("of"), "left")
              .withColumn("often", F.coalesce("often", F.lit(1)))
              .withColumn("at", F.row_number().over(order))
-             .filter("at <= d + 1 AND often > 1").select("key", "node"))
+             .filter("at <= d + 1 AND often > 1").select("key", "node", "scheme"))
     first = common.cut(first.join(verify.info.select("node", "n"), "node"), "jaccard-first")
-    largest = first.groupBy("key").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0
-    low, high = 0, 1
-    while low < largest - 1:
+    for hubs in (1, None):
         c = first.join(linked.comp, "node")
         open_ = c.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter(
             "x <> y").select("key")
-        c = common.cut(c.join(open_, "key", "left_semi"), "jaccard-open")
+        c = common.cut(c.join(open_, "key", "left_semi").join(sketches, ["node", "scheme"])
+                       .select("key", "node", "n", "component", "sketch"), "jaccard-open")
         if not c.limit(1).count():
             break
-        pairs = c.select("key", "node", "n", "component").repartition("key").mapInArrow(
-            hub_pairs(low, high), "a long, b long, shared long")
+        pairs = c.repartition("key").mapInArrow(near_pairs(hubs), "a long, b long, shared long")
         linked.connect(pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared")))
-        low, high = high, high * 8
 
 
 def near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:

@@ -119,3 +119,15 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100,
                    **{i: 200 for i in range(200, 250)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for scheme in range(6):
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 2**63, 4**scheme + 2).astype(np.uint64))
+            b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.8],
+                                          rng.integers(0, 2**63, 3).astype(np.uint64))))
+            x, y = jaccard.sketch(a, scheme), jaccard.sketch(b, scheme)
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+        assert not (jaccard.sketch(a, scheme) ^ jaccard.sketch(a, scheme)).any()
