@@ -14,16 +14,19 @@ Rules (the reference's, applied to a batch):
   the winner's id; new ids continue from ``COALESCE(MAX(id), 1) + 1`` in
   ``seq`` order (so an empty table starts at 2, as the reference's sequence
   sync does);
-* renames and product updates: the last valid request per id wins, earlier
-  ones are ``superseded``; an unknown id is a no-op (0 rows updated); a rename
-  onto a name that another id holds before or after the batch is refused, so
-  the result stays UNIQUE;
+* renames are judged one after the other in ``seq`` order, as clicks are: a
+  rename onto a name that another id holds at that time is refused and changes
+  nothing; of an id's granted renames the last stays, earlier ones are
+  ``superseded``; an unknown id is a no-op (0 rows updated);
+* product updates: the last valid request per product wins, earlier ones are
+  ``superseded``; an unknown product is a no-op;
 * guarded deletes refuse ids still referenced by products (reporting the
   count); product deletes also remove the product's order lines; deletes
   along the foreign keys cascade, as ON DELETE CASCADE does.
 
 Everything is joins, partial aggregates and anti/semi joins; the only
-ordered numbering is `basketry.functions.ids.consecutive_ids`.
+ordered numbering is `basketry.functions.ids.consecutive_ids`, and the only
+sequential work the replay of renames that meet over a name.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.functions.components import components
 from basketry.functions.ids import consecutive_ids
 from basketry.functions.text import strip
 from basketry.schema import MAX_LENGTH, PRIMARY_KEYS, TABLE_ORDER, children_of
@@ -99,40 +103,82 @@ def insert_names(dim: DataFrame, id_col: str, name_col: str, changes: DataFrame,
     return ChangeResult(table, outcomes)
 
 
+def _replay(rows):
+    """Partitions of (component, seq, id, name, holder) in this order, holders
+    first: apply one request after the other, as clicks would; (seq,) of the
+    refused ones.  Memory holds one component's current names."""
+    import pandas as pd
+
+    component, name_of, held_by = None, {}, {}
+    for frame in rows:
+        refused = []
+        for comp, seq, id_, name, holder in frame.itertuples(index=False, name=None):
+            if comp != component:
+                component, name_of, held_by = comp, {}, {}
+            if not holder and held_by.get(name, id_) != id_:
+                refused.append(seq)
+                continue
+            old = name_of.get(id_)
+            if held_by.get(old) == id_:
+                del held_by[old]
+            name_of[id_], held_by[name] = name, id_
+        yield pd.DataFrame({"refused": pd.Series(refused, dtype="int64")})
+
+
+def _refused(current: DataFrame, valid: DataFrame) -> DataFrame:
+    """(refused): the ``seq`` of requests whose name another id holds when
+    their turn comes.
+
+    A name that only one id ever holds or asks for is granted whatever the
+    order, so most requests need no turn.  Ids that meet over a contested name
+    depend on each other; each connected group of them is replayed in ``seq``
+    order in one task, as a stream.
+    """
+    claims = current.select("_id", F.col("_old").alias("_name")).union(
+        valid.select("_id", "_name")).distinct()
+    spread = claims.groupBy("_name").agg(F.min("_id").alias("a"), F.max("_id").alias("z"))
+    contested = claims.join(spread.filter("a <> z"), "_name").select(
+        F.col("_id").alias("b"), "a")
+    group = components(contested).select(F.col("node").alias("_id"), "component")
+    events = current.select("_id", F.lit(None).cast("bigint").alias("seq"),
+                            F.col("_old").alias("_name"), F.lit(True).alias("holder")).unionByName(
+        valid.select("_id", F.col("seq").cast("bigint").alias("seq"), "_name",
+                     F.lit(False).alias("holder")))
+    events = events.join(group, "_id").select("component", "seq", "_id", "_name", "holder")
+    return (events.repartition("component")
+            .sortWithinPartitions("component", F.col("seq").asc_nulls_first())
+            .mapInPandas(_replay, "refused bigint"))
+
+
 def rename_names(dim: DataFrame, id_col: str, name_col: str, changes: DataFrame,
                  changes_id_col: str = "id", changes_name_col: str = "name") -> ChangeResult:
-    """Rename aisles / departments, keeping names UNIQUE.
+    """Rename aisles / departments in ``seq`` order, keeping names UNIQUE.
 
-    The last valid request per id is the candidate; it is refused if its name
-    is held by another id before or after the batch (counted over the union of
-    current names and candidate names).  Every request is then classified in
-    one pass with LEFT joins on small per-id / per-request results.
+    A request is refused (``conflict``) if another id holds its name at that
+    time; a refused request changes nothing, and a name that was given up may
+    be taken, so swaps over a third name work.  Of an id's granted requests
+    the last is ``renamed``, earlier ones are ``superseded``.
     """
     c = _requests(changes).select("seq", F.col(changes_id_col).alias("_id"),
-                       strip(F.col(changes_name_col)).alias("_name"))
+                                  strip(F.col(changes_name_col)).alias("_name"))
     n = F.length("_name")
-    valid = c.filter(n.between(1, NAME_LIMIT))
-    last = valid.groupBy("_id").agg(F.max("seq").alias("_last"))
     current = dim.select(F.col(id_col).alias("_id"), F.col(name_col).alias("_old"))
-    known = (valid.join(last.withColumnRenamed("_last", "seq"), ["_id", "seq"], "left_semi")
-             .join(current.select("_id"), "_id", "left_semi"))
-    holders = (current.select("_id", F.col("_old").alias("_name"))
-               .unionByName(known.select("_id", "_name")).distinct()
-               .groupBy("_name").agg(F.count(F.lit(1)).alias("_holders")))
-    judged = known.join(holders, "_name")
-    verdicts = judged.select("seq", "_holders")
-    classified = (c.join(last, "_id", "left").join(current, "_id", "left")
-                  .join(verdicts, "seq", "left"))
+    valid = c.filter(n.between(1, NAME_LIMIT)).join(current.select("_id"), "_id", "left_semi")
+    refused = _refused(current, valid)
+    granted = valid.join(refused, F.col("seq") == F.col("refused"), "left_anti")
+    last = granted.groupBy("_id").agg(F.max_by("_name", "seq").alias("_new"),
+                                      F.max("seq").alias("_last"))
+    judged = (c.join(current, "_id", "left").join(last.select("_id", "_last"), "_id", "left")
+              .join(refused, F.col("seq") == F.col("refused"), "left"))
     status = (F.when(F.col("_name").isNull() | (n == 0), "blank").when(n > NAME_LIMIT, "too long")
-              .when(F.col("seq") != F.col("_last"), "superseded")
               .when(F.col("_old").isNull(), "unknown")
-              .when(F.col("_holders") > 1, "conflict").otherwise("renamed"))
-    outcomes = classified.select(F.col("seq").cast("bigint").alias("seq"), status.alias("status"),
-                                 F.col("_id").cast("bigint").alias("id"),
-                                 F.lit(None).cast("string").alias("detail"))
-    accepted = judged.filter(F.col("_holders") == 1)
-    table = (dim.join(accepted.select(F.col("_id").alias(id_col), "_name"), id_col, "left")
-             .select(id_col, F.coalesce(F.col("_name"), F.col(name_col)).alias(name_col)))
+              .when(F.col("refused").isNotNull(), "conflict")
+              .when(F.col("seq") == F.col("_last"), "renamed").otherwise("superseded"))
+    outcomes = judged.select(F.col("seq").cast("bigint").alias("seq"), status.alias("status"),
+                             F.col("_id").cast("bigint").alias("id"),
+                             F.lit(None).cast("string").alias("detail"))
+    table = (dim.join(last.select(F.col("_id").alias(id_col), "_new"), id_col, "left")
+             .select(id_col, F.coalesce(F.col("_new"), F.col(name_col)).alias(name_col)))
     return ChangeResult(table, outcomes)
 
 

@@ -207,6 +207,16 @@ QUERIES["insert_aisles_table"] = lambda spark, d: _aisle_inserts(spark, d).table
 QUERIES["insert_departments"] = lambda spark, d: _department_inserts(spark, d).outcomes
 QUERIES["rename_aisles"] = lambda spark, d: _aisle_renames(spark, d).outcomes
 QUERIES["rename_aisles_table"] = lambda spark, d: _aisle_renames(spark, d).table
+def _contested_department_renames(spark, sf_dir):
+    """All departments after the same few names: most requests are refused."""
+    req = _part(spark, sf_dir).select(F.col("p_partkey").alias("seq"),
+                                      (F.col("p_size") % 25 + 1).cast("bigint").alias("id"),
+                                      F.col("p_type").alias("name"))
+    return catalog.rename_names(fixture_tables(spark, sf_dir).departments, "department_id",
+                                "department", req)
+
+
+QUERIES["rename_departments"] = lambda spark, d: _contested_department_renames(spark, d).outcomes
 QUERIES["rename_departments_table"] = lambda spark, d: _department_renames(spark, d).table
 QUERIES["delete_aisles"] = lambda spark, d: _aisle_deletes(spark, d).outcomes
 QUERIES["delete_departments"] = lambda spark, d: _department_deletes_after_insert(spark, d).outcomes

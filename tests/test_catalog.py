@@ -42,15 +42,23 @@ def test_rename_rules(spark, mini):
         [(1, 1, "fruit"), (2, 1, " fresh fruit "), (3, 2, "fresh fruit"), (4, 9, "ghost"),
          (5, 2, ""), (6, 3, "empty")], "seq long, id long, name string")
     res = catalog.rename_names(mini.aisles, "aisle_id", "aisle", changes)
-    # ids 1 and 2 both end on "fresh fruit": both refused, names unchanged
+    # the first of two takers gets "fresh fruit"; the other keeps its name
     assert _outcomes(res) == [(1, "superseded", 1, None),
-                              (2, "conflict", 1, None), (3, "conflict", 2, None),
+                              (2, "renamed", 1, None), (3, "conflict", 2, None),
                               (4, "unknown", 9, None), (5, "blank", 2, None),
                               (6, "unknown", 3, None)]
-    assert sorted(rows(res.table)) == [(1, "fresh fruits"), (2, "milk")]
+    assert sorted(rows(res.table)) == [(1, "fresh fruit"), (2, "milk")]
     ok = catalog.rename_names(mini.aisles, "aisle_id", "aisle", spark.createDataFrame(
         [(1, 2, "dairy milk"), (2, 1, "fresh fruits")], "seq long, id long, name string"))
     assert sorted(rows(ok.table)) == [(1, "fresh fruits"), (2, "dairy milk")]
+    # a refused request does not undo an earlier one, and a name given up is free:
+    # 1 -> x, 1 -> milk (taken), 2 -> fresh fruits (free by now), 1 -> milk (free by now)
+    swap = catalog.rename_names(mini.aisles, "aisle_id", "aisle", spark.createDataFrame(
+        [(4, 1, "milk"), (1, 1, "x"), (3, 2, "fresh fruits"), (2, 1, "milk")],
+        "seq long, id long, name string"))
+    assert _outcomes(swap) == [(1, "superseded", 1, None), (2, "conflict", 1, None),
+                               (3, "renamed", 2, None), (4, "renamed", 1, None)]
+    assert sorted(rows(swap.table)) == [(1, "milk"), (2, "fresh fruits")]
 
 
 def test_guarded_deletes(spark, mini):
