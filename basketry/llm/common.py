@@ -54,15 +54,17 @@ def replace_columns(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*keep, *[v.alias(k) for k, v in columns.items()])
 
 
-def slices(batch, column: int, chars: int):
+def slices(batch, column: int, chars: int, rows: int = 128):
     """(slice of an Arrow batch, its texts) with about `chars` characters each;
-    null texts come as empty ones."""
-    texts = [t or "" for t in batch.column(column).to_pylist()]
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= chars or i - start >= 4096:
-            yield batch.slice(start, i + 1 - start), texts[start:i + 1]
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield batch.slice(start), texts[start:]
+    null texts come as empty ones.  Texts become Python strings `rows` at a
+    time, so a large batch is never held twice."""
+    start, texts, held = 0, [], 0
+    for i in range(0, batch.num_rows, rows):
+        for t in batch.column(column).slice(i, rows).to_pylist():
+            texts.append(t or "")
+            held += len(texts[-1])
+            if held >= chars:
+                yield batch.slice(start, len(texts)), texts
+                start, texts, held = start + len(texts), [], 0
+    if texts:
+        yield batch.slice(start), texts

@@ -40,8 +40,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.functions.components import components
 from basketry.llm import common
-from basketry.llm.components import components
 
 N = 5
 #: Bands [4**i, 4**(i+1)); below SMALL every shingle is a part of its own.
@@ -55,7 +55,7 @@ BITS = 2
 #: Nodes that may share a fingerprint before it counts as hot.
 RUN = 16
 #: Fingerprints that a task sorts and sends together.
-FLUSH = 1_000_000
+FLUSH = 400_000
 #: Ids of candidate documents that are broadcast (8 bytes each); beyond it
 #: their texts are found by a shuffled join.
 BROADCAST_IDS = 1_000_000
@@ -72,7 +72,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words(dict):
     """word -> 64-bit hash; remembers up to LIMIT words."""
 
-    LIMIT = 250_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -175,6 +175,7 @@ def emitter(buckets: int, single: bool, n: int):
     nodes of one part) and HOT (runs found hot here)."""
     def flush(held):
         keys, nodes, scheme = (np.concatenate(x) for x in zip(*held))
+        held.clear()
         part = scheme * buckets + ((keys >> U(32)) % U(buckets)).astype(np.int64)
         full = (part.astype(U) << U(32)) | (keys & U(0xFFFFFFFF))
         order = np.lexsort((nodes, full))
@@ -205,7 +206,7 @@ def emitter(buckets: int, single: bool, n: int):
     def run(batches):
         words, held, size = Words(), [], 0
         for batch in batches:
-            for piece, texts in common.slices(batch, 1, 2_000_000):
+            for piece, texts in common.slices(batch, 1, 500_000):
                 info = []
                 for doc_id, text in zip(piece.column(0).to_pylist(), texts):
                     g = shingles(text, words, n)
@@ -363,7 +364,7 @@ class Verifier:
         def run(batches):
             words = Words()
             for batch in batches:
-                for _, texts in common.slices(batch, 1, 2_000_000):
+                for _, texts in common.slices(batch, 1, 500_000):
                     sets = [shingles(t, words, n) for t in texts]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([node_of(g) for g in sets], pa.int64()),
@@ -402,7 +403,7 @@ class Verifier:
         def run(batches):
             words = Words()
             for batch in batches:
-                for _, texts in common.slices(batch, 1, 2_000_000):
+                for _, texts in common.slices(batch, 1, 500_000):
                     for g in (shingles(t, words, n) for t in texts):
                         for scheme, d in schemes(len(g)) if len(g) else ():
                             keys, _ = fingerprints(g, scheme, d, single, len(g))

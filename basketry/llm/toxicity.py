@@ -50,7 +50,7 @@ def terms_of(word: str) -> tuple[str, ...]:
 class Terms(dict):
     """word -> numbers of its vocabulary terms; remembers up to LIMIT words."""
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __init__(self, number: dict[str, int]):
         super().__init__()
@@ -240,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER
     def sketched(batches):
         words = Words()
         for batch in batches:
-            for piece, texts in common.slices(batch, 1, 2_000_000):
+            for piece, texts in common.slices(batch, 1, 1_000_000):
                 sets = [shingles(x, words) for x in texts]
                 yield pa.RecordBatch.from_arrays(
                     [*piece.columns, pa.array([int(g[0]) - 2**63 if len(g) else None for g in sets],
@@ -258,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER
 
     def sets(batches):
         for batch in batches:
-            for piece, texts in common.slices(batch, 1, 2_000_000):
+            for piece, texts in common.slices(batch, 1, 1_000_000):
                 found = [sorted({t for w in set(WORD.findall(x.lower())) for t in terms_of(w)})
                          for x in texts]
                 yield pa.RecordBatch.from_arrays(
@@ -287,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER
     def vectors(batches):
         terms = Terms(number)
         for batch in batches:
-            for piece, texts in common.slices(batch, 1, 2_000_000):
+            for piece, texts in common.slices(batch, 1, 1_000_000):
                 counts = [count(terms, x) for x in texts]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), piece.column(2),
@@ -323,7 +323,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shipped.value
         terms, seen = Terms(m.number), {}
         for batch in batches:
-            for piece, texts in common.slices(batch, 1, 2_000_000):
+            for piece, texts in common.slices(batch, 1, 1_000_000):
                 got = []
                 for x in texts:
                     counts = count(terms, x)
@@ -352,7 +352,7 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         m = shipped.value
         terms = Terms(m.number)
         for batch in batches:
-            for piece, texts in common.slices(batch, at, 2_000_000):
+            for piece, texts in common.slices(batch, at, 1_000_000):
                 yield piece.filter(pa.array(
                     [m.score(c)[0] < least for c in (count(terms, x) for x in texts)], pa.bool_()))
 
