@@ -26,7 +26,7 @@ from basketry.llm import common
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Known words and known pairs kept by one Python worker.
-WORDS, PAIRS = 1_000_000, 2_000_000
+WORDS, PAIRS = 300_000, 500_000
 #: Words at least this long are not remembered, and merged with a heap.
 LONG = 64
 NEVER = 1 << 40
@@ -237,7 +237,7 @@ def round_trip(docs: DataFrame, path: str, chars: int = 2_000_000) -> DataFrame:
                      pa.array([v.decode(b) for b in ids], pa.string())],
                     names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return common.only(docs, doc_id="long", text="string").mapInArrow(
+    return common.small_batches(common.only(docs, doc_id="long", text="string")).mapInArrow(
         run, "doc_id long, n_tokens long, ids binary, decoded string")
 
 

@@ -39,6 +39,21 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+#: Rows of one Arrow batch to a Python worker; texts are long, so far fewer
+#: than Spark's default of 10,000.
+BATCH_ROWS = 512
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, with the session's Arrow batches limited to BATCH_ROWS rows (a
+    smaller setting is left alone): a batch of whole texts is held in the
+    executor and in the worker at once, so its size bounds their memory."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to a fresh folder in the shared checkpoint directory and read
     it back: lineage ends there, and a lost executor costs only its tasks."""

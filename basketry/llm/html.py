@@ -161,6 +161,6 @@ def extract(pages: DataFrame, rows: int = 256) -> DataFrame:
                      pa.array([main_text(h or "") for h in part.column(2).to_pylist()],
                               pa.string())], names=["page_id", "url", "text"])
 
-    out = common.only(pages, page_id="long", url="string", html="string").mapInArrow(
+    out = common.small_batches(common.only(pages, page_id="long", url="string", html="string")).mapInArrow(
         run, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -495,7 +495,7 @@ def near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
     Repeated rows are copies of each other.  Extra columns are ignored; an
     empty table gives an empty result.
     """
-    d = common.only(docs, doc_id="long", text="string")
+    d = common.small_batches(common.only(docs, doc_id="long", text="string"))
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def matched(single: bool) -> DataFrame:

@@ -236,7 +236,7 @@ def predict(docs: DataFrame, model: Model, size: int = 2_000_000) -> DataFrame:
                      pa.array([g[1] for g in got], pa.float64())],
                     names=["doc_id", "lang_pred", "score"])
 
-    return common.only(docs, doc_id="long", text="string").mapInArrow(
+    return common.small_batches(common.only(docs, doc_id="long", text="string")).mapInArrow(
         run, "doc_id long, lang_pred string, score double")
 
 
@@ -251,7 +251,7 @@ def keep(docs: DataFrame, model: Model, least: float = 0.4, size: int = 2_000_00
                 yield part.filter(pa.array([lang != UND and score >= least for lang, score
                                             in model.predict(texts)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def usable_fold(doc_id: Column, folds: int = 4, held: int = 2) -> Column:

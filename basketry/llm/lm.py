@@ -87,7 +87,7 @@ def count(docs: DataFrame) -> DataFrame:
                 [pa.array(at.astype(np.int32)), pa.array(total[0, at]), pa.array(total[1, at])],
                 names=["slot", "t", "b"])
 
-    parts = docs.select("is_target", "text").mapInArrow(run, "slot int, t long, b long")
+    parts = common.small_batches(docs.select("is_target", "text")).mapInArrow(run, "slot int, t long, b long")
     return parts.groupBy("slot").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
 
@@ -159,7 +159,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                      *[pa.array(c, pa.float64()) for c in cols[1:]]],
                     names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
 
-    return common.only(docs, doc_id="long", text="string").mapInArrow(
+    return common.small_batches(common.only(docs, doc_id="long", text="string")).mapInArrow(
         run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
 
 

@@ -228,6 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER
     Without any the score is 0 everywhere; with one class only it is that
     class's share, smoothed.  Repeated rows of an id count once each.
     """
+    common.small_batches(docs)
     known = common.cut(labels_of(labels).filter(usable), "toxic-labels")
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(n.values())
@@ -339,7 +340,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                      pa.array([g[2] for g in got], pa.list_(pa.float64()))],
                     names=["doc_id", "score", "evidence", "similarity"])
 
-    return common.only(docs, doc_id="long", text="string").mapInArrow(
+    return common.small_batches(common.only(docs, doc_id="long", text="string")).mapInArrow(
         run, "doc_id long, score double, evidence array<bigint>, similarity array<double>")
 
 
@@ -356,7 +357,7 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
                 yield piece.filter(pa.array(
                     [m.score(c)[0] < least for c in (count(terms, x) for x in texts)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
