@@ -17,11 +17,11 @@ hot ones included; most pairs are dropped by that count alone.  A node with
 fewer than c hot fingerprints needs none of them.  The other nodes, few, are
 compared among each other once more, on all their parts in a new global order,
 rare parts first, so that shared passages come last and are not reached.  What
-is hot even then (near copies) is compared in two rounds: one hub per
-fingerprint against all, then every pair of nodes in different components by
-then.  Both rounds compare whole sketches, of two bits per shingle, first: a
-pair whose sketches differ in more bits than D is no match, so a task compares
-the nodes of a fingerprint in blocks and emits next to nothing.
+is hot even then (near copies) is compared in rounds: one hub per fingerprint
+against all, then more, in the last round every pair, but only of nodes in
+different components by then.  All rounds compare whole sketches, of two bits
+per shingle, first: a pair whose sketches differ in more bits than D is no
+match, so a task compares the nodes of a fingerprint in blocks and emits few.
 
 Every candidate pair is verified on the exact shingle sets, first each node's
 best partner, then only pairs between components.  No link between components
@@ -50,6 +50,9 @@ BASE, SMALL = 4, 64
 PARTS = 0.5
 #: Fingerprints beyond D: a share of the band's smallest set, MORE at most.
 MORE = 24
+#: Nodes of a hot fingerprint that are compared with the others, by round: each
+#: round connects most of what the next would otherwise emit; None is all.
+HUBS = (1, 4, 16, None)
 #: Bits of a whole sketch per shingle of the band's largest set.
 BITS = 2
 #: Nodes that may share a fingerprint before it counts as hot.
@@ -475,7 +478,7 @@ def compare_hot(verify: Verifier, linked: Linked, hot: DataFrame, single: bool)
              .withColumn("at", F.row_number().over(order))
              .filter("at <= d + 1 AND often > 1").select("key", "node", "scheme"))
     first = common.cut(first.join(verify.info.select("node", "n"), "node"), "jaccard-first")
-    for hubs in (1, None):
+    for hubs in HUBS:
         c = first.join(linked.comp, "node")
         open_ = c.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter(
             "x <> y").select("key")
