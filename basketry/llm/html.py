@@ -1,13 +1,20 @@
 """Main text of raw html by text-to-tag ratios over streaming parser events.
 
 The standard library's parser streams a page's events.  Block tags cut the
-page into lines; each line knows its text, the tags met on it and the section
-it stands in.  Lines inside page furniture (menus, headers, footers, sidebars,
-forms, scripts, adverts, notices, comments; by element, role or class name)
-are never content.  Of the others the text-to-tag ratio is smoothed along the
-page with a Gaussian and clustered by a threshold (a fraction of the ratios'
-standard deviation); a section is content when a line of it lies above the
-threshold, and all its lines are kept, short ones too, in page order.
+page into lines; each line knows its text, the tags met on it, how much of the
+text is links and the block it stands in.  Over all lines of the page that show
+text, furniture too, the text-to-tag ratio is smoothed with a Gaussian and
+clustered by a threshold (a fraction of the ratios' standard deviation).  The
+lines above it are the content cluster; links, furniture elements (menus,
+headers, footers, sidebars, forms; by element or role) and containers outside
+articles that a class or id names as furniture never belong to it.
+
+The cluster chooses the region: the articles (or articles and mains) if they
+hold half of its text, else the smallest block around it, widened to its parent
+while that adds no furniture and no list of links.  A region is kept whole, in
+page order and short lines too, without its furniture elements; in a region
+that is no article or main, blocks without a line of the cluster go if they are
+mostly links, and divs before or after the cluster if the body is the region.
 
 Row-wise work: one pass over the pages, no shuffle.
 """
@@ -16,6 +23,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +36,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark "
     "q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-FURNITURE = frozenset(
-    "head title nav header footer aside form script style noscript template button select "
-    "textarea option svg iframe object canvas dialog menu audio video".split())
-#: Elements that make a section of their own.
+#: Elements whose text is no line of the page.
+SILENT = frozenset(
+    "head title script style noscript template button select textarea option svg iframe object "
+    "canvas dialog audio video".split())
+FURNITURE = frozenset("nav header footer aside form menu".split())
+#: Elements that a stray end tag does not leave.
 SECTIONS = frozenset("article main section div td body html".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 #: Words of class and id attributes that name furniture.
@@ -50,36 +60,55 @@ KERNEL = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
 
 
 def is_furniture(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    if tag in FURNITURE:
-        return True
-    for name, value in attrs:
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if value and ((name == "role" and value.lower() in ROLES) or (
-                name in ("class", "id") and tag not in ("body", "html", "article", "main")
-                and not NAMES.isdisjoint(WORDS.findall(value.lower())))):
-            return True
-    return False
+    return tag in FURNITURE or any(
+        name == "hidden" or (name == "aria-hidden" and value == "true")
+        or (name == "role" and value is not None and value.lower() in ROLES) for name, value in attrs)
+
+
+def is_named(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether a class or id names the element as furniture."""
+    return tag not in ("body", "html", "article", "main") and any(
+        value and name in ("class", "id") and not NAMES.isdisjoint(WORDS.findall(value.lower()))
+        for name, value in attrs)
+
+
+class Block(NamedTuple):
+    """A block element: its place is its number, after its parent's."""
+    tag: str
+    parent: int
+    furniture: bool  # it or a block around it is a furniture element
+    named: bool
+    region: int  # 0, 1 in a main, 2 in an article
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int  # characters inside links
+    links: int
+    block: int
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, section) for every line outside furniture."""
+    """Collects the lines and blocks of a page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, inside furniture, section
-        self.lines: list[tuple[str, int, int]] = []
+        self.blocks = [Block("", 0, False, False, 0)]
+        self.open: list[tuple[str, bool, int]] = []  # tag, silent, block
+        self.lines: list[Line] = []
         self.text: list[str] = []
-        self.tags = self.sections = 0
+        self.tags = self.linked = self.links = self.anchors = 0
 
     def end_line(self):
         words = " ".join("".join(self.text).split())
         if words:
-            self.lines.append((words, self.tags, self.open[-1][2] if self.open else 0))
+            self.lines.append(Line(words, self.tags, self.linked, self.links, self.open[-1][2] if self.open else 0))
         self.text.clear()
-        self.tags = 0
+        self.tags = self.linked = self.links = 0
 
     def close_to(self, depth: int):
+        self.anchors -= sum(name == "a" for name, _, _ in self.open[depth:])
         del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
@@ -97,11 +126,19 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        _, inside, section = self.open[-1] if self.open else ("", False, 0)
-        if tag in SECTIONS:
-            self.sections += 1
-            section = self.sections
-        self.open.append((tag, inside or is_furniture(tag, attrs), section))
+        _, silent, block = self.open[-1] if self.open else ("", False, 0)
+        furniture = is_furniture(tag, attrs)
+        if tag in INLINE:
+            silent = silent or furniture
+            self.anchors += tag == "a"
+            self.links += tag == "a"
+        else:
+            silent = silent or tag in SILENT
+            around = self.blocks[block]
+            region = max(around.region, 2 if tag == "article" else 1 if tag == "main" else 0)
+            self.blocks.append(Block(tag, block, around.furniture or furniture, is_named(tag, attrs), region))
+            block = len(self.blocks) - 1
+        self.open.append((tag, silent, block))
 
     def handle_endtag(self, tag):
         if tag not in INLINE:
@@ -118,31 +155,100 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not (self.open and self.open[-1][1]):
             self.text.append(data)
+            if self.anchors:
+                self.linked += len(" ".join(data.split()))
 
 
-def lines_of(html: str) -> list[tuple[str, int, int]]:
+def lines_of(html: str) -> tuple[list[Line], list[Block]]:
     parser = Lines()
     parser.feed(html)
     if UNFINISHED.match(parser.rawdata):
         parser.rawdata = ""  # a tag or comment that the page's end cuts off
     parser.close()
     parser.end_line()
-    return parser.lines
+    return parser.lines, parser.blocks
+
+
+def cluster(lines: list[Line], free: list[int]) -> list[int]:
+    """The lines of `free` whose smoothed ratio lies above the threshold; the
+    ratios are those of all lines."""
+    ratio = np.array([len(x.text) / max(1, x.tags) for x in lines])
+    weight = np.convolve(np.ones(len(lines)), KERNEL)[RADIUS:-RADIUS]
+    smooth = np.convolve(ratio, KERNEL)[RADIUS:-RADIUS] / weight
+    cut = min(SHARE * smooth.std(), smooth[free].max())
+    # above the threshold, and not by its neighbours' text alone
+    above = (smooth >= cut) & (ratio >= cut / 4)
+    return [i for i in free if above[i]] or [max(free, key=lambda i: ratio[i])]
+
+
+def mostly_links(chars: int, linked: int, links: int) -> bool:
+    return links > 1 and 2 * linked > chars
 
 
 def main_text(html: str) -> str:
     """The content lines of a page, joined by newlines; empty if there are none."""
-    lines = lines_of(html)
-    if len({s for _, _, s in lines}) > 1:
-        ratio = np.array([len(t) / max(1, n) for t, n, _ in lines])
-        weight = np.convolve(np.ones(len(lines)), KERNEL)[RADIUS:-RADIUS]
-        smooth = np.convolve(ratio, KERNEL)[RADIUS:-RADIUS] / weight
-        cut = min(SHARE * smooth.std(), smooth.max())
-        # above the threshold, and not by its neighbours' text alone
-        above = (smooth >= cut) & (ratio >= cut / 4)
-        content = {x[2] for x, up in zip(lines, above.tolist()) if up}
-        lines = [x for x in lines if x[2] in content or not content]
-    return "\n".join(t for t, _, _ in lines)
+    lines, blocks = lines_of(html)
+    size = len(blocks)
+    named = [False] * size
+    for i, b in enumerate(blocks):
+        named[i] = named[b.parent] or b.named
+    shown = [i for i, x in enumerate(lines) if not blocks[x.block].furniture]
+    # a page of nothing but links, or but named blocks, still has a text
+    free = [i for i in shown if not named[lines[i].block]]
+    free = [i for i in free if 2 * lines[i].linked <= len(lines[i].text)] or free
+    if not free:
+        return ""
+    seeds = cluster(lines, free)
+    total = sum(len(lines[i].text) for i in seeds)
+    for least in (2, 1):
+        if 2 * sum(len(lines[i].text) for i in seeds if blocks[lines[i].block].region >= least) >= total:
+            return "\n".join(lines[i].text for i in shown
+                             if blocks[lines[i].block].region >= least and not named[lines[i].block])
+
+    # per block, with all that stands in it: characters, linked ones, links, lines of the cluster, furniture
+    sums = np.zeros((size, 5), np.int64)
+    for i, x in enumerate(lines):
+        sums[x.block, :3] += (len(x.text), x.linked, x.links)
+        sums[x.block, 4] += blocks[x.block].furniture or named[x.block]
+    for i in seeds:
+        sums[lines[i].block, 3] += 1
+    for i in range(size - 1, 0, -1):
+        sums[blocks[i].parent] += sums[i]
+    region = max(i for i in range(size) if sums[i, 3] == len(seeds))
+    while region and blocks[region].tag not in ("body", "html"):
+        around = blocks[region].parent
+        chars, linked, links, _, furniture = (sums[around] - sums[region]).tolist()
+        if blocks[around].tag in ("", "body", "html") or furniture or mostly_links(chars, linked, links):
+            break
+        region = around
+
+    first, last = seeds[0], seeds[-1]
+    begin, end = [len(lines)] * size, [-1] * size
+    for i, x in enumerate(lines):
+        begin[x.block], end[x.block] = min(begin[x.block], i), i
+    for i in range(size - 1, 0, -1):
+        j = blocks[i].parent
+        begin[j], end[j] = min(begin[j], begin[i]), max(end[j], end[i])
+    whole = blocks[region].tag in ("", "body", "html")
+    alike = {blocks[i].tag for i in range(1, size) if blocks[i].parent == region and sums[i, 3]}
+    # per block: 2 is kept whole, 1 holds lines of the cluster, 0 goes
+    state = [0] * size
+    state[region] = 1
+    for i in range(region + 1, size):
+        b = blocks[i]
+        if state[b.parent] != 1:
+            state[i] = state[b.parent]
+        elif sums[i, 3]:
+            state[i] = 1
+        elif not mostly_links(*sums[i, :3].tolist()):
+            apart = whole and b.parent == region and b.tag in ("div", "section") and b.tag not in alike
+            state[i] = 0 if apart and (end[i] < first or begin[i] > last) else 2
+    chosen = set(seeds)
+    title = {i for i in shown if blocks[lines[i].block].tag == "h1"}
+    return "\n".join(
+        lines[i].text for i in shown if not named[lines[i].block] and (
+            i in chosen or i in title or state[lines[i].block] == 2
+            or (state[lines[i].block] == 1 and not mostly_links(len(lines[i].text), *lines[i][2:4]))))
 
 
 def extract(pages: DataFrame, rows: int = 256) -> DataFrame:

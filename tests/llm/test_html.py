@@ -55,3 +55,18 @@ def test_articles_of_the_pages(spark):
     pages = {r["page_id"]: r["html"] for r in queries.table(spark, SF, "pages").collect()}
     got = queries.QUERIES["op7_html_extraction"](spark, SF).collect()
     assert len(got) == len(pages) and all(r["text"] == truth(pages[r["page_id"]]) for r in got)
+
+
+LONG = "A sentence of the main text that is long enough to be one. " * 5
+MENU = "".join(f"<li><a href='/{i}'>Menu {i}</a></li>" for i in range(8))
+
+
+def test_furniture_without_names_goes():
+    text = "".join(f"<p>{LONG}{i}</p>" for i in range(4))
+    for page in (f"<body><ul>{MENU}</ul>{text}</body>", f"<div><ul>{MENU}</ul>{text}<p>End.</p></div>",
+                 f"<body>{text}<ul>{MENU}</ul></body>", f"<div>{text[:400]}<ul>{MENU}</ul>{text}</div>",
+                 f"<body><p><a>Menu 1</a> | <a>Menu 2</a></p>{text}</body>",
+                 f"<body><div>Menu closes at ten.</div><ul>{MENU}</ul>{text}</body>"):
+        got = html.main_text(page)
+        assert "Menu" not in got and got.count("long enough") >= 20, page[:80]
+    assert html.main_text(f"<div><ul>{MENU}</ul>{text}<p>End.</p></div>").endswith("End.")
