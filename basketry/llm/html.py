@@ -44,14 +44,16 @@ FURNITURE = frozenset("nav header footer aside form menu".split())
 #: Elements that a stray end tag does not leave.
 SECTIONS = frozenset("article main section div td body html".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
-#: Words of class and id attributes that name furniture.
+#: Class names and ids that name a container as furniture, also several joined
+#: by hyphens or underscores ("cookie-notice", but not "related-work").
 NAMES = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion cookie cookies "
     "consent notice notices banner sidebar side menu nav navbar navigation breadcrumb "
     "breadcrumbs header masthead footer comment comments reply replies discussion share "
     "sharing social related recommended newsletter subscribe signup login popup modal "
     "overlay widget pagination pager toolbar disqus".split())
-WORDS = re.compile(r"[a-z]+")
+CONTAINERS = frozenset("div section ul ol dl table center fieldset details".split())
+PARTS = re.compile(r"[-_]+")
 UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 #: Gaussian of the smoothing over neighbouring lines, and the threshold's
 #: share of the standard deviation.
@@ -66,9 +68,10 @@ def is_furniture(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 def is_named(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether a class or id names the element as furniture."""
-    return tag not in ("body", "html", "article", "main") and any(
-        value and name in ("class", "id") and not NAMES.isdisjoint(WORDS.findall(value.lower()))
+    """Whether a container's class or id, as a whole, names it as furniture."""
+    return tag in CONTAINERS and any(
+        value and name in ("class", "id") and any(NAMES.issuperset(PARTS.split(token))
+                                                  for token in value.lower().split())
         for name, value in attrs)
 
 
@@ -77,7 +80,7 @@ class Block(NamedTuple):
     tag: str
     parent: int
     furniture: bool  # it or a block around it is a furniture element
-    named: bool
+    named: bool  # as furniture; never inside an article or main
     region: int  # 0, 1 in a main, 2 in an article
 
 
@@ -136,7 +139,8 @@ class Lines(HTMLParser):
             silent = silent or tag in SILENT
             around = self.blocks[block]
             region = max(around.region, 2 if tag == "article" else 1 if tag == "main" else 0)
-            self.blocks.append(Block(tag, block, around.furniture or furniture, is_named(tag, attrs), region))
+            named = not region and is_named(tag, attrs)
+            self.blocks.append(Block(tag, block, around.furniture or furniture, named, region))
             block = len(self.blocks) - 1
         self.open.append((tag, silent, block))
 
@@ -193,8 +197,9 @@ def main_text(html: str) -> str:
     for i, b in enumerate(blocks):
         named[i] = named[b.parent] or b.named
     shown = [i for i, x in enumerate(lines) if not blocks[x.block].furniture]
-    # a page of nothing but links, or but named blocks, still has a text
     free = [i for i in shown if not named[lines[i].block]]
+    if not free:  # names tell furniture from other text only where there is some
+        named, free = [False] * size, shown
     free = [i for i in free if 2 * lines[i].linked <= len(lines[i].text)] or free
     if not free:
         return ""

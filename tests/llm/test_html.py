@@ -70,3 +70,21 @@ def test_furniture_without_names_goes():
         got = html.main_text(page)
         assert "Menu" not in got and got.count("long enough") >= 20, page[:80]
     assert html.main_text(f"<div><ul>{MENU}</ul>{text}<p>End.</p></div>").endswith("End.")
+
+
+def test_regions_are_kept_whole():
+    text = "".join(f"<p>{LONG}{i}</p>" for i in range(4))
+    short = ("<h2 id='related-work'>Work</h2><section id='side-effects'><p>Nausea.</p></section>"
+             "<div class='share-price'>12 EUR</div><table><tr><td>Cell 1</td><td>Cell 2</td></tr></table>"
+             "<div>Caption</div><div><div>Far</div><div>away</div><div>from</div><div>text</div></div>")
+    kept = "Work Nausea. 12 EUR Cell 1 Cell 2 Caption Far away from text".split()
+    for page in (f"<nav>Menu</nav><article>{text}{short}</article>", f"<main>{short}{text}{text}</main><div>Menu</div>",
+                 f"<body><ul>{MENU}</ul><div>{text}{short}</div></body>",
+                 f"<body><ul>{MENU}</ul><div><div>{text}</div>{short}</div></body>"):
+        got = html.main_text(page)
+        assert [w for line in got.split("\n") if "long" not in line for w in line.split()] == kept, page[:40]
+        assert "Menu" not in got
+    page = f"<body><div class='cookie-notice'>{LONG}</div><div id='sidebar'>{LONG}</div><div>{text}</div></body>"
+    assert html.main_text(page).count("\n") == 3
+    assert "Ad" in html.main_text(f"<article>{text}<div class='ad hoc'>Ad hoc</div></article>")
+    assert html.main_text(f"<div class='widget'>{text}<ul>{MENU}</ul></div>").count("\n") == 3
