@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm import common
-from basketry.llm.jaccard import Words, shingles
+from basketry.llm.jaccard import Words, node_of, shingles
 
 #: Labelled texts per class, terms kept, and how far beyond chance (standard
 #: deviations) a term's share must be larger among toxic texts.
@@ -244,12 +244,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER
             for piece, texts in common.slices(batch, 1, 1_000_000):
                 sets = [shingles(x, words) for x in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns, pa.array([int(g[0]) - 2**63 if len(g) else None for g in sets],
+                    [*piece.columns, pa.array([node_of(g) if len(g) else None for g in sets],
                                               pa.int64())],
                     names=["doc_id", "text", "toxic", "sketch"])
 
     # bounded by the sample: about two times per_class rows of two numbers;
-    # texts of one class with the same least shingle, copies mostly, count once
+    # texts of one class with the same whole set of shingles, copies, count once
     sample = (common.only(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id")
               .select("doc_id", "text", "toxic")
               .mapInArrow(sketched, "doc_id long, text string, toxic int, sketch long")

@@ -75,3 +75,12 @@ def test_edges(spark):
     assert kept.columns == d.columns and kept.count() == 300 + 2
     assert toxicity.judge(d.limit(0), labels).count() == 0
     assert {r["score"] for r in toxicity.judge(d, labels.limit(0)).collect()} == {0.0}
+
+
+def test_only_copies_count_once(spark):
+    """Texts that share a long passage are examples of their own; exact copies are one."""
+    passage = " ".join(f"word{i}" for i in range(300))
+    rows = [(i, f"{passage} end{i % 30} of {i % 30}") for i in range(60)] + [(60, "AWFUL thing"), (61, ""), (62, None)]
+    labels = spark.createDataFrame([(i, int(i == 60)) for i in range(63)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, rows), labels, F.lit(True))
+    assert model.texts.sum(axis=0).tolist() == [30 + 1, 1]
