@@ -242,14 +242,18 @@ def predict(docs: DataFrame, model: Model, size: int = 2_000_000) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model, least: float = 0.4, size: int = 2_000_000) -> DataFrame:
     """The rows of `docs`, all columns as they are, whose language the model
-    names with a score of `least` or more."""
+    names with a score of `least` or more.  A model without languages tells
+    none from another: then only null texts and texts without a letter go."""
     at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches):
         for batch in batches:
             for part, texts in common.slices(batch, at, size):
-                yield part.filter(pa.array([lang != UND and score >= least for lang, score
-                                            in model.predict(texts)], pa.bool_()))
+                if model.langs:
+                    fine = [lang != UND and score >= least for lang, score in model.predict(texts)]
+                else:
+                    fine = [any(map(str.isalpha, t)) for t in texts]
+                yield part.filter(pa.array(fine, pa.bool_()))
 
     return common.small_batches(docs).mapInArrow(run, docs.schema)
 

@@ -21,7 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that are undetermined or score below 0.4 go."""
+    """Operator 8: documents that are undetermined or score below 0.4 go; with
+    no language to learn from, those without a letter."""
     return langid.keep(docs, langid.fit(docs, langid.usable_fold(F.col("doc_id"))))
 
 

@@ -1,5 +1,6 @@
 """The corpus pipeline: its stages on odd rows, and the whole against brute force."""
 import hashlib
+import zlib
 
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -60,3 +61,13 @@ def test_stages_on_odd_rows(spark):
         if name == "near_duplicates":
             assert [r["doc_id"] for r in out.collect()].count(90_003) == 1
     assert pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_language_stage_without_languages(spark):
+    """No row has a label, or only held-out rows have one: clean documents stay."""
+    held = [i for i in range(50) if zlib.crc32(str(i).encode()) % 4 == 2][:2]
+    for lang in (dict.fromkeys(held), dict.fromkeys(held, "en")):
+        rows = [(i, "a clean text", lang.get(i)) for i in (*held, 100)] + [(101, "12 !", None), (102, None, None)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        kept = pipeline.drop_unknown_language(spark, docs, SF).collect()
+        assert sorted(r["doc_id"] for r in kept) == [*held, 100]
