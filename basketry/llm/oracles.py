@@ -231,3 +231,68 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id,
        vec_id = component_id AS kept
 FROM v JOIN comp USING (r) LEFT JOIN n USING (r)
 """
+
+SQL["op11_ranked_search"] = r"""
+WITH d AS (
+  SELECT * FROM (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents) WHERE len(w) > 0
+), s AS (
+  SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d
+), q AS (
+  SELECT DISTINCT i, item_id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)
+), tf AS (
+  SELECT r, doc_id, term, n, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * (SELECT n FROM s) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf GROUP BY term
+), scores AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf)
+           // (1000 * tf + 20 * (50 + (50 * tf.n * s.n) // s.l)))) AS BIGINT) AS score
+  FROM tf JOIN q USING (term) JOIN w USING (term), s
+  GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+SQL["op13_prefix_trie"] = """
+WITH own AS (
+  SELECT conv_id, turn, length(coalesce(text, '')) AS chars,
+         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+  FROM conversations WHERE conv_id IS NOT NULL
+), whole AS (
+  SELECT conv_id, list({id: id, chars: chars} ORDER BY turn NULLS FIRST, id) AS t,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+               string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+             lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)),
+               lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 6 AS h
+  FROM own GROUP BY conv_id
+), rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.t[1:a.h], []), a.t[a.h + 1:]) AS p
+  FROM whole a LEFT JOIN whole b ON b.conv_id = a.conv_id - a.conv_id % 100
+), node AS (
+  SELECT p[1:d] AS path, d, min(conv_id) AS conv_id, count(*) AS n,
+         list(conv_id ORDER BY conv_id) FILTER (WHERE d = len(p)) AS ends
+  FROM rebuilt, unnest(range(len(p) + 1)) u(d) GROUP BY 1, 2
+), child AS (
+  SELECT path[1:d - 1] AS path, count(*) AS n FROM node WHERE d > 0 GROUP BY 1
+), below AS (
+  SELECT v.path[1:u.d] AS path, count(*) FILTER (WHERE c.n IS NULL) AS leaves,
+         sum(CASE WHEN v.d > 0 THEN (v.n - 1) * v.path[v.d].chars ELSE 0 END) AS saved
+  FROM (node v LEFT JOIN child c ON c.path = v.path), unnest(range(v.d + 1)) u(d) GROUP BY 1
+)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n AS n_convs, coalesce(c.n, 0) AS n_children,
+       b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(array_to_string(v.ends, ','), '')) AS ends_sha256
+FROM node v JOIN below b ON b.path = v.path LEFT JOIN child c ON c.path = v.path
+LEFT JOIN node p ON v.d > 0 AND p.path = v.path[1:v.d - 1]
+"""

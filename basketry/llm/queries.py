@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import bpe, embeddings, html, jaccard, langid, lm, mixing, quality, toxicity, urls
+from basketry.llm import (
+    bpe, embeddings, html, jaccard, langid, lexical, lm, mixing, quality, rank_bpe, toxicity, trie, urls)
 from basketry.llm.oracles import SQL  # noqa: F401
 
 
@@ -59,6 +60,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return rank_bpe.digests(rank_bpe.round_trip(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_url_filter, op4_toxicity, op5_mix_sources, op6_bpe_round_trip,
-    op7_html_extraction, op8_language_id, op9_lm_scoring, op10_quality_rules)}
+    op7_html_extraction, op8_language_id, op9_lm_scoring, op10_quality_rules,
+    op11_ranked_search, op12_rank_bpe, op13_prefix_trie)}

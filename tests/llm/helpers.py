@@ -7,7 +7,7 @@ from basketry.llm import queries
 from basketry.llm.oracles import SQL
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "pages", "labels")
+TABLES = ("documents", "embeddings", "pages", "labels", "benchmark", "conversations")
 
 
 def canon(columns, rows):
