@@ -25,8 +25,8 @@ Rules (the reference's, applied to a batch):
   along the foreign keys cascade, as ON DELETE CASCADE does.
 
 Everything is joins, partial aggregates and anti/semi joins; the only
-ordered numbering is `basketry.functions.ids.consecutive_ids`, and the only
-sequential work the replay of renames that meet over a name.
+ordered numbering is `basketry.functions.ids.consecutive_ids`, and renames that
+meet over a name are settled in rounds (`basketry.operators.settle`).
 """
 
 from __future__ import annotations
@@ -37,9 +37,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions.components import components
 from basketry.functions.ids import consecutive_ids
 from basketry.functions.text import strip
+from basketry.operators.settle import refused_renames
 from basketry.schema import MAX_LENGTH, PRIMARY_KEYS, TABLE_ORDER, children_of
 from basketry.tables import Tables
 
@@ -103,53 +103,6 @@ def insert_names(dim: DataFrame, id_col: str, name_col: str, changes: DataFrame,
     return ChangeResult(table, outcomes)
 
 
-def _replay(rows):
-    """Partitions of (component, seq, id, name, holder) in this order, holders
-    first: apply one request after the other, as clicks would; (seq,) of the
-    refused ones.  Memory holds one component's current names."""
-    import pandas as pd
-
-    component, name_of, held_by = None, {}, {}
-    for frame in rows:
-        refused = []
-        for comp, seq, id_, name, holder in frame.itertuples(index=False, name=None):
-            if comp != component:
-                component, name_of, held_by = comp, {}, {}
-            if not holder and held_by.get(name, id_) != id_:
-                refused.append(seq)
-                continue
-            old = name_of.get(id_)
-            if held_by.get(old) == id_:
-                del held_by[old]
-            name_of[id_], held_by[name] = name, id_
-        yield pd.DataFrame({"refused": pd.Series(refused, dtype="int64")})
-
-
-def _refused(current: DataFrame, valid: DataFrame) -> DataFrame:
-    """(refused): the ``seq`` of requests whose name another id holds when
-    their turn comes.
-
-    A name that only one id ever holds or asks for is granted whatever the
-    order, so most requests need no turn.  Ids that meet over a contested name
-    depend on each other; each connected group of them is replayed in ``seq``
-    order in one task, as a stream.
-    """
-    claims = current.select("_id", F.col("_old").alias("_name")).union(
-        valid.select("_id", "_name")).distinct()
-    spread = claims.groupBy("_name").agg(F.min("_id").alias("a"), F.max("_id").alias("z"))
-    contested = claims.join(spread.filter("a <> z"), "_name").select(
-        F.col("_id").alias("b"), "a")
-    group = components(contested).select(F.col("node").alias("_id"), "component")
-    events = current.select("_id", F.lit(None).cast("bigint").alias("seq"),
-                            F.col("_old").alias("_name"), F.lit(True).alias("holder")).unionByName(
-        valid.select("_id", F.col("seq").cast("bigint").alias("seq"), "_name",
-                     F.lit(False).alias("holder")))
-    events = events.join(group, "_id").select("component", "seq", "_id", "_name", "holder")
-    return (events.repartition("component")
-            .sortWithinPartitions("component", F.col("seq").asc_nulls_first())
-            .mapInPandas(_replay, "refused bigint"))
-
-
 def rename_names(dim: DataFrame, id_col: str, name_col: str, changes: DataFrame,
                  changes_id_col: str = "id", changes_name_col: str = "name") -> ChangeResult:
     """Rename aisles / departments in ``seq`` order, keeping names UNIQUE.
@@ -164,7 +117,7 @@ def rename_names(dim: DataFrame, id_col: str, name_col: str, changes: DataFrame,
     n = F.length("_name")
     current = dim.select(F.col(id_col).alias("_id"), F.col(name_col).alias("_old"))
     valid = c.filter(n.between(1, NAME_LIMIT)).join(current.select("_id"), "_id", "left_semi")
-    refused = _refused(current, valid)
+    refused = refused_renames(current.select("_id", F.col("_old").alias("_name")), valid)
     granted = valid.join(refused, F.col("seq") == F.col("refused"), "left_anti")
     last = granted.groupBy("_id").agg(F.max_by("_name", "seq").alias("_new"),
                                       F.max("seq").alias("_last"))

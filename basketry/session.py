@@ -125,6 +125,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{next(_counter)}-{os.getpid()}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a folder that `scratch_path` named, once nothing reads it any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _count():
     i = 0
     while True:
