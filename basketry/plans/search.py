@@ -9,6 +9,7 @@ from basketry.functions.text import contains_pattern
 from basketry.tables import Tables
 
 SEARCH_LIMIT = 500  # the reference caps search and edit lists at 500 rows
+BROADCAST_IDS = 100_000  # winners' ids sent to every task: 800 KB at most
 
 
 def _winners(t: Tables, text: str, department: str | None, limit: int) -> DataFrame:
@@ -41,10 +42,12 @@ def _with_reorders(winners: DataFrame, lines: DataFrame) -> DataFrame:
             .orderBy(F.col("product_name").asc_nulls_last(), F.col("product_id").asc_nulls_last()))
 
 
-def _lines_of(t: Tables, winners: DataFrame) -> DataFrame:
+def _lines_of(t: Tables, winners: DataFrame, limit: int) -> DataFrame:
     """The order lines of the winners: a map-side semi join, as the winners are
-    at most ``limit`` ids."""
-    ids = F.broadcast(winners.select("product_id"))
+    at most ``limit`` ids, eight bytes each; a larger ``limit`` leaves the join
+    to the planner."""
+    ids = winners.select("product_id")
+    ids = F.broadcast(ids) if limit <= BROADCAST_IDS else ids
     return t.order_details.select("order_id", "product_id", "reordered").join(
         ids, "product_id", "left_semi")
 
@@ -60,7 +63,7 @@ def product_search(t: Tables, text: str = "", department: str | None = None,
     """
     del hours
     winners = _winners(t, text, department, limit)
-    return _with_reorders(winners, _lines_of(t, winners))
+    return _with_reorders(winners, _lines_of(t, winners, limit))
 
 
 def product_search_hourly(t: Tables, text: str = "", department: str | None = None,
@@ -71,7 +74,32 @@ def product_search_hourly(t: Tables, text: str = "", department: str | None = No
     winners = _winners(t, text, department, limit)
     in_band = (t.orders.filter(F.col("order_hour_of_day").between(lo, hi))
                .select("order_id"))
-    return _with_reorders(winners, _lines_of(t, winners).join(in_band, "order_id", "left_semi"))
+    return _with_reorders(winners, _lines_of(t, winners, limit).join(in_band, "order_id", "left_semi"))
+
+
+def product_search_banded(t: Tables, text: str = "", department: str | None = None,
+                          hours: tuple[int, int] = (0, 23),
+                          limit: int = SEARCH_LIMIT) -> DataFrame:
+    """R6 with its outer join spelled out (J5): as `product_search`, and
+    ``band_lines``, how many of a product's lines stand in an order placed in
+    ``hours``.
+
+    The band is part of the join condition on the orders' side, so lines of
+    other hours keep their row (and their reorders), and unsold products stay
+    with 0 and 0.
+    """
+    lo, hi = hours
+    winners = _winners(t, text, department, limit)
+    orders = t.orders.select(F.col("order_id").alias("_order"), "order_hour_of_day")
+    lines = _lines_of(t, winners, limit)
+    placed = lines.join(orders, (lines.order_id == orders["_order"])
+                        & orders.order_hour_of_day.between(lo, hi), "left")
+    sums = placed.groupBy("product_id").agg(F.sum("reordered").alias("_reorders"), F.count("_order").alias("_band"))
+    return (winners.join(sums, "product_id", "left")
+            .select("product_id", "product_name", "aisle", "department",
+                    F.coalesce("_reorders", F.lit(0)).cast("bigint").alias("total_reorders"),
+                    F.coalesce("_band", F.lit(0)).cast("bigint").alias("band_lines"))
+            .orderBy(F.col("product_name").asc_nulls_last(), F.col("product_id").asc_nulls_last()))
 
 
 def aisles_of_department(t: Tables, department_id: int | None = None) -> DataFrame:
@@ -113,3 +141,13 @@ def product_search_sql(t: Tables, text: str = "", department: str | None = None,
     from basketry.sources.sql import run_sql_file
     return run_sql_file(t, "product_search.sql", {
         "pattern": contains_pattern(text), "department": department})
+
+
+def product_search_banded_sql(t: Tables, text: str = "", department: str | None = None,
+                              hours: tuple[int, int] = (0, 23)) -> DataFrame:
+    """`product_search_banded` as parameterised SQL text (S9 + S10), the hours
+    bound like the others."""
+    from basketry.sources.sql import run_sql_file
+    return run_sql_file(t, "product_search_banded.sql", {
+        "pattern": contains_pattern(text), "department": department,
+        "from_hour": hours[0], "to_hour": hours[1]})

@@ -49,6 +49,7 @@ _on_tables("product_search_all", search.product_search, text="")
 _on_tables("product_search_department", search.product_search, text="o", department="Brand#3")
 _on_tables("product_search_band", search.product_search, text="", hours=(6, 17))
 _on_tables("product_search_hourly", search.product_search_hourly, text="", hours=(6, 17))
+_on_tables("product_search_banded_sql", search.product_search_banded_sql, text="o", hours=(6, 17))
 _on_tables("aisles_of_department", search.aisles_of_department)
 _on_tables("products_filtered", search.products_filtered)
 _on_tables("products_filtered_department_aisle", search.products_filtered,
@@ -277,6 +278,8 @@ QUERIES["refcount_aisles_unused"] = lambda spark, d: catalog_views.refcount_aisl
 QUERIES["refcount_departments_unused"] = lambda spark, d: catalog_views.refcount_departments(
     _grown(spark, d))
 QUERIES["product_search_unsold"] = lambda spark, d: search.product_search(_grown(spark, d), "")
+QUERIES["product_search_banded_orders"] = lambda spark, d: search.product_search_banded(
+    _grown(spark, d), "", hours=(6, 17))
 QUERIES["product_search_escaped"] = lambda spark, d: search.product_search(
     (t := fixture_tables(spark, d)).with_(products=t.products.withColumn(
         "product_name", F.concat("product_name", F.when(F.col("product_id") % 2 == 0, "_50%")
@@ -440,6 +443,25 @@ def _dirty_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_wide_csv(spark, _csv_copy(spark, sf_dir, "dirty-csv", write) + "/*")
 
 
+def _multiline_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide rows as two folders of CSV with every field in quotes: in `a`
+    names hold newlines and quotes beside them, in `b` no field does."""
+    def write(path):
+        product = F.col("product_id")
+        name = (F.when(product % 3 == 0, F.replace("product_name", F.lit(" "), F.lit("\n")))
+                .when(product % 5 == 0, F.concat(F.lit('"\n'), "product_name", F.lit('\n\n,"'))).otherwise(
+            F.col("product_name")))
+        wide = fixture_wide(spark, sf_dir).withColumn("product_name", name)
+        folded = (product % 3 == 0) | (product % 5 == 0) | (product % 2 == 0)
+        for folder, rows in (("a", folded), ("b", ~folded)):
+            (wide.filter(rows).write.option("header", True).option("quoteAll", True).option("escape", '"')
+             .csv(f"{path}/{folder}"))
+
+    return read_wide_csv(spark, _csv_copy(spark, sf_dir, "multiline-csv", write) + "/*")
+
+
+QUERIES["csv_multiline_clean_wide"] = lambda spark, d: load.clean_wide(_multiline_csv(spark, d))
+QUERIES["csv_multiline_products"] = lambda spark, d: load.normalise(_multiline_csv(spark, d)).products
 QUERIES["csv_clean_wide"] = lambda spark, d: load.clean_wide(_wide_from_csv(spark, d))
 for _t in ["departments", "products", "orders", "order_details"]:
     QUERIES[f"csv_normalised_{_t}"] = (

@@ -10,22 +10,31 @@ parse (``abc`` in an integer column, or ``2.5`` for an id: our rule, ids are
 integers), and SURPLUS for a line with more fields than its header.  A short
 line's missing fields are missing values, as for pandas.
 
-``_file``, ``_block`` and ``_row`` record the position of each line
-(file, split start, increasing id within the split) for keep-first rules.
-Files are split across tasks; ``multiline=True`` is needed only for quoted
-fields with embedded newlines and reads each file in one task.
+``_file``, ``_block`` and ``_row`` record the position of each record's first
+line (file, split start, increasing id within the split) for keep-first rules.
+
+Files are split across tasks, and quoted fields may hold newlines.  One job
+over the lines finds the headers and counts quotes per split; a prefix sum over
+a file's splits tells whether a split begins inside a quoted field.  Files in
+which no line ends inside one are read as they are, line by line.  Of the other
+files only splits that hold such a line are dealt by split, to number their
+records by the running quote count; a record's lines then meet by file and
+record number.  A file that ends inside a quoted field is refused.
 """
 
 from __future__ import annotations
 
 import csv
+import re
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketry.schema import DEFAULTS, WIDE_COLUMNS
+from basketry.session import scratch_path
 
 # ---- fixed values: pandas.read_csv default missing-value tokens ----------------
 PANDAS_NA_TOKENS = [
@@ -83,40 +92,102 @@ def typed_wide(text: DataFrame, na_tokens=PANDAS_NA_TOKENS) -> DataFrame:
     return text.select(*out, *pos, bad_col.cast("array<string>").alias("_bad"))
 
 
-def _headers(spark: SparkSession, path: str, encoding: str) -> dict[tuple[str, ...], list[str]]:
-    """The files under ``path`` by the column names of their first line."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    found: dict[tuple[str, ...], list[str]] = {}
-    for name in sorted(spark.read.text(path).inputFiles()):
-        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
-        stream = p.getFileSystem(conf).open(p)
-        try:
-            line = jvm.java.io.BufferedReader(
-                jvm.java.io.InputStreamReader(stream, encoding)).readLine()
-        finally:
-            stream.close()
-        if line:  # an empty file has no rows
-            header = tuple(next(csv.reader([line.lstrip("\ufeff")])))
-            found.setdefault(header, []).append(name)
-    return found
+def _as_path(name: str) -> str:
+    """A file's name as Spark reports it, as a path that a reader takes literally."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(name))
+
+
+def _lines(spark: SparkSession, paths, encoding: str) -> DataFrame:
+    """(_file, _block, _row, line, quotes): the physical lines of the files."""
+    text = spark.read.option("lineSep", "\n").option("encoding", encoding).text(paths)
+    return text.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                       F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"),
+                       (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"))
+
+
+def _splits(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """One row a split: _file, _block, lines, whether it begins within quotes
+    (`inside`), whether its lines must be numbered (`ragged`: it begins there, a
+    line ends there, or it has the file's header), whether a line of the file
+    ends within quotes (`folded`) and the file does (`unclosed`), and the file's
+    first line (`header`)."""
+    odd = F.col("quotes") % 2
+    per_split = _lines(spark, path, encoding).groupBy("_file", "_block").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(odd).alias("odd"),
+        F.min_by(F.when(F.col("_block") == 0, F.col("line")), "_row").alias("first"))
+    whole = Window.partitionBy("_file")  # one row a split
+    before = F.coalesce(F.sum("odd").over(whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = per_split.select(
+        "_file", "_block", "lines", "odd", (before % 2 == 1).alias("inside"), F.sum("odd").over(whole).alias("all"),
+        F.max("first").over(whole).alias("first"))
+    return found.select(
+        "_file", "_block", "lines", "inside", (F.col("inside") | (F.col("odd") > 0) | (F.col("_block") == 0)).alias("ragged"),
+        (F.col("all") > 0).alias("folded"), (F.col("all") % 2 == 1).alias("unclosed"),
+        F.rtrim(F.ltrim("first", F.lit("\ufeff")), F.lit("\r")).alias("header"))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _records(spark: SparkSession, files: list[str], encoding: str) -> DataFrame:
+    """(_file, _block, _row, record): the lines of `files` but for their first
+    records, the headers; lines of one record joined again."""
+    # where Spark splits files depends on all files of a scan: these alone, once more
+    splits = _written(_splits(spark, files, encoding), "csv-splits")
+    lines = _lines(spark, files, encoding).join(splits.select("_file", "_block", "inside", "ragged"),
+                                                ["_file", "_block"])
+    here = Window.partitionBy("_file", "_block").orderBy("_row")  # at most a split
+    before = F.col("inside").cast("int") + F.coalesce(
+        F.sum("quotes").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ragged = lines.filter("ragged").withColumn("starts", (before % 2 == 0).cast("int"))
+    ragged = ragged.withColumn("nth", F.sum("starts").over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    # numbered once, read twice
+    ragged = _written(ragged.select("_file", "_block", "_row", "line", "starts", "nth"), "csv-lines")
+    # a line's record is the last that starts in its split, or in an earlier one
+    starts = ragged.groupBy("_file", "_block").agg(F.sum("starts").alias("n")).unionByName(
+        splits.filter("NOT ragged").select("_file", "_block", F.col("lines").alias("n")))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("_file", "_block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    numbered = ragged.join(starts, ["_file", "_block"]).select(
+        "_file", (F.col("before") + F.col("nth")).alias("record"), F.struct("_block", "_row", "line").alias("l"))
+    joined = numbered.filter("record > 1").groupBy("_file", "record").agg(F.array_sort(F.collect_list("l")).alias("l")).select(
+        "_file", F.col("l")[0]["_block"].alias("_block"), F.col("l")[0]["_row"].alias("_row"),
+        F.array_join("l.line", "\n").alias("record"))
+    whole = lines.filter("NOT ragged").select("_file", "_block", "_row", F.col("line").alias("record"))
+    return whole.unionByName(joined).withColumn("record", F.rtrim("record", F.lit("\r")))
+
+
+def _fields(header: tuple[str, ...]) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in (*header, "_line")])
+
+
+def _surplus(header: tuple[str, ...]) -> Column:
+    """Only lines of another length than the header reach _line."""
+    fields = F.size(F.split(F.regexp_replace("_line", '"([^"]|"")*"', ""), ",", -1))
+    return F.coalesce(fields > len(header), F.lit(False)).alias("_surplus")
+
+
+_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line", "emptyValue": ""}
+
+
+def _parsed(records: DataFrame, header: tuple[str, ...]) -> DataFrame:
+    """The fields of whole records; blank ones go."""
+    schema = ", ".join(f"`{f.name}` STRING" for f in _fields(header).fields)
+    r = F.from_csv("record", schema, _OPTIONS).alias("r")
+    rows = records.filter(F.length("record") > 0).select("_file", "_block", "_row", r)
+    return rows.select("_file", "_block", "_row", "r.*").select(
+        *[F.col(f"`{c}`") for c in header], _surplus(header), "_file", "_block", "_row")
 
 
 def _text(spark: SparkSession, header: tuple[str, ...], files: list[str], multiline: bool,
           encoding: str) -> DataFrame:
-    if len(set(header)) < len(header):
-        raise ValueError(f"repeated column names in the header of {files[0]}: {list(header)}")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, "_line")])
-    text = (spark.read.schema(schema)
-            .option("header", True).option("quote", '"').option("escape", '"')
-            .option("multiLine", multiline).option("encoding", encoding)
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line")
-            .option("columnPruning", False).option("emptyValue", "")
-            .csv(files))
-    # only lines of another length than the header reach _line
-    fields = F.size(F.split(F.regexp_replace("_line", '"([^"]|"")*"', ""), ",", -1))
-    return text.select(*[F.col(f"`{c}`").alias(c) for c in header],
-                       F.coalesce(fields > len(header), F.lit(False)).alias("_surplus"),
+    text = (spark.read.schema(_fields(header)).options(**_OPTIONS)
+            .option("header", True).option("multiLine", multiline).option("encoding", encoding)
+            .option("columnPruning", False).csv(files))
+    return text.select(*[F.col(f"`{c}`").alias(c) for c in header], _surplus(header),
                        F.col("_metadata.file_path").alias("_file"),
                        F.col("_metadata.file_block_start").alias("_block"),
                        F.monotonically_increasing_id().alias("_row"))
@@ -124,11 +195,29 @@ def _text(spark: SparkSession, header: tuple[str, ...], files: list[str], multil
 
 def read_wide_csv(spark: SparkSession, path: str, na_tokens=PANDAS_NA_TOKENS,
                   multiline: bool = False, encoding: str = "UTF-8") -> DataFrame:
-    """Read wide order-line CSV files as typed columns plus position and ``_bad``."""
-    headers = _headers(spark, path, encoding)
-    if not headers:
+    """Read wide order-line CSV files as typed columns plus position and ``_bad``.
+
+    ``multiline=True`` reads each file in one task instead, for encodings in
+    which a quote or a line end is not the byte it is in ASCII.
+    """
+    # one row a file
+    files = _splits(spark, path, encoding).filter(F.col("_block") == 0).select("_file", "header", "folded", "unclosed").collect()
+    groups: dict[tuple, list[str]] = {}
+    for name, line, folded, unclosed in sorted(files):
+        if not line:  # an empty file has no rows
+            continue
+        if unclosed and not multiline:
+            raise ValueError(f"{name} ends inside a quoted field")
+        groups.setdefault((line, folded and not multiline), []).append(_as_path(name))
+    if not groups:
         raise ValueError(f"no CSV file with a header under {path}")
-    if len({frozenset(h) for h in headers}) > 1:
-        raise ValueError(f"the files under {path} name different columns: {sorted(map(sorted, headers))}")
-    parts = [_text(spark, h, files, multiline, encoding) for h, files in headers.items()]
+    headers = {line: tuple(next(csv.reader([line]))) for line, _ in groups}
+    for (line, _), names in groups.items():
+        if len(set(headers[line])) < len(headers[line]):
+            raise ValueError(f"repeated column names in the header of {names[0]}: {list(headers[line])}")
+    if len(set(map(frozenset, headers.values()))) > 1:
+        raise ValueError(f"the files under {path} name different columns: {sorted(map(sorted, headers.values()))}")
+    parts = [_parsed(_records(spark, names, encoding), headers[line]) if folded
+             else _text(spark, headers[line], names, multiline, encoding)
+             for (line, folded), names in groups.items()]
     return typed_wide(reduce(DataFrame.unionByName, parts), na_tokens)
