@@ -176,9 +176,10 @@ _OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorr
 def _parsed(records: DataFrame, header: tuple[str, ...]) -> DataFrame:
     """The fields of whole records; blank ones go."""
     schema = ", ".join(f"`{f.name}` STRING" for f in _fields(header).fields)
-    r = F.from_csv("record", schema, _OPTIONS).alias("r")
-    rows = records.filter(F.length("record") > 0).select("_file", "_block", "_row", r)
-    return rows.select("_file", "_block", "_row", "r.*").select(
+    # a generator, so a record is parsed once, not once a reference to one of its fields
+    fields = F.inline(F.array(F.from_csv("record", schema, _OPTIONS)))
+    rows = records.filter(F.length("record") > 0).select("_file", "_block", "_row", fields)
+    return rows.select(
         *[F.col(f"`{c}`") for c in header], _surplus(header), "_file", "_block", "_row")
 
 

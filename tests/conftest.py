@@ -15,7 +15,8 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from basketry.session import local_session
-    s = local_session(cores=4, shuffle_partitions=4, driver_memory="4g")
+    s = local_session(cores=4, shuffle_partitions=4, driver_memory="4g",
+                      conf={"spark.sql.maxMetadataStringLength": "1000"})  # whole paths in plans
     yield s
     s.stop()
 

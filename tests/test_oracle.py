@@ -16,14 +16,20 @@ from conftest import SF_SMALL
 QUERIES = {k: f for k, f in entry.queries().items() if k in registry.QUERIES}
 ORACLE = {k: sql for k, sql in entry.oracle_sql().items() if k in registry.QUERIES}
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
-             "ArrowEvalPython", "PythonUDF"]
+             "ArrowEvalPython", "PythonUDF", "MapInPandas", "MapInArrow", "FlatMapGroups", "FlatMapCoGroups"]
 # columns the mapping needs from each input (of 11 / 6 / 6 / 5 in the files)
-MAX_READ = {"lineitem": 4, "orders": 4, "part": 5, "customer": 2}
-SCAN = re.compile(r"FileScan parquet \[([^\]]*)\].*?Location: [^\[]*\[file:[^\]]*/(\w+)\.parquet\]")
+MAX_READ = {"lineitem": 4, "orders": 4, "part": 5, "customer": 2, "derived orders": 8}
+# the inputs, and the copies that the mapping derives from them
+SCAN = re.compile(r"FileScan parquet \[([^\]]*)\].*?Location: [^\[]*\[file:[^\]]*?/(?:(\w+)\.parquet|fixture-(\w+?)-[\d-]+)\]")
+
+
+def _scans(query):
+    """(columns, table) of every scan of a plan."""
+    return [(cols, a or f"derived {b}") for cols, a, b in SCAN.findall(query)]
 
 
 def _check_pruning(name, plan):
-    for cols, table in SCAN.findall(plan):
+    for cols, table in _scans(plan):
         n = len([c for c in cols.split(",") if c.strip()])
         assert n <= MAX_READ.get(table, n), f"{name}: {table} scan reads {n} columns"
 
@@ -87,4 +93,16 @@ def test_entry_smoke(spark):
 
 def test_pruning_check_sees_scans(spark):
     plan = QUERIES["kpis"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
-    assert {t for _, t in SCAN.findall(plan)} >= {"orders", "lineitem", "part"}
+    assert {t for _, t in _scans(plan)} >= {"derived orders", "lineitem", "part"}
+    # of the derived orders: their id and their gap
+    assert max(len(cols.split(",")) for cols, t in _scans(plan) if t == "derived orders") == 2
+
+
+def test_the_banded_join_stays_an_outer_join(spark):
+    """The band filters the orders' side of the join, which keeps all lines."""
+    for name in ("product_search_banded_orders", "product_search_banded_sql"):
+        plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        outer = [line for line in plan.splitlines() if "Join LeftOuter" in line and "order_id" in line]
+        assert len(outer) == 1, plan
+        at = plan.index(outer[0])
+        assert re.search(r"order_hour_of_day#\d+L >= 6\).*order_hour_of_day#\d+L <= 17", plan[at:])
