@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.session import scratch_path
+from basketry.session import drop_scratch, release, scratch_path
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint directory and read back."""
+def _cut(df: DataFrame) -> tuple[DataFrame, str]:
+    """Written to the shared checkpoint directory and read back; the folder."""
     path = scratch_path(df.sparkSession, "stars")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> node, component (its smallest node), for nodes with an edge to
     another; loops, repeated and null edges do no harm."""
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    e = _cut(e.distinct())
+    e, path = _cut(e.distinct())
     state = _state(e)
     while state[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -42,7 +42,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("x")).filter("v <> m").select(
             F.col("v").alias("u"), F.col("m").alias("v"))
-        e = _cut(small.union(low.select("x", "m")).distinct())
+        last = path
+        e, path = _cut(small.union(low.select("x", "m")).distinct())
+        del both, low, large, small
+        drop_scratch(edges.sparkSession, last)
+        release(edges.sparkSession)
         before, state = state, _state(e)
         if state == before:
             break

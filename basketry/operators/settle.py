@@ -32,7 +32,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.session import drop_scratch, scratch_path
+from basketry.session import drop_scratch, release, scratch_path
 
 #: Requests of one slice, about; more slices than MOST are not made, larger ones are.
 SLICE, MOST = 200_000, 256
@@ -119,6 +119,7 @@ def refused_renames(current: DataFrame, valid: DataFrame) -> DataFrame:
     while True:
         state, path = _written(_judge(state, holders))
         paths.append(path)
+        release(spark)
         changes, first = state.filter("granted <> was").agg(F.count(F.lit(1)), F.min("seq")).first()
         if not changes:
             break

@@ -7,6 +7,7 @@ helpers only exist for tests, the bench and command-line use.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -131,6 +132,14 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any
+    more.  It does so when the driver's garbage collector finds them gone, which
+    a loop of many small jobs may not bring about by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _count():
     i = 0
     while True:
