@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.components import components
+from basketry.session import release
 from basketry.llm import common
 
 N = 5
@@ -423,16 +424,23 @@ class Verifier:
 
 
 class Linked:
-    """The links found so far, and the components they make."""
+    """The components that the links found so far make."""
 
     def __init__(self, verify: Verifier):
-        self.verify, self.links = verify, None
+        self.verify = verify
         self.comp = verify.info.select("node", F.col("node").alias("component"))
 
     def add(self, links: DataFrame) -> None:
-        if links.limit(1).count():
-            self.links = links if self.links is None else self.links.union(links)
-            self.comp = common.cut(classes(self.verify.info, self.links), "jaccard-classes")
+        """Join components by new links: of those only their components matter,
+        so a round is as large as its links, not as all links."""
+        a, b = (self.comp.select(F.col("node").alias(x), F.col("component").alias("c" + x)) for x in "ab")
+        new = common.cut(links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+                         .filter("a <> b").distinct(), "jaccard-new")
+        if new.limit(1).count():
+            joined = components(new).select(F.col("node").alias("component"), F.col("component").alias("into"))
+            self.comp = common.cut(self.comp.join(joined, "component", "left").select(
+                "node", F.coalesce("into", "component").alias("component")), "jaccard-classes")
+        release(self.comp.sparkSession)
 
     def connect(self, pairs: DataFrame) -> None:
         """(a, b, shared): verify each node's best partner, then what is left
@@ -449,13 +457,6 @@ class Linked:
             self.add(self.verify.links(left))
 
 
-def classes(info: DataFrame, links: DataFrame) -> DataFrame:
-    """node -> component, for every node."""
-    c = components(links).withColumnRenamed("node", "linked")
-    return info.join(c, F.col("node") == F.col("linked"), "left").select(
-        "node", F.coalesce("component", "node").alias("component"))
-
-
 def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """The pairs whose nodes are not yet in one component."""
     a = comp.withColumnsRenamed({"node": "a", "component": "ca"})
