@@ -5,6 +5,10 @@
                                                     (N: bucket orders and lines on order_id)
   python -m basketry show NAME ROOT [options]       a read operator on the newest snapshot
   python -m basketry sql FILE ROOT [options]        a SQL file over the newest snapshot
+  python -m basketry edit NAME ROOT CHANGES [--out FOLDER]
+                                                    a catalogue change set (Parquet, or CSV with a header),
+                                                    published as the next snapshot; prints its outcomes
+  python -m basketry compact ROOT                   fold what changes left in several layers
 
 Results are printed whole, one tab-separated line a row, or written as Parquet with
 --out FOLDER; --limit N asks for the first N rows.  Parameters are --param name=value,
@@ -22,6 +26,7 @@ import sys
 from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
+from basketry.operators import catalog
 from basketry.plans import catalog_views, dashboard, departments, search
 from basketry.session import ensure_checkpoint_dir, local_session
 from basketry.sources import snapshot
@@ -66,6 +71,25 @@ READS = {
 }
 
 
+#: name -> (columns of the change set, operator)
+EDITS = {
+    "insert_aisles": ("seq long, name string", lambda t, c: catalog.insert_names(t.aisles, "aisle_id", "aisle", c)),
+    "insert_departments": ("seq long, name string", lambda t, c: catalog.insert_names(
+        t.departments, "department_id", "department", c)),
+    "rename_aisles": ("seq long, id long, name string", lambda t, c: catalog.rename_names(
+        t.aisles, "aisle_id", "aisle", c)),
+    "rename_departments": ("seq long, id long, name string", lambda t, c: catalog.rename_names(
+        t.departments, "department_id", "department", c)),
+    "delete_aisles": ("seq long, id long", lambda t, c: catalog.guarded_delete(t.aisles, "aisle_id", t.products, c)),
+    "delete_departments": ("seq long, id long", lambda t, c: catalog.guarded_delete(
+        t.departments, "department_id", t.products, c)),
+    "insert_products": ("seq long, product_name string, aisle_id long, department_id long", catalog.insert_products),
+    "update_products": ("seq long, product_id long, product_name string, aisle_id long, department_id long",
+                        catalog.update_products),
+    "delete_products": ("product_id long", lambda t, c: catalog.product_removal(c)),
+}
+
+
 def _session() -> SparkSession:
     spark = SparkSession.getActiveSession()
     if spark is None:
@@ -85,6 +109,13 @@ def _parser() -> argparse.ArgumentParser:
     load.add_argument("csv")
     load.add_argument("root")
     load.add_argument("--buckets", type=int)
+    edit = sub.add_parser("edit", epilog="change sets:\n" + "\n".join(f"  {n}: {c}" for n, (c, _) in EDITS.items()),
+                          formatter_class=argparse.RawDescriptionHelpFormatter)
+    edit.add_argument("name", choices=sorted(EDITS), metavar="name")
+    edit.add_argument("root")
+    edit.add_argument("changes")
+    edit.add_argument("--out", metavar="FOLDER")
+    sub.add_parser("compact").add_argument("root")
     named = "\n".join(f"  {n}: {', '.join(ps) or '-'}" for n, (_, ps) in READS.items())
     for command, what in (("show", "name"), ("sql", "file")):
         c = sub.add_parser(command, epilog=f"operators and parameters:\n{named}" * (command == "show"),
@@ -107,6 +138,20 @@ def _put(df: DataFrame, limit: int | None, out: str | None) -> None:
         print("\t".join("NULL" if v is None else str(v) for v in row))
 
 
+def _edit(spark: SparkSession, args) -> int:
+    columns, operator = EDITS[args.name]
+    base = snapshot.latest_version(spark, args.root)
+    tables = snapshot.read_snapshot(spark, base)
+    asked = (spark.read.schema(columns).option("header", True).csv(args.changes) if args.changes.endswith(".csv")
+             else spark.read.parquet(args.changes))
+    result = operator(tables, asked)
+    version = snapshot.publish_change(spark, args.root, result if isinstance(result, list) else [result.step], base)
+    print(version, file=sys.stderr)
+    if not isinstance(result, list):
+        _put(result.outcomes.orderBy("seq"), None, args.out)
+    return 0
+
+
 def main(argv: list[str]) -> int:
     args = _parser().parse_args(argv)
     spark = _session()
@@ -117,6 +162,11 @@ def main(argv: list[str]) -> int:
         print(snapshot.load_wide(read_wide_csv(spark, args.csv), args.root,
                                  order_buckets_n=args.buckets))
         return 0
+    if args.command == "compact":
+        print(snapshot.compact(spark, args.root))
+        return 0
+    if args.command == "edit":
+        return _edit(spark, args)
     params = dict(x.split("=", 1) for x in args.param)
     tables = snapshot.read_snapshot(spark, args.root)
     if args.command == "sql":

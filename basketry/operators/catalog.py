@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.ids import consecutive_ids
 from basketry.functions.text import strip
+from basketry.operators.changes import Step
 from basketry.operators.settle import refused_renames
 from basketry.schema import MAX_LENGTH, PRIMARY_KEYS, TABLE_ORDER, children_of
 from basketry.tables import Tables
@@ -50,6 +51,11 @@ NAME_LIMIT = 255
 class ChangeResult:
     table: DataFrame
     outcomes: DataFrame  # (seq, status, id, detail)
+    step: Step  # the table's change as rows and keys
+
+
+def _table_of(id_col: str) -> str:
+    return next(name for name, key in PRIMARY_KEYS.items() if key == [id_col])
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -98,9 +104,8 @@ def insert_names(dim: DataFrame, id_col: str, name_col: str, changes: DataFrame,
                              .alias("id")).unionByName(unfit)
     outcomes = outcomes.select(F.col("seq").cast("bigint").alias("seq"), "status", "id",
                                F.lit(None).cast("string").alias("detail"))
-    table = dim.select(id_col, name_col).unionByName(
-        winners.select(F.col("_new").alias(id_col), F.col("_name").alias(name_col)))
-    return ChangeResult(table, outcomes)
+    rows = winners.select(F.col("_new").alias(id_col), F.col("_name").alias(name_col))
+    return ChangeResult(dim.select(id_col, name_col).unionByName(rows), outcomes, Step(_table_of(id_col), rows=rows))
 
 
 def rename_names(dim: DataFrame, id_col: str, name_col: str, changes: DataFrame,
@@ -132,7 +137,8 @@ def rename_names(dim: DataFrame, id_col: str, name_col: str, changes: DataFrame,
                              F.lit(None).cast("string").alias("detail"))
     table = (dim.join(last.select(F.col("_id").alias(id_col), "_new"), id_col, "left")
              .select(id_col, F.coalesce(F.col("_new"), F.col(name_col)).alias(name_col)))
-    return ChangeResult(table, outcomes)
+    rows = last.select(F.col("_id").alias(id_col), F.col("_new").alias(name_col))
+    return ChangeResult(table, outcomes, Step(_table_of(id_col), rows=rows, replace=True))
 
 
 def guarded_delete(dim: DataFrame, id_col: str, products: DataFrame,
@@ -155,7 +161,7 @@ def guarded_delete(dim: DataFrame, id_col: str, products: DataFrame,
     free = judged.filter(F.col("_k").isNotNull() & F.col("_n").isNull()).select(
         F.col("_id").alias(id_col))
     table = dim.join(free, id_col, "left_anti").select(*dim.columns)
-    return ChangeResult(table, outcomes)
+    return ChangeResult(table, outcomes, Step(_table_of(id_col), gone=free))
 
 
 def _id_marker(df: DataFrame, col: str, alias: str, marker: str, unique: bool) -> DataFrame:
@@ -197,16 +203,15 @@ def insert_products(t: Tables, changes: DataFrame) -> ChangeResult:
     start = high_water_mark(t.products, "product_id").select(
         (F.col("high_water_mark") + 1).alias("s"))
     new = consecutive_ids(req.filter(_valid_product(n)), "seq", "product_id", start=start)
-    table = t.products.select("product_id", "product_name", "aisle_id", "department_id") \
-        .unionByName(new.select("product_id", F.col("_name").alias("product_name"),
-                                F.col("_aisle").alias("aisle_id"),
-                                F.col("_dept").alias("department_id")))
+    rows = new.select("product_id", F.col("_name").alias("product_name"), F.col("_aisle").alias("aisle_id"),
+                      F.col("_dept").alias("department_id"))
+    table = t.products.select(*rows.columns).unionByName(rows)
     judged = req.join(new.select("seq", "product_id"), "seq", "left")
     outcomes = judged.select(F.col("seq").cast("bigint").alias("seq"),
                              _product_status(n, F.lit("inserted")).alias("status"),
                              F.col("product_id").cast("bigint").alias("id"),
                              F.lit(None).cast("string").alias("detail"))
-    return ChangeResult(table, outcomes)
+    return ChangeResult(table, outcomes, Step("products", rows=rows))
 
 
 def update_products(t: Tables, changes: DataFrame) -> ChangeResult:
@@ -234,7 +239,9 @@ def update_products(t: Tables, changes: DataFrame) -> ChangeResult:
                              _product_status(n, rest).alias("status"),
                              F.col("product_id").cast("bigint").alias("id"),
                              F.lit(None).cast("string").alias("detail"))
-    return ChangeResult(table, outcomes)
+    rows = upd.select("product_id", F.col("_n").alias("product_name"), F.col("_aisle").alias("aisle_id"),
+                      F.col("_dept").alias("department_id"))
+    return ChangeResult(table, outcomes, Step("products", rows=rows, replace=True))
 
 
 def _ids(frame: DataFrame, id_col: str, name: str) -> DataFrame:
@@ -249,6 +256,12 @@ def delete_product_lines(order_details: DataFrame, product_ids: DataFrame,
     return order_details.join(ids, "product_id", "left_anti").select(*order_details.columns)
 
 
+def product_removal(product_ids: DataFrame, id_col: str = "product_id") -> list[Step]:
+    """D10 + D11 as steps: the products and their order lines."""
+    ids = _ids(product_ids, id_col, "product_id").distinct()
+    return [Step("order_details", gone=ids), Step("products", gone=ids)]
+
+
 def delete_products(t: Tables, product_ids: DataFrame, id_col: str = "product_id") -> Tables:
     """D10 + D11 as one step: the products and their order lines go together."""
     ids = _ids(product_ids, id_col, "product_id")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.operators import audit as audit_ops
-from basketry.operators import catalog, load
+from basketry.operators import catalog, changes, load
 from basketry.plans import catalog_views, dashboard, departments, search
 from basketry.session import scratch_path, session_key
 from basketry.sources import snapshot
@@ -376,6 +376,67 @@ for _t in ["users", "departments", "aisles", "products", "orders", "order_detail
         lambda t: lambda spark, d: getattr(_snapshot(spark, d), t))(_t)
 
 
+def _edited(spark: SparkSession, sf_dir: str):
+    """The snapshot after publishing, one after the other: new aisles, renamed
+    departments, updated products, the removal of small products with their lines
+    and of some users with all that is theirs."""
+    key = (session_key(spark), sf_dir, id(derived(spark, sf_dir)), "edited")
+    if key not in _SNAPSHOTS:
+        root = scratch_path(spark, "snapshots")
+        publish_fixture(spark, sf_dir, root)
+        for change in (lambda t: [_aisle_inserts(spark, sf_dir).step],
+                       lambda t: [_department_renames(spark, sf_dir).step],
+                       lambda t: [_product_updates(spark, sf_dir).step],
+                       lambda t: changes.cascade_steps(t, "users", _building_users(spark, sf_dir))
+                       + catalog.product_removal(_small_parts(spark, sf_dir))):
+            snapshot.publish_change(spark, root, change(snapshot.read_snapshot(spark, root)))
+        _SNAPSHOTS[key] = root
+    return snapshot.read_snapshot(spark, _SNAPSHOTS[key])
+
+
+def _compacted(spark: SparkSession, sf_dir: str):
+    _edited(spark, sf_dir)
+    root = _SNAPSHOTS[(session_key(spark), sf_dir, id(derived(spark, sf_dir)), "edited")]
+    version = snapshot.compact(spark, root)
+    return snapshot.read_snapshot(spark, version)
+
+
+for _t in ["aisles", "departments", "products"]:
+    QUERIES[f"publish_change_{_t}"] = (lambda t: lambda spark, d: getattr(_edited(spark, d), t))(_t)
+for _t in ["users", "orders", "order_details"]:
+    QUERIES[f"snapshot_after_delete_{_t}"] = (lambda t: lambda spark, d: getattr(_edited(spark, d), t))(_t)
+QUERIES["snapshot_compacted_order_details"] = lambda spark, d: _compacted(spark, d).order_details
+QUERIES["department_peak_hour_after_changes"] = lambda spark, d: departments.department_peak_hour(_edited(spark, d))
+
+
+def _bad_steps(spark, sf_dir):
+    """A change set that breaks rules of every kind over a clean snapshot."""
+    t = _snapshot(spark, sf_dir)
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    aisles = t.aisles.filter("aisle_id <= 4").select(
+        F.expr("CASE aisle_id WHEN 1 THEN 1 WHEN 4 THEN NULL ELSE aisle_id + 9000 END").alias("aisle_id"),
+        F.expr("CASE aisle_id WHEN 2 THEN NULL WHEN 3 THEN aisle WHEN 4 THEN repeat('x', 256) ELSE 'other' END")
+        .alias("aisle"))
+    lines = li.filter("l_orderkey % 3 = 0").select(
+        F.expr("l_orderkey + if(l_orderkey % 5 = 0, 1000000000, 0)").alias("order_id"),
+        F.expr("if(l_partkey % 7 = 0, NULL, l_partkey)").alias("product_id"),
+        F.expr("CAST(if(l_partkey % 11 = 0, 0, l_linenumber) AS BIGINT)").alias("add_to_cart_order"),
+        F.expr("CAST(if(l_partkey % 13 = 0, 2, 0) AS BIGINT)").alias("reordered"))
+    moved = t.products.filter("product_id % 17 = 0").select(
+        "product_id", "product_name", F.expr("aisle_id + 500").alias("aisle_id"), "department_id")
+    return t, [changes.Step("aisles", rows=aisles), changes.Step("order_details", rows=lines),
+               changes.Step("products", rows=moved, replace=True),
+               changes.Step("products", gone=t.products.filter("product_id % 19 = 0").select("product_id")),
+               changes.Step("departments", gone=t.departments.filter("department_id % 6 = 5").select("department_id")),
+               changes.Step("users", gone=t.users.filter("user_id % 23 = 0").select("user_id"))]
+
+
+QUERIES["audit_delta_dirty"] = lambda spark, d: changes.audit_delta(*_bad_steps(spark, d))
+QUERIES["audit_delta_cascade"] = lambda spark, d: changes.audit_delta(
+    t := _snapshot(spark, d), changes.cascade_steps(t, "aisles", t.aisles.filter("aisle_id % 2 = 0").select("aisle_id"))
+    + changes.cascade_steps(t, "users", _building_users(spark, d)))
+
+
 def _schema_created(spark, sf_dir):
     """The tables' columns after creating an empty snapshot and loading the
     wide rows over it, with each table's rows."""

@@ -10,6 +10,16 @@ rejected load leaves an unpublished folder that readers never see.
 Writing first and auditing the written Parquet (instead of auditing the
 lazy plan and writing it afterwards) computes the tables once and cuts their
 lineage: a lost executor re-reads files, not the whole input.
+
+A version may also be a change to another one (`publish_change`).  It then holds
+only the rows that come and the keys of the rows that go; everything else is
+named in its marker by reference, as a list of layers per table.  Readers take
+the layers in order: rows are added, keys take what the layers before them hold.
+So an edit writes as much as it changes, and `compact` folds the layers.
+
+Publishing a version that follows another one claims its place first, with a
+file that only one writer can create: of two changes to one version the second
+is refused and has to be made anew on the version that came between.
 """
 
 from __future__ import annotations
@@ -23,10 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.operators.audit import ROW_COUNT, audit_with_counts
-from basketry.schema import TABLE_ORDER
+from basketry.schema import PRIMARY_KEYS, SCHEMAS, TABLE_ORDER
 from basketry.tables import Tables
 
 MARKER = "_PUBLISHED"
+CLAIM = "_NEXT"
+#: A claim whose version was not published in this time is void: its writer is
+#: gone.  Between claim and marker there is one small file to write.
+CLAIM_SECONDS = 600
 
 
 class SnapshotRejected(Exception):
@@ -38,6 +52,10 @@ class SnapshotRejected(Exception):
         super().__init__(f"snapshot {version} not published:\n{lines}")
 
 
+class SnapshotConflict(Exception):
+    """Another version follows the one that a change was made to."""
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -130,8 +148,6 @@ def write_tables(tables: Tables, version: str, buckets: dict | None = None) -> N
 
 
 def _read_bucketed(spark: SparkSession, version: str, name: str, n: int) -> DataFrame:
-    from basketry.schema import SCHEMAS
-
     table = _catalog_name(version, name)
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in SCHEMAS[name].fields)
     spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({cols}) USING parquet "
@@ -140,7 +156,38 @@ def _read_bucketed(spark: SparkSession, version: str, name: str, n: int) -> Data
     return spark.table(table)
 
 
-def read_tables(spark: SparkSession, version: str, buckets: dict | None = None) -> Tables:
+def _root_of(version: str) -> str:
+    return version.rstrip("/").rsplit("/", 1)[0]
+
+
+def _layers(version: str, marker: dict) -> dict[str, list[dict]]:
+    """Per table the layers of a version, with paths below its root."""
+    own = version.rstrip("/").rsplit("/", 1)[1]
+    return marker.get("layers") or {
+        name: [{"rows": f"{own}/{name}", **({"buckets": n} if (n := (marker.get("buckets") or {}).get(name)) else {})}]
+        for name in TABLE_ORDER}
+
+
+def _read_layers(spark: SparkSession, root: str, name: str, layers: list[dict]) -> DataFrame:
+    from basketry.operators.changes import without
+
+    columns, out = [f.name for f in SCHEMAS[name].fields], None
+    for layer in layers:
+        if "gone" in layer:
+            out = without(out, spark.read.parquet(f"{root}/{layer['gone']}").select(*layer["columns"]))
+            continue
+        if layer.get("buckets") and len(layers) == 1:
+            rows = _read_bucketed(spark, f"{root}/{layer['rows'].rsplit('/', 1)[0]}", name, layer["buckets"])
+        else:
+            rows = spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{layer['rows']}").select(*columns)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def read_tables(spark: SparkSession, version: str, buckets: dict | None = None,
+                layers: dict | None = None) -> Tables:
+    if layers:
+        return Tables(**{name: _read_layers(spark, _root_of(version), name, layers[name]) for name in TABLE_ORDER})
     out = {}
     for name in TABLE_ORDER:
         n = (buckets or {}).get(name)
@@ -154,8 +201,55 @@ def order_buckets(n: int | None) -> dict | None:
     return {"orders": n, "order_details": n} if n else None
 
 
-def new_version(root: str) -> str:
-    return f"{root.rstrip('/')}/v{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
+def new_version(root: str, after: str | None = None) -> str:
+    """A fresh version folder, by name behind all that exist by now, and behind
+    ``after`` whatever the clocks say."""
+    now = int(time.time() * 1000)
+    if after:
+        now = max(now, 1 + int(after.rsplit("/", 1)[1][1:].split("-")[0]))
+    return f"{root.rstrip('/')}/v{now:013d}-{uuid.uuid4().hex[:8]}"
+
+
+def _claim(spark: SparkSession, base: str, version: str) -> None:
+    """Take the place of ``base``'s successor, or raise `SnapshotConflict`."""
+    path = f"{base}/{CLAIM}"
+    fs, p, _ = _fs(spark, path)
+    text = json.dumps({"version": version.rsplit("/", 1)[1], "claimed_ms": int(time.time() * 1000)})
+    for attempt in range(2):
+        try:
+            out = fs.create(p, False)  # refused if it is there
+        except Exception as e:
+            if "already exists" not in str(e) and "AlreadyExists" not in str(e):
+                raise
+        else:
+            out.write(bytearray(text.encode()))
+            out.close()
+            return
+        try:
+            held = json.loads(_read_text(spark, path))
+        except ValueError:  # being written
+            held = {"version": "", "claimed_ms": fs.getFileStatus(p).getModificationTime()}
+        published = held["version"] and _marker(spark, f"{_root_of(base)}/{held['version']}")
+        if published or attempt or time.time() * 1000 - held["claimed_ms"] < CLAIM_SECONDS * 1000:
+            break
+        fs.delete(p, False)
+    raise SnapshotConflict(f"{base} is followed by {held['version'] or 'another version'}; read that and try again")
+
+
+def _follow(spark: SparkSession, base: str, version: str) -> None:
+    """Claim ``base``'s successor for ``version``, if ``base`` is the newest."""
+    newest = latest_version(spark, _root_of(base))
+    if newest != base:
+        raise SnapshotConflict(f"{newest} was published after {base}; read that and try again")
+    _claim(spark, base, version)
+
+
+def _publish(spark: SparkSession, version: str, row_counts: dict, buckets: dict | None = None,
+             layers: dict | None = None, base: str | None = None) -> None:
+    _write_text(spark, f"{version}/{MARKER}",
+                json.dumps({"tables": TABLE_ORDER, "row_counts": row_counts, "buckets": buckets or {},
+                            "bucket_key": BUCKET_KEY, "layers": layers, "base": base and base.rsplit("/", 1)[1],
+                            "published_ms": int(time.time() * 1000)}))
 
 
 def publish(spark: SparkSession, version: str, buckets: dict | None = None) -> Tables:
@@ -167,10 +261,7 @@ def publish(spark: SparkSession, version: str, buckets: dict | None = None) -> T
         raise SnapshotRejected(version, violations)
     # exact sizes from the audit's own scans, recorded for readers
     counts = {table: n for table, rule, n in found if rule == ROW_COUNT}
-    _write_text(spark, f"{version}/{MARKER}",
-                json.dumps({"tables": TABLE_ORDER, "row_counts": counts,
-                            "buckets": buckets or {}, "bucket_key": BUCKET_KEY,
-                            "published_ms": int(time.time() * 1000)}))
+    _publish(spark, version, counts, buckets)
     return Tables(**dict(written.items()), audited=True, row_counts=counts)
 
 
@@ -206,10 +297,83 @@ def read_snapshot(spark: SparkSession, root: str) -> Tables:
     """
     version = latest_version(spark, root)
     marker = _marker(spark, version)
-    t = read_tables(spark, version, marker.get("buckets") or None)
+    t = read_tables(spark, version, marker.get("buckets") or None, marker.get("layers"))
     return Tables(**dict(t.items()), audited=True, row_counts=marker.get("row_counts"))
 
 
+def publish_change(spark: SparkSession, root: str, steps: list, base: str | None = None) -> str:
+    """Publish the newest version under ``root`` with ``steps``
+    (`basketry.operators.changes.Step`) taken, as a version that follows it.
+
+    The steps are written, the rows and keys of each table under the new version;
+    the audit of what they change must come back clean, or nothing is published
+    and `SnapshotRejected` is raised.  Name the version that the steps were made
+    from as ``base`` if it may no longer be the newest: `SnapshotConflict` is
+    raised if another version followed it, before the audit or at the last moment.
+    ``row_counts`` of the marker are then upper bounds, as rows that go are not counted.
+    """
+    from basketry.operators.changes import Step, audit_delta
+
+    base = (base or latest_version(spark, root)).rstrip("/")
+    root = _root_of(base)
+    newest = latest_version(spark, root)
+    if newest != base:
+        raise SnapshotConflict(f"{newest} was published after {base}; read that and try again")
+    before, marker = read_snapshot(spark, base), _marker(spark, base)
+    version = new_version(root, base)
+    own = version.rsplit("/", 1)[1]
+    layers = {name: list(found) for name, found in _layers(base, marker).items()}
+    counts, written = dict(marker["row_counts"]), []
+    for i, step in enumerate(steps):
+        parts = {"rows": step.added(), "gone": None if step.replace else step.gone}
+        read = {}
+        for kind, df in parts.items():
+            if df is None:
+                continue
+            path = f"{own}/{step.table}-{i}-{kind}"
+            df.write.mode("errorifexists").parquet(f"{root}/{path}")
+            back = spark.read.schema(df.schema).parquet(f"{root}/{path}")
+            n = back.count()  # from the footers
+            if n:
+                read[kind] = (path, back, n)
+        if "rows" in read and step.replace:
+            layers[step.table].append({"gone": read["rows"][0], "columns": PRIMARY_KEYS[step.table]})
+        if "gone" in read:
+            layers[step.table].append({"gone": read["gone"][0], "columns": read["gone"][1].columns})
+        if "rows" in read:
+            layers[step.table].append({"rows": read["rows"][0]})
+            counts[step.table] += read["rows"][2]
+        if read:
+            written.append(Step(step.table, *(read[k][1] if k in read else None for k in ("rows", "gone")),
+                                replace=step.replace))
+    found = [tuple(r) for r in audit_delta(before, written).collect()]  # bounded by the rule count
+    if found:
+        raise SnapshotRejected(version, found)
+    _follow(spark, base, version)
+    _publish(spark, version, counts, layers=layers, base=base)
+    return version
+
+
+def compact(spark: SparkSession, root: str) -> str:
+    """Publish the newest version anew with one layer a table: tables that
+    changes left in several are written, the others stay by reference."""
+    base = latest_version(spark, root)
+    root, marker = _root_of(base), _marker(spark, base)
+    layers, before = _layers(base, marker), read_snapshot(spark, base)
+    several = [name for name in TABLE_ORDER if len(layers[name]) > 1]
+    if not several:
+        return base
+    version = new_version(root, base)
+    write_frames({name: getattr(before, name) for name in several}, version)
+    counts = dict(marker["row_counts"])
+    for name in several:
+        counts[name] = spark.read.parquet(f"{version}/{name}").count()
+        layers[name] = [{"rows": f"{version.rsplit('/', 1)[1]}/{name}"}]
+    _follow(spark, base, version)
+    _publish(spark, version, counts, layers=layers, base=base)
+    return version
+
+
 def load_wide(wide: DataFrame, root: str, staging_partitions: int | None = None,
               order_buckets_n: int | None = None) -> str:
     """E1 end to end: typed wide rows -> staged Parquet -> six tables -> audit -> publish.
@@ -258,8 +422,6 @@ def create_if_absent(spark: SparkSession, root: str) -> str:
     If ``root`` has no published version, an empty one (six tables with their
     declared schemas) is published; otherwise the newest one is returned.
     """
-    from basketry.schema import SCHEMAS
-
     if has_snapshot(spark, root):
         return latest_version(spark, root)
     empty = Tables(**{name: spark.createDataFrame([], SCHEMAS[name]) for name in TABLE_ORDER})
