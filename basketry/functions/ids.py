@@ -69,3 +69,34 @@ def dense_ids(df: DataFrame, value_col: str, id_col: str) -> DataFrame:
     """Distinct values of ``value_col`` with ids 1..n in ascending value order
     (nulls last), i.e. ``DENSE_RANK() OVER (ORDER BY value_col)``."""
     return consecutive_ids(df.select(value_col).distinct(), value_col, id_col, start=1)
+
+
+#: Rows of one slice of `ids_by_rank`, about, and the most slices.
+SLICE, SLICES = 200_000, 256
+
+
+def ids_by_rank(df: DataFrame, order_col: str, id_col: str, after: DataFrame) -> DataFrame:
+    """Number the rows of ``df`` in ascending order of the integer ``order_col``
+    (distinct, not null), from one more than the single value of ``after``.
+
+    Nothing is sorted or written as a whole: one aggregate finds quantiles of the
+    order, rows are ranked inside the slices between them, and a slice starts
+    behind the rows of the slices before it.  ``df`` is evaluated anew for the
+    aggregate and for the result, so it must be a function of its inputs, as
+    change sets read from files are; the numbers need no fixed partitions.
+    """
+    fractions = [i / SLICES for i in range(1, SLICES)]
+    probe = df.agg(F.count(order_col).alias("n"), F.percentile_approx(order_col, fractions, 10_000).alias("at"))
+    both = probe.unionByName(after.select(F.col(after.columns[0]).cast("bigint").alias("h")), allowMissingColumns=True)
+    n, at, h = both.agg(F.max("n"), F.max("at"), F.max("h")).first()
+    step = max(1, SLICES // max(2, -(-n // SLICE)))
+    bounds = sorted(set((at or [0])[step - 1::step]))
+    part = F.size(F.filter(F.array(*[F.lit(b).cast("bigint") for b in bounds]), lambda b: b < F.col(order_col)))
+    sliced = df.withColumn("_part", part)
+    counts = sliced.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(  # at most a row a slice
+        Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(order_col))
+    return (sliced.withColumn("_rank", rank).join(F.broadcast(offsets), "_part")
+            .withColumn(id_col, (F.col("_offset") + F.col("_rank") + F.lit(h)).cast("bigint"))
+            .drop("_part", "_rank", "_offset"))

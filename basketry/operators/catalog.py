@@ -25,7 +25,7 @@ Rules (the reference's, applied to a batch):
   along the foreign keys cascade, as ON DELETE CASCADE does.
 
 Everything is joins, partial aggregates and anti/semi joins; the only
-ordered numbering is `basketry.functions.ids.consecutive_ids`, and renames that
+ordered numbering is `basketry.functions.ids.ids_by_rank`, and renames that
 meet over a name are settled in rounds (`basketry.operators.settle`).
 """
 
@@ -37,7 +37,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions.ids import consecutive_ids
+from basketry.functions.ids import ids_by_rank
 from basketry.functions.text import strip
 from basketry.operators.changes import Step
 from basketry.operators.settle import refused_renames
@@ -63,13 +63,12 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _requests(changes: DataFrame) -> DataFrame:
-    """The change set; a ``seq`` that occurs twice fails the job, as outcomes
-    are told apart by it."""
-    again = F.count(F.lit(1)).over(Window.partitionBy("seq")) > 1
-    refuse = F.raise_error(F.concat(F.lit("repeated seq in a change set: "),
-                                    F.col("seq").cast("string"))).cast("boolean")
-    return (changes.withColumn("_again", again)
-            .filter(F.when(F.col("_again"), refuse).otherwise(F.lit(True))).drop("_again"))
+    """The change set; a ``seq`` that occurs twice is refused, as outcomes are
+    told apart by it."""
+    again = changes.groupBy("seq").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seq").head(1)
+    if again:
+        raise ValueError(f"repeated seq in a change set: {again[0][0]}")
+    return changes
 
 
 def high_water_mark(df: DataFrame, id_col: str) -> DataFrame:
@@ -92,8 +91,7 @@ def insert_names(dim: DataFrame, id_col: str, name_col: str, changes: DataFrame,
     current = dim.select(F.col(name_col).alias("_name"), F.col(id_col).alias("_old"))
     firsts = (c.filter(fits).join(current, "_name", "left_anti")
               .groupBy("_name").agg(F.min("seq").alias("_first")))
-    start = high_water_mark(dim, id_col).select((F.col("high_water_mark") + 1).alias("s"))
-    winners = consecutive_ids(firsts, "_first", "_new", start=start)
+    winners = ids_by_rank(firsts, "_first", "_new", high_water_mark(dim, id_col))
     judged = c.filter(fits).join(current, "_name", "left").join(winners, "_name", "left")
     status = (F.when(F.col("_old").isNotNull(), "exists")
               .when(F.col("seq") == F.col("_first"), "inserted").otherwise("duplicate"))
@@ -200,9 +198,7 @@ def insert_products(t: Tables, changes: DataFrame) -> ChangeResult:
     """Insert products (names may repeat) with ids after the high-water mark."""
     req = _with_fk_markers(t, _product_request(changes, False))
     n = F.length("_name")
-    start = high_water_mark(t.products, "product_id").select(
-        (F.col("high_water_mark") + 1).alias("s"))
-    new = consecutive_ids(req.filter(_valid_product(n)), "seq", "product_id", start=start)
+    new = ids_by_rank(req.filter(_valid_product(n)), "seq", "product_id", high_water_mark(t.products, "product_id"))
     rows = new.select("product_id", F.col("_name").alias("product_name"), F.col("_aisle").alias("aisle_id"),
                       F.col("_dept").alias("department_id"))
     table = t.products.select(*rows.columns).unionByName(rows)

@@ -44,43 +44,56 @@ def _written(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def _sliced(requests: DataFrame) -> DataFrame:
-    """`requests` with the number of their slice of the seq order."""
+def _sliced(requests: DataFrame) -> tuple[DataFrame, int]:
+    """`requests` with the number of their slice of the seq order; the slices."""
     n = requests.count()
     parts = min(MOST, 1 + n // SLICE)
     if parts == 1:
-        return requests.withColumn("slice", F.lit(0))
+        return requests.withColumn("slice", F.lit(0)), 1
     bounds = requests.agg(F.percentile_approx("seq", [i / parts for i in range(1, parts)], 10_000)).first()[0]
     before = F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col("seq"))
-    return requests.withColumn("slice", F.size(before))
+    return requests.withColumn("slice", F.size(before)), parts
 
 
 def _before(*keys: str):
     return Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _judge(requests: DataFrame, holders: DataFrame) -> DataFrame:
+def _borne_before(requests: DataFrame, holders: DataFrame, slices: int) -> DataFrame:
+    """(id, slice, _borne): the name an id bears when a slice begins."""
+    if slices == 1:
+        return holders.select("id", F.lit(0).alias("slice"), F.col("name").alias("_borne"))
+    last = requests.groupBy("id", "slice").agg(F.max_by("name", F.when(F.col("granted"), F.col("seq"))).alias("_last"))
+    return last.join(holders.withColumnRenamed("name", "_held"), "id", "left").select(
+        "id", "slice", F.coalesce(F.last("_last", True).over(_before("id").orderBy("slice")), "_held").alias("_borne"))
+
+
+def _held_before(steps: DataFrame, holders: DataFrame, slices: int) -> DataFrame:
+    """(name, slice, _carried): how many ids bear a name when a slice begins."""
+    held = holders.groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
+    if slices == 1:
+        return held.select("name", F.lit(0).alias("slice"), F.col("_n").alias("_carried"))
+    sums = steps.groupBy("name", "slice").agg(F.sum("delta").alias("_n")).unionByName(
+        held.select("name", F.lit(-1).alias("slice"), "_n"))
+    return sums.select("name", "slice", F.sum("_n").over(_before("name").orderBy("slice")).alias("_carried"))
+
+
+def _judge(requests: DataFrame, holders: DataFrame, slices: int) -> DataFrame:
     """`requests` with `granted` as it follows from the guess in `granted`, and
     the guess as `was`."""
     # the name an id bears when its turn comes, if the guess is right
-    last = requests.groupBy("id", "slice").agg(F.max_by("name", F.when(F.col("granted"), F.col("seq"))).alias("_last"))
-    carried = last.join(holders.withColumnRenamed("name", "_held"), "id", "left").select(
-        "id", "slice", F.coalesce(F.last("_last", True).over(_before("id").orderBy("slice")), "_held").alias("_borne"))
     own = F.last(F.when(F.col("granted"), F.col("name")), True).over(_before("id", "slice").orderBy("seq"))
-    turns = requests.withColumn("_own", own).join(carried, ["id", "slice"]).withColumn(
+    turns = requests.withColumn("_own", own).join(_borne_before(requests, holders, slices), ["id", "slice"]).withColumn(
         "_own", F.coalesce("_own", "_borne")).drop("_borne")
     moves = F.col("granted") & (F.col("_own") != F.col("name"))
     # holders of a name: takers so far less leavers
     asked = turns.withColumn("delta", moves.cast("int"))
     left = turns.filter(moves).select(F.col("_own").alias("name"), "slice", "seq", F.lit(-1).alias("delta"))
     steps = asked.unionByName(left, allowMissingColumns=True)
-    sums = steps.groupBy("name", "slice").agg(F.sum("delta").alias("_n")).unionByName(
-        holders.groupBy("name").agg(F.lit(-1).alias("slice"), F.count(F.lit(1)).alias("_n")))
-    carried = sums.select("name", "slice", F.coalesce(F.sum("_n").over(_before("name").orderBy("slice")), F.lit(0))
-                          .alias("_carried"))
     here = F.coalesce(F.sum("delta").over(_before("name", "slice").orderBy("seq")), F.lit(0))
-    judged = steps.withColumn("_here", here).filter(F.col("id").isNotNull()).join(carried, ["name", "slice"])
-    others = F.col("_here") + F.col("_carried") - (F.col("_own") == F.col("name")).cast("int")
+    judged = steps.withColumn("_here", here).filter(F.col("id").isNotNull()).join(
+        _held_before(steps, holders, slices), ["name", "slice"], "left")
+    others = F.col("_here") + F.coalesce("_carried", F.lit(0)) - (F.col("_own") == F.col("name")).cast("int")
     return judged.select("seq", "slice", "id", "name", "contested", F.col("granted").alias("was"),
                          (~F.col("contested") | (others <= 0)).alias("granted"))
 
@@ -113,13 +126,15 @@ def refused_renames(current: DataFrame, valid: DataFrame) -> DataFrame:
         F.coalesce("contested", F.lit(False)).alias("contested"))
     requests, path = _written(requests)
     paths.append(path)
-    state, path = _written(_guess(_sliced(requests), holders))
+    requests, slices = _sliced(requests)
+    state, path = _written(_guess(requests, holders))
     paths.append(path)
     settled, least = [], None
     while True:
-        state, path = _written(_judge(state, holders))
+        state, path = _written(_judge(state, holders, slices))
         paths.append(path)
-        release(spark)
+        if len(paths) % 8 == 0:
+            release(spark)
         changes, first = state.filter("granted <> was").agg(F.count(F.lit(1)), F.min("seq")).first()
         if not changes:
             break

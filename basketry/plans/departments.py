@@ -41,7 +41,11 @@ def department_peak_hour(t: Tables) -> DataFrame:
     department statistics (window sums over at most 25 hour rows) and the
     hour ranking; only the rank-1 hour survives (``WindowGroupLimit``).
     """
-    facts = department_hour_totals(t)
+    return peak_hours(department_hour_totals(t), t.departments)
+
+
+def peak_hours(facts: DataFrame, departments: DataFrame) -> DataFrame:
+    """R15 from the totals per department and hour."""
     w = Window.partitionBy("department_id")
     ranked = facts.select(
         "department_id", "hour", "lines",
@@ -49,7 +53,7 @@ def department_peak_hour(t: Tables) -> DataFrame:
         F.sum("reorders").over(w).alias("reorders"),
         F.row_number().over(_peak_order(w)).alias("_rn"))
     peak = ranked.filter((F.col("_rn") == 1) & (F.col("lines") > 0))
-    return (t.departments.join(peak, "department_id")
+    return (departments.join(peak, "department_id")
             .select("department", "items_sold",
                     pct_half_up("reorders", "items_sold", 2).alias("reorder_pct"),
                     F.col("hour").alias("peak_hour"))

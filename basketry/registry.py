@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators import audit as audit_ops
 from basketry.operators import catalog, changes, load
-from basketry.plans import catalog_views, dashboard, departments, search
+from basketry.plans import catalog_views, cells, dashboard, departments, search
 from basketry.session import scratch_path, session_key
 from basketry.sources import snapshot
 from basketry.sources.csv import read_wide_csv
@@ -384,6 +384,7 @@ def _edited(spark: SparkSession, sf_dir: str):
     if key not in _SNAPSHOTS:
         root = scratch_path(spark, "snapshots")
         publish_fixture(spark, sf_dir, root)
+        snapshot.maintain_cells(spark, root)
         for change in (lambda t: [_aisle_inserts(spark, sf_dir).step],
                        lambda t: [_department_renames(spark, sf_dir).step],
                        lambda t: [_product_updates(spark, sf_dir).step],
@@ -409,6 +410,20 @@ QUERIES["snapshot_compacted_order_details"] = lambda spark, d: _compacted(spark,
 QUERIES["department_peak_hour_after_changes"] = lambda spark, d: departments.department_peak_hour(_edited(spark, d))
 
 
+def _cells(spark: SparkSession, sf_dir: str):
+    """The cells kept through all those changes, and the departments by then."""
+    t = _edited(spark, sf_dir)
+    root = _SNAPSHOTS[(session_key(spark), sf_dir, id(derived(spark, sf_dir)), "edited")]
+    return snapshot.read_cells(spark, root), t.departments
+
+
+QUERIES["maintained_orders_by_hour"] = lambda spark, d: cells.orders_by_hour(_cells(spark, d)[0])
+QUERIES["maintained_orders_by_dow"] = lambda spark, d: cells.orders_by_dow(_cells(spark, d)[0])
+QUERIES["maintained_top_departments"] = lambda spark, d: cells.top_departments(*_cells(spark, d))
+QUERIES["maintained_reorder_rate"] = lambda spark, d: cells.reorder_rate_by_department(*_cells(spark, d))
+QUERIES["maintained_peak_hour"] = lambda spark, d: cells.department_peak_hour(*_cells(spark, d))
+
+
 def _bad_steps(spark, sf_dir):
     """A change set that breaks rules of every kind over a clean snapshot."""
     t = _snapshot(spark, sf_dir)

@@ -245,10 +245,10 @@ def _follow(spark: SparkSession, base: str, version: str) -> None:
 
 
 def _publish(spark: SparkSession, version: str, row_counts: dict, buckets: dict | None = None,
-             layers: dict | None = None, base: str | None = None) -> None:
+             layers: dict | None = None, base: str | None = None, cells: dict | None = None) -> None:
     _write_text(spark, f"{version}/{MARKER}",
                 json.dumps({"tables": TABLE_ORDER, "row_counts": row_counts, "buckets": buckets or {},
-                            "bucket_key": BUCKET_KEY, "layers": layers, "base": base and base.rsplit("/", 1)[1],
+                            "bucket_key": BUCKET_KEY, "layers": layers, "base": base and base.rsplit("/", 1)[1], "cells": cells,
                             "published_ms": int(time.time() * 1000)}))
 
 
@@ -312,7 +312,8 @@ def publish_change(spark: SparkSession, root: str, steps: list, base: str | None
     raised if another version followed it, before the audit or at the last moment.
     ``row_counts`` of the marker are then upper bounds, as rows that go are not counted.
     """
-    from basketry.operators.changes import Step, audit_delta
+    from basketry.operators.changes import Step, apply, audit_delta
+    from basketry.plans.cells import after_change
 
     base = (base or latest_version(spark, root)).rstrip("/")
     root = _root_of(base)
@@ -349,8 +350,47 @@ def publish_change(spark: SparkSession, root: str, steps: list, base: str | None
     found = [tuple(r) for r in audit_delta(before, written).collect()]  # bounded by the rule count
     if found:
         raise SnapshotRejected(version, found)
+    cells = _write_cells(after_change(read_cells(spark, base), before, apply(before, written), written),
+                         version) if marker.get("cells") else None
     _follow(spark, base, version)
-    _publish(spark, version, counts, layers=layers, base=base)
+    _publish(spark, version, counts, layers=layers, base=base, cells=cells)
+    return version
+
+
+def _write_cells(cells, version: str) -> dict[str, str]:
+    paths = {}
+    for name, df in cells.items():
+        paths[name] = f"{version.rsplit('/', 1)[1]}/cells-{name}"
+        df.write.mode("errorifexists").parquet(f"{_root_of(version)}/{paths[name]}")
+    return paths
+
+
+def read_cells(spark: SparkSession, root: str):
+    """The `basketry.plans.cells.Cells` of the newest version under ``root``, or
+    of a version; refused if they are not maintained there."""
+    from basketry.plans.cells import SCHEMAS as CELLS, Cells
+
+    version = latest_version(spark, root)
+    paths = _marker(spark, version).get("cells")
+    if not paths:
+        raise FileNotFoundError(f"{version} has no cells; see maintain_cells")
+    return Cells(**{name: spark.read.schema(CELLS[name]).parquet(f"{_root_of(version)}/{path}")
+                    for name, path in paths.items()})
+
+
+def maintain_cells(spark: SparkSession, root: str) -> str:
+    """Publish the newest version anew with its cells; the changes published
+    after it keep them up to date, a full load starts without."""
+    from basketry.plans.cells import cells_of
+
+    base = latest_version(spark, root)
+    marker = _marker(spark, base)
+    if marker.get("cells"):
+        return base
+    version = new_version(_root_of(base), base)
+    cells = _write_cells(cells_of(read_snapshot(spark, base)), version)
+    _follow(spark, base, version)
+    _publish(spark, version, marker["row_counts"], layers=_layers(base, marker), base=base, cells=cells)
     return version
 
 
@@ -370,7 +410,7 @@ def compact(spark: SparkSession, root: str) -> str:
         counts[name] = spark.read.parquet(f"{version}/{name}").count()
         layers[name] = [{"rows": f"{version.rsplit('/', 1)[1]}/{name}"}]
     _follow(spark, base, version)
-    _publish(spark, version, counts, layers=layers, base=base)
+    _publish(spark, version, counts, layers=layers, base=base, cells=marker.get("cells"))
     return version
 
 

@@ -114,13 +114,13 @@ def main():
         "top_departments": lambda: dashboard.top_departments(t),
         "reorder_rate_by_department": lambda: dashboard.reorder_rate_by_department(t),
         "product_search": lambda: search.product_search(t, ""),
-        "product_search_literal_sql": lambda: search.product_search_sql(t, ""),
+        "product_search_sql": lambda: search.product_search_sql(t, ""),
         "product_search_hourly": lambda: search.product_search_hourly(t, "", hours=(6, 17)),
         "aisles_of_department": lambda: search.aisles_of_department(t),
         "products_filtered": lambda: search.products_filtered(t),
         "refcount_aisles": lambda: catalog_views.refcount_aisles(t),
         "department_peak_hour": lambda: departments.department_peak_hour(t),
-        "department_peak_hour_literal_sql": lambda: run_sql_file(t, "department_peak_hour.sql"),
+        "department_peak_hour_sql": lambda: run_sql_file(t, "department_peak_hour.sql"),
         "delete_product_lines": lambda: catalog.delete_product_lines(t.order_details, small_parts),
         "insert_aisles": aisle_inserts,
     }

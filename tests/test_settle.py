@@ -45,7 +45,7 @@ def test_random_change_sets(spark, seed, ids, free, n):
 def test_slices_carry_names_and_holders(spark, monkeypatch):
     monkeypatch.setattr(settle, "SLICE", 8)
     names, requests = random_requests(3, 7, 4, 40)
-    assert settle._sliced(spark.createDataFrame(requests, "seq long, id long, name string")).select(
+    assert settle._sliced(spark.createDataFrame(requests, "seq long, id long, name string"))[0].select(
         "slice").distinct().count() == 6
     check(spark, names, requests)
 
