@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.session import scratch_path
+from basketry.session import drop_scratch, scratch_path
 
 #: The white space that separates words, as the bytes \x20 and \x09-\x0D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -59,7 +59,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     it back: lineage ends there, and a lost executor costs only its tasks."""
     path = scratch_path(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_folder = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Remove the folders of frames that `cut` returned and nothing reads any more."""
+    for df in frames:
+        drop_scratch(df.sparkSession, df.scratch_folder)
 
 
 def replace_columns(df: DataFrame, **columns: Column) -> DataFrame:

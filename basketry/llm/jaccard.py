@@ -360,8 +360,8 @@ class Verifier:
 
     def grams(self, nodes: DataFrame) -> DataFrame:
         """node -> its set, from the text of one document of it."""
-        ids = common.cut(nodes.join(self.info, "node").select("doc_id").distinct(), "jaccard-ids")
-        n = self.n
+        known = common.cut(nodes.join(self.info, "node").select("doc_id").distinct(), "jaccard-ids")
+        n, ids = self.n, known
         if ids.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
 
@@ -375,13 +375,15 @@ class Verifier:
                          pa.array([g.tobytes() for g in sets], pa.binary())], names=["node", "grams"])
 
         # several rows of one id or one set give equal rows; links() is distinct
-        return self.docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "node long, grams binary")
+        sets = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "node long, grams binary")
+        sets = common.cut(sets, "jaccard-sets")
+        common.drop(known)
+        return sets
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """(a, b) -> the distinct pairs with 4 * intersection >= 3 * union."""
         p = common.cut(pairs.select("a", "b").distinct(), "jaccard-pairs")
-        g = common.cut(self.grams(p.select(F.explode(F.array("a", "b")).alias("node")).distinct()),
-                       "jaccard-sets")
+        g = self.grams(p.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
         def run(batches):
             for batch in batches:
@@ -392,9 +394,11 @@ class Verifier:
                     good.append(100 * both >= 75 * (len(x) + len(y) - both))
                 yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-        p = p.join(g.withColumnsRenamed({"node": "a", "grams": "x"}), "a").select("a", "b", "x")
-        p = p.join(g.withColumnsRenamed({"node": "b", "grams": "y"}), "b").select("a", "b", "x", "y")
-        return common.cut(p.mapInArrow(run, "a long, b long").distinct(), "jaccard-links")
+        both = p.join(g.withColumnsRenamed({"node": "a", "grams": "x"}), "a").select("a", "b", "x")
+        both = both.join(g.withColumnsRenamed({"node": "b", "grams": "y"}), "b").select("a", "b", "x", "y")
+        links = common.cut(both.mapInArrow(run, "a long, b long").distinct(), "jaccard-links")
+        common.drop(p, g)
+        return links
 
     def parts(self, nodes: DataFrame, single: bool) -> DataFrame:
         """(node) -> key, node, scheme, d: all non-empty parts in all schemes; and
@@ -438,8 +442,12 @@ class Linked:
                          .filter("a <> b").distinct(), "jaccard-new")
         if new.limit(1).count():
             joined = components(new).select(F.col("node").alias("component"), F.col("component").alias("into"))
-            self.comp = common.cut(self.comp.join(joined, "component", "left").select(
+            before = self.comp
+            self.comp = common.cut(before.join(joined, "component", "left").select(
                 "node", F.coalesce("into", "component").alias("component")), "jaccard-classes")
+            if hasattr(before, "scratch_folder"):  # not the first, of single nodes
+                common.drop(before)
+        common.drop(links, new)
         release(self.comp.sparkSession)
 
     def connect(self, pairs: DataFrame) -> None:
@@ -455,6 +463,7 @@ class Linked:
         left = common.cut(across(pairs, self.comp), "jaccard-across")
         if left.limit(1).count():
             self.add(self.verify.links(left))
+        common.drop(pairs, left)
 
 
 def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -489,6 +498,8 @@ def compare_hot(verify: Verifier, linked: Linked, hot: DataFrame, single: bool)
             break
         pairs = c.repartition("key").mapInArrow(near_pairs(hubs), "a long, b long, shared long")
         linked.connect(pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared")))
+        common.drop(c)
+    common.drop(found, first)
 
 
 def near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
