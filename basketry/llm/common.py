@@ -54,9 +54,12 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """Write `df` to a fresh folder in the shared checkpoint directory and read
-    it back: lineage ends there, and a lost executor costs only its tasks."""
+    it back: lineage ends there, and a lost executor costs only its tasks.  With
+    `tasks` its last stage has no more than so many."""
+    if tasks:
+        df = df.coalesce(tasks)
     path = scratch_path(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -21,7 +21,9 @@ is hot even then (near copies) is compared in rounds: one hub per fingerprint
 against all, then more, in the last round every pair, but only of nodes in
 different components by then.  All rounds compare whole sketches, of two bits
 per shingle, first: a pair whose sketches differ in more bits than D is no
-match, so a task compares the nodes of a fingerprint in blocks and emits few.
+match.  The nodes of a fingerprint are dealt in blocks: hubs go to each of its
+blocks, and in the last round a group is a pair of blocks, so a task holds few
+nodes at a time, however many share the fingerprint, and emits few pairs.
 
 Every candidate pair is verified on the exact shingle sets, first each node's
 best partner, then only pairs between components.  No link between components
@@ -54,6 +56,10 @@ MORE = 24
 #: Nodes of a hot fingerprint that are compared with the others, by round: each
 #: round connects most of what the next would otherwise emit; None is all.
 HUBS = (1, 4, 16, None)
+#: Nodes of a fingerprint in one block, about.
+BLOCK = 1_000
+#: Nodes a task in stages over nodes or links, and tasks of such a stage at least.
+NODES, TASKS = 50_000, 12
 #: Bits of a whole sketch per shingle of the band's largest set.
 BITS = 2
 #: Nodes that may share a fingerprint before it counts as hot.
@@ -319,37 +325,78 @@ def matcher(buckets: int):
     return run
 
 
-def near_pairs(hubs: int | None):
-    """(key, node, n, component, sketch): per fingerprint, the pairs of its
-    first `hubs` (or all) nodes with every later node of another component
-    whose size and sketch can be similar; with the number of fingerprints,
-    summed over the partition."""
-    def run(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
-            return
-        key, node, n, comp = (table.column(c).to_numpy() for c in ("key", "node", "n", "component"))
-        sketches = table.column("sketch").combine_chunks()
-        order = np.lexsort((node, key))
-        key, node, n, comp = key[order], node[order], n[order], comp[order]
-        at = runs(key)
-        a, b = [], []
-        for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
-            if e - s < 2 or (comp[s:e] == comp[s]).all():
+def dealt(open_nodes: DataFrame, hubs: int | None) -> DataFrame:
+    """Rows (key, i, j, left, node, n, component, sketch): a fingerprint's nodes
+    in blocks of about BLOCK, however many they are.  With `hubs` the first few
+    nodes go to every block as its left side, else each pair of blocks is a
+    group with one of them as its left side."""
+    sizes = open_nodes.groupBy("key").agg(F.count(F.lit(1)).alias("_size"))
+    nodes = open_nodes.join(sizes, "key").withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int")).withColumn(
+        "_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    if hubs:
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+        first = open_nodes.select("key", "node", rank.alias("_rank")).filter(F.col("_rank") <= hubs)
+        left = nodes.join(first.select("key", "node"), ["key", "node"], "left_semi").select(
+            "*", F.lit(-1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("j"))
+        right = nodes.select("*", F.lit(-1).alias("i"), F.col("_block").alias("j"))
+    else:
+        left = nodes.select("*", F.col("_block").alias("i"),
+                            F.explode(F.sequence(F.col("_block"), F.col("_blocks") - 1)).alias("j"))
+        right = nodes.select("*", F.explode(F.sequence(F.lit(0), F.col("_block"))).alias("i"),
+                             F.col("_block").alias("j"))
+    both = left.withColumn("left", F.lit(True)).unionByName(right.withColumn("left", F.lit(False)))
+    return (both.select("key", "i", "j", "left", "node", "n", "component", "sketch").repartition("key", "i", "j")
+            .sortWithinPartitions("key", "i", "j"))
+
+
+def near_pairs(batches):
+    """Of `dealt` rows: a, b, shared for every node of a group's left side and
+    every node of its right side of another component whose size and sketch can
+    be similar, with the number of fingerprints, summed over some groups.  A
+    group is held at a time, and the pairs found since the last ones went."""
+    found, held, group, now = [], 0, [], None
+
+    def compare():
+        """The pairs of the group; of two nodes the smaller comes first."""
+        left, right = ([r for r in group if r[0] == side] for side in (True, False))
+        if not left or not right:
+            return 0
+        node, n, comp = (np.array([r[k] for r in right], np.int64) for k in (1, 2, 3))
+        bits = np.stack([np.frombuffer(r[4], U) for r in right])
+        same = now[1] in (-1, now[2])  # of nodes on both sides each pair once
+        total = 0
+        for _, a, size, of, sketch_ in left:
+            near = (comp != of) & (4 * np.minimum(n, size) >= 3 * np.maximum(n, size))
+            at = np.flatnonzero(near & (node > a) if same else near)
+            if not len(at):
                 continue
-            bits = np.stack([np.frombuffer(sketches[i].as_buffer(), U) for i in order[s:e].tolist()])
-            for h in range(s, e - 1 if hubs is None else min(s + hubs, e - 1)):
-                later = np.flatnonzero((comp[h + 1:e] != comp[h]) & (
-                    4 * np.minimum(n[h + 1:e], n[h]) >= 3 * np.maximum(n[h + 1:e], n[h]))) + h + 1
-                differ = np.bitwise_count(bits[later - s] ^ bits[h - s]).sum(axis=1, dtype=np.int64)
-                b.append(node[later[differ <= (n[later] + n[h]) // 7]])
-                a.append(np.full(len(b[-1]), node[h]))
-        a, b, shared = counted(a, b)
+            differ = np.bitwise_count(bits[at] ^ np.frombuffer(sketch_, U)).sum(axis=1, dtype=np.int64)
+            other = node[at[differ <= (n[at] + size) // 7]]
+            found.append((np.minimum(other, a), np.maximum(other, a)))
+            total += len(other)
+        return total
+
+    def flush():
+        a, b, shared = counted([x for x, _ in found], [x for _, x in found])
         for i in range(0, len(a), 100_000):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x[i:i + 100_000]) for x in (a, b, shared)], names=["a", "b", "shared"])
-
-    return run
+        found.clear()
+
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in range(3)))
+        rows = zip(*(batch.column(c).to_pylist() for c in range(3, 8)))
+        for key, row in zip(keys, rows):
+            if key != now:
+                held += compare() if group else 0
+                if held > 1_000_000:
+                    yield from flush()
+                    held = 0
+                group, now = [], key
+            group.append(row)
+    if group:
+        compare()
+    yield from flush()
 
 
 class Verifier:
@@ -357,10 +404,13 @@ class Verifier:
 
     def __init__(self, docs: DataFrame, info: DataFrame, n: int):
         self.docs, self.info, self.n = docs, info, n
+        # tasks of stages over nodes or links, as many as the nodes ask for
+        self.tasks = max(TASKS, info.count() // NODES)
 
     def grams(self, nodes: DataFrame) -> DataFrame:
         """node -> its set, from the text of one document of it."""
-        known = common.cut(nodes.join(self.info, "node").select("doc_id").distinct(), "jaccard-ids")
+        known = common.cut(nodes.join(self.info, "node").select("doc_id").coalesce(self.tasks).distinct(),
+                           "jaccard-ids", self.tasks)
         n, ids = self.n, known
         if ids.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
@@ -382,7 +432,7 @@ class Verifier:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """(a, b) -> the distinct pairs with 4 * intersection >= 3 * union."""
-        p = common.cut(pairs.select("a", "b").distinct(), "jaccard-pairs")
+        p = common.cut(pairs.select("a", "b").distinct(), "jaccard-pairs", self.tasks)
         g = self.grams(p.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
         def run(batches):
@@ -396,14 +446,14 @@ class Verifier:
 
         both = p.join(g.withColumnsRenamed({"node": "a", "grams": "x"}), "a").select("a", "b", "x")
         both = both.join(g.withColumnsRenamed({"node": "b", "grams": "y"}), "b").select("a", "b", "x", "y")
-        links = common.cut(both.mapInArrow(run, "a long, b long").distinct(), "jaccard-links")
+        links = common.cut(both.mapInArrow(run, "a long, b long"), "jaccard-links")
         common.drop(p, g)
         return links
 
     def parts(self, nodes: DataFrame, single: bool) -> DataFrame:
         """(node) -> key, node, scheme, d: all non-empty parts in all schemes; and
         for each node and scheme one row without a key and with the sketch."""
-        ids = common.cut(nodes.join(self.info, "node").select("doc_id"), "jaccard-ids")
+        ids = common.cut(nodes.join(self.info, "node").select("doc_id"), "jaccard-ids", self.tasks)
         n = self.n
         if ids.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
@@ -439,12 +489,12 @@ class Linked:
         so a round is as large as its links, not as all links."""
         a, b = (self.comp.select(F.col("node").alias(x), F.col("component").alias("c" + x)) for x in "ab")
         new = common.cut(links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-                         .filter("a <> b").distinct(), "jaccard-new")
+                         .filter("a <> b").coalesce(self.verify.tasks).distinct(), "jaccard-new", self.verify.tasks)
         if new.limit(1).count():
             joined = components(new).select(F.col("node").alias("component"), F.col("component").alias("into"))
             before = self.comp
             self.comp = common.cut(before.join(joined, "component", "left").select(
-                "node", F.coalesce("into", "component").alias("component")), "jaccard-classes")
+                "node", F.coalesce("into", "component").alias("component")), "jaccard-classes", self.verify.tasks)
             if hasattr(before, "scratch_folder"):  # not the first, of single nodes
                 common.drop(before)
         common.drop(links, new)
@@ -453,14 +503,15 @@ class Linked:
     def connect(self, pairs: DataFrame) -> None:
         """(a, b, shared): verify each node's best partner, then what is left
         between components."""
-        pairs = common.cut(pairs, "jaccard-candidates")
+        tasks = self.verify.tasks
+        pairs = common.cut(pairs, "jaccard-candidates", tasks)
         best = None
         for one, other in (("a", "b"), ("b", "a")):
             top = pairs.groupBy(one).agg(F.max(F.struct("shared", other)).alias("x")).select(
                 one, F.col(f"x.{other}").alias(other)).select("a", "b")
             best = top if best is None else best.union(top)
         self.add(self.verify.links(best))
-        left = common.cut(across(pairs, self.comp), "jaccard-across")
+        left = common.cut(across(pairs, self.comp), "jaccard-across", tasks)
         if left.limit(1).count():
             self.add(self.verify.links(left))
         common.drop(pairs, left)
@@ -493,10 +544,10 @@ def compare_hot(verify: Verifier, linked: Linked, hot: DataFrame, single: bool)
         open_ = c.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter(
             "x <> y").select("key")
         c = common.cut(c.join(open_, "key", "left_semi").join(sketches, ["node", "scheme"])
-                       .select("key", "node", "n", "component", "sketch"), "jaccard-open")
+                       .select("key", "node", "n", "component", "sketch"), "jaccard-open", verify.tasks)
         if not c.limit(1).count():
             break
-        pairs = c.repartition("key").mapInArrow(near_pairs(hubs), "a long, b long, shared long")
+        pairs = dealt(c, hubs).mapInArrow(near_pairs, "a long, b long, shared long")
         linked.connect(pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared")))
         common.drop(c)
     common.drop(found, first)
