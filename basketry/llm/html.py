@@ -6,11 +6,13 @@ text is links and the block it stands in.  Over all lines of the page that show
 text, furniture too, the text-to-tag ratio is smoothed with a Gaussian and
 clustered by a threshold (a fraction of the ratios' standard deviation).  The
 lines above it are the content cluster; links, furniture elements (menus,
-headers, footers, sidebars, forms; by element or role) and containers outside
-articles that a class or id names as furniture never belong to it.
+headers, footers, sidebars, forms; by element or role) and containers that a
+class or id names as furniture never belong to it.  Inside an article or main
+a container must bear no other name, and of a header the headings stay.
 
-The cluster chooses the region: the articles (or articles and mains) if they
-hold half of its text, else the smallest block around it, widened to its parent
+The cluster chooses the region: a page's one article if it has a line of the
+cluster, else the articles (or articles and mains) if they hold half of its
+text, else the smallest block around it, widened to its parent
 while that adds no furniture and no list of links.  A region is kept whole, in
 page order and short lines too, without its furniture elements; in a region
 that is no article or main, blocks without a line of the cluster go if they are
@@ -52,7 +54,8 @@ NAMES = frozenset(
     "breadcrumbs header masthead footer comment comments reply replies discussion share "
     "sharing social related recommended newsletter subscribe signup login popup modal "
     "overlay widget pagination pager toolbar disqus".split())
-CONTAINERS = frozenset("div section ul ol dl table center fieldset details".split())
+CONTAINERS = frozenset("div section article ul ol dl table center fieldset details".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARTS = re.compile(r"[-_]+")
 UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 #: Gaussian of the smoothing over neighbouring lines, and the threshold's
@@ -67,12 +70,16 @@ def is_furniture(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         or (name == "role" and value is not None and value.lower() in ROLES) for name, value in attrs)
 
 
-def is_named(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether a container's class or id, as a whole, names it as furniture."""
-    return tag in CONTAINERS and any(
-        value and name in ("class", "id") and any(NAMES.issuperset(PARTS.split(token))
-                                                  for token in value.lower().split())
-        for name, value in attrs)
+def is_named(tag: str, attrs: list[tuple[str, str | None]], region: int) -> bool:
+    """Whether a container's class or id names it as furniture: outside of
+    articles and mains one of its names, inside all of them.  An article needs
+    all of them anywhere, as a comment marked up as an article has."""
+    if tag not in CONTAINERS:
+        return False
+    enough = all if region or tag == "article" else any
+    return any(value and value.split() and name in ("class", "id")
+               and enough(NAMES.issuperset(PARTS.split(token)) for token in value.lower().split())
+               for name, value in attrs)
 
 
 class Block(NamedTuple):
@@ -80,8 +87,9 @@ class Block(NamedTuple):
     tag: str
     parent: int
     furniture: bool  # it or a block around it is a furniture element
-    named: bool  # as furniture; never inside an article or main
+    named: bool  # as furniture
     region: int  # 0, 1 in a main, 2 in an article
+    header: bool  # furniture only as a header in an article or main
 
 
 class Line(NamedTuple):
@@ -97,7 +105,7 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks = [Block("", 0, False, False, 0)]
+        self.blocks = [Block("", 0, False, False, 0, False)]
         self.open: list[tuple[str, bool, int]] = []  # tag, silent, block
         self.lines: list[Line] = []
         self.text: list[str] = []
@@ -138,9 +146,12 @@ class Lines(HTMLParser):
         else:
             silent = silent or tag in SILENT
             around = self.blocks[block]
-            region = max(around.region, 2 if tag == "article" else 1 if tag == "main" else 0)
-            named = not region and is_named(tag, attrs)
-            self.blocks.append(Block(tag, block, around.furniture or furniture, named, region))
+            named = is_named(tag, attrs, around.region)
+            own = 2 if tag == "article" and not named else 1 if tag == "main" else 0
+            header = bool(around.region) and (
+                around.header and not furniture or tag == "header" and not around.furniture)
+            furniture = (around.furniture or furniture) and not (header and tag in HEADINGS)
+            self.blocks.append(Block(tag, block, furniture, named, max(around.region, own), header))
             block = len(self.blocks) - 1
         self.open.append((tag, silent, block))
 
@@ -205,8 +216,10 @@ def main_text(html: str) -> str:
         return ""
     seeds = cluster(lines, free)
     total = sum(len(lines[i].text) for i in seeds)
+    articles = sum(b.region == 2 and blocks[b.parent].region < 2 for b in blocks)
     for least in (2, 1):
-        if 2 * sum(len(lines[i].text) for i in seeds if blocks[lines[i].block].region >= least) >= total:
+        alone = least == 2 and articles == 1 and any(blocks[lines[i].block].region == 2 for i in seeds)
+        if alone or 2 * sum(len(lines[i].text) for i in seeds if blocks[lines[i].block].region >= least) >= total:
             return "\n".join(lines[i].text for i in shown
                              if blocks[lines[i].block].region >= least and not named[lines[i].block])
 

@@ -88,3 +88,32 @@ def test_regions_are_kept_whole():
     assert html.main_text(page).count("\n") == 3
     assert "Ad" in html.main_text(f"<article>{text}<div class='ad hoc'>Ad hoc</div></article>")
     assert html.main_text(f"<div class='widget'>{text}<ul>{MENU}</ul></div>").count("\n") == 3
+
+
+def test_furniture_inside_articles_and_mains_goes():
+    text = f"<p>{LONG}</p>"
+    kept = " ".join(LONG.split())
+    for page in (f"<article>{text}<div class='comments'><p>Nice!</p></div><div class='ad'>Buy</div></article>",
+                 f"<main>{text}<div class='notice'>Maintenance at ten.</div></main>",
+                 f"<main>{text}<div id='cookie-notice'>We use cookies.</div></main>",
+                 f"<article>{text}<article class='comment'><p>I disagree. {LONG}</p></article></article>",
+                 f"<article>{text}</article><article class='comment'><p>I disagree. {LONG}{LONG}</p></article>",
+                 f"<article>{text}<section class='related-articles'><ul><li>More</ul></section>"
+                 "<section class='share social'>Share</section></article>"
+                 .replace("related-articles", "related")):
+        assert html.main_text(page) == kept, page[-90:]
+
+
+def test_the_heading_of_an_articles_header_stays():
+    page = (f"<header><h1>Site</h1></header><article><header><h1>The <i>title</i></h1><p>By A. Writer</p>"
+            f"<nav><h2>Jump</h2></nav></header><p>{LONG}</p><footer><h2>Foot</h2></footer></article>")
+    assert html.main_text(page) == "The title\n" + LONG.strip()
+
+
+def test_one_short_article_beside_long_unnamed_text():
+    talk = "".join(f"<div><b>Reader {i}</b><p>{LONG}</p></div>" for i in range(9))
+    page = f"<body><article><h1>Title</h1><p>{LONG}</p><p>Short end.</p></article><div>{talk}</div></body>"
+    assert html.main_text(page) == f"Title\n{LONG.strip()}\nShort end."
+    # an article without a line of the cluster does not decide
+    teaser = f"<body><article><p><a href='/x'>Teaser</a></p></article><div>{talk}</div></body>"
+    assert html.main_text(teaser).count("long enough") == 45
