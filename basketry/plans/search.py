@@ -6,21 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.text import contains_pattern
+from basketry.sources.name_index import NameIndex
 from basketry.tables import Tables
 
 SEARCH_LIMIT = 500  # the reference caps search and edit lists at 500 rows
 BROADCAST_IDS = 100_000  # winners' ids sent to every task: 800 KB at most
 
 
-def _winners(t: Tables, text: str, department: str | None, limit: int) -> DataFrame:
+def _winners(t: Tables, text: str, department: str | None, limit: int,
+             index: NameIndex | None = None) -> DataFrame:
     """The first ``limit`` matching products by (name, id): the answer's rows.
 
     The order does not involve the sums, so the winners are picked before any
-    order line is read.
+    order line is read.  With an index only its candidates are matched.
     """
     products = t.products
     if text:
-        products = products.filter(F.col("product_name").ilike(contains_pattern(text)))
+        pattern = contains_pattern(text)
+        found = index.candidates(pattern) if index else None
+        if found is not None:
+            products = products.join(found, "product_id", "left_semi")
+        products = products.filter(F.col("product_name").ilike(pattern))
     else:  # '%%' matches every non-NULL name
         products = products.filter(F.col("product_name").isNotNull())
     departments = t.departments
@@ -53,16 +59,18 @@ def _lines_of(t: Tables, winners: DataFrame, limit: int) -> DataFrame:
 
 
 def product_search(t: Tables, text: str = "", department: str | None = None,
-                   hours: tuple[int, int] = (0, 23), limit: int = SEARCH_LIMIT) -> DataFrame:
+                   hours: tuple[int, int] = (0, 23), limit: int = SEARCH_LIMIT,
+                   index: NameIndex | None = None) -> DataFrame:
     """Products whose name contains ``text`` (case-insensitive, LIKE
     wildcards live), optionally in one department, with all-time reorders.
+    ``index`` (`snapshot.read_names`) spares matching all products.
 
     ``hours`` is accepted as the reference accepts it and, as there, does not
     change the result: its filter sits on the outer-joined orders while the
     sum is over order lines (SURVEY Q1).  `product_search_hourly` applies it.
     """
     del hours
-    winners = _winners(t, text, department, limit)
+    winners = _winners(t, text, department, limit, index)
     return _with_reorders(winners, _lines_of(t, winners, limit))
 
 

@@ -385,6 +385,7 @@ def _edited(spark: SparkSession, sf_dir: str):
         root = scratch_path(spark, "snapshots")
         publish_fixture(spark, sf_dir, root)
         snapshot.maintain_cells(spark, root)
+        snapshot.index_names(spark, root)
         for change in (lambda t: [_aisle_inserts(spark, sf_dir).step],
                        lambda t: [_department_renames(spark, sf_dir).step],
                        lambda t: [_product_updates(spark, sf_dir).step],
@@ -417,6 +418,18 @@ def _cells(spark: SparkSession, sf_dir: str):
     return snapshot.read_cells(spark, root), t.departments
 
 
+def _indexed_search(text: str) -> Query:
+    """Over the changed snapshot, with the index kept through the changes."""
+    def run(spark, sf_dir):
+        t = _edited(spark, sf_dir)
+        root = _SNAPSHOTS[(session_key(spark), sf_dir, id(derived(spark, sf_dir)), "edited")]
+        return search.product_search(t, text, index=snapshot.read_names(spark, root))
+    return run
+
+
+QUERIES["product_search_indexed"] = _indexed_search("GEAR")
+QUERIES["product_search_indexed_updated"] = _indexed_search("r V2")
+QUERIES["product_search_indexed_wildcards"] = _indexed_search("gea_ v%")
 QUERIES["maintained_orders_by_hour"] = lambda spark, d: cells.orders_by_hour(_cells(spark, d)[0])
 QUERIES["maintained_orders_by_dow"] = lambda spark, d: cells.orders_by_dow(_cells(spark, d)[0])
 QUERIES["maintained_top_departments"] = lambda spark, d: cells.top_departments(*_cells(spark, d))

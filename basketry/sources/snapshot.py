@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators.audit import ROW_COUNT, audit_with_counts
 from basketry.schema import PRIMARY_KEYS, SCHEMAS, TABLE_ORDER
+from basketry.sources import name_index
 from basketry.tables import Tables
 
 MARKER = "_PUBLISHED"
@@ -245,10 +246,11 @@ def _follow(spark: SparkSession, base: str, version: str) -> None:
 
 
 def _publish(spark: SparkSession, version: str, row_counts: dict, buckets: dict | None = None,
-             layers: dict | None = None, base: str | None = None, cells: dict | None = None) -> None:
+             layers: dict | None = None, base: str | None = None, cells: dict | None = None,
+             names: list | None = None) -> None:
     _write_text(spark, f"{version}/{MARKER}",
                 json.dumps({"tables": TABLE_ORDER, "row_counts": row_counts, "buckets": buckets or {},
-                            "bucket_key": BUCKET_KEY, "layers": layers, "base": base and base.rsplit("/", 1)[1], "cells": cells,
+                            "bucket_key": BUCKET_KEY, "layers": layers, "base": base and base.rsplit("/", 1)[1], "cells": cells, "names": names,
                             "published_ms": int(time.time() * 1000)}))
 
 
@@ -352,8 +354,13 @@ def publish_change(spark: SparkSession, root: str, steps: list, base: str | None
         raise SnapshotRejected(version, found)
     cells = _write_cells(after_change(read_cells(spark, base), before, apply(before, written), written),
                          version) if marker.get("cells") else None
+    names = list(marker.get("names") or [])
+    for i, step in enumerate(written if names else []):
+        if step.table == "products" and step.rows is not None:
+            names.append(f"{own}/names-{i}")
+            name_index.write(step.rows, f"{root}/{names[-1]}")
     _follow(spark, base, version)
-    _publish(spark, version, counts, layers=layers, base=base, cells=cells)
+    _publish(spark, version, counts, layers=layers, base=base, cells=cells, names=names)
     return version
 
 
@@ -390,7 +397,33 @@ def maintain_cells(spark: SparkSession, root: str) -> str:
     version = new_version(_root_of(base), base)
     cells = _write_cells(cells_of(read_snapshot(spark, base)), version)
     _follow(spark, base, version)
-    _publish(spark, version, marker["row_counts"], layers=_layers(base, marker), base=base, cells=cells)
+    _publish(spark, version, marker["row_counts"], layers=_layers(base, marker), base=base, cells=cells,
+             names=marker.get("names"))
+    return version
+
+
+def read_names(spark: SparkSession, root: str) -> name_index.NameIndex:
+    """The trigram index of the newest version under ``root``, or of a version."""
+    version = latest_version(spark, root)
+    names = _marker(spark, version).get("names")
+    if not names:
+        raise FileNotFoundError(f"{version} has no index of names; see index_names")
+    return name_index.NameIndex.read(spark, [f"{_root_of(version)}/{n}" for n in names])
+
+
+def index_names(spark: SparkSession, root: str) -> str:
+    """Publish the newest version anew with a trigram index of its product names
+    in one layer; the changes published after it add theirs, a full load starts
+    without."""
+    base = latest_version(spark, root)
+    marker = _marker(spark, base)
+    if len(marker.get("names") or []) == 1:
+        return base
+    version = new_version(_root_of(base), base)
+    name_index.write(read_snapshot(spark, base).products, f"{version}/names")
+    _follow(spark, base, version)
+    _publish(spark, version, marker["row_counts"], layers=_layers(base, marker), base=base,
+             cells=marker.get("cells"), names=[f"{version.rsplit('/', 1)[1]}/names"])
     return version
 
 
@@ -410,7 +443,7 @@ def compact(spark: SparkSession, root: str) -> str:
         counts[name] = spark.read.parquet(f"{version}/{name}").count()
         layers[name] = [{"rows": f"{version.rsplit('/', 1)[1]}/{name}"}]
     _follow(spark, base, version)
-    _publish(spark, version, counts, layers=layers, base=base, cells=marker.get("cells"))
+    _publish(spark, version, counts, layers=layers, base=base, cells=marker.get("cells"), names=marker.get("names"))
     return version
 
 
