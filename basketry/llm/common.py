@@ -19,6 +19,11 @@ def only(df: DataFrame, **casts: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in casts.items()])
 
 
+def position(df: DataFrame, name: str) -> int:
+    """The place of a column: of the very name, else of one that differs in case."""
+    return df.columns.index(name) if name in df.columns else [c.lower() for c in df.columns].index(name.lower())
+
+
 def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE))
 

@@ -243,8 +243,9 @@ def predict(docs: DataFrame, model: Model, size: int = 2_000_000) -> DataFrame:
 def keep(docs: DataFrame, model: Model, least: float = 0.4, size: int = 2_000_000) -> DataFrame:
     """The rows of `docs`, all columns as they are, whose language the model
     names with a score of `least` or more.  A model without languages tells
-    none from another: then only null texts and texts without a letter go."""
-    at = [c.lower() for c in docs.columns].index("text")
+    none from another: then only null texts and texts without a letter go.
+    Languages that tie go by name; repeated rows are judged one by one."""
+    at = common.position(docs, "text")
 
     def run(batches):
         for batch in batches:

@@ -100,7 +100,9 @@ def drawn(docs: DataFrame, weights: dict[str, float] | None, temperature: float,
         id_.cast("string"), F.lit("null")), F.col("_mix_copy")).cast("binary")), 1, 16)
     j = j.withColumn("_mix_key", key).select(
         *[F.col(f"`{c}`") for c in docs.columns], "_mix_n", "_mix_copy", "_mix_key")
-    return j.repartition("_mix_key").sortWithinPartitions("_mix_key")
+    # rows that share an id share a key: the other columns tell where they go
+    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    return j.repartition("_mix_key", row).sortWithinPartitions("_mix_key")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 2.0,
@@ -108,7 +110,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     """The input's columns, then n_copies, copy (1..n_copies) and shuffle_key.
 
     Rows with a null id share the hash of the word null, repeated rows of one
-    id share that id's count.  Null sources are a source of their own.  An
+    id share that id's count; the row decides which task they go to.  Texts are
+    carried whole, whatever their length.  Null sources are a source of their own.  An
     empty table gives an empty result; input columns named like the added ones
     are replaced.
     """

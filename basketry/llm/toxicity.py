@@ -345,9 +345,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of `docs`, all columns as they are, that score below `least`."""
+    """The rows of `docs`, all columns as they are, that score below `least`.
+
+    Null and empty texts score as texts without a known term; repeated rows get
+    one score each; an empty table gives an empty result."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    at = [c.lower() for c in docs.columns].index("text")
+    at = common.position(docs, "text")
 
     def run(batches):
         m = shipped.value

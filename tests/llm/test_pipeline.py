@@ -16,7 +16,7 @@ def test_registered():
     names = entry.queries()
     assert "pipeline" in names and [n for n, _ in pipeline.STAGES] == [
         "toxicity", "language", "near_duplicates", "mixing", "bpe"]
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
 
 
@@ -63,6 +63,13 @@ def test_stages_on_odd_rows(spark):
     assert pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
 
 
+def test_stages_read_the_column_of_their_name():
+    from types import SimpleNamespace
+
+    assert common.position(SimpleNamespace(columns=["TEXT", "doc_id", "text"]), "text") == 2
+    assert common.position(SimpleNamespace(columns=["doc_id", "Text"]), "text") == 1
+
+
 def test_language_stage_without_languages(spark):
     """No row has a label, or only held-out rows have one: clean documents stay."""
     held = [i for i in range(50) if zlib.crc32(str(i).encode()) % 4 == 2][:2]
