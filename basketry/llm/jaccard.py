@@ -21,9 +21,9 @@ is hot even then (near copies) is compared in rounds: one hub per fingerprint
 against all, then more, in the last round every pair, but only of nodes in
 different components by then.  All rounds compare whole sketches, of two bits
 per shingle, first: a pair whose sketches differ in more bits than D is no
-match.  The nodes of a fingerprint are dealt in blocks: hubs go to each of its
-blocks, and in the last round a group is a pair of blocks, so a task holds few
-nodes at a time, however many share the fingerprint, and emits few pairs.
+match.  The nodes of a large fingerprint are dealt in blocks: hubs go to each of
+its blocks, and in the last round a group is a pair of blocks, so a task holds
+few nodes at a time, however many share the fingerprint, and emits few pairs.
 
 Every candidate pair is verified on the exact shingle sets, first each node's
 best partner, then only pairs between components.  No link between components
@@ -56,8 +56,8 @@ MORE = 24
 #: Nodes of a hot fingerprint that are compared with the others, by round: each
 #: round connects most of what the next would otherwise emit; None is all.
 HUBS = (1, 4, 16, None)
-#: Nodes of a fingerprint in one block, about.
-BLOCK = 1_000
+#: Bytes of sketches of one fingerprint in one block, about.
+BLOCK = 32_000_000
 #: Nodes a task in stages over nodes or links, and tasks of such a stage at least.
 NODES, TASKS = 50_000, 12
 #: Bits of a whole sketch per shingle of the band's largest set.
@@ -325,78 +325,100 @@ def matcher(buckets: int):
     return run
 
 
+#: Sides of a group that a row of `dealt` is on; a group that is no larger than
+#: a block has all its rows on both.
+BOTH, LEFT, RIGHT = 0, 1, 2
+
+
 def dealt(open_nodes: DataFrame, hubs: int | None) -> DataFrame:
-    """Rows (key, i, j, left, node, n, component, sketch): a fingerprint's nodes
-    in blocks of about BLOCK, however many they are.  With `hubs` the first few
-    nodes go to every block as its left side, else each pair of blocks is a
-    group with one of them as its left side."""
-    sizes = open_nodes.groupBy("key").agg(F.count(F.lit(1)).alias("_size"))
-    nodes = open_nodes.join(sizes, "key").withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int")).withColumn(
-        "_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    if hubs:
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        first = open_nodes.select("key", "node", rank.alias("_rank")).filter(F.col("_rank") <= hubs)
-        left = nodes.join(first.select("key", "node"), ["key", "node"], "left_semi").select(
-            "*", F.lit(-1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("j"))
-        right = nodes.select("*", F.lit(-1).alias("i"), F.col("_block").alias("j"))
+    """Rows (key, i, j, side, node, n, component, sketch) by group (key, i, j).
+    A fingerprint whose sketches fill no more than BLOCK bytes is one group.
+    The nodes of a larger one are dealt in blocks of about that size: its first
+    `hubs` nodes go to every block as its left side, or, without `hubs`, each
+    pair of blocks is a group with one of them as its left side."""
+    large = open_nodes.groupBy("key").agg(F.sum(F.length("sketch")).alias("_size")).filter(
+        F.col("_size") > BLOCK).select("key", F.ceil(F.col("_size") / BLOCK).cast("int").alias("_blocks"))
+    large = common.cut(large, "jaccard-large", TASKS)
+    out, n_large = ["key", "i", "j", "side", "node", "n", "component", "sketch"], large.count()
+    whole = lambda df: df.select("*", F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(BOTH).alias("side"))
+    if not n_large:
+        rows = whole(open_nodes).select(out)
     else:
-        left = nodes.select("*", F.col("_block").alias("i"),
-                            F.explode(F.sequence(F.col("_block"), F.col("_blocks") - 1)).alias("j"))
-        right = nodes.select("*", F.explode(F.sequence(F.lit(0), F.col("_block"))).alias("i"),
-                             F.col("_block").alias("j"))
-    both = left.withColumn("left", F.lit(True)).unionByName(right.withColumn("left", F.lit(False)))
-    return (both.select("key", "i", "j", "left", "node", "n", "component", "sketch").repartition("key", "i", "j")
-            .sortWithinPartitions("key", "i", "j"))
-
-
-def near_pairs(batches):
-    """Of `dealt` rows: a, b, shared for every node of a group's left side and
-    every node of its right side of another component whose size and sketch can
-    be similar, with the number of fingerprints, summed over some groups.  A
-    group is held at a time, and the pairs found since the last ones went."""
-    found, held, group, now = [], 0, [], None
-
-    def compare():
-        """The pairs of the group; of two nodes the smaller comes first."""
-        left, right = ([r for r in group if r[0] == side] for side in (True, False))
-        if not left or not right:
-            return 0
-        node, n, comp = (np.array([r[k] for r in right], np.int64) for k in (1, 2, 3))
-        bits = np.stack([np.frombuffer(r[4], U) for r in right])
-        same = now[1] in (-1, now[2])  # of nodes on both sides each pair once
-        total = 0
-        for _, a, size, of, sketch_ in left:
-            near = (comp != of) & (4 * np.minimum(n, size) >= 3 * np.maximum(n, size))
-            at = np.flatnonzero(near & (node > a) if same else near)
-            if not len(at):
-                continue
-            differ = np.bitwise_count(bits[at] ^ np.frombuffer(sketch_, U)).sum(axis=1, dtype=np.int64)
+        if n_large <= BROADCAST_IDS:
+            large = F.broadcast(large)  # two numbers a row
+        nodes = open_nodes.join(large, "key").withColumn(
+            "_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+        if hubs:
+            rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+            first = nodes.select("key", "node", rank.alias("_rank")).filter(F.col("_rank") <= hubs)
+            left = nodes.join(first.select("key", "node"), ["key", "node"], "left_semi").select(
+                "*", F.lit(-1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("j"))
+            right = nodes.select("*", F.lit(-1).alias("i"), F.col("_block").alias("j"))
+        else:
+            left = nodes.select("*", F.col("_block").alias("i"),
+                                F.explode(F.sequence(F.col("_block"), F.col("_blocks") - 1)).alias("j"))
+            right = nodes.select("*", F.explode(F.sequence(F.lit(0), F.col("_block"))).alias("i"),
+                                 F.col("_block").alias("j"))
+        rows = whole(open_nodes.join(large, "key", "left_anti")).select(out).unionByName(
+            left.withColumn("side", F.lit(LEFT)).select(out)).unionByName(
+            right.withColumn("side", F.lit(RIGHT)).select(out))
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+
+
+def near_pairs(hubs: int | None):
+    """Of `dealt` rows: a, b, shared for the nodes on a group's left side (of a
+    whole group the first `hubs`, or all) and all on its right side of another
+    component whose size and sketch can be similar; with the number of
+    fingerprints, summed over some groups.  A group is held at a time, and the
+    pairs found since the last ones went."""
+    def run(batches):
+        found, held, group, now = [], 0, [], None
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in range(3)))
+            rows = zip(*(batch.column(c).to_pylist() for c in range(3, 8)))
+            for key, row in zip(keys, rows):
+                if key != now:
+                    held += compare(group, now, hubs, found)
+                    if held > 1_000_000:
+                        yield from flush(found)
+                        held = 0
+                    group, now = [], key
+                group.append(row)
+        compare(group, now, hubs, found)
+        yield from flush(found)
+
+    return run
+
+
+def compare(group: list, key: tuple | None, hubs: int | None, found: list) -> int:
+    """Add a group's pairs, the smaller node first, to `found`; their number."""
+    if len({r[3] for r in group}) < 2:  # one component, or nothing
+        return 0
+    left = [r for r in group if r[0] != RIGHT]
+    right = [r for r in group if r[0] != LEFT]
+    if hubs and key[2] < 0:
+        left = left[:hubs]
+    node, n, comp = (np.array([r[k] for r in right], np.int64) for k in (1, 2, 3))
+    bits = np.stack([np.frombuffer(r[4], U) for r in right])
+    same = key[1] in (-1, key[2])  # of nodes on both sides each pair once
+    total = 0
+    for _, a, size, of, own in left:
+        near = (comp != of) & (4 * np.minimum(n, size) >= 3 * np.maximum(n, size))
+        at = np.flatnonzero(near & (node > a) if same else near)
+        if len(at):
+            differ = np.bitwise_count(bits[at] ^ np.frombuffer(own, U)).sum(axis=1, dtype=np.int64)
             other = node[at[differ <= (n[at] + size) // 7]]
             found.append((np.minimum(other, a), np.maximum(other, a)))
             total += len(other)
-        return total
-
-    def flush():
-        a, b, shared = counted([x for x, _ in found], [x for _, x in found])
-        for i in range(0, len(a), 100_000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[i:i + 100_000]) for x in (a, b, shared)], names=["a", "b", "shared"])
-        found.clear()
-
-    for batch in batches:
-        keys = zip(*(batch.column(c).to_pylist() for c in range(3)))
-        rows = zip(*(batch.column(c).to_pylist() for c in range(3, 8)))
-        for key, row in zip(keys, rows):
-            if key != now:
-                held += compare() if group else 0
-                if held > 1_000_000:
-                    yield from flush()
-                    held = 0
-                group, now = [], key
-            group.append(row)
-    if group:
-        compare()
-    yield from flush()
+    return total
+
+
+def flush(found: list):
+    """The pairs found so far, counted, as batches; `found` is then empty."""
+    a, b, shared = counted([x for x, _ in found], [x for _, x in found])
+    for i in range(0, len(a), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i:i + 100_000]) for x in (a, b, shared)], names=["a", "b", "shared"])
+    found.clear()
 
 
 class Verifier:
@@ -547,7 +569,7 @@ def compare_hot(verify: Verifier, linked: Linked, hot: DataFrame, single: bool)
                        .select("key", "node", "n", "component", "sketch"), "jaccard-open", verify.tasks)
         if not c.limit(1).count():
             break
-        pairs = dealt(c, hubs).mapInArrow(near_pairs, "a long, b long, shared long")
+        pairs = dealt(c, hubs).mapInArrow(near_pairs(hubs), "a long, b long, shared long")
         linked.connect(pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared")))
         common.drop(c)
     common.drop(found, first)

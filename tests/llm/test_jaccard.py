@@ -131,3 +131,36 @@ def test_sketches_bound_the_difference():
             x, y = jaccard.sketch(a, scheme), jaccard.sketch(b, scheme)
             assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
         assert not (jaccard.sketch(a, scheme) ^ jaccard.sketch(a, scheme)).any()
+
+
+def test_large_fingerprints_are_dealt_in_blocks(spark, monkeypatch):
+    """Many near copies, with blocks of a few nodes: the same groups."""
+    monkeypatch.setattr(jaccard, "BLOCK", 2_000)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:55] + [f"x{i}{j}" for j in range(i % 4)])) for i in range(120)]
+    rows += [(500 + i, " ".join(base[:30] + [f"y{i}_{j}" for j in range(30)])) for i in range(60)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs(spark, rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_blocks_find_the_pairs_of_whole_groups(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    bits = rng.integers(0, 2 ** 63, (6, 4)).astype(np.uint64)
+    rows = []
+    for key in (1, 2, 3):
+        for node in rng.choice(10_000, 70, replace=False).tolist():
+            sketch = bits[node % 6] ^ np.uint64(1 << (node % 50))
+            rows.append((key, node, 100 + node % 40, node % 9, sketch.tobytes()))
+    schema = "key long, node long, n long, component long, sketch binary"
+
+    def pairs(hubs):
+        df = jaccard.dealt(spark.createDataFrame(rows, schema), hubs)
+        found = df.mapInArrow(jaccard.near_pairs(hubs), "a long, b long, shared long").groupBy("a", "b").agg(
+            F.sum("shared")).collect()
+        return sorted(map(tuple, found))
+
+    for hubs in (1, 4, None):
+        monkeypatch.setattr(jaccard, "BLOCK", 10 ** 9)
+        whole = pairs(hubs)
+        monkeypatch.setattr(jaccard, "BLOCK", 300)
+        assert whole and pairs(hubs) == whole
