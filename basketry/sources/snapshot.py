@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators.audit import ROW_COUNT, audit_with_counts
 from basketry.schema import PRIMARY_KEYS, SCHEMAS, TABLE_ORDER
+from basketry.session import plain_unions
 from basketry.sources import name_index
 from basketry.tables import Tables
 
@@ -297,6 +298,7 @@ def read_snapshot(spark: SparkSession, root: str) -> Tables:
     Only published versions are read, and publication requires a clean
     audit, so the result is marked ``audited``.
     """
+    plain_unions(spark)
     version = latest_version(spark, root)
     marker = _marker(spark, version)
     t = read_tables(spark, version, marker.get("buckets") or None, marker.get("layers"))

@@ -103,3 +103,17 @@ def test_ids_by_rank(spark, monkeypatch, slice_rows):
     got = {r.seq: r.id for r in ids.ids_by_rank(df, "seq", "id", after).collect()}
     assert got == {s: 42 + i for i, s in enumerate(sorted(seqs))}
     assert rows(ids.ids_by_rank(df.limit(0), "seq", "id", after)) == []
+
+
+def test_unions_of_layers_do_not_pass_partitioning_on(spark, root):
+    """A join above such a union failed where adaptive execution replanned one of
+    the inputs; so the union's rows are dealt again for the aggregate."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "true")  # as in a session made elsewhere
+    try:
+        products = snapshot.read_snapshot(spark, root).products.repartition(3, "product_id")
+        both = products.unionByName(products).groupBy("product_id").count()
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("Exchange hashpartitioning") < plan.index("Union")
+        assert {r[1] for r in rows(both)} == {2}
+    finally:
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
