@@ -120,7 +120,8 @@ def rename_names(dim: DataFrame, id_col: str, name_col: str, changes: DataFrame,
     n = F.length("_name")
     current = dim.select(F.col(id_col).alias("_id"), F.col(name_col).alias("_old"))
     valid = c.filter(n.between(1, NAME_LIMIT)).join(current.select("_id"), "_id", "left_semi")
-    refused = refused_renames(current.select("_id", F.col("_old").alias("_name")), valid)
+    # a row a request, in files far smaller: not to be broadcast
+    refused = refused_renames(current.select("_id", F.col("_old").alias("_name")), valid).hint("merge")
     granted = valid.join(refused, F.col("seq") == F.col("refused"), "left_anti")
     last = granted.groupBy("_id").agg(F.max_by("_name", "seq").alias("_new"),
                                       F.max("seq").alias("_last"))

@@ -20,6 +20,9 @@ name changes depend on each other in ways the guess does not foresee (1 to 7
 for the registered change sets of up to 20,000 requests, whatever the share of
 contested ones).
 
+A frame with a row a request is never broadcast: its files are small for what
+they hold (a few names, rising numbers), so joins with it name the sort-merge join.
+
 Running values go over slices of the request order with a carry from slice to
 slice, so neither an id nor a name with a third of all requests is one window.
 Each round ends in a written table; a count and a minimum reach the driver.
@@ -83,7 +86,8 @@ def _judge(requests: DataFrame, holders: DataFrame, slices: int) -> DataFrame:
     the guess as `was`."""
     # the name an id bears when its turn comes, if the guess is right
     own = F.last(F.when(F.col("granted"), F.col("name")), True).over(_before("id", "slice").orderBy("seq"))
-    turns = requests.withColumn("_own", own).join(_borne_before(requests, holders, slices), ["id", "slice"]).withColumn(
+    turns = requests.withColumn("_own", own).hint("merge").join(
+        _borne_before(requests, holders, slices), ["id", "slice"]).withColumn(
         "_own", F.coalesce("_own", "_borne")).drop("_borne")
     moves = F.col("granted") & (F.col("_own") != F.col("name"))
     # holders of a name: takers so far less leavers
@@ -92,7 +96,7 @@ def _judge(requests: DataFrame, holders: DataFrame, slices: int) -> DataFrame:
     steps = asked.unionByName(left, allowMissingColumns=True)
     here = F.coalesce(F.sum("delta").over(_before("name", "slice").orderBy("seq")), F.lit(0))
     judged = steps.withColumn("_here", here).filter(F.col("id").isNotNull()).join(
-        _held_before(steps, holders, slices), ["name", "slice"], "left")
+        _held_before(steps, holders, slices).hint("merge"), ["name", "slice"], "left")
     others = F.col("_here") + F.coalesce("_carried", F.lit(0)) - (F.col("_own") == F.col("name")).cast("int")
     return judged.select("seq", "slice", "id", "name", "contested", F.col("granted").alias("was"),
                          (~F.col("contested") | (others <= 0)).alias("granted"))

@@ -72,3 +72,23 @@ def test_components(spark):
     expected = {i: 1 for i in range(1, 31)} | {i: 100 for i in (100, 200, 300)} | {i: 1000 for i in range(1000, 1100)}
     assert got == expected
     assert rows(components(spark.createDataFrame([(4, 4), (None, 1)], "a long, b long"))) == []
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frames_with_a_row_a_request_are_not_broadcast(spark):
+    holders = spark.createDataFrame([(i, f"i{i}") for i in range(4)], "id long, name string")
+    state, _ = settle._written(spark.range(500).selectExpr(
+        "id AS seq", "int(id > 250) AS slice", "id % 4 AS id", "concat('n', id % 3) AS name", "true AS contested",
+        "id % 5 = 0 AS granted"))
+    plan = plan_of(settle._judge(state, holders, 2))
+    assert "SortMergeJoin [id" in plan and "SortMergeJoin [name" in plan
+    assert "BroadcastHashJoin [id" not in plan and "BroadcastHashJoin [name" not in plan
+    dim = spark.createDataFrame([(1, "a"), (2, "b")], "aisle_id long, aisle string")
+    changes = spark.createDataFrame([(1, 1, "b"), (2, 2, "c"), (3, 1, "b")], "seq long, id long, name string")
+    got = catalog.rename_names(dim, "aisle_id", "aisle", changes)
+    assert "SortMergeJoin [seq" in plan_of(got.outcomes) and "BroadcastHashJoin [seq" not in plan_of(got.outcomes)
+    assert "BroadcastHashJoin [seq" not in plan_of(got.table)
+    assert sorted(rows(got.table)) == [(1, "b"), (2, "c")]
