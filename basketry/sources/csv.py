@@ -47,19 +47,27 @@ POSITION_COLUMNS = ["_file", "_block", "_row"]
 SURPLUS = "surplus fields"
 
 
-def _parse(raw: Column, dtype: T.DataType) -> tuple[Column, Column]:
-    """(typed value, parse-failed flag) for one text column."""
+def _number(raw: Column, dtype: T.DataType) -> Column | None:
+    """A field's text as a number, null if it is none; None for text columns."""
+    # pandas turns an integer column with gaps into floats ("2.0")
+    kind = "decimal(38,10)" if isinstance(dtype, T.LongType) else "double" if isinstance(dtype, T.DoubleType) else None
+    return kind and raw.try_cast(kind)
+
+
+def _checked(number: Column, there: Column, dtype: T.DataType) -> tuple[Column, Column]:
+    """(typed value, parse-failed flag) from a field's number."""
     if isinstance(dtype, T.LongType):
-        # pandas turns an integer column with gaps into floats ("2.0"): accept
-        # integral decimals, reject fractions and non-numbers.
-        dec = raw.try_cast("decimal(38,10)")
-        ok = (dec.isNotNull() & (dec == F.floor(dec))
-              & (F.abs(dec) < F.lit(str(2 ** 63)).cast("decimal(38,0)")))
-        return F.when(ok, dec.cast("bigint")), raw.isNotNull() & ~ok
-    if isinstance(dtype, T.DoubleType):
-        val = raw.try_cast("double")
-        return val, raw.isNotNull() & val.isNull()
-    return raw, F.lit(False)
+        # accept integral decimals, reject fractions and non-numbers
+        ok = (number.isNotNull() & (number == F.floor(number))
+              & (F.abs(number) < F.lit(str(2 ** 63)).cast("decimal(38,0)")))
+        return F.when(ok, number.cast("bigint")), there & ~ok
+    return number, there & number.isNull()
+
+
+def _once(df: DataFrame, keep: list[str], made: list[Column]) -> DataFrame:
+    """`df` with the columns `keep` and `made`, the latter by a generator, so that
+    each is worked out once, not once a reference to it."""
+    return df.select(*keep, F.inline(F.array(F.struct(*made))))
 
 
 def typed_wide(text: DataFrame, na_tokens=PANDAS_NA_TOKENS) -> DataFrame:
@@ -71,15 +79,18 @@ def typed_wide(text: DataFrame, na_tokens=PANDAS_NA_TOKENS) -> DataFrame:
                and c not in DEFAULTS.get("orders", {}) and c not in DEFAULTS.get("order_details", {})]
     if missing:
         raise ValueError(f"wide input lacks columns {missing}")
-    out, bad = [], []
-    for c in data_cols:
+    read, out, bad = [], [], []
+    for i, c in enumerate(data_cols):
         raw = F.when(~F.col(c).isin(tokens), F.col(c)) if tokens else F.col(c)
-        if c in known:
-            val, failed = _parse(raw, known[c])
-            out.append(val.alias(c))
-            bad.append(F.when(failed, F.lit(c)))
-        else:
-            out.append(raw.alias(c))
+        number = _number(raw, known.get(c))
+        if number is None:
+            read.append(raw.alias(c))
+            out.append(F.col(c))
+            continue
+        read += [number.alias(c), raw.isNotNull().alias(f"_has{i}")]
+        val, failed = _checked(F.col(c), F.col(f"_has{i}"), known[c])
+        out.append(val.alias(c))
+        bad.append(F.when(failed, F.lit(c)))
     if "_surplus" in text.columns:
         bad.append(F.when(F.col("_surplus"), F.lit(SURPLUS)))
     # Declared defaults for columns the file does not have.
@@ -87,9 +98,11 @@ def typed_wide(text: DataFrame, na_tokens=PANDAS_NA_TOKENS) -> DataFrame:
         for c, v in DEFAULTS[table].items():
             if c not in data_cols:
                 out.append(F.lit(v).cast(known[c]).alias(c))
-    pos = [F.col(c) for c in POSITION_COLUMNS if c in text.columns]
-    bad_col = F.filter(F.array(*bad), lambda x: x.isNotNull()) if bad else F.array()
-    return text.select(*out, *pos, bad_col.cast("array<string>").alias("_bad"))
+    pos = [c for c in POSITION_COLUMNS if c in text.columns]
+    keep = [*pos, *[c for c in ["_surplus"] if c in text.columns]]
+    bad_col = F.array_compact(F.array(*bad)) if bad else F.array()
+    rows = _once(_once(text, keep, read), pos, [*out, bad_col.cast("array<string>").alias("_bad")])
+    return rows.select(*[c for c in rows.columns if c not in [*pos, "_bad"]], *pos, "_bad")
 
 
 def _as_path(name: str) -> str:

@@ -259,3 +259,22 @@ def test_sql_leaves_the_callers_views_alone(spark, scratch):
     assert rows(got) == [(1,)] and spark.table("orders").count() == 3
     assert not any(v.name == "users" for v in spark.catalog.listTables() if v.isTemporary)
     spark.catalog.dropTempView("orders")
+
+
+def test_a_csv_field_is_parsed_once(spark, scratch):
+    from basketry.schema import WIDE_COLUMNS
+    from pyspark.sql import types as T
+
+    known = dict(WIDE_COLUMNS)
+    os.makedirs(f"{scratch}/once", exist_ok=True)
+    with open(f"{scratch}/once/a.csv", "w") as f:
+        f.write(",".join(known) + "\n" + ",".join("1" for _ in known) + "\n")
+    cleaned = load.clean_wide(read_wide_csv(spark, f"{scratch}/once"), keep_out=True)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    longs = [c for c, t in known.items() if isinstance(t, T.LongType)]
+    assert plan.count("as decimal(38,10))") == len(longs)
+    assert cleaned.count() == 1
