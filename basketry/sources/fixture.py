@@ -26,6 +26,9 @@ from basketry.functions.ids import dense_ids
 from basketry.session import scratch_path, session_key
 from basketry.tables import Tables
 
+#: Bytes of the order lines' files that one task takes after they are dealt by order, about.
+LINE_BYTES = 4 << 20
+
 _DERIVED: dict = {}
 
 
@@ -120,13 +123,23 @@ def _all_orders(spark, sf_dir) -> DataFrame:
         F.when(F.col("o_orderpriority") == "1-URGENT", 2).otherwise(1).alias("times"))
 
 
+def _by_order(spark, sf_dir, lines: DataFrame) -> DataFrame:
+    """``lines`` dealt by order: grouping and joining them by order needs no
+    further shuffle, and a task gets about `LINE_BYTES` of the input whatever
+    its size, so its memory does not grow with it."""
+    parts = -(-sum(size for _, size, _ in _stamp(spark, f"{sf_dir}/lineitem.parquet")) // LINE_BYTES)
+    if parts <= int(spark.conf.get("spark.sql.shuffle.partitions")):
+        return lines.repartition("order_id")  # adaptive execution may merge partitions
+    return lines.repartition(parts, "order_id")
+
+
 def _lines(spark, sf_dir) -> DataFrame:
-    li = _read(spark, sf_dir, "lineitem")
-    return (li.groupBy(F.col("l_orderkey").alias("order_id"),
-                       F.col("l_partkey").alias("product_id"))
+    li = _read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"), "l_linenumber",
+        F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("_r"))
+    return (_by_order(spark, sf_dir, li).groupBy("order_id", "product_id")
             .agg(F.min("l_linenumber").cast("bigint").alias("add_to_cart_order"),
-                 F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).cast("bigint")
-                 .alias("reordered")))
+                 F.max("_r").cast("bigint").alias("reordered")))
 
 
 def _kept_orders(spark, sf_dir) -> DataFrame:
