@@ -125,9 +125,12 @@ def _splits(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     ends within quotes (`folded`) and the file does (`unclosed`), and the file's
     first line (`header`)."""
     odd = F.col("quotes") % 2
+    # an aggregate that gives text would sort all lines by split; beside one that
+    # collects (the split's own start, so one value), Spark hashes the few splits of a task
     per_split = _lines(spark, path, encoding).groupBy("_file", "_block").agg(
         F.count(F.lit(1)).alias("lines"), F.sum(odd).alias("odd"),
-        F.min_by(F.when(F.col("_block") == 0, F.col("line")), "_row").alias("first"))
+        F.min_by(F.when(F.col("_block") == 0, F.col("line")), "_row").alias("first"),
+        F.collect_set("_block").alias("hashed")).filter(F.size("hashed") == 1)
     whole = Window.partitionBy("_file")  # one row a split
     before = F.coalesce(F.sum("odd").over(whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     found = per_split.select(
