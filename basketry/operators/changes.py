@@ -19,6 +19,10 @@ from basketry.schema import FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, TABLE_ORDER, UN
 from basketry.tables import Tables
 
 
+#: Kept keys that a task looks through for repeated ones, about.
+TASK_KEYS = 250_000
+
+
 @dataclass(frozen=True)
 class Step:
     """First the rows whose key columns (those of ``gone``) stand in ``gone`` go,
@@ -87,14 +91,20 @@ def _violations(table: str, rule: str, bad: DataFrame, count) -> DataFrame:
         F.lit(table).alias("table"), F.lit(rule).alias("rule"), "violations")
 
 
-def _twice(table: str, kind: str, columns: list[str], kept: DataFrame, new: DataFrame) -> DataFrame:
-    """Keys of new rows that occur more than once, among them or with a kept row."""
-    keys = new.select(*columns).na.drop("any").groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+def _twice(table: str, kind: str, columns: list[str], kept: DataFrame, new: DataFrame, rows: int | None) -> DataFrame:
+    """Keys of new rows that occur more than once, among them or with a kept row.
+
+    New and kept keys meet in one aggregate; with more than about `TASK_KEYS`
+    kept rows a task (``rows``, if known) they are dealt to more tasks."""
+    keys = new.select(*columns).na.drop("any")
     low, high = keys.agg(F.min(columns[0]), F.max(columns[0])).first()
     near = kept.select(*columns).filter(F.col(columns[0]).between(low, high))  # pushed to the scan
-    met = near.join(keys.select(*columns), columns, "left_semi").withColumn("_n", F.lit(1))
-    both = keys.unionByName(met).groupBy(*columns).agg(F.sum("_n").alias("_n")).filter("_n > 1")
-    return _violations(table, rule_key(kind, columns), both, F.count(F.lit(1)))
+    both = keys.withColumn("_new", F.lit(1)).unionByName(near.withColumn("_new", F.lit(0)))
+    parts = -(-(rows or 0) // TASK_KEYS)
+    if parts > int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        both = both.repartition(parts, *columns)
+    found = both.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"), F.max("_new").alias("_new"))
+    return _violations(table, rule_key(kind, columns), found.filter("_n > 1 AND _new = 1"), F.count(F.lit(1)))
 
 
 def audit_delta(before: Tables, steps: list[Step], include_clean: bool = False) -> DataFrame:
@@ -122,9 +132,9 @@ def audit_delta(before: Tables, steps: list[Step], include_clean: bool = False)
         parts.append(counted.select(F.lit(name).alias("table"), F.inline(F.array(*[
             F.struct(F.lit(rule).alias("rule"), F.coalesce(f"r{i}", F.lit(0)).cast("bigint").alias("violations"))
             for i, (rule, _) in enumerate(rules)]))))
-        parts.append(_twice(name, "primary key", PRIMARY_KEYS[name], kept[name], rows))
+        parts.append(_twice(name, "primary key", PRIMARY_KEYS[name], kept[name], rows, before.known_rows(name)))
         if name in UNIQUE:
-            parts.append(_twice(name, "unique", UNIQUE[name], kept[name], rows))
+            parts.append(_twice(name, "unique", UNIQUE[name], kept[name], rows, before.known_rows(name)))
     for fk in FOREIGN_KEYS:
         found = []
         parent_rows = [p for p in (kept[fk.parent], new[fk.parent]) if p is not None]

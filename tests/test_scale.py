@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.operators import load
+from basketry.operators import changes, load
 from basketry.plans.departments import department_peak_hour
 from basketry.sources import csv, fixture
 
@@ -68,3 +68,16 @@ def test_splits_are_counted_without_sorting_lines(spark, tmp_path):
     assert "SortAggregate" not in plan and "ObjectHashAggregate" in plan
     rows = found.select(F.element_at(F.split("_file", "/"), -1).alias("f"), "lines", "folded", "header").collect()
     assert sorted(tuple(r) for r in rows) == [("a.csv", 4, True, "x,y"), ("b.csv", 1, False, "y,x")]
+
+
+@pytest.mark.parametrize("task_keys", [1, 1 << 30])
+def test_repeated_keys_of_a_change_are_found_without_a_join(spark, monkeypatch, task_keys):
+    """F32: one shuffle of the keys, in tasks by the number of kept rows."""
+    monkeypatch.setattr(changes, "TASK_KEYS", task_keys)
+    schema = "order_id bigint, product_id bigint"
+    kept = spark.createDataFrame([(1, 1), (2, 1), (3, None), (4, 4), (4, 5)], schema)
+    new = spark.createDataFrame([(1, 1), (2, 2), (2, 2), (3, None), (None, 1), (None, 1), (4, 4), (5, 5)], schema)
+    found = changes._twice("order_details", "primary key", ["order_id", "product_id"], kept, new, 100)
+    assert "Join" not in _plan(found)
+    assert ("REPARTITION_BY_NUM" in _plan(found)) == (task_keys == 1)
+    assert [tuple(r) for r in found.collect()] == [("order_details", "primary key (order_id, product_id)", 3)]
