@@ -201,7 +201,9 @@ def fixture_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = derived(spark, sf_dir)
     products = (_products(spark, sf_dir, d["departments"], d["aisles"])
                 .join(d["departments"], "department_id").join(d["aisles"], "aisle_id"))
-    wide = _lines(spark, sf_dir).join(d["orders"], "order_id").join(products, "product_id")
+    # a task hashes its products and lets the lines pass; for a merge join it would
+    # sort its lines, whose memory, and spill, grow with the input
+    wide = _lines(spark, sf_dir).join(d["orders"], "order_id").join(products.hint("shuffle_hash"), "product_id")
     cols = ["order_id", "product_id", "add_to_cart_order", "reordered", "user_id", "eval_set",
             "order_number", "order_dow", "order_hour_of_day", "days_since_prior_order",
             "product_name", "aisle_id", "department_id", "aisle", "department"]
