@@ -17,9 +17,10 @@ Files are split across tasks, and quoted fields may hold newlines.  One job
 over the lines finds the headers and counts quotes per split; a prefix sum over
 a file's splits tells whether a split begins inside a quoted field.  Files in
 which no line ends inside one are read as they are, line by line.  Of the other
-files only splits that hold such a line are dealt by split, to number their
-records by the running quote count; a record's lines then meet by file and
-record number.  A file that ends inside a quoted field is refused.
+files only splits that hold such a line are written dealt by split, to number
+their records by the running quote count and to join the lines of each; of the
+records that go on in later splits the rest is joined to them.  A file that
+ends inside a quoted field is refused.
 """
 
 from __future__ import annotations
@@ -43,6 +44,11 @@ PANDAS_NA_TOKENS = [
 ]
 # ---- end of fixed values ----------------------------------------------------------
 
+#: Files that a task has open at once when it deals lines; with more it sorts the rest, which may spill.
+WRITERS = 16
+#: Buckets a split, so that few splits share one; at most so many, Spark's limit.
+BUCKETS, MOST_BUCKETS = 4, 100_000
+
 POSITION_COLUMNS = ["_file", "_block", "_row"]
 SURPLUS = "surplus fields"
 
@@ -119,25 +125,26 @@ def _lines(spark: SparkSession, paths, encoding: str) -> DataFrame:
 
 
 def _splits(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """One row a split: _file, _block, lines, whether it begins within quotes
-    (`inside`), whether its lines must be numbered (`ragged`: it begins there, a
-    line ends there, or it has the file's header), whether a line of the file
-    ends within quotes (`folded`) and the file does (`unclosed`), and the file's
-    first line (`header`)."""
+    """One row a split: _file, _block, whether it begins within quotes
+    (`inside`), how many lines have an odd number of quotes (`odd`), whether its
+    lines must be numbered (`ragged`: it begins there, a line ends there, or it
+    has the file's header), whether a line of the file ends within quotes
+    (`folded`) and the file does (`unclosed`), and the file's first line
+    (`header`)."""
     odd = F.col("quotes") % 2
     # an aggregate that gives text would sort all lines by split; beside one that
     # collects (the split's own start, so one value), Spark hashes the few splits of a task
     per_split = _lines(spark, path, encoding).groupBy("_file", "_block").agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(odd).alias("odd"),
+        F.sum(odd).alias("odd"),
         F.min_by(F.when(F.col("_block") == 0, F.col("line")), "_row").alias("first"),
         F.collect_set("_block").alias("hashed")).filter(F.size("hashed") == 1)
     whole = Window.partitionBy("_file")  # one row a split
     before = F.coalesce(F.sum("odd").over(whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     found = per_split.select(
-        "_file", "_block", "lines", "odd", (before % 2 == 1).alias("inside"), F.sum("odd").over(whole).alias("all"),
+        "_file", "_block", "odd", (before % 2 == 1).alias("inside"), F.sum("odd").over(whole).alias("all"),
         F.max("first").over(whole).alias("first"))
     return found.select(
-        "_file", "_block", "lines", "inside", (F.col("inside") | (F.col("odd") > 0) | (F.col("_block") == 0)).alias("ragged"),
+        "_file", "_block", "inside", "odd", (F.col("inside") | (F.col("odd") > 0) | (F.col("_block") == 0)).alias("ragged"),
         (F.col("all") > 0).alias("folded"), (F.col("all") % 2 == 1).alias("unclosed"),
         F.rtrim(F.ltrim("first", F.lit("\ufeff")), F.lit("\r")).alias("header"))
 
@@ -148,31 +155,61 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _dealt(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """`df` written with its rows dealt by `key`, so that what groups by it needs
+    no shuffle: compressed files of columns take far less disk."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    table = re.sub(r"\W", "_", path.rsplit("/", 1)[1])
+    writers = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers)
+    spark.conf.set(writers, WRITERS)
+    try:
+        (df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet")
+         .saveAsTable(table))
+    finally:
+        spark.conf.set(writers, before)
+    written = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the entry; the files stay
+    return written
+
+
 def _records(spark: SparkSession, files: list[str], encoding: str) -> DataFrame:
     """(_file, _block, _row, record): the lines of `files` but for their first
     records, the headers; lines of one record joined again."""
     # where Spark splits files depends on all files of a scan: these alone, once more
-    splits = _written(_splits(spark, files, encoding), "csv-splits")
-    lines = _lines(spark, files, encoding).join(splits.select("_file", "_block", "inside", "ragged"),
-                                                ["_file", "_block"])
-    here = Window.partitionBy("_file", "_block").orderBy("_row")  # at most a split
+    splits = _written(_splits(spark, files, encoding).withColumn("split", F.monotonically_increasing_id()), "csv-splits")
+    lines = _lines(spark, files, encoding).join(
+        F.broadcast(splits.select("_file", "_block", "split", "inside", "ragged")), ["_file", "_block"])  # one row a split
+    whole = lines.filter("NOT ragged").select("_file", "_block", "_row", F.col("line").alias("record"))
+    lines = _dealt(lines.filter("ragged").select("split", "_row", "line", "quotes", "inside"), "split",
+                   min(BUCKETS * splits.filter("ragged").count(), MOST_BUCKETS), "csv-lines")
+
+    # the record that a split begins within begins in the last split before that is not within it as a whole, at the
+    # last line there that ends within quotes; it goes on up to the split's first such line
+    odd = F.when(F.col("quotes") % 2 == 1, F.col("_row"))
+    ends = lines.groupBy("split").agg(F.min(odd).alias("first"), F.max(odd).alias("last"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    within = F.col("inside") & (F.col("odd") == 0)
+    ends = _written(splits.withColumn("owner", F.last(F.when(~within, F.col("split")), ignorenulls=True).over(earlier))
+                    .join(ends, "split").select("split", "_file", "_block", "inside", "owner", "first", "last"), "csv-ends")
+    heads = (lines.select("split", "_row", "line")
+             .join(F.broadcast(ends.filter("inside").select("split", "_block", "owner", "first")), "split")
+             .filter("first IS NULL OR _row <= first").groupBy(F.col("owner").alias("split"))
+             .agg(F.array_sort(F.collect_list(F.struct("_block", "_row", "line"))).alias("l")))
+    rest = _written(heads.join(ends.select("split", F.col("last").alias("_row")), "split").select(
+        "split", "_row", F.array_join("l.line", "\n").alias("rest")), "csv-rest")
+
+    here = Window.partitionBy("split").orderBy("_row")  # at most a split
     before = F.col("inside").cast("int") + F.coalesce(
         F.sum("quotes").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ragged = lines.filter("ragged").withColumn("starts", (before % 2 == 0).cast("int"))
-    ragged = ragged.withColumn("nth", F.sum("starts").over(here.rowsBetween(Window.unboundedPreceding, 0)))
-    # numbered once, read twice
-    ragged = _written(ragged.select("_file", "_block", "_row", "line", "starts", "nth"), "csv-lines")
-    # a line's record is the last that starts in its split, or in an earlier one
-    starts = ragged.groupBy("_file", "_block").agg(F.sum("starts").alias("n")).unionByName(
-        splits.filter("NOT ragged").select("_file", "_block", F.col("lines").alias("n")))
-    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("_file", "_block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    numbered = ragged.join(starts, ["_file", "_block"]).select(
-        "_file", (F.col("before") + F.col("nth")).alias("record"), F.struct("_block", "_row", "line").alias("l"))
-    joined = numbered.filter("record > 1").groupBy("_file", "record").agg(F.array_sort(F.collect_list("l")).alias("l")).select(
-        "_file", F.col("l")[0]["_block"].alias("_block"), F.col("l")[0]["_row"].alias("_row"),
-        F.array_join("l.line", "\n").alias("record"))
-    whole = lines.filter("NOT ragged").select("_file", "_block", "_row", F.col("line").alias("record"))
+    numbered = lines.withColumn("starts", (before % 2 == 0).cast("int"))
+    numbered = numbered.withColumn("nth", F.sum("starts").over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = numbered.filter("nth > 0").groupBy("split", "nth").agg(
+        F.array_sort(F.collect_list(F.struct("_row", "line"))).alias("l"))
+    joined = (joined.select("split", "nth", F.col("l")[0]["_row"].alias("_row"), F.array_join("l.line", "\n").alias("record"))
+              .join(rest, ["split", "_row"], "left")
+              .join(F.broadcast(ends.select("split", "_file", "_block")), "split").filter("_block > 0 OR nth > 1")
+              .select("_file", "_block", "_row", F.concat_ws("\n", "record", "rest").alias("record")))
     return whole.unionByName(joined).withColumn("record", F.rtrim("record", F.lit("\r")))
 
 

@@ -83,3 +83,20 @@ def test_lines_are_not_dealt_where_no_field_holds_a_newline(spark, scratch):
     write(os.path.join(scratch, "a.csv"), [line(i, quoted("x, y")) for i in range(5)])
     plan = read_wide_csv(spark, scratch)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "FileScan csv" in plan
+
+
+def test_lines_are_not_shuffled_to_meet(spark, scratch, small_splits):
+    """Lines of a folded file are written once, compressed; what joins them needs no shuffle."""
+    write(os.path.join(scratch, "a.csv"), [line(i, quoted(n)) for i, n in enumerate(names(5, 200))])
+    plan = read_wide_csv(spark, scratch)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SelectedBucketsCount" in plan
+
+
+@pytest.mark.parametrize("buckets", [1, 4])
+def test_records_over_several_splits(spark, scratch, small_splits, monkeypatch, buckets):
+    monkeypatch.setattr("basketry.sources.csv.BUCKETS", buckets)
+    monkeypatch.setattr("basketry.sources.csv.WRITERS", 1)
+    written = ["a", "b\n" * 9_000, '"\n' * 2_500, "c", "\n" + "d" * 10_000 + "\n", "e\r\n" * 4_000 + "f", "g"]
+    for file in ("x.csv", "y.csv"):
+        write(os.path.join(scratch, file), [line(i, quoted(n)) for i, n in enumerate(written)])
+    assert read(spark, scratch) == [*enumerate(written)] * 2
