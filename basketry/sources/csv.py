@@ -125,7 +125,7 @@ def _lines(spark: SparkSession, paths, encoding: str) -> DataFrame:
 
 
 def _splits(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """One row a split: _file, _block, whether it begins within quotes
+    """One row a split: _file, _block, lines, whether it begins within quotes
     (`inside`), how many lines have an odd number of quotes (`odd`), whether its
     lines must be numbered (`ragged`: it begins there, a line ends there, or it
     has the file's header), whether a line of the file ends within quotes
@@ -135,16 +135,16 @@ def _splits(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     # an aggregate that gives text would sort all lines by split; beside one that
     # collects (the split's own start, so one value), Spark hashes the few splits of a task
     per_split = _lines(spark, path, encoding).groupBy("_file", "_block").agg(
-        F.sum(odd).alias("odd"),
+        F.count(F.lit(1)).alias("lines"), F.sum(odd).alias("odd"),
         F.min_by(F.when(F.col("_block") == 0, F.col("line")), "_row").alias("first"),
         F.collect_set("_block").alias("hashed")).filter(F.size("hashed") == 1)
     whole = Window.partitionBy("_file")  # one row a split
     before = F.coalesce(F.sum("odd").over(whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     found = per_split.select(
-        "_file", "_block", "odd", (before % 2 == 1).alias("inside"), F.sum("odd").over(whole).alias("all"),
+        "_file", "_block", "lines", "odd", (before % 2 == 1).alias("inside"), F.sum("odd").over(whole).alias("all"),
         F.max("first").over(whole).alias("first"))
     return found.select(
-        "_file", "_block", "inside", "odd", (F.col("inside") | (F.col("odd") > 0) | (F.col("_block") == 0)).alias("ragged"),
+        "_file", "_block", "lines", "inside", "odd", (F.col("inside") | (F.col("odd") > 0) | (F.col("_block") == 0)).alias("ragged"),
         (F.col("all") > 0).alias("folded"), (F.col("all") % 2 == 1).alias("unclosed"),
         F.rtrim(F.ltrim("first", F.lit("\ufeff")), F.lit("\r")).alias("header"))
 
